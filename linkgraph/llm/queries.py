@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgraph.llm.bpe import token_digest
 from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
+from linkgraph.llm.simhash import simhash_digest
+
+#: Where the vocabulary files of the public tokenizers are.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return token_digest(docs, BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     eight = {i: 1.0 for i in range(8)}
@@ -32,7 +47,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_sharding": op6_sharding, "op8_pii": op8_pii, "op9_secrets": op9_secrets}
+    return {
+        "op1_simhash": op1_simhash,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op6_sharding": op6_sharding,
+        "op8_pii": op8_pii,
+        "op9_secrets": op9_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
