@@ -13,9 +13,11 @@ from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
 from linkgraph.llm.simhash import simhash_digest
+from linkgraph.llm.tokenfile import tokenfile_digest
 
 #: Where the vocabulary files of the public tokenizers are.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(docs, BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile_digest(_read(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     eight = {i: 1.0 for i in range(8)}
@@ -50,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_token_files": op5_token_files,
         "op6_sharding": op6_sharding,
         "op8_pii": op8_pii,
         "op9_secrets": op9_secrets,
