@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgraph.llm.ann import nearest, valid_vectors
 from linkgraph.llm.bpe import token_digest
 from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.secrets import secrets_digest
@@ -33,6 +34,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(docs, BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = valid_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return nearest(vectors, vectors.where(F.col("key") % 50 == 0))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile_digest(_read(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_ann": op4_ann,
         "op5_token_files": op5_token_files,
         "op6_sharding": op6_sharding,
         "op8_pii": op8_pii,
