@@ -15,6 +15,7 @@ from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
 from linkgraph.llm.simhash import simhash_digest
 from linkgraph.llm.tokenfile import tokenfile_digest
+from linkgraph.llm.toxicity import toxicity_digest
 
 #: Where the vocabulary files of the public tokenizers are.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,6 +51,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity_digest(_read(spark, sf_dir, "documents", "doc_id", "text"), labels)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ann": op4_ann,
         "op5_token_files": op5_token_files,
         "op6_sharding": op6_sharding,
+        "op7_toxicity": op7_toxicity,
         "op8_pii": op8_pii,
         "op9_secrets": op9_secrets,
     }
