@@ -9,10 +9,13 @@ for every 256th value, leads to any value in constant time.  No 64-bit table is
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -28,8 +31,16 @@ MAGIC = b"LGTOK001"
 #: magic, id width, documents, ids, null doc_ids, least doc_id, bytes of the ids, of the boundaries
 FOOTER = struct.Struct("<8sIQQQqQQ")
 SAMPLE = 256
-#: Chunks of text that the encoder remembers.
-REMEMBERED = 250_000
+#: Chunks that an encoder remembers.
+REMEMBERED = 600_000
+#: What a text of plain Latin characters lacks: all past the Latin letters that no normal form takes
+#: apart, and the one capital there whose small form isn't a single letter.
+BEYOND = re.compile("[^\\x00-\\u024f]|\u0130")
+#: Runs of ASCII marks that only white space, letters and digits adjoin.  The apostrophe isn't among
+#: the marks, since it begins word endings; it and Latin-1's own marks would join a run.
+_MARKS = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_OTHER = "".join(re.escape(c) for c in map(chr, range(0x250)) if not c.isalnum() and c not in " \t\n\r") + "'"
+APART = re.compile(f"(?<![{_OTHER}])[{_MARKS}]++(?![{_OTHER}])")
 
 
 class EliasFano:
@@ -179,40 +190,59 @@ class ShardReader:
 
 
 class CachedEncoder:
-    """The tokenizers library's ids of whole texts, through a bounded table of blank-separated chunks.
+    """The tokenizers library's ids of whole texts, through a bounded table of words.
 
-    For a tokenizer that drops white space and never merges across it, the ids of a text are those
-    of its chunks between blanks, tabs and line ends in turn; ``splits`` is what was checked of it.
+    For a tokenizer that lower-cases, drops white space and keeps marks apart from letters
+    (``splits`` is what was checked of that), the ids of a text are those of its chunks between
+    blanks, tabs and line ends in turn.  A text of plain Latin characters is lower-cased before, and
+    ASCII marks are set apart from its letters and digits, so that fewer chunks differ.  New chunks
+    are encoded many at a time, and offsets deal out the ids.
     """
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core already
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        probe = ["ab", " ab", "ab ", "ab cd", "a\tb\r\n c"]
-        self.splits = all(self._plain(p) == [i for c in p.split() for i in self._plain(c)] for p in probe)
+        probe = ["ab", " ab", "ab ", "ab cd", "a\tb\r\n c", "Ab.", "(ab) &CD&", "é! 7a?", "It's!'"]
+        self.splits = all(self._plain(p) == [i for c in self._chunks(p) for i in self._plain(c)] for p in probe)
         self.known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        """A text in parts that the tokenizer keeps apart."""
+        if text.isascii() or not BEYOND.search(text):
+            text = APART.sub(r" \g<0> ", text.lower())
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def _encode(self, chunks: list[str]) -> Iterator[bytes]:
+        """The packed ids of each chunk."""
+        for at in range(0, len(chunks), 512):
+            part = chunks[at : at + 512]
+            starts = np.cumsum([0, *(len(c) + 1 for c in part)])
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            first = np.fromiter((o[0] for o in coded.offsets), np.int64, len(coded.ids))
+            bounds = (4 * np.searchsorted(first, starts)).tolist()
+            packed = np.array(coded.ids, "<u4").tobytes()
+            yield from (packed[a:b] for a, b in pairwise(bounds))
+
     def encode_batch(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.array([end_id], "<u4").tobytes()
         if not self.splits:
             coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.frombuffer(np.array(x.ids, "<u4").tobytes() + end, "<u4") for x in coded]
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        cut = [self._chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [c for c in set().union(*cut) if c not in self.known]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, [np.array(x.ids, "<u4").tobytes() for x in coded], strict=True))
-        known = self.known
-        return [np.frombuffer(b"".join([known[c] for c in chunks]) + end, "<u4") for chunks in cut]
+        new = list(set().union(*cut).difference(self.known))
+        self.known.update(zip(new, self._encode(new), strict=True))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, chunks)) + end, "<u4") for chunks in cut]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
@@ -225,7 +255,7 @@ def _encoder(definition: str) -> CachedEncoder:
     return _ENCODERS[definition]
 
 
-def _groups(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:
+def _groups(batches: Iterable[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """doc_ids and texts, about ``most`` characters at a time."""
     docs, texts, size = [], [], 0
     for batch in batches:

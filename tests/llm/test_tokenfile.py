@@ -41,8 +41,8 @@ def test_space(tmp_path):
     assert len(tokenfile.EliasFano.build(ends).to_bytes()) * 8 / len(ends) < 2.3 + np.log2(ends[-1] / len(ends))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=80))
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=80) | st.text("aBÉß'.!(&*= \n\u0301\u00a01²़क़ſ", max_size=40))
 def test_chunks_equal_whole_texts(text):
     encoder = tokenfile._encoder(open(WORDS, encoding="utf-8").read())
     assert encoder.splits
