@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.llm.ann import nearest, valid_vectors
 from linkgraph.llm.bpe import token_digest
+from linkgraph.llm.decontaminate import contamination_report
 from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
@@ -30,6 +31,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = _read(spark, sf_dir, "benchmark", "item_id", "text")
+    return contamination_report(_read(spark, sf_dir, "documents", "doc_id", "text"), benchmark)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     return token_digest(docs, BYTE_BPE, public_tokenizers.PATTERN)
@@ -67,6 +73,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_decontamination": op2_decontamination,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_ann": op4_ann,
         "op5_token_files": op5_token_files,
