@@ -15,6 +15,7 @@ from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
 from linkgraph.llm.simhash import simhash_digest
+from linkgraph.llm.suffixes import passage_report
 from linkgraph.llm.tokenfile import tokenfile_digest
 from linkgraph.llm.toxicity import toxicity_digest
 
@@ -70,6 +71,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": op7_toxicity,
         "op8_pii": op8_pii,
         "op9_secrets": op9_secrets,
+        "op10_passages": op10_passages,
     }
 
 
