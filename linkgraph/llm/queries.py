@@ -75,6 +75,12 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_report(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_secrets": op9_secrets,
         "op10_passages": op10_passages,
+        "pipeline": pipeline,
     }
 
 
