@@ -7,9 +7,9 @@ the same places wherever it stands.  Suffixes are sorted, neighbours in that ord
 matches are extended left and right; as the next minimiser is fewer than WINDOW words away, WINDOW - 1
 words of context on either side reach a passage's true ends.
 
-1. Narrow rows (hash, row, position) of all retained suffixes are range-sorted; a suffix stays if a
-   neighbour has its hash.  The order ends in (row, position), so a hash on very many rows is spread
-   over tasks.
+1. Narrow rows (hash, row, position) of the retained suffixes are sorted by hash; a suffix stays if
+   a neighbour has its hash.  Repeats inside a task are settled before the shuffle, so that a hash on
+   very many rows is a row a task there.
 2. Positions that stay meet the texts once, by row, and get their contexts.
 3. These suffixes are range-sorted by hash and contexts; neighbours of other rows are compared, and
    matches of at least LEAST words become spans, which are merged per row.
@@ -26,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import materialize
-
 #: Words of a passage that is found for certain; of those, words in the sampled hash.
 LEAST, GRAM = 50, 38
 WINDOW = LEAST - GRAM + 1
 CONTEXT = WINDOW - 1
 #: Words that a worker remembers; words of texts, and rows of suffixes, that it handles at a time.
 REMEMBERED, CHUNK, ROWS = 500_000, 1 << 19, 1 << 17
+#: Suffixes among which a worker seeks repeats before they are shuffled.
+HELD = 1 << 20
+RETAINED = ["h", "row", "pos", "proof", "kept"]
 
 
 class WordHashes(dict):
@@ -123,19 +124,36 @@ def _texts(batches: Iterable[pa.RecordBatch], text_at: int, hashes: WordHashes)
 
 
 def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, row, pos, proof, kept) of the retained suffixes.  Of those with one hash among HELD or so
+    one is the proof that goes to the hash's task; if there are others, all are kept already.  A hash
+    thus has a proof a task, on however many rows it stands."""
     hashes = WordHashes()
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        h, row, pos = (np.concatenate(c) for c in zip(*held, strict=True))
+        _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        proof = np.zeros(len(h), bool)
+        proof[first] = True
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (h.view(np.int64), row, pos, proof, count[inverse] > 1)], RETAINED)
+
     for rows, words, ends in _texts(batches, 1, hashes):
         place, h = minimisers(words, ends)
         text = np.searchsorted(ends, place, "right")
         ids = np.array([r[0] for r in rows], np.int64)
         begins = np.concatenate([[0], ends[:-1]])
-        columns = h.view(np.int64), ids[text], (place - begins[text]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "row", "pos"])
+        held.append((h, ids[text], (place - begins[text]).astype(np.int32)))
+        size += len(h)
+        if size >= HELD:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
-    """Tables of ROWS rows or more, each beginning with the last row of the one before; and whether
-    it is the last."""
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of ROWS rows or more, each beginning with the last row of the one before."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -143,27 +161,23 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]
             continue
         if rows >= ROWS:
             table = pa.Table.from_batches(held)
-            yield table, False
+            yield table
             held, rows = table.slice(table.num_rows - 1).to_batches(), 1
         held.append(batch)
         rows += batch.num_rows
     if rows:
-        yield pa.Table.from_batches(held), True
+        yield pa.Table.from_batches(held)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, pos) of suffixes that a neighbour shares its hash with.  A partition's first and last are
-    kept as well: their neighbours are elsewhere."""
-    first = True
-    for table, last in _chunks(batches):
-        h, row, pos = (table.column(i).to_numpy() for i in range(3))
-        same = h[1:] == h[:-1]
-        kept = np.zeros(len(h), bool)
+    """(row, pos) of the suffixes that are kept already or whose neighbour proves their hash, over
+    rows sorted by (proof, h)."""
+    for table in _chunks(batches):
+        h, row, pos, proof, kept = (table.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        same = (h[1:] == h[:-1]) & proof[1:] & proof[:-1]
+        kept = kept.copy()
         kept[1:] |= same
         kept[:-1] |= same
-        kept[0] |= first
-        kept[-1] |= last
-        first = False
         yield pa.RecordBatch.from_arrays([pa.array(row[kept]), pa.array(pos[kept])], ["row", "pos"])
 
 
@@ -176,6 +190,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(text):
             continue
         pos = np.concatenate([np.array(r[2], np.int64) for r in rows])
+        fits = begins[text] + pos + GRAM <= ends[text]  # always, but for two rows with one key
+        text, pos = text[fits], pos[fits]
         h = _grams(words, GRAM)[begins[text] + pos]
         short = np.concatenate([(words | np.uint64(1)).astype(np.uint32), np.zeros(1, np.uint32)])
         out = len(short) - 1
@@ -243,7 +259,7 @@ def _spans(table: pa.Table) -> pa.RecordBatch:
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table, _ in _chunks(batches):
+    for table in _chunks(batches):
         yield _spans(table)
 
 
@@ -300,26 +316,26 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     A span is a union of matches of at least LEAST words, each as long as both texts agree around it
     (a longer passage is found in pieces that overlap); ``other_id`` is the doc_id of a row that
-    shares its beginning.  ``row`` tells rows of one doc_id apart.  Repeated rows match each other, a
-    text is not matched with itself, null and short texts have no spans, and null doc_ids are carried.
+    shares its beginning.  ``row`` is a hash of doc_id and text: it tells rows of one doc_id apart,
+    and rows that are equal in both count as one.  A text is not matched with itself, null and short
+    texts have no spans, and null doc_ids are carried.
+
+    The texts are shuffled once; nothing but the shuffles is written.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "rows"
-    )
-    suffixes = materialize(rows.select("row", "text").mapInArrow(_retain, "h long, row long, pos int"), "suffixes")
-    ordered = suffixes.repartitionByRange(n, "h", "row", "pos").sortWithinPartitions("h", "row", "pos")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    suffixes = rows.select("row", "text").mapInArrow(_retain, "h long, row long, pos int, proof boolean, kept boolean")
+    # proofs meet by hash; what is kept already goes anywhere
+    dealt = suffixes.repartition(n, F.when(F.col("proof"), F.col("h")).otherwise(F.xxhash64("row", "pos")))
+    ordered = dealt.sortWithinPartitions("proof", "h")
     # a row has as many positions as words at most
-    found = ordered.mapInArrow(_repeated, "row long, pos int").groupBy("row").agg(F.collect_list("pos").alias("pos"))
-    placed = found.join(rows, "row").select("row", "doc_id", "text", "pos")
-    placed = placed.select("row", "doc_id", "text", F.array_sort(F.array_distinct("pos")).alias("pos"))
-    context = materialize(placed.mapInArrow(_contexts, SUFFIX), "contexts")
+    found = ordered.mapInArrow(_repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("pos"))
+    placed = found.join(rows, "row").select("row", "doc_id", "text", F.array_sort("pos").alias("pos"))
     key = ["h", "left", "right", "row", "pos"]
-    ordered = context.repartitionByRange(n, *key).sortWithinPartitions(*key)
-    spans = ordered.mapInArrow(_matches, SPAN)
+    context = placed.mapInArrow(_contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
+    spans = context.mapInArrow(_matches, SPAN)
     # two rows a partition: what the cuts between partitions part
-    edges = ordered.mapInArrow(_edges, SUFFIX).repartition(1).sortWithinPartitions(*key).mapInArrow(_matches, SPAN)
+    edges = context.mapInArrow(_edges, SUFFIX).repartition(1).sortWithinPartitions(*key).mapInArrow(_matches, SPAN)
     spans = spans.unionByName(edges).select("row", "doc_id", "start", "end", "other_id")
     merged = spans.repartition(n, "row").sortWithinPartitions("row", "start", "end", "other_id")
     return merged.mapInArrow(_merged, "doc_id long, row long, start int, end int, other_id long")
