@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import materialize
+from linkgraph.llm.common import map_arrow, materialize
 
 #: Pivots (a fixed sample of distinct vectors, by a hash of vec_id); ranks that are kept of each
 #: vector; share of the index that is reranked per query; vectors that pivots are sought among.
@@ -79,7 +79,7 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, depth: int = DEPTH) -> D
                 order = pa.ListArray.from_arrays(np.arange(len(order) + 1, dtype=np.int32) * depth, order.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, order], ["key", "vector", "order"])
 
-    return materialize(vectors.mapInArrow(run, "key long, vector array<double>, order array<smallint>"), "index")
+    return materialize(map_arrow(vectors, run, "key long, vector array<double>, order array<smallint>"), "index")
 
 
 class InvertedFiles:
@@ -167,7 +167,7 @@ def nearest(
         asked = np.array([r.vector for r in rows])
         order = permutations(asked, centers, min(depth, len(centers)))
         shipped = spark.sparkContext.broadcast((np.array([r.key for r in rows]), asked, order))
-        part = index.mapInArrow(_search(shipped, k, len(centers), share), schema)
+        part = map_arrow(index, _search(shipped, k, len(centers), share), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkgraph.llm.common import held, map_arrow
+
 NONE = np.iinfo(np.int32).max
 #: Characters that are cut into pieces at a time, and pieces that are remembered.
 CHUNK, REMEMBERED = 1 << 20, 400_000
@@ -278,17 +280,10 @@ class Codec:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(shipped) -> Codec:
     """One codec for a vocabulary in each Python worker."""
     data, pattern = shipped.value
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(parse_ranks(data), pattern)
-    return _CODECS[key]
+    return held(f"bpe {hashlib.sha256(data + pattern.encode()).hexdigest()}", lambda: Codec(parse_ranks(data), pattern))
 
 
 def _map_texts(df: DataFrame, text: str, vocabulary: str, pattern: str, fields: str, rows: Callable) -> DataFrame:
@@ -312,7 +307,7 @@ def _map_texts(df: DataFrame, text: str, vocabulary: str, pattern: str, fields:
     shape = slim.drop("_text").schema
     for field in schema:
         shape = shape.add(field)
-    return slim.mapInArrow(run, shape)
+    return map_arrow(slim, run, shape)
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -336,7 +331,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
             texts = [b"".join([bytes_of[i] for i in x.as_py() or ()]) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], [*kept, out])
 
-    return slim.mapInArrow(run, slim.drop("_ids").schema.add(out, "binary"))
+    return map_arrow(slim, run, slim.drop("_ids").schema.add(out, "binary"))
 
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str, keep: Iterable[str | Column] = ("doc_id",)) -> DataFrame:

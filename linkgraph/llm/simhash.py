@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import materialize
+from linkgraph.llm.common import map_arrow, materialize
 from linkgraph.llm.components import connected_components
 
 SHINGLE, THRESHOLD, SEED = 4, 4, 42
@@ -228,7 +228,7 @@ def _compare(threshold: int):
 def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, code=None, cell: int = CELL) -> DataFrame:
     """(fp) distinct longs -> (node, component) of the links at most ``threshold`` bits apart."""
     code = code or code_for(prints.count())
-    copies = materialize(prints.select("fp").mapInArrow(_replicate(code, threshold), "anchor long, fp long"), "anchors")
+    copies = materialize(map_arrow(prints.select("fp"), _replicate(code, threshold), "anchor long, fp long"), "anchors")
     large = copies.groupBy("anchor").count().where(F.col("count") > cell)
     parts = large.select("anchor", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
     dealt = copies.join(parts, "anchor", "left")
@@ -239,7 +239,7 @@ def link_fingerprints(prints: DataFrame, threshold: int = THRESHOLD, code=None,
         "anchor", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(pair)).alias("cell"), "fp"
     )
     dealt = dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return connected_components(dealt.mapInArrow(_compare(threshold), "u long, v long"))
+    return connected_components(map_arrow(dealt, _compare(threshold), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), threshold: int = THRESHOLD) -> DataFrame:
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     """
     slim = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    tagged = slim.mapInArrow(_fingerprints(len(keep), len(keep)), f"{schema + ', ' if schema else ''}fp long")
+    tagged = map_arrow(slim, _fingerprints(len(keep), len(keep)), f"{schema + ', ' if schema else ''}fp long")
     tagged = materialize(tagged, "fingerprints")
     classes = link_fingerprints(tagged.select("fp").distinct(), threshold)
     return tagged.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -280,4 +280,6 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", order: str = "doc_id")
     slim = rows.select("_row", F.col(order).alias("_order"), F.col(text).alias("_text"))
     found = near_duplicates(slim, "_text", ("_row", "_order"))
     first = found.groupBy("class").agg(F.min(F.struct(F.col("_order").isNull(), "_order", "_row")).alias("first"))
-    return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    # a hash table of ids on one side, so that the texts aren't sorted
+    kept = first.select(F.col("first._row").alias("_row")).hint("shuffle_hash")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

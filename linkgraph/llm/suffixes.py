@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkgraph.llm.common import map_arrow
+
 #: Words of a passage that is found for certain; of those, words in the sampled hash.
 LEAST, GRAM = 50, 38
 WINDOW = LEAST - GRAM + 1
@@ -324,21 +326,22 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    suffixes = rows.select("row", "text").mapInArrow(_retain, "h long, row long, pos int, proof boolean, kept boolean")
+    suffixes = map_arrow(rows.select("row", "text"), _retain, "h long, row long, pos int, proof boolean, kept boolean")
     # proofs meet by hash; what is kept already goes anywhere
     dealt = suffixes.repartition(n, F.when(F.col("proof"), F.col("h")).otherwise(F.xxhash64("row", "pos")))
     ordered = dealt.sortWithinPartitions("proof", "h")
     # a row has as many positions as words at most
-    found = ordered.mapInArrow(_repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("pos"))
-    placed = found.join(rows, "row").select("row", "doc_id", "text", F.array_sort("pos").alias("pos"))
+    found = map_arrow(ordered, _repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("pos"))
+    # positions make the hash table, a list of numbers for each row, and the texts stream past it
+    placed = found.hint("shuffle_hash").join(rows, "row").select("row", "doc_id", "text", F.array_sort("pos").alias("pos"))
     key = ["h", "left", "right", "row", "pos"]
-    context = placed.mapInArrow(_contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
-    spans = context.mapInArrow(_matches, SPAN)
+    context = map_arrow(placed, _contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
+    spans = map_arrow(context, _matches, SPAN)
     # two rows a partition: what the cuts between partitions part
-    edges = context.mapInArrow(_edges, SUFFIX).repartition(1).sortWithinPartitions(*key).mapInArrow(_matches, SPAN)
+    edges = map_arrow(map_arrow(context, _edges, SUFFIX).repartition(1).sortWithinPartitions(*key), _matches, SPAN)
     spans = spans.unionByName(edges).select("row", "doc_id", "start", "end", "other_id")
     merged = spans.repartition(n, "row").sortWithinPartitions("row", "start", "end", "other_id")
-    return merged.mapInArrow(_merged, "doc_id long, row long, start int, end int, other_id long")
+    return map_arrow(merged, _merged, "doc_id long, row long, start int, end int, other_id long")
 
 
 def passage_report(docs: DataFrame) -> DataFrame:

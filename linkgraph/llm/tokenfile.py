@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import materialize, scratch_path
+from linkgraph.llm.common import held, map_arrow, materialize, scratch_path
 
 MAGIC = b"LGTOK001"
 #: magic, id width, documents, ids, null doc_ids, least doc_id, bytes of the ids, of the boundaries
@@ -245,14 +245,8 @@ class CachedEncoder:
         return [np.frombuffer(b"".join(map(get, chunks)) + end, "<u4") for chunks in cut]
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
 def _encoder(definition: str) -> CachedEncoder:
-    if definition not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[definition] = CachedEncoder(definition)
-    return _ENCODERS[definition]
+    return held(f"tokenizer {definition}", lambda: CachedEncoder(definition))
 
 
 def _groups(batches: Iterable[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
@@ -298,7 +292,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "documents": [len(writer.ends)], "ids": [writer.ids]})
 
-    made = ordered.select("d", "t").mapInArrow(run, "shard int, file string, documents long, ids long")
+    made = map_arrow(ordered.select("d", "t"), run, "shard int, file string, documents long, ids long")
     return materialize(made, "manifest")
 
 
@@ -326,7 +320,7 @@ def read_tokens(manifest: DataFrame, folder: str, block: int = 4096) -> DataFram
                     )
 
     spread = based.select("file", "base").repartition(n, "file")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenfile_digest(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkgraph.llm.common import map_arrow
+
 #: Terms that the lexicon has without any labels, and the weight they have then.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard")
 SEED_WEIGHT = 4.0
@@ -35,8 +37,10 @@ WINDOW, QUOTED, REPORTED, ADDRESSED = 5, 0.4, 0.7, 1.15
 #: Labelled documents that a fit takes at most (those that a hash of doc_id puts first); candidates
 #: and terms it keeps; documents a term must be in; weight from which a term is learned.
 SAMPLE, CANDIDATES, TERMS, SUPPORT, LEAST = 16_384, 50_000, 2_000, 4, 1.2
-#: Weight from which hits count as strong and words get fuzzy matches; words that a worker remembers.
-STRONG, REMEMBERED = 2.0, 400_000
+#: Weight from which hits count as strong and words may get fuzzy matches; words that a worker remembers.
+STRONG, REMEMBERED = 2.0, 300_000
+#: Learned words that get fuzzy matches beside the list's; automaton states that a worker keeps.
+FUZZY, STATES = 48, 20_000
 THRESHOLD = 0.3
 
 WORD = regex.compile(r"[^\W_]+")
@@ -63,6 +67,10 @@ class FuzzyTrie:
             self.reach[node] = max(self.reach[node], allowed)
             self.term[node] = t
         self.alphabet = {ch for c in self.children for ch in c}
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forget all states but the first."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -97,11 +105,14 @@ class FuzzyTrie:
             pairs.add((node, edits + 1))
             for c, child in self.children[node].items():
                 pairs.add((child, edits + (c != ch)))
-        self.moves[state][ch] = to = self._state(pairs)
+        to = self._state(pairs)
+        self.moves[state][ch] = to
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term within its allowed edits; ties to the first by name."""
+        if len(self.sets) > STATES:
+            self._begin()
         state, alphabet = self.start, self.alphabet
         for ch in word:
             if ch not in alphabet:
@@ -121,6 +132,7 @@ class Model:
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_TERMS, SEED_WEIGHT))
     stems: dict[str, float] = field(default_factory=dict)
+    fuzzy: tuple[str, ...] = SEED_TERMS
     trust: dict[str, float] = field(default_factory=dict)
     #: intercept, then a coefficient for each feature
     coefficients: tuple[float, ...] = (-3.0, 0.5, 0.5, 0.5, 0.2, 0.0)
@@ -132,7 +144,7 @@ class Matcher:
     def __init__(self, model: Model):
         self.model = model
         self.lengths = sorted({len(s) for s in model.stems})
-        self.fuzzy = FuzzyTrie(sorted(w for w, x in model.words.items() if x >= STRONG and len(w) >= 5 and w.isalpha()))
+        self.fuzzy = FuzzyTrie(w for w in model.fuzzy if model.words.get(w, 0.0) >= STRONG)
         self.known: dict[str, tuple[float, str] | None] = {}
 
     def _lookup(self, word: str) -> tuple[float, str] | None:
@@ -268,9 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if toxic < SUPPORT or clean < SUPPORT:
         return model
     spread = part.select("text", "toxic").repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism))
-    seen = spread.where("toxic = 1").select("text").mapInArrow(_count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = map_arrow(spread.where("toxic = 1").select("text"), _count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     bad = {r.term: r.n for r in seen.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    others = spread.where("toxic = 0").select("text").mapInArrow(_count_terms(frozenset(bad)), "term string, n long")
+    others = map_arrow(spread.where("toxic = 0").select("text"), _count_terms(frozenset(bad)), "term string, n long")
     good = {r.term: r.n for r in others.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     rate = toxic / (toxic + clean)
     learned = {}
@@ -290,6 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n, m = bad.get(t + " ", 0), good.get(t + " ", 0)
         if n + m >= 10 and t + " " not in learned:
             del model.words[t]
+    strong = [t[:-1] for t in chosen if t.endswith(" ") and t[:-1].isalpha() and 5 <= len(t[:-1]) <= 20]
+    model.fuzzy = tuple(sorted({*SEED_TERMS, *strong[:FUZZY]}))
     fields = "toxic int, words int, exact array<double>, weights array<double>, terms array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             )
 
     other = rows.where("part = 1").select("text", "toxic").repartition(spread.rdd.getNumPartitions())
-    second = other.mapInArrow(run, fields).collect()  # sample / 2 rows or so
+    second = map_arrow(other, run, fields).collect()  # sample / 2 rows or so
     y = np.array([r.toxic for r in second], float)
     if y.sum() < SUPPORT or (1 - y).sum() < SUPPORT:
         return model
@@ -344,7 +358,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             scores = [probability(matcher.model, matcher.hits(t.as_py() or "")) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*kept, out])
 
-    return slim.mapInArrow(run, slim.drop("_text").schema.add(out, "double"))
+    return map_arrow(slim, run, slim.drop("_text").schema.add(out, "double"))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
