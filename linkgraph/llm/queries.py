@@ -97,5 +97,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The rules of the secret scan in RE2's dialect: pattern, and what a match must hold.
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+_RULES = {
+    "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]+", f"^{_ASSIGN}[A-Za-z0-9+/_.=-]{{8,}}"),
+    "access": ("AKIA[A-Z0-9]+", "^.{16,}$"),
+    "hex": ("[0-9a-f]+", "^.{32,}$"),
+    "pem": ("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ""),
+    "github": (r"\bgh[opsur]_[A-Za-z0-9]{36,}", ""),
+    "slack": (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", ""),
+    "jwt": (r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ""),
+}
+
+
+def _secrets_sql() -> str:
+    """Spans from the lengths of the matches and of what stands between them; doc_id is a key there."""
+    parts = []
+    for rank, (kind, (rx, keep)) in enumerate(_RULES.items()):
+        parts.append(
+            f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(v) AS stop FROM (
+              SELECT doc_id, v, sum(length(p)) OVER w + coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+              FROM (SELECT doc_id, unnest(m) AS v, unnest(list_slice(string_split_regex(t, '{rx}'), 1, len(m))) AS p, generate_subscripts(m, 1) AS i
+                    FROM (SELECT doc_id, t, regexp_extract_all(t, '{rx}') AS m FROM texts) WHERE len(m) > 0)
+              WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE regexp_matches(v, '{keep}')"""
+        )
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER ({}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({' UNION ALL '.join(parts)})
+      SELECT t.doc_id, {counts}, sha256({joined.format('rank < 3')}) AS base_sha256, {joined.format('kind IS NOT NULL')} AS spans, any_value(sha256(t.t)) AS blob
+      FROM texts t LEFT JOIN found f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the scan for secrets has SQL in which it can be told; the others are held against plain
+    Python versions in tests/llm."""
+    return {"op9_secrets": _secrets_sql()}

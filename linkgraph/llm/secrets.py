@@ -43,7 +43,7 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "-----BEGIN "),
     Rule("github", 1, r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{36,}+", "gh[opsur]_"),
     Rule("slack", 1, r"(?<![A-Za-z0-9_])xox[abprs]-[A-Za-z0-9-]{10,}+", "xox[abprs]-"),
-    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++", r"\.eyJ"),
+    Rule("jwt", 1, r"(?<![A-Za-z0-9_])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++", r"\.eyJ"),
 )
 BASE = ("assign", "access", "hex")
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
