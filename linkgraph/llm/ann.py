@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from linkgraph.llm.common import map_arrow, materialize
 
 #: Pivots (a fixed sample of distinct vectors, by a hash of vec_id); ranks that are kept of each
-#: vector; share of the index that is reranked per query; vectors that pivots are sought among.
+#: vector; share of the index that is reranked per query (of its distinct orders); vectors that pivots are sought among.
 PIVOTS, DEPTH, SHARE, SAMPLE = 256, 64, 0.2, 4096
+#: Cosine from which a vector is too near to a chosen pivot to be one.
+APART = 0.8
 #: Rows of an index block; queries of a broadcast.
 BLOCK, QUERIES = 8192, 4096
 
@@ -48,14 +50,27 @@ def valid_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     return rows.where(F.size("vector") == (common.n if common else 0))
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Unit pivots: the first distinct directions of the ``sample`` vectors that a hash puts first."""
+def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE, apart: float = APART) -> np.ndarray:
+    """Unit pivots among the ``sample`` vectors that a hash puts first: in that order, each whose
+    cosine with all chosen before is below ``apart``, so that a group of near copies gives one; if
+    those don't suffice, the rejected ones that are least near to them follow."""
     rows = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).collect()
-    found: dict[bytes, np.ndarray] = {}
-    for r in rows:
-        unit = np.array(r.vector) / np.linalg.norm(r.vector)
-        found.setdefault(np.round(unit, 6).tobytes(), unit)
-    return np.array(list(found.values())[:pivots])
+    if not rows:
+        return np.zeros((0, 0))
+    units = np.array([r.vector for r in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    _, first = np.unique(np.round(units, 6), axis=0, return_index=True)
+    units = units[np.sort(first)]
+    closest = np.full(len(units), -1.0)
+    chosen: list[int] = []
+    for i in range(len(units)):
+        if len(chosen) == pivots:
+            break
+        if closest[i] < apart:
+            chosen.append(i)
+            closest = np.maximum(closest, units @ units[i])
+    rest = [i for i in np.argsort(closest, kind="stable").tolist() if i not in set(chosen)]
+    return units[chosen + rest[: pivots - len(chosen)]]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -112,12 +127,14 @@ def _search(shipped, k: int, pivots: int, share: float):
             key, vector, order = (table.column(i).combine_chunks() for i in range(3))
             key, vector, order = key.to_numpy(), _matrix(vector), _matrix(order)
             norm = np.sqrt((vector * vector).sum(axis=1))
-            files = InvertedFiles(order, pivots)
-            wanted = min(len(key), max(k + 1, int(np.ceil(share * len(key)))))
+            # copies have one order, and it counts once: they don't crowd others out
+            order, which = np.unique(order, axis=0, return_inverse=True)
+            files, n = InvertedFiles(order, pivots), len(order)
+            wanted = min(n, max(k + 1, int(np.ceil(share * n))))
             for q in range(len(keys)):
                 shared = files.shared(orders[q])
-                cut = np.partition(shared, len(key) - wanted)[len(key) - wanted]
-                near = np.flatnonzero(shared >= cut)  # with all that tie at the cut
+                cut = np.partition(shared, n - wanted)[n - wanted]
+                near = np.flatnonzero((shared >= cut)[which])  # with all that tie at the cut
                 near = near[key[near] != keys[q]]
                 score = (vector[near] * queries[q]).sum(axis=1) / (norm[near] * norms[q])
                 first = np.lexsort((key[near], -score))[:k]

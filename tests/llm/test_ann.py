@@ -71,3 +71,13 @@ def test_query_blocks(spark, monkeypatch):
     whole = run(rows)
     monkeypatch.setattr(ann, "QUERIES", 30)
     assert run(rows) == whole and len(whole) == 100
+
+
+def test_recall_beside_a_large_group_of_near_copies(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()]
+    rng = np.random.default_rng(6)
+    top = max(i for i, _ in rows) + 1
+    rows += [(top + i, (np.array(rows[3][1]) + rng.normal(scale=0.01, size=64)).astype(np.float32).tolist()) for i in range(len(rows) // 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = brute(rows), run(df)
+    assert recall(got, want) >= 0.95
