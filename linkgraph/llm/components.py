@@ -10,16 +10,22 @@ from linkgraph.llm.common import materialize
 MAX_ROUNDS = 60
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour, a row per node.  It is written, so that the join with it has a
+    plain exchange on either side, which adaptive execution can split where a node has very many edges."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every neighbour above a node to the least of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and all its neighbours below it to the least of them.  Edges come as u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(edges)
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

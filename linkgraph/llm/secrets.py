@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from linkgraph.llm.common import find_spans, joined_spans, scratch_path
+from linkgraph.llm.common import find_spans, joined_spans, materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,8 @@ def findings(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) ->
             F.col("s.end").alias("end"),
         ).alias("s"),
     )
-    return rows.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("secrets"))
+    # spans of one text; written, so that adaptive execution can split the join with the paths
+    return materialize(rows.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("secrets")), "findings")
 
 
 def scan_secrets(

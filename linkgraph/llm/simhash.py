@@ -264,7 +264,8 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     A null doc_id is never a component_id unless its component has no other.
     """
     found = near_duplicates(docs, keep=("doc_id",))
-    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    # written, so that adaptive execution can split the join where a class has very many rows
+    least = materialize(found.groupBy("class").agg(F.min("doc_id").alias("component_id")), "least")
     return found.join(least, "class").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
