@@ -18,17 +18,15 @@ _RUN = uuid.uuid4().hex[:12]
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI or path.
 
-    It is what ``spark.checkpoint.dir`` names.  Only where that is unset and the session
-    is local (tests) a folder below the warehouse is set instead.
+    It is what ``spark.checkpoint.dir`` names.  Only where that is unset and the session is local
+    (tests) it is a folder below the warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
