@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from linkgraph.functions.text import NAME_SEPARATOR
 
 MAX_GROUP = 20
+#: A tag with over one in so many occurrences is hot; there are fewer than HOT such tags.
+HOT = 1000
 
 
 def link_edges(notes: DataFrame) -> DataFrame:
     """Distinct directed (source, target) of links to other loaded notes; null tagName."""
-    ids = notes.select(F.col("id").alias("target")).distinct()
+    ids = notes.select(F.col("id").alias("target"))  # a semi join needs no distinct ids
     links = notes.select(F.col("id").alias("source"), F.explode("links").alias("target"))
     found = links.where("target <> source").distinct().join(ids, "target", "left_semi")
     return found.select("source", "target", F.lit("link").alias("type"), F.lit(None).cast("string").alias("tagName"))
@@ -27,11 +29,15 @@ def occurrences(notes: DataFrame) -> DataFrame:
 def tag_pairs(occ: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(tag, seen, a, b) for all pairs of occurrences a before b of each tag on at most ``max_group``.
 
-    The size is counted first, map side: a tag on very many notes is a row a task there, and is gone
-    before anything is collected.  What is left has ``max_group`` occurrences a tag at most, so its
-    pairs come from one small array.
+    Sizes are counted first, map side: a tag on very many notes is a row a task there.  Tags that hold
+    over a HOT-th of all occurrences - fewer than HOT of them, so they can be broadcast - then leave
+    before anything is shuffled.  What the size lets through has ``max_group`` occurrences a tag at
+    most, so its pairs come from one small array.
     """
-    small = occ.groupBy("tag").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_group)).select("tag")
+    counts = occ.groupBy("tag").agg(F.count("*").alias("n"))
+    hot = counts.where((F.col("n") > max_group) & (F.col("n") * HOT > counts.agg(F.sum("n")).scalar())).select("tag")
+    small = counts.where(F.col("n").between(2, max_group)).select("tag")
+    occ = occ.join(F.broadcast(hot), "tag", "left_anti")
     listed = occ.join(small, "tag").groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("occ", "id"))).alias("all"))
     firsts = listed.select("tag", "all", F.col("all")[0]["occ"].alias("seen"), F.posexplode("all").alias("i", "a"))
     later = F.slice("all", F.col("i") + 2, F.size("all"))

@@ -87,21 +87,21 @@ def focus(graph: Graph, selected: DataFrame) -> Graph:
 
     Each hop is an equi-join of the edges in both directions with the ids found so far.
     """
-    both = graph.edges.select("source", "target").unionByName(graph.edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    ways = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b")), F.struct(F.col("target").alias("a"), F.col("source").alias("b")))
+    both = graph.edges.select(F.explode(ways).alias("way")).select("way.a", "way.b")
 
     def hop(ids: DataFrame) -> DataFrame:
-        return both.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+        return both.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
 
     start = selected.select("id").distinct().join(graph.nodes.select("id"), "id", "left_semi")
     near = start.unionByName(hop(start)).distinct()
     shown = near.unionByName(hop(near)).distinct()
-    touching = endpoints_in(graph.edges, near)
-    return Graph(graph.nodes.join(shown, "id", "left_semi").select(*graph.nodes.columns), touching)
+    return Graph(graph.nodes.join(shown, "id", "left_semi").select(*graph.nodes.columns), touching(graph.edges, near))
 
 
-def endpoints_in(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with an end among ``ids``: those by source, and of the others those by target."""
-    columns = edges.columns
-    by_source = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").select(*columns)
-    others = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti")
-    return by_source.unionByName(others.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(*columns))
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end among ``ids``, which are distinct."""
+    by_source = ids.select(F.col("id").alias("source"), F.lit(True).alias("_s"))
+    by_target = ids.select(F.col("id").alias("target"), F.lit(True).alias("_t"))
+    marked = edges.join(by_source, "source", "left").join(by_target, "target", "left")
+    return marked.where("_s or _t").select(*edges.columns)

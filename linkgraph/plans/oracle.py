@@ -79,8 +79,8 @@ visible AS (SELECT * FROM injected WHERE target IN (SELECT id FROM notes)),
 degree AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM injected UNION ALL SELECT target FROM injected) GROUP BY id),
 nodes AS (SELECT id, label, id AS noteId, coalesce(d, 0)::BIGINT AS degree FROM labels LEFT JOIN degree USING (id)),
 alone AS (SELECT * FROM nodes WHERE id NOT IN (SELECT source FROM visible UNION ALL SELECT target FROM visible))"""
-FOCUS = f"""{ORDERS}, start AS (SELECT id FROM nodes WHERE id IN ({', '.join(f"'{i:032x}'" for i in SELECTED)})),
-both_ways AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
+FOCUS = f"""{DOCUMENTS}, start AS (SELECT id FROM nodes WHERE id IN ({', '.join(f"'{i:032x}'" for i in SELECTED)})),
+both_ways AS (SELECT source AS a, target AS b FROM link_edges UNION ALL SELECT target, source FROM link_edges),
 near AS (SELECT id FROM start UNION SELECT b FROM both_ways WHERE a IN (SELECT id FROM start)),
 shown AS (SELECT id FROM near UNION SELECT b FROM both_ways WHERE a IN (SELECT id FROM near))"""
 _URLS = f"""urls AS (SELECT doc_id, ([':/' || x, 'joplin://' || x || '#sec+two%21', 'https://example.com/' || x, ':/' || substr(x, 2, 31) || 'g', ':/' || x || ' "a title"', 'JOPLIN://' || x, ':/' || x || '#a b', ''])[(doc_id % 8) + 1] AS url FROM (SELECT doc_id, {hexed('doc_id')} AS x FROM documents))"""
@@ -131,7 +131,7 @@ ORACLE: dict[str, str] = {
     "edge_direction": f"WITH {MIXED} SELECT type, type <> 'tag' AS directed, count(*) AS n FROM edges GROUP BY type",
     "edge_hover": f"WITH {MIXED} SELECT source, target, tagName FROM edges WHERE type = 'tag' AND tagName <> ''",
     "focus_nodes": f"WITH {FOCUS} SELECT * FROM nodes WHERE id IN (SELECT id FROM shown)",
-    "focus_edges": f"WITH {FOCUS} SELECT * FROM edges WHERE source IN (SELECT id FROM near) OR target IN (SELECT id FROM near)",
+    "focus_edges": f"WITH {FOCUS} SELECT source, target, type FROM link_edges WHERE source IN (SELECT id FROM near) OR target IN (SELECT id FROM near)",
     "opened_note": f"WITH {NOTES} SELECT id, title, pos FROM notes WHERE pos = {OPENED}",
     "dark_themes": f"SELECT doc_id, 0.299 * {_CHANNEL(1)} + 0.587 * {_CHANNEL(3)} + 0.114 * {_CHANNEL(5)} < 128 AS dark FROM documents",
     "export_elements": f"""WITH {ORDERS} SELECT 'nodes' AS kind, '{{"data":{{"id":"' || id || '","label":"' || label || '","noteId":"' || noteId || '","degree":' || degree || '}}}}' AS element FROM nodes

@@ -297,7 +297,7 @@ def edge_hover(spark, sf_dir):
 
 
 def _focused(spark: SparkSession, sf_dir: str) -> Graph:
-    graph = order_graph(spark, sf_dir)
+    graph = document_graph(spark, sf_dir)
     return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id")))
 
 
@@ -308,7 +308,7 @@ def focus_nodes(spark, sf_dir):
 
 @query
 def focus_edges(spark, sf_dir):
-    return _focused(spark, sf_dir).edges
+    return _focused(spark, sf_dir).edges.select("source", "target", "type")
 
 
 @query
