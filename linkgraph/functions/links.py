@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # The link syntax that note bodies use.
 PREFIXES = ("joplin://", ":/")
-WHITE_SPACE = r"\t\n\x0B\f\r    -     　﻿"
-LINE_END = r"\n\r  "
+WHITE_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+LINE_END = r"\n\r\u2028\u2029"
 
 _PREFIX = "(?:" + "|".join(PREFIXES) + ")"
 _ID = "[A-Fa-f0-9]{32}"
@@ -39,7 +39,7 @@ def is_resource_url(url: Column) -> Column:
 def decode_hash(encoded: Column) -> Column:
     """URL-decode with + as a blank; null where it is malformed or no UTF-8."""
     decoded = F.try_url_decode(encoded)
-    broken = decoded.contains("�") & ~encoded.contains("�") & ~F.lower(encoded).contains("%ef%bf%bd")
+    broken = decoded.contains("\ufffd") & ~encoded.contains("\ufffd") & ~F.lower(encoded).contains("%ef%bf%bd")
     return F.when(~F.coalesce(broken, F.lit(False)), decoded)
 
 

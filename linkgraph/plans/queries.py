@@ -64,11 +64,11 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = D.note_id(number)
     shapes = [
         F.concat(F.lit(":/"), one),
-        F.concat(F.lit("joplin://"), one, F.lit("#sec+two%21")),
+        F.concat(F.lit(D.SCHEME), one, F.lit("#sec+two%21")),
         F.concat(F.lit("https://example.com/"), one),
         F.concat(F.lit(":/"), F.substring(one, 2, 31), F.lit("g")),
         F.concat(F.lit(":/"), one, F.lit(' "a title"')),
-        F.concat(F.lit("JOPLIN://"), one),
+        F.concat(F.lit(D.SCHEME.upper()), one),
         F.concat(F.lit(":/"), one, F.lit("#a b")),
         F.lit(""),
     ]

@@ -12,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgraph.functions.links import PREFIXES
+
 TARGETS = 200
+SCHEME = PREFIXES[0]
 X = "0" * 31 + "x"  # no hex digit: a link to nothing
 
 #: What follows the text, by doc_id % 12, with the ids of the target and of the note itself.
@@ -23,12 +26,12 @@ SUFFIXES = (
     "\n[crlf]: :/TARGET\r\n",
     '\n![image](:/TARGET "a title")',
     "\n<a class='x' href=\":/TARGET#top\">there</a>",
-    "\n[scheme](joplin://TARGET) <img src=':/TARGET'>",
+    f"\n[scheme]({SCHEME}TARGET) <img src=':/TARGET'>",
     "\n```\n[fenced](:/TARGET)\n```\n[out](:/SELF)",
     "\n`[code](:/TARGET)` and ]`gone`(:/TARGET)",
     "\n[a \\[b\\] c](:/TARGET) \\](:/SELF)",
     "\n[self](:/SELF) [again](:/TARGET) [again](:/TARGET)",
-    f"\n[dangling](:/{'f' * 32}) [bad](:/{X}) <a href=\"JOPLIN://TARGET\">no</a> [t](:/TARGET)",
+    f"\n[dangling](:/{'f' * 32}) [bad](:/{X}) <a href=\"{SCHEME.upper()}TARGET\">no</a> [t](:/TARGET)",
 )
 
 

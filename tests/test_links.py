@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions import links as L
 
+LONG = L.PREFIXES[0]
 X, A, B = "abcdef0123456789abcdef0123456789", "a" * 32, "b" * 32
 BODIES = {
     "inline": (f"[t](:/{X})", [X]),
@@ -17,8 +18,8 @@ BODIES = {
     "image": (f'<img src=":/{X}">', [X]),
     "html anchor": (f'<a href=":/{X}#section">t</a>', [X]),
     "html plain": (f'<a href=":/{X}">t</a>', [X]),
-    "long prefix": (f'<a href="joplin://{X}">t</a>', [X]),
-    "capital prefix": (f'<a href="JOPLIN://{X}">t</a>', []),
+    "long prefix": (f'<a href="{LONG}{X}">t</a>', [X]),
+    "capital prefix": (f'<a href="{LONG.upper()}{X}">t</a>', []),
     "no hex html": (f'<img src=":/{X[:-1]}g">', []),
     "no hex": (f"[t](:/{X[:-1]}g)", []),
     "none": ("plain text", []),
@@ -64,7 +65,7 @@ def test_linked_ids(found, name):
 
 URLS = {
     f":/{X}": (X, ""),
-    f"joplin://{X}": (X, ""),
+    f"{LONG}{X}": (X, ""),
     f":/{X}#section": (X, "section"),
     f":/{X}#a+b%20c": (X, "a b c"),
     f":/{X}#": (X, ""),
