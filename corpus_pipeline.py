@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.llm.bpe import token_digest
-from linkgraph.llm.common import materialize
+from linkgraph.llm.common import fresh, materialize
 from linkgraph.llm.decontaminate import drop_contaminated
 from linkgraph.llm.pii import mask_pii
 from linkgraph.llm.simhash import keep_one_of_each
@@ -42,8 +42,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put [KIND] in place of personal data; n_chars is the new length where the text changed."""
-    masked = mask_pii(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    before = fresh(docs, "_before")
+    masked = mask_pii(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(*docs.columns)

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import held, map_arrow
+from linkgraph.llm.common import fresh, held, map_arrow
 
 NONE = np.iinfo(np.int32).max
 #: Characters that are cut into pieces at a time, and pieces that are remembered.
@@ -292,8 +292,9 @@ def _map_texts(df: DataFrame, text: str, vocabulary: str, pattern: str, fields:
     shipped = df.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), pattern))
     schema = df.sparkSession.createDataFrame([], fields).schema
     names = [f.name for f in schema]
-    kept = [c for c in df.columns if c not in names]
-    slim = df.select(*kept, F.col(text).alias("_text"))
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    last = fresh(df, "_text")
+    slim = df.select(*kept, F.col(text).alias(last))
     types = [pa.list_(pa.int32()) if "array" in f.dataType.simpleString() else {"long": pa.int64(), "bigint": pa.int64()}.get(f.dataType.simpleString(), pa.string()) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +305,7 @@ def _map_texts(df: DataFrame, text: str, vocabulary: str, pattern: str, fields:
             made = [pa.array([v[i] for v in values], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*kept, *names])
 
-    shape = slim.drop("_text").schema
+    shape = slim.drop(last).schema
     for field in schema:
         shape = shape.add(field)
     return map_arrow(slim, run, shape)
@@ -322,8 +323,9 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append ``out``: the bytes (binary) that an array<int> of ids stands for; null ids give none."""
     shipped = df.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), ""))
-    kept = [c for c in df.columns if c != out]
-    slim = df.select(*kept, F.col(ids).alias("_ids"))
+    kept = [c for c in df.columns if c.lower() != out.lower()]
+    last = fresh(df, "_ids")
+    slim = df.select(*kept, F.col(ids).alias(last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of = {r: t for t, r in parse_ranks(shipped.value[0]).items()}
@@ -331,7 +333,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
             texts = [b"".join([bytes_of[i] for i in x.as_py() or ()]) for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.binary())], [*kept, out])
 
-    return map_arrow(slim, run, slim.drop("_ids").schema.add(out, "binary"))
+    return map_arrow(slim, run, slim.drop(last).schema.add(out, "binary"))
 
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str, keep: Iterable[str | Column] = ("doc_id",)) -> DataFrame:

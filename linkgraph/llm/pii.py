@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import find_spans, joined_spans, text_or_empty
+from linkgraph.llm.common import find_spans, fresh, joined_spans, text_or_empty
 
 #: Code points on either side of a span that are searched for context words.
 CONTEXT = 48
@@ -128,11 +128,11 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null.  All other columns are kept.
     """
     t = F.col(text)
-    found = detect_pii(df, text, "_pii")
-    merged_type = "array<struct<start:int,end:int,kind:string>>"
-    one = "array<struct<start:int,end:int,kind:string>>"
+    spans, joint = fresh(df, "_pii"), fresh(df, "_merged")
+    found = detect_pii(df, text, spans)
+    merged_type = one = "array<struct<start:int,end:int,kind:string>>"
     merged = F.aggregate(
-        F.col("_pii"),
+        F.col(spans),
         F.array().cast(merged_type),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
@@ -151,7 +151,7 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     cut = F.aggregate(
-        F.col("_merged"),
+        F.col(joint),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             s["end"].alias("at"),
@@ -165,8 +165,8 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))),
     )
-    done = found.withColumn("_merged", F.when(F.size("_pii") > 0, merged))
-    return done.withColumn(text, F.when(F.col("_merged").isNotNull(), cut).otherwise(t)).select(*df.columns)
+    done = found.withColumn(joint, F.when(F.size(spans) > 0, merged))
+    return done.withColumn(text, F.when(F.col(joint).isNotNull(), cut).otherwise(t)).select(*df.columns)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import map_arrow, materialize
+from linkgraph.llm.common import fresh, map_arrow, materialize
 from linkgraph.llm.components import connected_components
 
 SHINGLE, THRESHOLD, SEED = 4, 4, 42
@@ -277,10 +277,11 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", order: str = "doc_id")
     Rows get an id in a written copy, so that equal rows stay apart; the choice itself runs on
     (id, order, fingerprint) alone, and the texts are joined by id once.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    slim = rows.select("_row", F.col(order).alias("_order"), F.col(text).alias("_text"))
+    row = fresh(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    slim = rows.select(F.col(row).alias("_row"), F.col(order).alias("_order"), F.col(text).alias("_text"))
     found = near_duplicates(slim, "_text", ("_row", "_order"))
     first = found.groupBy("class").agg(F.min(F.struct(F.col("_order").isNull(), "_order", "_row")).alias("first"))
     # a hash table of ids on one side, so that the texts aren't sorted
-    kept = first.select(F.col("first._row").alias("_row")).hint("shuffle_hash")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = first.select(F.col("first._row").alias(row)).hint("shuffle_hash")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

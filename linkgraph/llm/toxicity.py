@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import map_arrow
+from linkgraph.llm.common import fresh, map_arrow
 
 #: Terms that the lexicon has without any labels, and the weight they have then.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard")
@@ -348,8 +348,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     and one named like ``out`` is replaced.  Repeated texts have equal scores.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # TERMS terms at most
-    kept = [c for c in docs.columns if c != out]
-    slim = docs.select(*kept, F.col(text).alias("_text"))
+    kept, last = [c for c in docs.columns if c.lower() != out.lower()], fresh(docs, "_text")
+    slim = docs.select(*kept, F.col(text).alias(last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shipped.value)
@@ -358,7 +358,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             scores = [probability(matcher.model, matcher.hits(t.as_py() or "")) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*kept, out])
 
-    return map_arrow(slim, run, slim.drop("_text").schema.add(out, "double"))
+    return map_arrow(slim, run, slim.drop(last).schema.add(out, "double"))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -373,5 +373,5 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` below the threshold, with their columns."""
     columns = docs.columns
-    name = next(n for n in (f"_score{'_' * i}" for i in range(len(columns) + 1)) if n not in columns)
+    name = fresh(docs, "_score")
     return score(docs, fit(docs, labels), out=name).where(F.col(name) < threshold).select(*columns)

@@ -83,3 +83,15 @@ def test_odd_rows(spark, docs):
     assert sorted(map(tuple, df.collect()), key=str) == [(1, None, "en", None, None), (2, "a b c [EMAIL]", "en", "s", 13)]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs([], df.schema), D).count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    extra = "_row _text _found _items _score _pii _merged _before _order fp class contamination pii blob ids row start".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    df = docs([(1, "mail a@b.cd to them", "en", "s", 19, *extra), (2, "quite other words are here", "en", "s", 26, *extra)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, D)
+        assert df.columns == [c.split()[0] for c in schema.split(", ")]
+    want = [(1, "mail [EMAIL] to them", "en", "s", 20, *extra), (2, "quite other words are here", "en", "s", 26, *extra)]
+    assert sorted(map(tuple, df.collect())) == want
+    assert corpus_pipeline.STAGES[-1][1](spark, df, D).count() == 2
