@@ -30,15 +30,17 @@ class Kind:
     boost: float
 
 
+#: ASCII word boundaries; Java's own take in letters of all scripts.
+_L, _R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: In the order in which spans with one start are listed.  The first four are the base kinds.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", r"e-?mail|contact|write|mailto", 0.9, 0.1),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", r"\bip\b|address|host|server|login", 0.7, 0.2),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", rf"{_L}ip{_R}|address|host|server|login", 0.7, 0.2),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){11,}+", r"[0-9]{2}", r"card|visa|master|amex|credit|debit|payment", 0.8, 0.2),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", r"phone|tel\b|call|mobile|fax|whatsapp", 0.8, 0.2),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", r"iban|account|bank|konto|compte|cuenta", 0.8, 0.2),
-    Kind("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", r"[0-9]-[0-9]{2}-[0-9]", r"\bssn\b|social\s+security", 0.2, 0.6),
-    Kind("local_phone", r"(?<![A-Za-z0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![A-Za-z0-9-])", r"[0-9][.-][0-9]{4}", r"phone|tel\b|call|mobile|fax|whatsapp", 0.3, 0.5),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", rf"phone|tel{_R}|call|mobile|fax|whatsapp", 0.8, 0.2),
+    Kind("iban", rf"{_L}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?{_R}", r"[A-Z]{2}[0-9]{2}", r"iban|account|bank|konto|compte|cuenta", 0.8, 0.2),
+    Kind("ssn", rf"{_L}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_R}", r"[0-9]-[0-9]{2}-[0-9]", rf"{_L}ssn{_R}|social\s+security", 0.2, 0.6),
+    Kind("local_phone", rf"{_L}[0-9]{{3}}[\x20.-][0-9]{{3}}[.-][0-9]{{4}}{_R}", r"[0-9][.-][0-9]{4}", rf"phone|tel{_R}|call|mobile|fax|whatsapp", 0.3, 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
 #: A span of a further kind counts from this score on; base spans always do.

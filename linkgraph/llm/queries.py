@@ -110,25 +110,59 @@ _RULES = {
 }
 
 
+def _spans_sql(rank: int, kind: str, rx: str) -> str:
+    """(doc_id, rank, kind, start, stop, v) of all matches in texts(doc_id, t), from the lengths of the
+    matches and of what stands between them; doc_id is a key there."""
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(v) AS stop, v FROM (
+      SELECT doc_id, v, sum(length(p)) OVER w + coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM (SELECT doc_id, unnest(m) AS v, unnest(list_slice(string_split_regex(t, '{rx}'), 1, len(m))) AS p, generate_subscripts(m, 1) AS i
+            FROM (SELECT doc_id, t, regexp_extract_all(t, '{rx}') AS m FROM texts) WHERE len(m) > 0)
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+_TEXTS = "texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(generate_series(0, length({_DIGITS}) - 1), lambda i: CASE WHEN i % 2 = 0 THEN substr({_DIGITS}, length({_DIGITS}) - i, 1)::BIGINT ELSE (2 * substr({_DIGITS}, length({_DIGITS}) - i, 1)::BIGINT - CASE WHEN substr({_DIGITS}, length({_DIGITS}) - i, 1)::BIGINT > 4 THEN 9 ELSE 0 END) END)) % 10 = 0"
+_IBAN = "replace(v, ' ', '')"
+_MOD97 = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE ascii(c) - 55 END)), lambda a, d: (a * (CASE WHEN d > 9 THEN 100 ELSE 10 END) + d) % 97) = 1"
+#: Kinds of personal data in RE2's dialect: pattern, what confirms a match, words, score, boost.
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "e-?mail|contact|write|mailto", 0.9, 0.1),
+    "ip": (r"[0-9]+(?:\.[0-9]+){3}", rf"regexp_full_match(v, '{_PART}(?:\.{_PART}){{3}}')", r"\bip\b|address|host|server|login", 0.7, 0.2),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length({_DIGITS}) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END", "card|visa|master|amex|credit|debit|payment", 0.8, 0.2),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", r"phone|tel\b|call|mobile|fax|whatsapp", 0.8, 0.2),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", f"CASE WHEN length({_IBAN}) BETWEEN 15 AND 34 THEN {_MOD97} ELSE false END", "iban|account|bank|konto|compte|cuenta", 0.8, 0.2),
+    "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "true", r"\bssn\b|social\s+security", 0.2, 0.6),
+    "local_phone": (r"\b[0-9]{3}[\x20.-][0-9]{3}[.-][0-9]{4}\b", "true", r"phone|tel\b|call|mobile|fax|whatsapp", 0.3, 0.5),
+}
+
+
+def _pii_sql() -> str:
+    parts = []
+    for rank, (kind, (rx, confirmed, words, base, boost)) in enumerate(_KINDS.items()):
+        near = "substr(t, greatest(start - 48, 0)::BIGINT + 1, (start - greatest(start - 48, 0))::BIGINT) || ' ' || substr(t, stop::BIGINT + 1, 48)"
+        score = f"{base}::DOUBLE + CASE WHEN regexp_matches({near}, '(?i){words}') THEN {boost}::DOUBLE ELSE 0::DOUBLE END"
+        least = 0.5 if rank > 3 else 0
+        parts.append(f"SELECT * FROM (SELECT m.*, {score} AS score FROM ({_spans_sql(rank, kind, rx)}) m JOIN texts USING (doc_id) WHERE {confirmed}) WHERE score >= {least}")
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER ({}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in list(_KINDS)[:4])
+    return f"""WITH {_TEXTS}, found AS ({' UNION ALL '.join(parts)})
+      SELECT t.doc_id, {counts}, sha256({joined.format('rank < 4')}) AS base_sha256, {joined.format('kind IS NOT NULL')} AS spans, max(score) AS top_score
+      FROM texts t LEFT JOIN found f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
 def _secrets_sql() -> str:
-    """Spans from the lengths of the matches and of what stands between them; doc_id is a key there."""
     parts = []
     for rank, (kind, (rx, keep)) in enumerate(_RULES.items()):
-        parts.append(
-            f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(v) AS stop FROM (
-              SELECT doc_id, v, sum(length(p)) OVER w + coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
-              FROM (SELECT doc_id, unnest(m) AS v, unnest(list_slice(string_split_regex(t, '{rx}'), 1, len(m))) AS p, generate_subscripts(m, 1) AS i
-                    FROM (SELECT doc_id, t, regexp_extract_all(t, '{rx}') AS m FROM texts) WHERE len(m) > 0)
-              WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE regexp_matches(v, '{keep}')"""
-        )
+        parts.append(f"SELECT * FROM ({_spans_sql(rank, kind, rx)}) WHERE regexp_matches(v, '{keep}')")
     joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER ({}), '')"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
-    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({' UNION ALL '.join(parts)})
+    return f"""WITH {_TEXTS}, found AS ({' UNION ALL '.join(parts)})
       SELECT t.doc_id, {counts}, sha256({joined.format('rank < 3')}) AS base_sha256, {joined.format('kind IS NOT NULL')} AS spans, any_value(sha256(t.t)) AS blob
       FROM texts t LEFT JOIN found f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only the scan for secrets has SQL in which it can be told; the others are held against plain
-    Python versions in tests/llm."""
-    return {"op9_secrets": _secrets_sql()}
+    """The two scans, which SQL can tell; the others are held against plain Python versions in tests/llm."""
+    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql()}

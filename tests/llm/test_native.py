@@ -173,3 +173,22 @@ def test_sharding_weights_and_order(docs):
     assert shard_rows(docs, []).count() == 0
     with pytest.raises(ValueError):
         shard_rows(docs, rows, n=0)
+
+
+@pytest.mark.parametrize("name", ["op8_pii", "op9_secrets"])
+def test_sql_agrees_on_odd_texts(spark, docs, tmp_path, name):
+    import duckdb
+
+    from linkgraph.llm.queries import oracle_sql, queries
+
+    more = ["tel 555-123-4567 x", "téléphone 555.123.4567", "hôtelé 555 123-4567", "IBAN DE89370400440532013000x DE89370400440532013000", "aIP 1.2.3.4 ip", "xoxb-12345678901-a éghp_" + "a" * 36, "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.abc-_ -eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.x"]
+    rows = list(enumerate(TEXTS + more))
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    result = c.execute(oracle_sql()[name])
+    at = [[d[0] for d in result.description].index(x) for x in columns]
+    want = sorted((tuple(r[i] for i in at) for r in result.fetchall()), key=str)
+    assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=str) == want
