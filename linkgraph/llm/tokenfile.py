@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -36,11 +37,14 @@ REMEMBERED = 600_000
 #: What a text of plain Latin characters lacks: all past the Latin letters that no normal form takes
 #: apart, and the one capital there whose small form isn't a single letter.
 BEYOND = re.compile("[^\\x00-\\u024f]|\u0130")
-#: Runs of ASCII marks that only white space, letters and digits adjoin.  The apostrophe isn't among
-#: the marks, since it begins word endings; it and Latin-1's own marks would join a run.
 _MARKS = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-_OTHER = "".join(re.escape(c) for c in map(chr, range(0x250)) if not c.isalnum() and c not in " \t\n\r") + "'"
-APART = re.compile(f"(?<![{_OTHER}])[{_MARKS}]++(?![{_OTHER}])")
+#: What would join a run of ASCII marks beside white space, letters, digits and those marks: the
+#: apostrophe, which begins word endings, control characters and Latin-1's own marks.
+_OTHERS = "".join(re.escape(c) for c in map(chr, range(0x250)) if not c.isalnum() and c not in " \t\n\r" and not ("!" <= c <= "~" and c != "'"))
+OTHERS = re.compile(f"[{_OTHERS}]")
+#: Runs of ASCII marks, in texts without the others, and those that none of the others adjoins.
+RUNS = re.compile(f"[{_MARKS}]+")
+APART = re.compile(f"(?<![{_OTHERS}{_MARKS}])[{_MARKS}]++(?![{_OTHERS}])")
 
 
 class EliasFano:
@@ -217,7 +221,7 @@ class CachedEncoder:
     def _chunks(text: str) -> list[str]:
         """A text in parts that the tokenizer keeps apart."""
         if text.isascii() or not BEYOND.search(text):
-            text = APART.sub(r" \g<0> ", text.lower())
+            text = (APART if OTHERS.search(text) else RUNS).sub(r" \g<0> ", text.lower())
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _encode(self, chunks: list[str]) -> Iterator[bytes]:
@@ -241,8 +245,10 @@ class CachedEncoder:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
         self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)) + end, "<u4") for chunks in cut]
+        # one look-up of all chunks of a text; the two more keep it a tuple
+        self.known[""] = b""
+        found = (itemgetter("", "", *chunks)(self.known) for chunks in cut)
+        return [np.frombuffer(b"".join(f) + end, "<u4") for f in found]
 
 
 def _encoder(definition: str) -> CachedEncoder:
