@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from linkgraph.functions.text import NAME_SEPARATOR
 
 MAX_GROUP = 20
-#: A tag with over one in so many occurrences is hot; there are fewer than HOT such tags.
-HOT = 1000
+#: So many tags at most, of those on over HOT_ROWS notes, are dropped by a broadcast before the shuffle.
+HOT, HOT_ROWS = 1000, 10_000
 
 
 def link_edges(notes: DataFrame) -> DataFrame:
@@ -29,13 +29,13 @@ def occurrences(notes: DataFrame) -> DataFrame:
 def tag_pairs(occ: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(tag, seen, a, b) for all pairs of occurrences a before b of each tag on at most ``max_group``.
 
-    Sizes are counted first, map side: a tag on very many notes is a row a task there.  Tags that hold
-    over a HOT-th of all occurrences - fewer than HOT of them, so they can be broadcast - then leave
-    before anything is shuffled.  What the size lets through has ``max_group`` occurrences a tag at
-    most, so its pairs come from one small array.
+    Sizes are counted first, map side: a tag on very many notes is a row a task there.  The HOT largest
+    tags over HOT_ROWS, a broadcast of fixed size, leave before anything is shuffled; the size takes
+    out the others over the limit.  What it lets through has ``max_group`` occurrences a tag at most,
+    so its pairs come from one small array.
     """
     counts = occ.groupBy("tag").agg(F.count("*").alias("n"))
-    hot = counts.where((F.col("n") > max_group) & (F.col("n") * HOT > counts.agg(F.sum("n")).scalar())).select("tag")
+    hot = counts.where(F.col("n") > max(max_group, HOT_ROWS)).orderBy(F.desc("n"), "tag").limit(HOT).select("tag")
     small = counts.where(F.col("n").between(2, max_group)).select("tag")
     occ = occ.join(F.broadcast(hot), "tag", "left_anti")
     listed = occ.join(small, "tag").groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("occ", "id"))).alias("all"))

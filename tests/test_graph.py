@@ -197,3 +197,10 @@ def test_snapshot_and_refresh(injected, spark, make, tmp_path):
 
     refresh(stream, rebuild, str(tmp_path / "state")).awaitTermination(120)
     assert export.snapshot(spark).edges.count() == 2 and export.snapshot(spark).nodes.count() == 3
+
+
+def test_hot_tags(make, monkeypatch):
+    monkeypatch.setattr(E, "HOT_ROWS", 1)
+    monkeypatch.setattr(E, "HOT", 2)
+    rows = [(f"n{i:02d}", [], ["all", "half" if i % 2 else "other", "few" if i < 3 else f"own{i}"]) for i in range(60)]
+    assert pairs(E.tag_edges(make(*rows))) == [("n00", "n01", "tag", "few"), ("n00", "n02", "tag", "few"), ("n01", "n02", "tag", "few")]
