@@ -192,3 +192,16 @@ def test_sql_agrees_on_odd_texts(spark, docs, tmp_path, name):
     at = [[d[0] for d in result.description].index(x) for x in columns]
     want = sorted((tuple(r[i] for i in at) for r in result.fetchall()), key=str)
     assert sorted((tuple(r[x] for x in columns) for r in df.collect()), key=str) == want
+
+
+def test_base_spans_of_random_texts(docs):
+    import random
+
+    rng = random.Random(11)
+    pieces = [*"0123456789 .-+()@%_é😀\n", "a", "B", "a@b.c", "1.2.3.4", "255", "256", "4111 1111 1111 1111", "+1 (", "token", "SECRET", "api_key", "=", ":", '"', "'", " ", "AKIA", "QWERTYUIOPAS", "deadbeef" * 4, "0", "..", "--", "x" * 9]
+    rows = [(i, "".join(rng.choices(pieces, k=rng.randint(1, 40)))) for i in range(4000)]
+    df = docs(rows)
+    for brute, run in ((base_pii, pii_digest), (base_secrets, secrets_digest)):
+        got = {r.doc_id: r.base_sha256 for r in run(df).collect()}
+        wrong = [(i, t) for i, t in rows if got[i] != digest(brute(t))]
+        assert not wrong, wrong[:3]
