@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,35 +52,46 @@ def parse_resource_url(url: Column) -> Column:
     return F.when(is_resource_url(url), parsed)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_code(text: Column) -> Column:
     """Delete fenced spans, then inline code spans; what stood around them is joined."""
-    return F.regexp_replace(F.regexp_replace(text, FENCED, ""), INLINE_CODE, "")
+    stripped = F.regexp_replace(F.regexp_replace(text, FENCED, ""), INLINE_CODE, "")
+    return F.when(text.contains("`"), stripped).otherwise(text)
 
 
-def _found(cleaned: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(1)), trim), is_resource_url)
+def _found(cleaned: Column, sign: str, pattern: str) -> Column:
+    """Group 1 of all matches; ``sign`` is a plain string that every match holds."""
+    found = F.regexp_extract_all(cleaned, F.lit(pattern), F.lit(1))
+    return F.when(cleaned.contains(sign), found).otherwise(F.array().cast("array<string>"))
 
 
 def inline_urls(cleaned: Column) -> Column:
-    return _found(cleaned, INLINE)
+    return F.filter(F.transform(_found(cleaned, "](", INLINE), trim), is_resource_url)
 
 
 def reference_urls(cleaned: Column) -> Column:
-    return _found(cleaned, REFERENCE)
+    return F.filter(F.transform(_found(cleaned, "]:", REFERENCE), trim), is_resource_url)
 
 
 def html_urls(cleaned: Column) -> Column:
     """The pattern ignores case, the predicate does not: a prefix in capitals is found and dropped."""
-    return F.filter(F.regexp_extract_all(cleaned, F.lit(HTML), F.lit(1)), is_resource_url)
+    return F.filter(_found(cleaned, "<", HTML), is_resource_url)
 
 
 def resource_urls(body: Column) -> Column:
     """array<struct(itemId, hash)> of all links outside of code: inline, reference, then HTML ones."""
-    cleaned = strip_code(F.coalesce(body, F.lit("")))
-    urls = F.concat(inline_urls(cleaned), reference_urls(cleaned), html_urls(cleaned))
-    # code may part an id, so the candidate test looks at the cleaned text
-    found = F.when(cleaned.rlike(CANDIDATE), F.transform(urls, parse_resource_url))
-    return F.coalesce(found, F.array().cast(f"array<{URL}>"))
+
+    def urls(cleaned: Column) -> Column:
+        found = F.concat(inline_urls(cleaned), reference_urls(cleaned), html_urls(cleaned))
+        # code may part an id, so the candidate test looks at the cleaned text
+        some = F.when(cleaned.rlike(CANDIDATE), F.transform(found, parse_resource_url))
+        return F.coalesce(some, F.array().cast(f"array<{URL}>"))
+
+    return let(strip_code(F.coalesce(body, F.lit(""))), urls)
 
 
 def linked_ids(body: Column) -> Column:
