@@ -54,11 +54,19 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 _HELD: dict[str, Any] = {}
+_OWNER = [""]
+
+
+def owned_by(owner: str) -> None:
+    """Forget what other operators' tasks have kept in this Python worker."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        _HELD.clear()
 
 
 def held(key: str, build: Callable[[], Any]) -> Any:
-    """What ``build`` makes, kept in this Python worker until another key is asked for: workers
-    outlive their stage, and the tables of one operator shouldn't stay through the next one's."""
+    """What ``build`` makes, kept in this Python worker until another key is asked for or another
+    operator's task begins: workers outlive their stage, and tables shouldn't stay through the next."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = build()
@@ -68,7 +76,10 @@ def held(key: str, build: Callable[[], Any]) -> Any:
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow whose tasks give freed memory back when they end."""
 
+    owner = f"{run.__module__}.{run.__qualname__}"
+
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned_by(owner)
         try:
             yield from run(batches)
         finally:

@@ -14,6 +14,7 @@ a term count by how often they were right there.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import fresh, map_arrow
+from linkgraph.llm.common import fresh, held, map_arrow
 
 #: Terms that the lexicon has without any labels, and the weight they have then.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard")
@@ -128,12 +129,13 @@ class FuzzyTrie:
 
 @dataclass
 class Model:
-    """What is shipped to the workers: a few thousand terms and eight numbers."""
+    """What is shipped to the workers: a few thousand terms and some numbers.  ``key`` tells models apart."""
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_TERMS, SEED_WEIGHT))
     stems: dict[str, float] = field(default_factory=dict)
     fuzzy: tuple[str, ...] = SEED_TERMS
     trust: dict[str, float] = field(default_factory=dict)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
     #: intercept, then a coefficient for each feature
     coefficients: tuple[float, ...] = (-3.0, 0.5, 0.5, 0.5, 0.2, 0.0)
 
@@ -352,7 +354,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     slim = docs.select(*kept, F.col(text).alias(last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shipped.value)
+        model = shipped.value
+        matcher = held(f"matcher {model.key}", lambda: Matcher(model))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             scores = [probability(matcher.model, matcher.hits(t.as_py() or "")) for t in texts]
