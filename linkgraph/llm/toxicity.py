@@ -40,8 +40,8 @@ WINDOW, QUOTED, REPORTED, ADDRESSED = 5, 0.4, 0.7, 1.15
 SAMPLE, CANDIDATES, TERMS, SUPPORT, LEAST = 16_384, 50_000, 2_000, 4, 1.2
 #: Weight from which hits count as strong and words may get fuzzy matches; words that a worker remembers.
 STRONG, REMEMBERED = 2.0, 300_000
-#: Learned words that get fuzzy matches beside the list's; automaton states that a worker keeps.
-FUZZY, STATES = 48, 20_000
+#: Automaton states that a worker keeps, and (trie node, edits) pairs in them; when full, all are forgotten.
+STATES, PAIRS = 20_000, 400_000
 THRESHOLD = 0.3
 
 WORD = regex.compile(r"[^\W_]+")
@@ -76,6 +76,7 @@ class FuzzyTrie:
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accept: list[tuple[int, str] | None] = []
+        self.pairs = 0
         self.start = self._state({(0, 0)})
 
     @staticmethod
@@ -95,6 +96,7 @@ class FuzzyTrie:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.pairs += len(key)
             self.moves.append({})
             ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= self.edits(self.term[n])]
             self.accept.append(min(ends) if ends else None)
@@ -112,7 +114,7 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term within its allowed edits; ties to the first by name."""
-        if len(self.sets) > STATES:
+        if len(self.sets) > STATES or self.pairs > PAIRS:
             self._begin()
         state, alphabet = self.start, self.alphabet
         for ch in word:
@@ -147,6 +149,7 @@ class Matcher:
         self.model = model
         self.lengths = sorted({len(s) for s in model.stems})
         self.fuzzy = FuzzyTrie(w for w in model.fuzzy if model.words.get(w, 0.0) >= STRONG)
+        self.longest = max((len(w) + FuzzyTrie.edits(w) for w in model.fuzzy), default=0)
         self.known: dict[str, tuple[float, str] | None] = {}
 
     def _lookup(self, word: str) -> tuple[float, str] | None:
@@ -158,7 +161,7 @@ class Matcher:
             best = max(best, self.model.stems.get(word[:n], 0.0))
         if best:
             return best, ""
-        found = self.fuzzy.match(word) if 4 <= len(word) <= 24 else None
+        found = self.fuzzy.match(word) if 4 <= len(word) <= self.longest else None
         return (self.model.words[found[1]] * 0.8 ** found[0], found[1]) if found else None
 
     def hits(self, text: str) -> tuple[int, list[float], list[tuple[float, str]]]:
@@ -304,8 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n, m = bad.get(t + " ", 0), good.get(t + " ", 0)
         if n + m >= 10 and t + " " not in learned:
             del model.words[t]
-    strong = [t[:-1] for t in chosen if t.endswith(" ") and t[:-1].isalpha() and 5 <= len(t[:-1]) <= 20]
-    model.fuzzy = tuple(sorted({*SEED_TERMS, *strong[:FUZZY]}))
+    strong = [t[:-1] for t in chosen if t.endswith(" ") and t[:-1].isalpha() and len(t) > 5 and learned[t][1] >= STRONG]
+    model.fuzzy = tuple(sorted({*SEED_TERMS, *strong}))
     fields = "toxic int, words int, exact array<double>, weights array<double>, terms array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

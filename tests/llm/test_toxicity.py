@@ -79,3 +79,30 @@ def test_odd_rows(docs, tables):
     kept = tox.drop_toxic(df, labels)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1]
     assert tox.toxicity_digest(docs([]), labels).count() == 0
+
+
+def test_every_strong_word_gets_fuzzy_matches(docs):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    insults, plain = [word() for _ in range(150)], [word() for _ in range(400)]
+    rows, labels = [], []
+    for i in range(2400):
+        toxic = i % 2
+        rows.append((i, " ".join(rng.sample(plain, 20) + toxic * rng.sample(insults, 10))))
+        labels.append((i, toxic))
+    model = tox.fit(docs(rows), docs(labels, "doc_id long, toxic int"))
+    strong = [w for w in insults if model.words.get(w, 0.0) >= tox.STRONG]
+    assert len(strong) > 100 and set(strong) <= set(model.fuzzy)
+    matcher = tox.Matcher(model)
+    for w in strong:
+        assert matcher.hits("qx" + w[1:])[2] or matcher.hits(w[:1] + "q" + w[1:])[2]
+
+
+def test_automaton_is_emptied_when_full(monkeypatch):
+    words = ["".join(p) for p in zip("abcdefghij" * 20, "klmnopqrst" * 20, *["uvwxyzabcdefg" * 16] * 6)][:200]
+    trie, small = tox.FuzzyTrie(words), tox.FuzzyTrie(words)
+    spoilt = [w[:2] + "é" + w[3:] for w in words]
+    want = [trie.match(w) for w in spoilt]
+    monkeypatch.setattr(tox, "PAIRS", 500)
+    assert all(want) and [small.match(w) for w in spoilt] == want
+    assert small.pairs < trie.pairs
