@@ -11,8 +11,10 @@ words of context on either side reach a passage's true ends.
    a neighbour has its hash.  Repeats inside a task are settled before the shuffle, so that a hash on
    very many rows is a row a task there.
 2. Positions that stay meet the texts once, by row, and get their contexts.
-3. These suffixes are range-sorted by hash and contexts; neighbours of other rows are compared, and
-   matches of at least LEAST words become spans, which are merged per row.
+3. These suffixes are range-sorted by hash, left and right context; neighbours of other rows are
+   compared, and matches of at least LEAST words become spans, which are merged per row.  A table in
+   memory is compared in the order by hash, right and left context too; the hashes that a table's
+   borders may cut are range-sorted in that order once more.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,8 +157,8 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of ROWS rows or more, each beginning with the last row of the one before."""
+def _chunks(batches: Iterable[pa.RecordBatch], again: int = 1) -> Iterator[pa.Table]:
+    """Tables of ROWS rows or more, each beginning with the last ``again`` (0 or 1) rows of the one before."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -164,7 +167,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         if rows >= ROWS:
             table = pa.Table.from_batches(held)
             yield table
-            held, rows = table.slice(table.num_rows - 1).to_batches(), 1
+            held, rows = table.slice(table.num_rows - again).to_batches(), again
         held.append(batch)
         rows += batch.num_rows
     if rows:
@@ -224,8 +227,8 @@ def compare_neighbours(table: pa.Table) -> dict[str, np.ndarray]:
     n = len(h)
     packed = [right[:, i].astype(np.uint64) << np.uint64(32) | right[:, i + 1] for i in range(0, CONTEXT, 2)]
     orders = np.arange(n), np.lexsort((row, *packed[::-1], h))
-    length = np.zeros(n, np.int64)
-    best = {k: np.zeros(n, np.int64) for k in ("lo", "hi", "mate")}
+    # of the mates that share LEAST words: the one that shares most to the left, and most to the right
+    best = {side: {k: np.full(n, -1, np.int64) for k in ("lo", "hi", "mate")} for side in ("lo", "hi")}
     for order in orders:
         # runs of one row; every suffix meets the last of the run before and the first of the run after
         turn = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])])
@@ -238,18 +241,17 @@ def compare_neighbours(table: pa.Table) -> dict[str, np.ndarray]:
             same = h[a] == h[b]
             a, b = a[same], b[same]
             lo, hi = _common(left[a], left[b]), _common(right[a], right[b])
-            better = GRAM + lo + hi > length[a]
-            a, b, lo, hi = a[better], b[better], lo[better], hi[better]
-            length[a] = GRAM + lo + hi
-            best["lo"][a], best["hi"][a], best["mate"][a] = lo, hi, b
-    kept = np.flatnonzero(length >= LEAST)
-    mate = best["mate"][kept]
-    return {
-        "kept": kept,
-        "start": (pos[kept] - best["lo"][kept]).astype(np.int32),
-        "end": (pos[kept] + GRAM + best["hi"][kept]).astype(np.int32),
-        "mate": mate,
-    }
+            for side, x in (("lo", lo), ("hi", hi)):
+                own = best[side]
+                more = (x > own[side][a]) | ((x == own[side][a]) & (lo + hi > own["lo"][a] + own["hi"][a]))
+                more &= GRAM + lo + hi >= LEAST
+                own["lo"][a[more]], own["hi"][a[more]], own["mate"][a[more]] = lo[more], hi[more], b[more]
+    one, two = best["lo"], best["hi"]
+    first = np.flatnonzero(one["mate"] >= 0)
+    second = np.flatnonzero((two["mate"] >= 0) & (two["hi"] > one["hi"]))
+    kept = np.concatenate([first, second])
+    lo, hi, mate = (np.concatenate([one[k][first], two[k][second]]) for k in ("lo", "hi", "mate"))
+    return {"kept": kept, "start": (pos[kept] - lo).astype(np.int32), "end": (pos[kept] + GRAM + hi).astype(np.int32), "mate": mate}
 
 
 def _spans(table: pa.Table) -> pa.RecordBatch:
@@ -265,6 +267,27 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(table)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of hashes that stand at a border of a table, and so perhaps in the next one too.
+
+    Of equal contexts in two rows or more the first and the last row do: the ones between have met a
+    mate with all of their context, and any other row can meet one of these two instead."""
+    for table in _chunks(batches, 0):
+        h = table.column("h").to_numpy()
+        first, last = np.searchsorted(h, h[0], "right"), np.searchsorted(h, h[-1], "left")
+        if first < last:
+            table = pa.concat_tables([table.slice(0, first), table.slice(last)])
+        h, row = (table.column(k).to_numpy() for k in ("h", "row"))
+        new = h[1:] != h[:-1]
+        for side in ("left", "right"):
+            x = table.column(side)
+            new |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy()
+        begin = np.concatenate([[True], new])
+        end, run = np.concatenate([new, [True]]), begin.cumsum() - 1
+        several = row[begin] != row[end]
+        yield from table.filter(pa.array(begin | end | ~several[run])).combine_chunks().to_batches()
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first and the last suffix of a partition, for the comparison across partitions."""
     first = last = None
@@ -313,6 +336,13 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merge(pa.Table.from_batches(held))
 
 
+def _compared(context: DataFrame, key: list[str]) -> DataFrame:
+    """Spans of neighbours in rows that are range-sorted by ``key``."""
+    # two rows a partition: what the cuts between partitions part
+    edges = map_arrow(context, _edges, SUFFIX).repartition(1).sortWithinPartitions(*key)
+    return map_arrow(context, _matches, SPAN).unionByName(map_arrow(edges, _matches, SPAN))
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row, start, end, other_id: the word spans of each row that stand in another row too.
 
@@ -336,10 +366,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     placed = found.hint("shuffle_hash").join(rows, "row").select("row", "doc_id", "text", F.array_sort("pos").alias("pos"))
     key = ["h", "left", "right", "row", "pos"]
     context = map_arrow(placed, _contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
-    spans = map_arrow(context, _matches, SPAN)
-    # two rows a partition: what the cuts between partitions part
-    edges = map_arrow(map_arrow(context, _edges, SUFFIX).repartition(1).sortWithinPartitions(*key), _matches, SPAN)
-    spans = spans.unionByName(edges).select("row", "doc_id", "start", "end", "other_id")
+    spans = _compared(context, key)
+    # what the tables part, by right context first; a few hashes, unless one is on very many rows
+    key = ["h", "right", "left", "row", "pos"]
+    parted = map_arrow(context, _cut, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
+    spans = spans.unionByName(_compared(parted, key)).select("row", "doc_id", "start", "end", "other_id")
     merged = spans.repartition(n, "row").sortWithinPartitions("row", "start", "end", "other_id")
     return map_arrow(merged, _merged, "doc_id long, row long, start int, end int, other_id long")
 

@@ -79,6 +79,34 @@ def test_hot_copies_over_many_partitions(spark, monkeypatch):
     assert covered(spark, rows) == {(i, j) for i in range(120) for j in range(1, 121)}
 
 
+def test_right_contexts_alone_over_many_partitions(spark):
+    rng = random.Random(9)
+    # a gram of so small a hash that it is the minimiser; pairs of rows share it and what follows alone
+    hashes = sx.WordHashes()
+    grams = [[f"v{rng.randrange(10**6)}" for _ in range(sx.GRAM)] for _ in range(3000)]
+    gram = " ".join(min(grams, key=lambda g: int(sx._grams(hashes.of(g), sx.GRAM)[0])))
+    rows = []
+    for i in range(400):
+        before = " ".join(f"l{rng.randrange(10**6)}x{i}" for _ in range(20))
+        after = " ".join(f"r{i // 2}y{k}" for k in range(sx.CONTEXT))
+        rows.append((i, f"{before} {gram} {after} " + " ".join(f"e{i}z{k}" for k in range(20))))
+    want, got = brute(rows), covered(spark, rows)
+    assert len(want) == 400 * sx.LEAST
+    assert got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_best_left_and_best_right_mates():
+    pack = lambda *x: np.array([*x, *range(900 + x[-1], 900 + x[-1] + sx.CONTEXT - len(x))], ">u4").tobytes()
+    one, two = list(range(1, 13)), list(range(101, 113))
+    # row 0 shares 12 words to the left and 2 to the right with row 1, 12 to the right with row 2
+    sides = [(pack(*one), pack(*two)), (pack(*one), pack(*two[:2], 500)), (pack(700), pack(*two))]
+    order = sorted(range(3), key=lambda k: sides[k])
+    columns = [[5] * 3, [sides[k][0] for k in order], [sides[k][1] for k in order], order, order, [100] * 3]
+    found = sx.compare_neighbours(sx.pa.table(dict(zip(["h", "left", "right", "row", "doc_id", "pos"], columns, strict=True))))
+    got = {(order[k], int(s), int(e), order[m]) for k, s, e, m in zip(*(found[n] for n in ("kept", "start", "end", "mate")), strict=True)}
+    assert got == {(0, 88, 140, 1), (0, 100, 150, 2), (1, 88, 140, 0), (2, 100, 150, 0)}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "few words")], [(None, "x " * 60), (None, "x " * 60)]])
 def test_odd_tables(docs, rows):
     out = sx.passage_report(docs(rows)).collect()
@@ -89,3 +117,17 @@ def test_rows_of_one_id(docs):
     rows = [(None, "x " * 60), (None, "x " * 70), (1, "y " * 60), (1, "y " * 60), (2, "z " * 60)]
     out = sx.passage_report(docs(rows)).collect()
     assert sorted((r.doc_id, r.start, r.end, r.other_id) for r in out) == [(None, 0, 60, None), (None, 0, 70, None)]
+
+
+def test_cut_hashes_are_passed_on(monkeypatch):
+    def passed(size, rows):
+        monkeypatch.setattr(sx, "ROWS", size)
+        batches = [sx.pa.RecordBatch.from_pylist([dict(zip(("h", "left", "right", "row"), x, strict=True)) for x in rows[k : k + 2]]) for k in range(0, len(rows), 2)]
+        return [tuple(r.values()) for b in sx._cut(batches) for r in b.to_pylist()]
+
+    # tables 1 2 2 3, 3 3 4 5, 6 6 7 8: all rows of 3, which is in two of them, but none of 2, 4 and 7
+    rows = [(h, b"l%d" % k, b"r", k) for k, h in enumerate([1, 2, 2, 3, 3, 3, 4, 5, 6, 6, 7, 8])]
+    assert [r[0] for r in passed(4, rows)] == [1, 3, 3, 3, 5, 6, 6, 8]
+    # equal contexts of several rows: the first and the last; of one row: all
+    copies = [(1, b"a", b"b", k) for k in range(5)] + [(1, b"a", b"c", 7)] * 3
+    assert passed(8, copies) == [copies[0], copies[4], *copies[5:]]
