@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a link to a note begins with, the first that fits.  Notes may use a scheme of their
+#: own: every function that looks for links takes ``prefixes``.
+PREFIXES = ("note://", ":/")
+
 # The link syntax that note bodies use.
-PREFIXES = ("joplin://", ":/")
 WHITE_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 LINE_END = r"\n\r\u2028\u2029"
-
-_PREFIX = "(?:" + "|".join(PREFIXES) + ")"
 _ID = "[A-Fa-f0-9]{32}"
-#: A whole URL: prefix, 32 hex digits, perhaps a hash, perhaps white space and a quoted title.
-RESOURCE = rf'\A{_PREFIX}({_ID})(#[^{WHITE_SPACE}]*)?(?:[{WHITE_SPACE}]"[^{LINE_END}]*")?\z'
-#: Necessary for any link, and cheap; the patterns below run only on texts that pass.
-CANDIDATE = rf":/{{1,2}}{_ID}"
+#: After the prefix of a whole URL: 32 hex digits, perhaps a hash, perhaps white space and a quoted title.
+RESOURCE = rf'({_ID})(#[^{WHITE_SPACE}]*)?(?:[{WHITE_SPACE}]"[^{LINE_END}]*")?\z'
 FENCED, INLINE_CODE = r"```[\s\S]*?```", r"`[^`]+`"
 #: ](url) on one line, where neither the bracket nor the closing parenthesis is escaped.
 INLINE = rf"(?<!\\)\]\(([^{LINE_END}]*?)(?<!\\)\)"
 #: ]: url up to the line feed or the end of the text; another line terminator before it voids it.
 REFERENCE = rf"(?<!\\)\]:([^{LINE_END}]*)(?:\n|\z)"
-#: src or href of an img or a tag, one a match, closed by the next >.
-HTML = rf"(?i)<(?:img|a)[{WHITE_SPACE}][\s\S]*?(?:src|href)=[\"']({_PREFIX}{_ID}(?:#[^\"'{WHITE_SPACE}]*)?)[\"'][\s\S]*?>"
+#: src or href of an img or a tag, one a match, closed by the next >; the prefix goes between the two parts.
+HTML = (rf"(?i)<(?:img|a)[{WHITE_SPACE}][\s\S]*?(?:src|href)=[\"'](", rf"{_ID}(?:#[^\"'{WHITE_SPACE}]*)?)[\"'][\s\S]*?>")
+
+
+def _either(prefixes: Sequence[str]) -> str:
+    return "(?:" + "|".join(map(re.escape, prefixes)) + ")"
+
+
+def candidate(prefixes: Sequence[str] = PREFIXES) -> str:
+    """A pattern that is necessary for any link, and cheap; the others run only on texts that pass."""
+    return f"{_either(prefixes)}{_ID}"
+
 
 URL = "struct<itemId:string,hash:string>"
 
@@ -34,8 +44,12 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
 
 
-def is_resource_url(url: Column) -> Column:
-    return F.coalesce(url.rlike(RESOURCE), F.lit(False))
+def _whole(prefixes: Sequence[str]) -> str:
+    return rf"\A{_either(prefixes)}{RESOURCE}"
+
+
+def is_resource_url(url: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
+    return F.coalesce(url.rlike(_whole(prefixes)), F.lit(False))
 
 
 def decode_hash(encoded: Column) -> Column:
@@ -45,11 +59,12 @@ def decode_hash(encoded: Column) -> Column:
     return F.when(~F.coalesce(broken, F.lit(False)), decoded)
 
 
-def parse_resource_url(url: Column) -> Column:
+def parse_resource_url(url: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
     """struct(itemId, hash) of a resource URL, null for any other; hash is '' where there is none."""
-    encoded = F.substring(F.regexp_extract(url, RESOURCE, 2), 2, 1 << 30)
-    parsed = F.struct(F.regexp_extract(url, RESOURCE, 1).alias("itemId"), decode_hash(encoded).alias("hash"))
-    return F.when(is_resource_url(url), parsed)
+    whole = _whole(prefixes)
+    encoded = F.substring(F.regexp_extract(url, whole, 2), 2, 1 << 30)
+    parsed = F.struct(F.regexp_extract(url, whole, 1).alias("itemId"), decode_hash(encoded).alias("hash"))
+    return F.when(is_resource_url(url, prefixes), parsed)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -69,31 +84,31 @@ def _found(cleaned: Column, sign: str, pattern: str) -> Column:
     return F.when(cleaned.contains(sign), found).otherwise(F.array().cast("array<string>"))
 
 
-def inline_urls(cleaned: Column) -> Column:
-    return F.filter(F.transform(_found(cleaned, "](", INLINE), trim), is_resource_url)
+def inline_urls(cleaned: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
+    return F.filter(F.transform(_found(cleaned, "](", INLINE), trim), lambda u: is_resource_url(u, prefixes))
 
 
-def reference_urls(cleaned: Column) -> Column:
-    return F.filter(F.transform(_found(cleaned, "]:", REFERENCE), trim), is_resource_url)
+def reference_urls(cleaned: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
+    return F.filter(F.transform(_found(cleaned, "]:", REFERENCE), trim), lambda u: is_resource_url(u, prefixes))
 
 
-def html_urls(cleaned: Column) -> Column:
+def html_urls(cleaned: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
     """The pattern ignores case, the predicate does not: a prefix in capitals is found and dropped."""
-    return F.filter(_found(cleaned, "<", HTML), is_resource_url)
+    return F.filter(_found(cleaned, "<", _either(prefixes).join(HTML)), lambda u: is_resource_url(u, prefixes))
 
 
-def resource_urls(body: Column) -> Column:
+def resource_urls(body: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
     """array<struct(itemId, hash)> of all links outside of code: inline, reference, then HTML ones."""
 
     def urls(cleaned: Column) -> Column:
-        found = F.concat(inline_urls(cleaned), reference_urls(cleaned), html_urls(cleaned))
+        found = F.concat(inline_urls(cleaned, prefixes), reference_urls(cleaned, prefixes), html_urls(cleaned, prefixes))
         # code may part an id, so the candidate test looks at the cleaned text
-        some = F.when(cleaned.rlike(CANDIDATE), F.transform(found, parse_resource_url))
+        some = F.when(cleaned.rlike(candidate(prefixes)), F.transform(found, lambda u: parse_resource_url(u, prefixes)))
         return F.coalesce(some, F.array().cast(f"array<{URL}>"))
 
     return let(strip_code(F.coalesce(body, F.lit(""))), urls)
 
 
-def linked_ids(body: Column) -> Column:
+def linked_ids(body: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
     """Distinct linked ids in the order of their first link; ids differ by case."""
-    return F.array_distinct(F.transform(resource_urls(body), lambda u: u["itemId"]))
+    return F.array_distinct(F.transform(resource_urls(body, prefixes), lambda u: u["itemId"]))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from linkgraph.functions.links import PREFIXES
 from linkgraph.plans.queries import OPENED, SEARCHED, SELECTED
-from linkgraph.plans.tables import SCHEME, SUFFIXES, TARGETS
+from linkgraph.plans.tables import SUFFIXES, TARGETS
 
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 EOL = r"\n\r\x{2028}\x{2029}"
-PREFIX = "(?:" + "|".join(PREFIXES) + ")"
+PREFIX = "(?:note://|:/)"
 URL = rf'^{PREFIX}([A-Fa-f0-9]{{32}})(#[^{WS}]*)?(?:[{WS}]"[^{EOL}]*")?$'
 
 
@@ -84,7 +83,7 @@ FOCUS = f"""{DOCUMENTS}, start AS (SELECT id FROM nodes WHERE id IN ({', '.join(
 both_ways AS (SELECT source AS a, target AS b FROM link_edges UNION ALL SELECT target, source FROM link_edges),
 near AS (SELECT id FROM start UNION SELECT b FROM both_ways WHERE a IN (SELECT id FROM start)),
 shown AS (SELECT id FROM near UNION SELECT b FROM both_ways WHERE a IN (SELECT id FROM near))"""
-_URLS = f"""urls AS (SELECT doc_id, ([':/' || x, '{SCHEME}' || x || '#sec+two%21', 'https://example.com/' || x, ':/' || substr(x, 2, 31) || 'g', ':/' || x || ' "a title"', '{SCHEME.upper()}' || x, ':/' || x || '#a b', ''])[(doc_id % 8) + 1] AS url FROM (SELECT doc_id, {hexed('doc_id')} AS x FROM documents))"""
+_URLS = f"""urls AS (SELECT doc_id, ([':/' || x, 'note://' || x || '#sec+two%21', 'https://example.com/' || x, ':/' || substr(x, 2, 31) || 'g', ':/' || x || ' "a title"', 'NOTE://' || x, ':/' || x || '#a b', ''])[(doc_id % 8) + 1] AS url FROM (SELECT doc_id, {hexed('doc_id')} AS x FROM documents))"""
 _HEX = "lpad(lower(to_hex((doc_id * 7919 % 16777216)::BIGINT)), 6, '0')"
 _CHANNEL = lambda at: f"('0x' || substr({_HEX}, {at}, 2))::INTEGER"
 

@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgraph.functions.links import PREFIXES
-
 TARGETS = 200
-SCHEME = PREFIXES[0]
+#: The long prefix of the derived links, as a literal, so that SQL and plan are checked against it.
+SCHEME = "note://"
 X = "0" * 31 + "x"  # no hex digit: a link to nothing
 
 #: What follows the text, by doc_id % 12, with the ids of the target and of the note itself.

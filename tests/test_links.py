@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from linkgraph.functions import links as L
 
-LONG = L.PREFIXES[0]
+LONG = "note://"
 X, A, B = "abcdef0123456789abcdef0123456789", "a" * 32, "b" * 32
 BODIES = {
     "inline": (f"[t](:/{X})", [X]),
@@ -91,6 +91,13 @@ def test_predicate_and_parser(spark):
         assert (tuple(r.p) if r.p else None) == URLS[r.url], r.url
 
 
+def test_prefixes_of_another_application(spark):
+    own = ("wiki+x://", "#/")
+    body = F.lit(f"[a](wiki+x://{A}) [b](#/{B}#part) <a href='wiki+x://{X}'>t</a> [no](:/{X}) [no](note://{X}) [no](WIKI+X://{X})")
+    row = spark.range(1).select(L.linked_ids(body, own), L.is_resource_url(F.lit(f"#/{A}"), own), L.is_resource_url(F.lit(f":/{A}"), own), L.parse_resource_url(F.lit(f"#/{A}#s"), own)).first()
+    assert tuple(row) == ([A, B, X], True, False, (A, "s"))
+
+
 def test_many_unclosed_anchors_without_a_link(spark):
     rows = spark.createDataFrame([("<a x " * 20_000 + "http://example.com",)], "body string")
     assert rows.select(L.linked_ids(F.col("body"))).first()[0] == []
