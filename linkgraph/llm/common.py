@@ -9,8 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
 
@@ -101,56 +100,80 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def text_or_empty(name: str = "text") -> str:
+    return f"coalesce({quoted(name)}, '')"
 
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Values that a running sum walks one by one; code points of a piece that a long text is cut into.
+RUN, PIECE = 256, 4096
 
 
-def find_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of a Java pattern, as array<struct<start,end,value>>.
+#: The native operators write their expressions as SQL text: it is parsed at once, where building
+#: thousands of Column objects takes the driver seconds.
+
+
+def literal(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def let(value: str, name: str, use: str) -> str:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
+def running(values: str, combine: str = "{} + {}") -> str:
+    """array<int>, one longer than the array<int> ``values``: what ``combine`` makes of 0 and all values
+    before each place, and of all.
+
+    Appending to an array copies it, so runs of RUN values are walked on their own and joined then:
+    the work is RUN for each value, however many there are.  Short arrays are one run.
+    """
+    begin = "named_struct('at', 0, 'out', cast(array() as array<int>))"
+    walk = lambda what, x: f"aggregate({what}, {begin}, (acc, x) -> named_struct('at', {combine.format('acc.at', x)}, 'out', concat(acc.out, array(acc.at))))"
+    whole = lambda walked: let(walked, "f", "concat(f.out, array(f.at))")
+    places = f"sequence(k * {RUN}, least((k + 1) * {RUN}, size({values})) - 1)"
+    runs = f"transform(sequence(0, cast((size({values}) - 1) div {RUN} as int)), k -> {walk(places, f'{values}[x]')})"
+    shifted = f"flatten(zip_with(runs, f.out, (r, before) -> transform(r.out, y -> {combine.format('before', 'y')})))"
+    long = let(runs, "runs", let(walk("runs", "x.at"), "f", f"concat({shifted}, array(f.at))"))
+    return f"if(size({values}) <= {RUN}, {whole(walk(values, 'x'))}, {long})"
+
+
+def pieces_of(text: str) -> str:
+    """A text cut into pieces of PIECE code points, for ``cut_out``."""
+    return f"if(length({text}) <= {PIECE}, array({text}), regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0))"
+
+
+def cut_out(pieces: str, start: str, end: str) -> str:
+    """The code points ``start`` to ``end`` of a cut text.  Only the pieces they are in are read: a
+    substring of the whole text would be counted from its beginning each time."""
+    first, last = f"cast(({start}) div {PIECE} as int)", f"cast((({end}) - 1) div {PIECE} as int)"
+    # slice copies what it is given, so it is left to the spans that need it
+    two = f"if({last} = {first}, {pieces}[{first}], concat({pieces}[{first}], {pieces}[{last}]))"
+    near = f"if({last} - {first} < 2, {two}, array_join(slice({pieces}, {first} + 1, {last} - {first} + 1), ''))"
+    return f"if(({end}) > ({start}), substring({near}, ({start}) - {first} * {PIECE} + 1, ({end}) - ({start})), '')"
+
+
+def find_spans(text: str, pattern: str, guard: str = "true") -> str:
+    """All leftmost non-overlapping matches of a Java pattern, as array<struct<start,end,value>>, or null.
 
     Offsets count code points; ``end`` is exclusive.  The pattern may not match the empty
     string.  Matches and the pieces between them come from two passes of the same matcher
     (regexp_extract_all, split), so their lengths add up to the offsets.  ``guard`` is a cheap
-    necessary condition; where it is false neither pass runs.
+    necessary condition; where it is false no pass runs, and without a match the second doesn't.
     """
-    rx = F.lit(pattern)
-    matches = F.regexp_extract_all(text, rx, F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), p.alias("p"))),
-        F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"])
-            .otherwise(
-                F.concat(
-                    F.coalesce(acc["out"], F.array().cast(SPAN)),
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["p"])).alias("start"),
-                            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"),
-                            x["m"].alias("value"),
-                        )
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    seen = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
-    return F.coalesce(F.when(seen, walked), F.array().cast(SPAN))
-
-
-def joined_spans(spans: Column) -> Column:
+    rx = literal(pattern)
+    lengths = f"zip_with(ms, slice(split({text}, {rx}, -1), 1, size(ms)), (m, p) -> named_struct('p', length(p), 'm', length(m), 'value', m))"
+    spans = "zip_with(xs, slice(es, 2, size(xs)), (s, e) -> named_struct('start', e - s.m, 'end', e, 'value', s.value))"
+    placed = let("transform(xs, s -> s.p + s.m)", "ls", let(running("ls"), "es", spans))
+    found = let(lengths, "xs", placed)
+    return f"if({guard}, {let(f'regexp_extract_all({text}, {rx}, 0)', 'ms', f'if(size(ms) > 0, {found}, null)')}, null)"
+
+
+def joined_spans(spans: str) -> str:
     """kind:start:end of array<struct<start,rank,kind,end>>, by start and then rank, comma-joined."""
-    return F.array_join(
-        F.transform(
-            F.array_sort(spans),
-            lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
-        ),
-        ",",
-    )
+    return f"array_join(transform(array_sort({spans}), s -> concat_ws(':', s.kind, cast(s.start as string), cast(s.end as string))), ',')"

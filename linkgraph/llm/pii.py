@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import find_spans, fresh, joined_spans, text_or_empty
+from linkgraph.llm.common import cut_out, find_spans, fresh, joined_spans, let, literal, pieces_of, quoted, running, text_or_empty
 
 #: Code points on either side of a span that are searched for context words.
 CONTEXT = 48
@@ -36,83 +36,61 @@ _L, _R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", r"e-?mail|contact|write|mailto", 0.9, 0.1),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", rf"{_L}ip{_R}|address|host|server|login", 0.7, 0.2),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9]){11,}+", r"[0-9]{2}", r"card|visa|master|amex|credit|debit|payment", 0.8, 0.2),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){11,}+", r"[0-9][\x20-]?[0-9]", r"card|visa|master|amex|credit|debit|payment", 0.8, 0.2),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", rf"phone|tel{_R}|call|mobile|fax|whatsapp", 0.8, 0.2),
     Kind("iban", rf"{_L}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?{_R}", r"[A-Z]{2}[0-9]{2}", r"iban|account|bank|konto|compte|cuenta", 0.8, 0.2),
     Kind("ssn", rf"{_L}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_R}", r"[0-9]-[0-9]{2}-[0-9]", rf"{_L}ssn{_R}|social\s+security", 0.2, 0.6),
     Kind("local_phone", rf"{_L}[0-9]{{3}}[\x20.-][0-9]{{3}}[.-][0-9]{{4}}{_R}", r"[0-9][.-][0-9]{4}", rf"phone|tel{_R}|call|mobile|fax|whatsapp", 0.3, 0.5),
 )
 BASE = ("email", "ip", "card", "phone")
+SCORED = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 #: A span of a further kind counts from this score on; base spans always do.
 THRESHOLD = 0.5
 
 
-def luhn(digits: Column) -> Column:
+def luhn(digits: str) -> str:
     """Whether a string of digits ends in its Luhn check digit."""
-    n = F.length(digits)
+    digit = f"cast(substring({digits}, length({digits}) - i, 1) as int)"
+    weighed = f"if(i % 2 = 0, {digit}, 2 * {digit} - if({digit} > 4, 9, 0))"
+    return f"aggregate(sequence(0, length({digits}) - 1), 0, (acc, i) -> acc + {weighed}) % 10 = 0"
 
-    def weighed(i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        twice = d * 2
-        return F.when(i % 2 == 0, d).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
 
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + weighed(i))
-    return total % 10 == 0
+def mod97(iban: str) -> str:
+    """Whether a bank account number without spaces has the remainder 1 under the mod-97 rule."""
+    step = "if(c between '0' and '9', (acc * 10 + cast(c as int)) % 97, (acc * 100 + ascii(c) - 55) % 97)"
+    turned = f"concat(substring({iban}, 5), substring({iban}, 1, 4))"
+    return f"aggregate(regexp_extract_all({turned}, '.', 0), 0, (acc, c) -> {step}) = 1"
 
 
-def mod97(iban: Column) -> Column:
-    """Whether a bank account number (spaces allowed) has the remainder 1 under the mod-97 rule."""
-    s = F.regexp_replace(iban, r"\x20", "")
-    turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
-
-    def step(acc: Column, ch: Column) -> Column:
-        digit = ch.between("0", "9")
-        return F.when(digit, (acc * 10 + ch.cast("int")) % 97).otherwise((acc * 100 + F.ascii(ch) - 55) % 97)
-
-    chars = F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: F.substring(turned, i, F.lit(1)))
-    return F.aggregate(chars, F.lit(0), step) == 1
-
-
-def _confirmed(kind: str, value: Column) -> Column:
+def _confirmed(kind: str, value: str) -> str:
     if kind == "ip":
-        part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-        return value.rlike(rf"^{part}(?:\.{part}){{3}}\z")
-    digits = F.regexp_replace(value, r"[^0-9]", "")
+        part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+        return f"rlike({value}, {literal(rf'^{part}(?:[.]{part}){{3}}$')})"
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
     if kind == "card":
-        return F.when(F.length(digits) <= 19, luhn(digits)).otherwise(F.lit(False))
+        return let(digits, "d", f"if(length(d) <= 19, {luhn('d')}, false)")
     if kind == "phone":
-        return F.length(digits).between(9, 15)
+        return f"length({digits}) between 9 and 15"
     if kind == "iban":
-        return F.length(F.regexp_replace(value, r"\x20", "")).between(15, 34) & mod97(value)
-    return F.lit(True)
+        return let(f"replace({value}, ' ', '')", "d", f"if(length(d) between 15 and 34, {mod97('d')}, false)")
+    return "true"
 
 
-def pii_spans(text: Column) -> Column:
+def pii_spans(text: str) -> str:
     """array<struct<start,rank,kind,end,score>> of a non-null text, unsorted."""
     found = []
     for rank, k in enumerate(KINDS):
-        guard = text.contains(k.needs) if k.needs == "@" else text.rlike(k.needs)
-        spans = F.filter(find_spans(text, k.pattern, guard), lambda s: _confirmed(k.name, s["value"]))
-
-        def scored(s: Column) -> Column:
-            left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            near = F.concat_ws(
-                " ",
-                F.substring(text, left + 1, s["start"] - left),
-                F.substring(text, s["end"] + 1, F.lit(CONTEXT)),
-            )
-            score = F.lit(k.base) + F.when(near.rlike(f"(?i){k.words}"), F.lit(k.boost)).otherwise(F.lit(0.0))
-            return F.struct(
-                s["start"].alias("start"),
-                F.lit(rank).alias("rank"),
-                F.lit(k.name).alias("kind"),
-                s["end"].alias("end"),
-                score.alias("score"),
-            )
-
-        spans = F.transform(spans, scored)
-        found.append(spans if k.name in BASE else F.filter(spans, lambda s: s["score"] >= THRESHOLD))
-    return F.concat(*found)
+        guard = f"contains({text}, '@')" if k.needs == "@" else f"rlike({text}, {literal(k.needs)})"
+        near = f"concat_ws(' ', {cut_out('ps', f'greatest(s.start - {CONTEXT}, 0)', 's.start')}, {cut_out('ps', 's.end', f'least(s.end + {CONTEXT}, n)')})"
+        score = f"{k.base}D + if(rlike({near}, {literal(f'(?i){k.words}')}), {k.boost}D, 0D)"
+        one = f"named_struct('start', s.start, 'rank', {rank}, 'kind', '{k.name}', 'end', s.end, 'score', {score})"
+        scored = f"if(size(cs) > 0, {let(pieces_of(text), 'ps', let(f'length({text})', 'n', f'transform(cs, s -> {one})'))}, null)"
+        confirmed = f"filter({find_spans(text, k.pattern, guard)}, s -> {_confirmed(k.name, 's.value')})"
+        spans = let(confirmed, "cs", scored)
+        if k.name not in BASE:
+            spans = f"filter({spans}, s -> s.score >= {THRESHOLD}D)"
+        found.append(f"coalesce({spans}, cast(array() as {SCORED}))")
+    return f"concat({', '.join(found)})"
 
 
 def detect_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
@@ -121,7 +99,7 @@ def detect_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     A null or empty text has an empty array.  Rows are independent: repeated rows, null keys and
     further columns are carried as they are (a column named like ``out`` is replaced).
     """
-    return df.withColumn(out, F.array_sort(pii_spans(text_or_empty(text))))
+    return df.withColumn(out, F.expr(let(text_or_empty(text), "t", f"array_sort({pii_spans('t')})")))
 
 
 def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
@@ -129,56 +107,25 @@ def mask_pii(df: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null.  All other columns are kept.
     """
-    t = F.col(text)
-    spans, joint = fresh(df, "_pii"), fresh(df, "_merged")
-    found = detect_pii(df, text, spans)
-    merged_type = one = "array<struct<start:int,end:int,kind:string>>"
-    merged = F.aggregate(
-        F.col(spans),
-        F.array().cast(merged_type),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
-                        F.element_at(acc, -1)["kind"].alias("kind"),
-                    )
-                ).cast(one),
-            ),
-        ).otherwise(
-            F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).cast(one))
-        ),
-    )
-    cut = F.aggregate(
-        F.col(joint),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.substring(t, acc["at"] + 1, s["start"] - acc["at"]),
-                    F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    done = found.withColumn(joint, F.when(F.size(spans) > 0, merged))
-    return done.withColumn(text, F.when(F.col(joint).isNotNull(), cut).otherwise(t)).select(*df.columns)
+    spans = fresh(df, "_pii")
+    found, t = quoted(spans), quoted(text)
+    # the furthest end of the spans before each: one that begins there or later ends a gap
+    both = f"zip_with({found}, slice(es, 1, size({found})), (s, e) -> named_struct('start', s.start, 'kind', s.kind, 'before', e))"
+    parts = f"transform(filter({both}, s -> s.start >= s.before), s -> concat({cut_out('ps', 's.before', 's.start')}, '[', upper(s.kind), ']'))"
+    tail = cut_out("ps", "element_at(es, -1)", f"length({t})")
+    joined = let(pieces_of(t), "ps", f"concat(array_join({parts}, ''), {tail})")
+    masked = let(f"transform({found}, s -> s.end)", "ns", let(running("ns", "greatest({}, {})"), "es", joined))
+    return detect_pii(df, text, spans).withColumn(text, F.expr(f"if(size({found}) > 0, {masked}, {t})")).select(*df.columns)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, the hash of the base spans, and all spans."""
     found = detect_pii(docs.select("doc_id", "text"))
-    spans = F.col("pii")
-    return found.select(
+    base = f"filter(pii, s -> s.kind in ({', '.join(map(literal, BASE))}))"
+    return found.selectExpr(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(joined_spans(F.filter(spans, lambda s: s["kind"].isin(*BASE))).cast("binary"), 256).alias("base_sha256"),
-        joined_spans(spans).alias("spans"),
-        F.array_max(F.transform(spans, lambda s: s["score"])).alias("top_score"),
+        *[f"cast(size(filter(pii, s -> s.kind = '{k}')) as long) as n_{k}" for k in BASE],
+        f"sha2(cast({joined_spans(base)} as binary), 256) as base_sha256",
+        f"{joined_spans('pii')} as spans",
+        "array_max(transform(pii, s -> s.score)) as top_score",
     )

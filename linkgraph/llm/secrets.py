@@ -12,11 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from linkgraph.llm.common import find_spans, joined_spans, materialize, scratch_path
+from linkgraph.llm.common import find_spans, joined_spans, literal, materialize, scratch_path, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -47,53 +46,67 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Due blobs whose addresses are broadcast at most: 64 digits and a few keys each.
+DUE = 50_000
 LEDGER = "blob string, scanned array<string>, found " + _SPANS
 
 
-def _scan(text: Column, rule: Rule, rank: int) -> Column:
-    spans = find_spans(text, rule.pattern, text.rlike(rule.needs) if rule.needs else None)
+def _scan(text: str, rule: Rule, rank: int) -> str:
+    spans = find_spans(text, rule.pattern, f"rlike({text}, {literal(rule.needs)})" if rule.needs else "true")
     if rule.keep:
-        spans = F.filter(spans, lambda s: s["value"].rlike(f"^(?:{rule.keep})"))
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.key).alias("kind"), s["end"].alias("end")
-        ),
-    )
+        spans = f"filter({spans}, s -> rlike(s.value, {literal(f'^(?:{rule.keep})')}))"
+    one = f"named_struct('start', s.start, 'rank', {rank}, 'kind', {literal(rule.key)}, 'end', s.end)"
+    return f"coalesce(transform({spans}, s -> {one}), cast(array() as {_SPANS}))"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger's rows; none where it has not been begun."""
-    try:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.read.schema(LEDGER).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], LEDGER)
+    return spark.createDataFrame([], LEDGER)
 
 
 def update_ledger(versions: DataFrame, content: str, ledger: str, rules: Sequence[Rule] = RULES) -> None:
     """Scan the (blob, rule version) pairs of ``versions`` that the ledger lacks and append them.
 
+    Addresses go first: the distinct ones are held against the ledger without any text, and where
+    nothing is due nothing else happens.  Only the bodies of due blobs are fetched, by a broadcast of
+    their addresses where they are few (DUE at most, of 64 digits).  If every blob is due or they are
+    many, texts are shuffled by address.  Either way copies meet before the shuffle already, so a hot
+    blob is a row per scan task, and one body per blob is scanned.
+
     A batch is one append, committed by Spark's writer: a lost executor repeats its tasks, a failed
     job leaves the ledger as it was.  A null content is the empty blob.
     """
     spark = versions.sparkSession
-    text = F.coalesce(F.col(content), F.lit(""))
-    blobs = versions.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("body"))
-    # one text per blob; copies meet before the shuffle already, so a hot blob is a row per scan task
-    blobs = blobs.groupBy("blob").agg(F.first("body").alias("body"))
+    body = text_or_empty(content)
+    blobs = versions.selectExpr(f"sha2(cast({body} as binary), 256) as blob", f"{body} as body")
+    keys = f"array({', '.join(literal(r.key) for r in rules)})"
     known = read_ledger(spark, ledger).select("blob", F.explode("scanned").alias("key"))
-    known = known.groupBy("blob").agg(F.collect_set("key").alias("seen"))  # as many keys as rules have versions
-    todo = blobs.join(known, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    body = F.col("body")
-    due = {r.key: ~F.array_contains("seen", r.key) for r in rules}
-    fresh = F.filter(F.array(*[F.lit(r.key) for r in rules]), lambda k: ~F.array_contains("seen", k))
-    found = [F.when(due[r.key], _scan(body, r, i)).otherwise(F.array().cast(_SPANS)) for i, r in enumerate(rules)]
-    batch = todo.withColumn("scanned", fresh).where(F.size("scanned") > 0)
-    batch.select("blob", "scanned", F.concat(*found).cast(_SPANS).alias("found")).write.mode("append").parquet(ledger)
+    if known.isEmpty():
+        batch = blobs.groupBy("blob").agg(F.first("body").alias("body")).selectExpr("*", f"{keys} as scanned")
+    else:
+        known = known.groupBy("blob").agg(F.collect_set("key").alias("seen"))  # as many keys as rules have versions
+        asked = blobs.select("blob").distinct().join(known, "blob", "left")
+        asked = asked.selectExpr("blob", f"array_except({keys}, coalesce(seen, array())) as scanned")
+        due = materialize(asked.where("size(scanned) > 0"), "due")
+        many = due.limit(DUE + 1).count()
+        if not many:
+            return
+        if many <= DUE:
+            due = F.broadcast(due)
+            # the join drops what isn't due before copies meet and bodies move
+            batch = blobs.join(due, "blob").groupBy("blob").agg(F.first("body").alias("body"), F.first("scanned").alias("scanned"))
+        else:
+            batch = blobs.groupBy("blob").agg(F.first("body").alias("body")).join(due, "blob")
+    found = [f"if(array_contains(scanned, {literal(r.key)}), {_scan('body', r, i)}, cast(array() as {_SPANS}))" for i, r in enumerate(rules)]
+    batch.selectExpr("blob", "scanned", f"concat({', '.join(found)}) as found").write.mode("append").parquet(ledger)
 
 
 def findings(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """blob, spans of the current rule versions, for blobs with any; kinds without their version."""
+    """blob, spans of the current rule versions, for blobs with any; kinds without their version.
+    A pair that two runs have scanned at once stands in the ledger twice and counts once."""
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     rows = read_ledger(spark, ledger).where(F.size("found") > 0).select("blob", F.explode("found").alias("s"))
     rows = rows.where(F.col("s.kind").isin(*[r.key for r in rules])).select(
@@ -106,7 +119,7 @@ def findings(spark: SparkSession, ledger: str, rules: Sequence[Rule] = RULES) ->
         ).alias("s"),
     )
     # spans of one text; written, so that adaptive execution can split the join with the paths
-    return materialize(rows.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("secrets")), "findings")
+    return materialize(rows.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("secrets")), "findings")
 
 
 def scan_secrets(
@@ -122,8 +135,7 @@ def scan_secrets(
     spark = versions.sparkSession
     path = ledger or scratch_path(spark, "ledger")
     update_ledger(versions, content, path, rules)
-    text = F.coalesce(F.col(content), F.lit(""))
-    addressed = versions.drop("secrets").withColumn("blob", F.sha2(text.cast("binary"), 256))
+    addressed = versions.drop("secrets").withColumn("blob", F.expr(f"sha2(cast({text_or_empty(content)} as binary), 256)"))
     return addressed.join(findings(spark, path, rules), "blob", "left").withColumn(
         "secrets", F.coalesce("secrets", F.array().cast(_SPANS))
     )
@@ -132,11 +144,11 @@ def scan_secrets(
 def secrets_digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     """Per document: counts of the base rules, the hash of the base spans, and all spans."""
     found = scan_secrets(docs.select("doc_id", "text"), "text", ledger)
-    spans = F.col("secrets")
-    return found.select(
+    base = f"filter(secrets, s -> s.kind in ({', '.join(map(literal, BASE))}))"
+    return found.selectExpr(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(joined_spans(F.filter(spans, lambda s: s["kind"].isin(*BASE))).cast("binary"), 256).alias("base_sha256"),
-        joined_spans(spans).alias("spans"),
-        F.col("blob"),
+        *[f"cast(size(filter(secrets, s -> s.kind = '{k}')) as long) as n_{k}" for k in BASE],
+        f"sha2(cast({joined_spans(base)} as binary), 256) as base_sha256",
+        f"{joined_spans('secrets')} as spans",
+        "blob",
     )

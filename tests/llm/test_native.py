@@ -28,6 +28,9 @@ TEXTS = [
     "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 18 + " xoxb-1234567890-abc",
     "a" * 60_000 + "." * 50 + "1" * 60_000 + "@" + "b." * 20_000 + "c" + "5 " * 30_000,
     "word " * 20_000 + "x@y.zz" + " +1 (980) 555-6268" * 300,
+    "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 and 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1",
+    "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 beside 12",
+    "😀 x@y.zz, é 4111 1111 1111 1111 " * 700 + "end",
 ]
 
 
@@ -110,6 +113,23 @@ def test_confirmed_kinds_and_context(docs):
     assert out[8] == "ssn:4:15,ssn:19:30"  # the last has no word nearby
 
 
+def test_time_follows_the_number_of_matches(spark, docs):
+    import time
+
+    def seconds(n):
+        df = docs([(1, "mail x@y.zz, token=abcd1234 and 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 " * n)])
+        start = time.perf_counter()
+        row = pii_digest(df).first()
+        assert (row.n_email, row.n_card) == (n, n) and secrets_digest(df).first().n_assign == n
+        masked = mask_pii(df).first().text
+        assert masked == "mail [EMAIL], token=abcd1234 and [CARD] " * n
+        return time.perf_counter() - start
+
+    seconds(10)
+    few, many = seconds(5_000), seconds(100_000)
+    assert many < 25 * few  # a hundred thousand matches of each kind, twenty times as many
+
+
 def test_mask(docs):
     rows = [(1, "mail x@y.zz, call +1 (980) 555-6268!"), (2, None), (3, "clean"), (4, "😀 card 4111 1111 1111 1111.")]
     got = {r.doc_id: r.text for r in mask_pii(docs(rows)).collect()}
@@ -138,6 +158,30 @@ def test_ledger_scans_each_pair_once(spark, docs, tmp_path):
     assert {s.kind for r in out.collect() for s in r.secrets} == {"hex"}
 
 
+def test_ledger_fetches_due_bodies_alone(spark, docs, tmp_path, monkeypatch):
+    from linkgraph.llm import secrets
+
+    path = str(tmp_path / "ledger")
+    rule = [Rule("hex", 1, "[0-9a-f]{32,}+")]
+    rows = [(i, f"text {i % 7} " + "f" * 32) for i in range(70)]
+    update_ledger(docs(rows), "text", path, rule)
+    scanned = []
+    whole = secrets._scan
+    monkeypatch.setattr(secrets, "_scan", lambda *a: scanned.append(a[1].key) or whole(*a))
+    update_ledger(docs(rows), "text", path, rule)
+    assert not scanned  # nothing due: no text is touched
+    for few in (50_000, 0):
+        monkeypatch.setattr(secrets, "DUE", few)
+        update_ledger(docs([*rows, *[(1, f"new {few} deadbeef")] * 5]), "text", path, rule)
+    assert sorted(r.n for r in read_ledger(spark, path).groupBy("blob").agg(F.count("*").alias("n")).collect()) == [1] * 9
+    read_ledger(spark, path).write.mode("append").parquet(path)  # as if two runs had scanned them at once
+    out = scan_secrets(docs(rows), "text", path, rule).collect()
+    assert len(out) == 70 and all([(s.start, s.end) for s in r.secrets] == [(7, 39)] for r in out)
+    clash = docs([(1, "f" * 32, "a", "b", "c", "d", "e")], "doc_id long, text string, secrets string, body string, scanned string, seen string, blob string")
+    row = scan_secrets(clash, "text", path, rule).first()
+    assert (row.body, row.scanned, row.seen) == ("b", "c", "d") and len(row.secrets) == 1 and len(row.blob) == 64
+
+
 def shard_rows(docs, rows, n=8, grown=9, **more):
     df = docs(rows)
     return assign_shards(df, "doc_id", "text", dict.fromkeys(range(n), 1.0), dict.fromkeys(range(grown), 1.0), **more)
@@ -163,6 +207,29 @@ def test_sharding_laws(docs):
         assert per_key.setdefault(r.doc_id, (r.shard, r.grown_shard)) == (r.shard, r.grown_shard)
 
 
+def test_winner_equals_plain_rendezvous(spark, docs):
+    """The winner worked out one shard at a time in Python, from Spark's own 64-bit hashes alone."""
+    import math
+
+    weights = {0: 1.0, 3: 0.5, 7: 2.0, 9: 1.0}
+    rows = [(i, None) for i in range(-50, 400)] + [(None, None)]
+    hashes = docs(rows).select("doc_id", *[F.xxhash64(F.lit(f"shard-{s}"), F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(f"h{s}") for s in weights])
+    want = {}
+    for r in hashes.collect():
+        score = {s: -math.log(((r[f"h{s}"] % 2**64 >> 11) + 0.5) / 2**53) / w for s, w in weights.items()}
+        want[r.doc_id] = min(weights, key=lambda s: (score[s], s))
+    assert {r.doc_id: r.shard for r in assign_shards(docs(rows), "doc_id", "text", weights).collect()} == want
+    assert set(want.values()) == set(weights)
+
+
+def test_sharding_odd_columns(docs):
+    """Clashing names and a very long text."""
+    clash = "shard slot size text_crc32 grown_shard bucket task key first nth before count"
+    df = docs([(1, "x" * 3_000_000, *clash.split()), (1, None, *clash.split())], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash.split()))
+    out = assign_shards(df, "doc_id", "text", {0: 1.0}).collect()
+    assert sorted((r.doc_id, r.size, r.shard, r.slot) for r in out) in ([(1, 1, 0, 0), (1, 3_000_001, 0, 1)], [(1, 1, 0, 1), (1, 3_000_001, 0, 0)])
+
+
 def test_sharding_weights_and_order(docs):
     rows = [(i, "t") for i in range(6000)]
     out = assign_shards(docs(rows), "doc_id", "text", {0: 1.0, 1: 2.0, 2: 3.0}).groupBy("shard").count().collect()
