@@ -45,6 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, each: int) -> int:
+    """One partition for each ``each`` bytes that Catalyst expects of the rows (for a table, of its
+    files), and as many as shuffle partitions at least; also where it has no figure."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // each)) if size < 1 << 60 else least
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this process has materialized.  Results that still read it become invalid."""
     jvm = spark.sparkContext._jvm

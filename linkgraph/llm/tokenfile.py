@@ -14,6 +14,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 from operator import itemgetter
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import held, map_arrow, materialize, scratch_path
+from linkgraph.llm.common import held, map_arrow, materialize, partitions_for, scratch_path
 
 MAGIC = b"LGTOK001"
 #: magic, id width, documents, ids, null doc_ids, least doc_id, bytes of the ids, of the boundaries
@@ -34,6 +35,8 @@ FOOTER = struct.Struct("<8sIQQQqQQ")
 SAMPLE = 256
 #: Chunks that an encoder remembers.
 REMEMBERED = 600_000
+#: Bytes of ids that are read at once; bytes of a table's files that go to a shard.
+READ, SHARD = 16 << 20, 256 << 20
 #: What a text of plain Latin characters lacks: all past the Latin letters that no normal form takes
 #: apart, and the one capital there whose small form isn't a single letter.
 BEYOND = re.compile("[^\\x00-\\u024f]|\u0130")
@@ -61,8 +64,10 @@ class EliasFano:
         n = len(values)
         most = int(values[-1]) if n else 0
         low_bits = max(0, (most // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        # a multiple of 8 values at a time ends at a byte
+        places = np.arange(low_bits, dtype=np.uint64)
+        parts = (values[k : k + (1 << 16), None] >> places & np.uint64(1) for k in range(0, n, 1 << 16))
+        low = np.concatenate([np.zeros(0, np.uint8), *(np.packbits(p.astype(np.uint8).ravel(), bitorder="little") for p in parts)])
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
@@ -128,8 +133,7 @@ class ShardWriter:
     def __init__(self, fs: pafs.FileSystem, path: str, width: int):
         self.fs, self.path, self.width = fs, path, width
         self.ids = self.nulls = 0
-        self.ends: list[int] = []
-        self.docs: list[int] = []
+        self.ends, self.docs = array("Q"), array("q")  # 8 bytes a document
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.out = fs.open_output_stream(path)
 
@@ -144,8 +148,8 @@ class ShardWriter:
 
     def close(self) -> None:
         least = self.docs[0] if self.docs else 0
-        ends = EliasFano.build(np.array(self.ends, np.uint64)).to_bytes()
-        docs = EliasFano.build(np.array([d - least for d in self.docs], np.uint64)).to_bytes()
+        ends = EliasFano.build(np.frombuffer(self.ends, np.uint64)).to_bytes()
+        docs = EliasFano.build((np.frombuffer(self.docs, np.int64) - least).view(np.uint64)).to_bytes()
         self.out.write(ends)
         self.out.write(docs)
         # last, since the stream is written once, front to back
@@ -178,19 +182,18 @@ class ShardReader:
         start, end = self.bounds(i)
         return np.frombuffer(self._read(start * self.width, (end - start) * self.width), f"<u{self.width}")
 
-    def block(self, start: int, stop: int) -> tuple[list[int | None], np.ndarray, Iterator[np.ndarray]]:
-        """doc_ids, bounds (one more) and ids of documents start to stop."""
+    def block(self, start: int, stop: int, most: int = READ) -> tuple[list[int | None], np.ndarray, list[np.ndarray]]:
+        """doc_ids, bounds (one more) and ids of documents from start on, to stop or as far as ``most``
+        bytes of ids go (one document at least); the ids are read in one range."""
         ends = self.ends.range(start, stop).astype(np.int64)
-        bounds = np.concatenate([[self.ends[start - 1] if start else 0], ends])
+        first = self.ends[start - 1] if start else 0
+        stop = start + max(1, int(np.searchsorted(ends, first + most // self.width, "right")))
+        bounds = np.concatenate([[first], ends[: stop - start]])
         some = max(start, self.nulls)
         docs = [None] * (some - start if some < stop else stop - start)
         docs += [int(x) + self.least for x in self.docs.range(some - self.nulls, stop - self.nulls)] if some < stop else []
-
-        def ids() -> Iterator[np.ndarray]:
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                yield np.frombuffer(self._read(a * self.width, (b - a) * self.width), f"<u{self.width}")
-
-        return docs, bounds, ids()
+        data = np.frombuffer(self._read(first * self.width, int(bounds[-1] - first) * self.width), f"<u{self.width}")
+        return docs, bounds, [data[a:b] for a, b in pairwise((bounds - first).tolist())]
 
 
 class CachedEncoder:
@@ -201,6 +204,9 @@ class CachedEncoder:
     blanks, tabs and line ends in turn.  A text of plain Latin characters is lower-cased before, and
     ASCII marks are set apart from its letters and digits, so that fewer chunks differ.  New chunks
     are encoded many at a time, and offsets deal out the ids.
+
+    Added tokens are found in the raw text, before any of that, so a text that holds one goes to the
+    library whole.
     """
 
     def __init__(self, definition: str):
@@ -208,10 +214,12 @@ class CachedEncoder:
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         probe = ["ab", " ab", "ab ", "ab cd", "a\tb\r\n c", "Ab.", "(ab) &CD&", "é! 7a?", "It's!'"]
-        self.splits = all(self._plain(p) == [i for c in self._chunks(p) for i in self._plain(c)] for p in probe)
+        # one that is sought in the normalised text could stand there alone
+        self.splits = not any(t.normalized for t in added) and all(self._plain(p) == [i for c in self._chunks(p) for i in self._plain(c)] for p in probe)
         self.known: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
@@ -237,10 +245,9 @@ class CachedEncoder:
 
     def encode_batch(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end = np.array([end_id], "<u4").tobytes()
-        if not self.splits:
-            coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.frombuffer(np.array(x.ids, "<u4").tobytes() + end, "<u4") for x in coded]
-        cut = [self._chunks(t) for t in texts]
+        whole = [i for i, t in enumerate(texts) if not self.splits or self.added.search(t)]
+        library = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
+        cut = [[] if i in library else self._chunks(t) for i, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
@@ -248,7 +255,8 @@ class CachedEncoder:
         # one look-up of all chunks of a text; the two more keep it a tuple
         self.known[""] = b""
         found = (itemgetter("", "", *chunks)(self.known) for chunks in cut)
-        return [np.frombuffer(b"".join(f) + end, "<u4") for f in found]
+        packed = (np.array(library[i].ids, "<u4").tobytes() if i in library else b"".join(f) for i, f in enumerate(found))
+        return [np.frombuffer(p + end, "<u4") for p in packed]
 
 
 def _encoder(definition: str) -> CachedEncoder:
@@ -277,10 +285,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     by a hash of the text, so that a doc_id on very many rows is split).  Returns the manifest, one
     row per shard: shard, file, documents, ids.  An attempt writes a file of its own and the manifest
     names those of the attempts that counted, so a repeated task leaves no mark.  Null texts are
-    empty; an empty table has no shards; further columns are ignored.
+    empty; an empty table has no shards; further columns are ignored.  Without ``shards`` there is one
+    for each SHARD bytes of the table's files, and as many as shuffle partitions at least.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or partitions_for(docs, SHARD)
     shipped = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))  # a file of fixed size
     slim = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     ordered = slim.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "d", "h").sortWithinPartitions("d", "h", "t")
@@ -310,15 +319,17 @@ def read_tokens(manifest: DataFrame, folder: str, block: int = 4096) -> DataFram
     """
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     based = manifest.withColumn("base", F.coalesce(before, F.lit(0)))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 reader = ShardReader(fs, f"{root}/{row['file']}")
-                for at in range(0, reader.n, block):
+                at = 0
+                while at < reader.n:
                     docs, bounds, ids = reader.block(at, min(at + block, reader.n))
+                    at += len(docs)
                     crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs, pa.int64()), pa.array(bounds[:-1] + row["base"]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())],

@@ -14,9 +14,13 @@ from hypothesis import strategies as st
 from linkgraph.llm import tokenfile
 
 WORDS = P.path("word_bpe_49k.json")
+#: The library as it loads the file, added tokens in a text included.
 BRUTE = tokenizers.Tokenizer.from_file(WORDS)
-BRUTE.encode_special_tokens = True
-TEXTS = [None, "", "  ", "Plain words, don't!", "é́ Σ ΑΣ ΟΔΟΣ\tx\r\ny\x0bz\x1cw\x85v  u", "<|endoftext|> a<|startoftext|>b", "x" * 5000, "ab " * 9000, " ́a ﷺ ǅ İstanbul 123"]
+TEXTS = [None, "", "  ", "Plain words, don't!", "é́ Σ ΑΣ ΟΔΟΣ\tx\r\ny\x0bz\x1cw\x85v  u", "<|endoftext|> a<|startoftext|>b", "<|EndOfText|> a <|endoftext|", "Word.<|endoftext|>(word", "x" * 5000, "ab " * 9000, " ́a ﷺ ǅ İstanbul 123"]
+
+
+#: Added tokens in either case and in parts, beside letters, marks and blanks.
+PIECES = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "endoftext", "a", "É", " ", "\n", ".", "'s", "x1"]), max_size=12).map("".join)
 
 
 def brute(text):
@@ -42,7 +46,7 @@ def test_space(tmp_path):
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(max_size=80) | st.text("aBÉß'.!(&*= \n\u0301\u00a01²़क़ſ", max_size=40))
+@given(st.text(max_size=80) | st.text("aBÉß'.!(&*= \n\u0301\u00a01²़क़ſ", max_size=40) | PIECES)
 def test_chunks_equal_whole_texts(text):
     encoder = tokenfile._encoder(open(WORDS, encoding="utf-8").read())
     assert encoder.splits
@@ -82,5 +86,31 @@ def test_random_access(docs, tmp_path):
     assert seen == [None, *range(0, 7000, 10)]
 
 
+def test_blocks_are_read_in_ranges(docs, tmp_path):
+    folder = str(tmp_path / "tokens")
+    rows = [(i, "word " * (i % 5) + "long " * (3000 if i == 40 else 0)) for i in range(90)]
+    manifest = tokenfile.write_tokens(docs(rows), WORDS, folder, shards=1).collect()
+    reader = tokenfile.ShardReader(pafs.LocalFileSystem(), f"{folder}/{manifest[0].file}")
+    reads = []
+    read = reader._read
+    reader._read = lambda at, size: reads.append(size) or read(at, size)
+    at, seen = 0, []
+    while at < reader.n:
+        ids, bounds, found = reader.block(at, min(at + 50, reader.n), 100)
+        assert [x.tolist() for x in found] == [brute(dict(rows)[i]) for i in ids] and len(bounds) == len(ids) + 1
+        at += len(ids)
+        seen += ids
+    assert seen == list(range(90)) and len(reads) < 20
+    assert max(reads) == 2 * 3001 and all(r <= 100 or r == max(reads) for r in reads)
+
+
+def test_clashing_columns(spark, docs):
+    clash = "d t h shard file documents ids base start n_tokens ids_crc32".split()
+    df = docs([(2, "two words", *clash), (1, None, *clash)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    out = sorted(map(tuple, tokenfile.tokenfile_digest(df, WORDS).collect()))
+    crc = lambda t: zlib.crc32(np.array(brute(t), "<u4").tobytes())
+    assert out == [(1, 0, 1, crc("")), (2, 1, len(brute("two words")), crc("two words"))]
+
+
 def test_empty(docs):
     assert tokenfile.tokenfile_digest(docs([]), WORDS).count() == 0
