@@ -2,15 +2,23 @@
 
 A document is contaminated by an item if some passage of it is within an edit distance of
 (1 - similarity) of the item's length; texts are compared in lower case with white space as single
-blanks.  Item-sized windows are embedded by the random walk of Chakraborty, Goldenberg and Koucky:
-the walk copies the window's character at each of 3N steps and moves on by a random bit that
-depends on step and character, so that few edits leave the Hamming distance small.  Each of WALKS
-walks is sampled in PAIRS repetitions of two positions; a window collides with the item if any
-repetition agrees, and exact semi-global edit distance (Myers' bit vectors) decides.
-
-Windows are taken wherever at least SEEDS of the item's q-grams stand in a document at offsets that
-fit one placement (within the allowed edits); elsewhere no window is embedded.  Passages whose edits
-leave fewer intact q-grams than that are missed; tests/llm/test_decontaminate.py measures the recall.
+blanks.  Texts are embedded by the random walk of Chakraborty, Goldenberg and Koucky: it copies the
+character it stands on at each step and moves on by a random bit that depends on step and character,
+so that two texts which differ by edits fall into step again, and Hamming distance stands for edit
+distance.
+
+1. Item-sized windows begin at every STRIDE-th place of a document, and at every place of an item, so
+   wherever a passage stands its windows meet those of the item in many alignments.  The index holds,
+   for each of several walks, the items' windows by a hash of SAMPLES of the first STEPS characters
+   that the walk copies: two windows that are in step stay so there most likely, so each alignment and
+   walk is one more repetition of the sampling.  The number of walks is the least that reaches RECALL
+   on copies of the items with random edits up to the bound (``walks_for``).
+2. A pair of windows that collide goes on walking to both ends of the item.  Pairs whose embeddings
+   agree in fewer than AGREE of the characters are dropped; unrelated texts agree in about 0.08.
+3. What is left is decided by the exact semi-global edit distance (Myers' bit vectors).
+
+Items under SHORT characters, too short for such samples, are found exactly: of allowed + 1 parts one
+is free of edits, so every place of a part is verified.
 
 The benchmark is broadcast in blocks of bounded size; documents are mapped row by row, without a
 shuffle, whatever number of them shares a passage.
@@ -21,23 +29,34 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from linkgraph.llm.common import fresh, held, map_arrow
+from linkgraph.llm.common import fresh, held, map_arrow, materialize
 
 SIMILARITY = 0.8
-#: Shortest item that is sought, in characters: below it a match tells nothing.
-SHORTEST = 24
-Q, SEEDS = 10, 6
-WALKS, PAIRS = 8, 8
-#: Characters of benchmark items in a broadcast; characters of documents that are searched at a time.
-BLOCK, CHUNK = 1 << 21, 1 << 22
+#: Windows begin at every STRIDE-th character of a document; a walk's steps and how many are sampled.
+STRIDE, STEPS, SAMPLES = 2, 32, 16
+#: Recall that the walks must reach on edited copies, the least walks, and the most.
+RECALL, LEAST, MOST = 0.995, 5, 16
+#: Items that the recall is measured on at most, the shortest ones: they have the fewest alignments.
+MEASURED = 256
+#: Steps of the walk to either side of a pair that collides.
+FURTHER = 192
+#: Share of the characters on the way to both ends that must agree, and where no other pair bears it out.
+AGREE, ALONE = 0.15, 0.25
+#: Length from which items go through the index.
+SHORT = 32
+#: Characters of benchmark items in a broadcast; characters of documents that are searched at a time;
+#: windows that walk side by side; pairs that are verified side by side.
+BLOCK, CHUNK, SIDE, PAIRS = 1 << 21, 1 << 22, 1 << 15, 2048
 FOUND = "array<struct<item_id:bigint,distance:int,similarity:double,start:int,end:int>>"
 
 
@@ -49,15 +68,11 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def grams(x: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of the Q = 10 characters from each position on, by doubling."""
-    mul = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in (1, 2, 4)]
-    one = (x + np.uint32(1)) * np.uint32(0x85EBCA6B)
-    two = one[:-1] * mul[0] + one[1:]
-    four = two[:-2] * mul[1] + two[2:]
-    eight = four[:-4] * mul[2] + four[4:]
-    ten = eight[:-2] * mul[1] + two[8:]
-    return (ten ^ (ten >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+def small(x: np.ndarray) -> np.ndarray:
+    """A byte for each character, 0 for the separator alone: what the walks copy."""
+    byte = ((x ^ x >> np.uint32(8)) & np.uint32(255)).astype(np.uint8)
+    byte[(byte == 0) & (x != 0)] = 255
+    return byte
 
 
 def edit_distance(item: str, text: str) -> tuple[int, int]:
@@ -88,139 +103,260 @@ def edit_distance(item: str, text: str) -> tuple[int, int]:
     return best
 
 
+def edit_distances(items: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``edit_distance`` of many pairs side by side: 64 characters of the items a word, the words joined
+    by the differences that leave one and enter the next (Hyyro)."""
+    m = len(items)
+    best, end = np.array([len(t) for t in items], np.int64), np.zeros(m, np.int64)
+    if not m:
+        return best, end
+    letters = np.unique(codes("".join(set(items))))
+    dense = lambda text: np.where(letters.take(at := np.searchsorted(letters, text), mode="clip") == text, at + 1, 0)
+    distinct, which = np.unique(np.array(items, object), return_inverse=True)
+    size = np.array([len(t) for t in distinct], np.int64)
+    words = -(-int(size.max()) // 64)
+    eq = np.zeros((words, len(distinct) * (len(letters) + 1)), np.uint64)
+    for k, t in enumerate(distinct):
+        place = np.arange(len(t))
+        np.bitwise_or.at(eq, (place // 64, k * (len(letters) + 1) + dense(codes(t))), np.uint64(1) << (place % 64).astype(np.uint64))
+    long = np.array([len(t) for t in texts], np.int64)
+    table = np.zeros((int(long.max()), m), np.int64)
+    for k, t in enumerate(texts):
+        table[: len(t), k] = dense(codes(t))
+    table += which * (len(letters) + 1)
+    last = (size[which] - 1) // 64
+    top = np.uint64(1) << ((size[which] - 1) % 64).astype(np.uint64)
+    up = np.full((words, m), ~np.uint64(0))
+    down = np.zeros((words, m), np.uint64)
+    score, one, high = best.copy(), np.uint64(1), np.uint64(63)
+    for at in range(len(table)):
+        row = table[at]
+        more, less = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+        for w in range(words):
+            same, pv, mv = eq[w].take(row), up[w], down[w]
+            xv = same | mv
+            same |= less
+            xh = ((same & pv) + pv) ^ pv | same
+            ph, mh = mv | ~(xh | pv), pv & xh
+            here = last == w
+            if here.any():
+                score += here * ((ph & top != 0).astype(np.int64) - (mh & top != 0))
+            ph1, mh1 = ph << one | more, mh << one | less
+            more, less = ph >> high, mh >> high
+            up[w], down[w] = mh1 | ~(xv | ph1), ph1 & xv
+        better = (score < best) & (at < long)
+        best[better], end[better] = score[better], at + 1
+    return best, end
+
+
+class Walk:
+    """One random walk: a bit for each step and character, and the steps that are sampled."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng((20, seed))
+        self.bits = rng.integers(0, 2, (STEPS, 256), np.uint8).astype(np.int64)
+        on = rng.integers(0, 2, (FURTHER, 256), np.uint8).astype(np.int64)  # for the way on, to either side
+        on[:, 0] = 0
+        self.on = np.stack([np.zeros_like(on), on, -on], axis=1)
+        self.sampled = np.zeros(STEPS, bool)
+        self.sampled[0] = True
+        self.sampled[1 + rng.permutation(STEPS - 1)[: SAMPLES - 1]] = True
+
+    def keys(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A 32-bit hash of the characters that are sampled from each start on; x ends in STEPS zeros."""
+        out = np.empty(len(starts), np.uint32)
+        for at in range(0, len(starts), SIDE):
+            place = starts[at : at + SIDE].copy()
+            key = np.zeros(len(place), np.uint32)
+            ch, bit = np.empty(len(place), np.uint8), np.empty(len(place), np.int64)
+            for step in range(STEPS):
+                x.take(place, out=ch, mode="clip")
+                if self.sampled[step]:
+                    key *= np.uint32(0x9E3779B1)
+                    key += ch
+                self.bits[step].take(ch, out=bit, mode="clip")
+                place += bit
+            key ^= key >> np.uint32(15)
+            key *= np.uint32(0x2C1B3C6D)
+            out[at : at + SIDE] = key ^ key >> np.uint32(13)
+        return out
+
+    def agreement(self, x: np.ndarray, place: np.ndarray, y: np.ndarray, other: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(steps, agreeing steps) of a walk over x and y side by side, forwards or backwards (``step`` 1
+        or -1), for FURTHER steps or until it leaves its text in y: texts are ended by a 0, where a walk stays."""
+        place, other = place.copy(), other.copy()
+        steps, same = np.zeros(len(place), np.int32), np.zeros(len(place), np.int32)
+        for n in range(FURTHER):
+            a, b = x.take(place, mode="clip"), y.take(other)
+            inside = b != 0
+            if not n % 32 and not inside.any():
+                break
+            steps += inside
+            same += inside & (a == b)
+            place += self.on[n, step][a]
+            other += self.on[n, step][b]
+        return steps, same
+
+
+def _edited(rng: np.random.Generator, x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """x with an edit at each of some ascending places: a third each replaced, deleted and inserted."""
+    parts, at = [], 0
+    for place in places.tolist():
+        kind, letter = rng.integers(3), rng.choice(x)
+        parts += [x[at:place], np.array([letter] if kind == 0 else [] if kind == 1 else [letter, x[place]], np.uint8)]
+        at = place + 1
+    return np.concatenate([*parts, x[at:]])
+
+
+def walks_for(texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The least number of walks, LEAST at least, by which ``recall`` of the edited copies of items share a key.
+
+    Of each item one copy has all the edits that are allowed at random places, and one has half of
+    them at even distances, where no long part is left whole; copies begin anywhere in a document's
+    stride.  The items are the MEASURED shortest that go through the index.
+    """
+    rng = np.random.default_rng(21)
+    chosen = sorted({t for t in texts if len(t) >= SHORT}, key=lambda t: (len(t), t))[:MEASURED]
+    pairs = []
+    for text in chosen:
+        x = small(codes(text))
+        edits = max(1, int((1 - similarity) * len(x) + 1e-9))
+        even = np.linspace(0, len(x) - 1, edits // 2 + 2).astype(int)[1:-1]
+        for places in (np.sort(rng.choice(len(x), edits, replace=False)), even):
+            pairs.append((x, np.concatenate([rng.choice(x, int(rng.integers(STRIDE))), _edited(rng, x, places)])))
+    found = np.zeros(len(pairs), bool)
+    for k in range(MOST):
+        if k >= LEAST and (found.all() or found.mean() >= recall):
+            return k
+        walk = Walk(k)
+        for i in np.flatnonzero(~found).tolist():
+            # what follows the two texts differs
+            x, copy = (np.concatenate([a, np.full(STEPS, k, np.uint8)]) for k, a in enumerate(pairs[i]))
+            mine = walk.keys(copy, np.arange(0, len(pairs[i][1]), STRIDE))
+            found[i] = np.isin(mine, walk.keys(x, np.arange(len(pairs[i][0])))).any()
+    return MOST
+
+
 @dataclass
 class Items:
-    """A block of benchmark items and what the search needs of them; built once a worker."""
+    """A block of benchmark items and the index over their windows; built once a worker."""
 
     ids: list[int | None]
     texts: list[str]
     similarity: float = SIMILARITY
+    walks: int = 0
 
     def __post_init__(self):
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.allowed = np.floor((1 - self.similarity) * self.length + 1e-9).astype(np.int64)
-        parts = [grams(codes(t)) for t in self.texts]
-        gram = np.concatenate(parts)
-        item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        offset = np.concatenate([np.arange(len(p)) for p in parts])
-        order = np.argsort(gram, kind="stable")
-        self.item, self.offset = item[order], offset[order]
-        self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
-        bits = min(24, max(16, (32 * len(self.gram)).bit_length()))
-        self.shift = np.uint32(32 - bits)
-        self.bitmap = np.zeros(1 << bits, bool)
-        self.bitmap[self.gram >> self.shift] = True
-        rng = np.random.default_rng(20)
-        steps = 3 * int(self.length.max())
-        self.walk = rng.integers(0, 2, (WALKS, steps, 256), np.uint8)
-        self.at = rng.random((WALKS, PAIRS, 2))
-        self.embedded: dict[int, np.ndarray] = {}
-
-    def embed(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The sampled characters (window, walk, pair, 2) of the windows of x at ``starts`` with
-        ``sizes`` characters, all walks side by side; what lies outside of x reads as 0."""
-        out = np.zeros((len(starts), WALKS, PAIRS, 2), np.uint32)
-        order = np.argsort(sizes, kind="stable")
-        most = int(sizes.max()) if len(sizes) else 0
-        padded = np.concatenate([np.zeros(most, np.uint32), x, np.zeros(most, np.uint32)])
-        walk = np.arange(WALKS)[:, None]
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
-            n = sizes[part]
-            base = np.clip(starts[part], -most, len(x)) + most
-            steps = 3 * int(n[-1])
-            copied = np.zeros((steps, WALKS, len(part)), np.uint32)
-            i = np.zeros((WALKS, len(part)), np.int64)
-            for step in range(steps):
-                inside = i < n
-                ch = padded[base + np.minimum(i, n - 1)] * inside
-                copied[step] = ch
-                i += self.walk[walk, step, (ch ^ ch >> 8) & 255] & inside
-            place = (self.at * (3 * n[:, None, None, None])).astype(np.int64)
-            out[part] = copied[place, walk[None, :, :, None], np.arange(len(part))[:, None, None, None]]
+        long = np.flatnonzero(self.length >= SHORT)
+        # the long items, each between zeros
+        self.y = np.concatenate([np.zeros(1, np.uint8), *(part for i in long.tolist() for part in (small(codes(self.texts[i])), np.zeros(1, np.uint8))), np.zeros(STEPS, np.uint8)])
+        self.begin = np.zeros(len(self.texts), np.int64)
+        self.begin[long] = 1 + np.concatenate([[0], (self.length[long] + 1).cumsum()[:-1]]) if len(long) else 0
+        window = np.arange(int(self.length[long].sum()))
+        self.owner = np.repeat(long, self.length[long])
+        self.place = window - np.repeat(self.length[long].cumsum() - self.length[long], self.length[long]) + self.begin[self.owner]
+        self.index = []
+        bits = max(12, (16 * len(window)).bit_length())
+        self.shift = np.uint32(32 - min(bits, 28))
+        for k in range((self.walks or walks_for(self.texts, self.similarity)) if len(long) else 0):
+            walk = Walk(k)
+            key = walk.keys(self.y, self.place)
+            order = np.argsort(key, kind="stable")
+            seen = np.zeros(1 << (32 - int(self.shift)), bool)
+            seen[key >> self.shift] = True
+            values, first, count = np.unique(key[order], return_index=True, return_counts=True)
+            self.index.append((walk, seen, values, first, count, order))
+        self.parts = self._parts(np.flatnonzero((self.length > 0) & (self.length < SHORT)))
+
+    def _parts(self, items: np.ndarray) -> list[tuple[str, int, int]]:
+        """(part, item, offset): each short item cut into one part more than edits are allowed."""
+        out = []
+        for i in items.tolist():
+            cuts = np.linspace(0, self.length[i], int(self.allowed[i]) + 2).astype(int).tolist()
+            out += [(self.texts[i][a:b], i, a) for a, b in pairwise(cuts)]
         return out
 
-    def agreeing(self, x: np.ndarray, starts: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which windows agree with their items in any repetition."""
-        missing = [i for i in np.unique(item).tolist() if i not in self.embedded]
-        if missing:
-            joined = codes("".join(self.texts[i] for i in missing))
-            sizes = self.length[missing]
-            self.embedded.update(zip(missing, self.embed(joined, sizes.cumsum() - sizes, sizes), strict=True))
-        if not len(starts):
-            return np.zeros(0, bool)
-        own = np.stack([self.embedded[i] for i in item.tolist()])
-        return (self.embed(x, starts, self.length[item]) == own).all(axis=3).any(axis=(1, 2))
-
-    def placements(self, x: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, list[int], int]]:
-        """(document, item, window starts, last start) with enough q-grams on like diagonals.  x holds
-        documents that are each followed by a 0; ``ends`` are the places of those."""
-        if len(x) < Q:
-            return
-        h = grams(x)
-        near = np.flatnonzero(self.bitmap[h >> self.shift])
-        found = np.searchsorted(self.gram, h[near])
-        found[found == len(self.gram)] = 0
-        hit = self.gram[found] == h[near]
-        near, found = near[hit], found[hit]
-        if not len(near):
-            return
-        many = self.count[found]
-        place = np.repeat(near, many)
-        which = np.repeat(self.first[found] - (many.cumsum() - many), many) + np.arange(len(place))
-        item, start = self.item[which], place - self.offset[which]
-        document = np.searchsorted(ends, place)
-        span = np.int64(2 * len(x) + 2 * int(self.length.max()))
-        group = document * np.int64(len(self.texts)) + item
-        order = np.lexsort((start, group))
-        group, start, item, document = group[order], start[order], item[order], document[order]
-        # seeds of one document and item whose starts differ by the allowed edits at most
-        rank = np.unique(group, return_inverse=True)[1].astype(np.int64)
-        line = rank * span + start + int(self.length.max())
-        upto = np.searchsorted(line, line + self.allowed[item], "right")
-        need = np.minimum(SEEDS, self.length[item] - Q + 1)
-        full = np.flatnonzero(upto - np.arange(len(line)) >= need)
-        if not len(full):
-            return
-        # every seed of a sufficient run is a window; runs that overlap make one set
-        inside = np.zeros(len(line) + 1, np.int64)
-        np.add.at(inside, full, 1)
-        np.add.at(inside, upto[full], -1)
-        kept = np.flatnonzero(inside.cumsum()[:-1] > 0)
-        cuts = np.flatnonzero((np.diff(rank[kept]) != 0) | (np.diff(start[kept]) > self.allowed[item[kept[:-1]]])) + 1
-        for a, b in pairwise([0, *cuts.tolist(), len(kept)]):
-            own = kept[a:b]
-            starts = np.unique(start[own])
-            # windows a quarter of the allowed edits apart tell the same
-            near = int(self.allowed[item[own[0]]]) // 4 + 1
-            windows = [int(starts[0])]
-            for w in starts[1:].tolist():
-                if w >= windows[-1] + near:
-                    windows.append(w)
-            yield int(document[own[0]]), int(item[own[0]]), windows, int(starts[-1])
+    def collisions(self, x: np.ndarray) -> Iterator[tuple[Walk, np.ndarray, np.ndarray]]:
+        """For each walk (walk, place in x, window of an item) of the windows that collide."""
+        starts = np.arange(0, len(x) - STEPS, STRIDE)
+        for walk, seen, values, first, count, order in self.index:
+            key = walk.keys(x, starts)
+            near = np.flatnonzero(seen.take(key >> self.shift))
+            at = np.searchsorted(values, key[near])
+            at[at == len(values)] = 0
+            hit = values[at] == key[near]
+            near, at = near[hit], at[hit]
+            many = count[at]
+            yield walk, np.repeat(starts[near], many), order[np.repeat(first[at] - (many.cumsum() - many), many) + np.arange(int(many.sum()))]
+
+    def candidates(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows (document, item, start of the item in x, agreeing share in thousandths) of windows whose
+        embeddings agree.  x holds documents that are each followed by a 0; ``ends`` are the places of those."""
+        rows = []
+        for walk, place, window in self.collisions(x):
+            item, other = self.owner[window], self.place[window]
+            start = place - (other - self.begin[item])
+            # one pair for each alignment: the walks from it tell the same
+            group = np.lexsort((other, start, item))
+            new = np.concatenate([[True], (np.diff(start[group]) != 0) | (np.diff(item[group]) != 0)]) if len(group) else np.zeros(0, bool)
+            pick = np.flatnonzero(new)
+            pick = group[(pick + np.concatenate([pick[1:], [len(group)]])[: len(pick)]) // 2] if len(pick) else pick
+            place, other, item, start = place[pick], other[pick], item[pick], start[pick]
+            steps, same = walk.agreement(x, place, self.y, other, 1)
+            back = walk.agreement(x, place - 1, self.y, other - 1, -1)
+            share = 1000 * (same + back[1]) // np.maximum(steps + back[0], 1)
+            ok = share >= 1000 * AGREE
+            document = np.searchsorted(ends, place[ok])
+            rows.append(np.stack([document, item[ok], start[ok], share[ok]], axis=1))
+        return np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
+
+    def placements(self, x: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first start, last start) of candidates whose starts differ by the allowed
+        edits at most from one to the next: two alignments or walks at least, or one that agrees in ALONE."""
+        found = np.unique(self.candidates(x, ends), axis=0)
+        document, item, start, share = found.T
+        apart = (np.diff(document) != 0) | (np.diff(item) != 0) | (np.diff(start) > self.allowed[item[:-1]])
+        cuts = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(found)]])
+        for a, b in pairwise(cuts.tolist()):
+            if b - a > 1 or b > a and share[a] >= 1000 * ALONE:
+                yield int(document[a]), int(item[a]), int(start[a]), int(start[b - 1])
+
+    def short_placements(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, start, start) within a document for every place of a part of a short item."""
+        for d, text in enumerate(texts):
+            for part, i, offset in self.parts:
+                at = text.find(part)
+                while at >= 0:
+                    yield d, i, at - offset, at - offset
+                    at = text.find(part, at + 1)
 
     def search(self, texts: list[str]) -> list[list[tuple]]:
         """For each normalised text (item_id, distance, similarity, start, end) of the items found in
         it, the best place each, by item."""
         joined = "\0".join([*texts, ""])
-        x = codes(joined)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        begins = np.concatenate([[0], ends[:-1] + 1])
         best: list[dict[int, tuple]] = [{} for _ in texts]
-        placed = list(self.placements(x, ends))
-        many = np.array([len(p[2]) for p in placed], np.int64)
-        starts = np.array([w for p in placed for w in p[2]], np.int64)
-        item = np.repeat(np.array([p[1] for p in placed], np.int64), many)
-        agree = np.zeros(len(placed), bool)
-        agree[np.repeat(np.arange(len(placed)), many)[self.agreeing(x, starts, item)]] = True
-        for k in np.flatnonzero(agree).tolist():
-            d, i, windows, last = placed[k]
-            n, allowed = int(self.length[i]), int(self.allowed[i])
-            begin = int(ends[d - 1]) + 1 if d else 0
-            low, high = max(begin, windows[0] - allowed), min(int(ends[d]), last + n + allowed)
-            distance, end = edit_distance(self.texts[i], joined[low:high])
-            if distance <= allowed and (i not in best[d] or distance < best[d][i][1]):
-                stop = low - begin + end
-                best[d][i] = (self.ids[i], distance, 1 - distance / n, max(0, stop - n), stop)
+
+        placed = []
+        if self.index:
+            x = np.concatenate([small(codes(joined)), np.zeros(STEPS, np.uint8)])
+            for d, i, first, last in self.placements(x, ends):
+                # starts come from any alignment: within the allowed edits of the passage's own
+                n, allowed, base = int(self.length[i]), int(self.allowed[i]), int(begins[d])
+                placed.append((d, i, max(first - allowed - base, 0), min(last + n + 2 * allowed - base, len(texts[d]))))
+        for d, i, first, last in self.short_placements(texts):
+            placed.append((d, i, max(first - int(self.allowed[i]), 0), min(last + int(self.length[i] + self.allowed[i]), len(texts[d]))))
+        placed.sort(key=lambda p: (p[3] - p[2], p))
+        for at in range(0, len(placed), PAIRS):
+            part = placed[at : at + PAIRS]
+            distances, stops = edit_distances([self.texts[p[1]] for p in part], [texts[d][low:high] for d, _, low, high in part])
+            for (d, i, low, _), distance, stop in zip(part, distances.tolist(), stops.tolist(), strict=True):
+                if distance <= self.allowed[i] and (i not in best[d] or (distance, low + stop) < (best[d][i][1], best[d][i][4])):
+                    n = int(self.length[i])
+                    best[d][i] = (self.ids[i], distance, 1 - distance / n, max(0, low + stop - n), low + stop)
         return [[found[i] for i in sorted(found)] for found in best]
 
 
@@ -252,29 +388,46 @@ def find_contamination(
     """Append ``out``: the benchmark items that a document holds a passage of, with the edit distance,
     and start and end in the normalised text.
 
-    Null and empty texts hold none; items that are null or shorter than SHORTEST are not sought;
-    items with one text are each reported; repeated documents each get their row, and other columns
-    are carried (one named like ``out`` is replaced).  One pass over the documents for each ``block``
-    characters of the benchmark, so a broadcast never grows with it.
+    Null and empty texts hold none; null and empty items are not sought; items with one text are each
+    reported; repeated documents each get their row, and other columns are carried (one named like
+    ``out`` is replaced).  The benchmark is sought in blocks of ``block`` characters or so, one after
+    the other: only one is on the driver and in a broadcast.  Several blocks need an id a row: then
+    the documents are written with one, and the finds of each block, which are few, are joined to it.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block))
-    result = docs.drop(out).withColumn(out, F.array().cast(FOUND))
+    docs = docs.drop(out)
+    columns = docs.columns
+    row, last = fresh(docs, "_row"), fresh(docs, "_text")
+
+    def sought(df: DataFrame, k: int) -> tuple[DataFrame, Broadcast] | None:
+        """df, whose last column is a text, with that replaced by the finds of block k."""
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = sorted(((r.item_id, normalise(r.text)) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        rows = [(i, t) for i, t in rows if t]
+        if not rows:
+            return None
+        texts = [t for _, t in rows]
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [i for i, _ in rows], texts, similarity, walks_for(texts, similarity)))
+        kept = df.columns[:-1]
+        return map_arrow(df, _search(shipped, kept, out), StructType([*df.schema.fields[:-1], *StructType.fromDDL(f"`{out}` {FOUND}")])), shipped
+
+    none = F.array().cast(FOUND)
+    if blocks == 1:
+        found = sought(docs.withColumn(last, F.col(text)), 0)
+        return found[0] if found else docs.withColumn(out, none)
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    finds = []
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = sorted(((r.item_id, normalise(r.text)) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        items = [(i, t) for i, t in items if len(t) >= SHORTEST]
-        if not items:
-            continue
-        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [i for i, _ in items], [t for _, t in items], similarity))
-        before = result.columns
-        last, more = fresh(result, "_text"), fresh(result, "_found")
-        slim = result.withColumn(last, F.col(text))
-        found = map_arrow(slim, _search(shipped, before, more), slim.drop(last).schema.add(StructType.fromDDL(f"{more} {FOUND}")[more]))
-        result = found.withColumn(out, F.concat(out, more)).select(*before)
-    return result
+        if found := sought(rows.select(row, text), k):
+            finds.append(materialize(found[0].where(F.size(out) > 0), "finds"))
+            found[1].destroy()
+    if not finds:
+        return docs.withColumn(out, none)
+    whole = reduce(DataFrame.unionByName, finds).groupBy(row).agg(F.flatten(F.collect_list(out)).alias(out))
+    return rows.join(whole, row, "left").select(*columns, F.coalesce(F.array_sort(out), none).alias(out))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

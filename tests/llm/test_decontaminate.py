@@ -27,6 +27,15 @@ def test_edit_distance(item, text):
     assert dc.edit_distance(item, text)[0] == brute_distance(item, text)
 
 
+def test_edit_distances_side_by_side():
+    rng = random.Random(2)
+    some = lambda n: "".join(rng.choices("abé d", k=n))
+    items = [some(rng.choice([1, 5, 63, 64, 65, 128, 200, 300])) for _ in range(150)]
+    texts = [some(rng.randint(0, 30)) + edited(rng, t, rng.choice([0, 0.1, 0.3])) + some(rng.randint(0, 60)) for t in items]
+    best, end = dc.edit_distances(items, texts)
+    assert list(zip(best.tolist(), end.tolist(), strict=True)) == [dc.edit_distance(i, t) for i, t in zip(items, texts, strict=True)]
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark):
     return spark.read.parquet(f"{D}/benchmark.parquet")
@@ -56,30 +65,105 @@ def test_recall_under_random_edits(items, rate, least):
     assert hit >= least * len(near)
 
 
-def test_no_wrong_finds(items, spark):
+def regular(text, every, kind):
+    return "".join(("" if kind == "drop" else "q") if i % every == every - 1 else c for i, c in enumerate(text))
+
+
+@pytest.mark.parametrize(("every", "kind", "least"), [(12, "replace", 1.0), (8, "replace", 0.98), (6, "replace", 0.95), (5, "replace", 0.8), (10, "drop", 0.98), (8, "drop", 0.95), (6, "drop", 0.85)])
+def test_recall_under_regular_edits(items, every, kind, least):
+    texts = ["some words before it " + dc.normalise(regular(t, every, kind)) + " and others after it" for t in items.texts]
+    near = [i for i, t in enumerate(texts) if dc.edit_distance(items.texts[i], t)[0] <= items.allowed[i]]
+    found = items.search(texts)
+    assert near and sum(any(f[0] == items.ids[i] for f in found[i]) for i in near) >= least * len(near)
+
+
+def test_recall_under_edited_words(items):
+    for every in (6, 5, 4):
+        texts = ["before " + " ".join("zzzz" if k % every == every - 1 else w for k, w in enumerate(t.split())) for t in items.texts]
+        near = [i for i, t in enumerate(texts) if dc.edit_distance(items.texts[i], t)[0] <= items.allowed[i]]
+        found = items.search(texts)
+        assert near and sum(any(f[0] == items.ids[i] for f in found[i]) for i in near) >= 0.95 * len(near)
+
+
+def test_finds_equal_brute_force(items, spark):
+    """Over whole texts, the longest included."""
     texts = [dc.normalise(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     other = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()
     small = dc.Items([r.item_id for r in other], [dc.normalise(r.text) for r in other])
+    rng = random.Random(3)
+    texts += [" ".join([long, dc.normalise(edited(rng, small.texts[k], 0.1)), long]) for k, long in enumerate(sorted(texts, key=len)[-4:])]
+    assert max(map(len, texts)) > 30_000
+    wanted = hit = 0
     for text, found in zip(texts, small.search(texts), strict=True):
-        if len(text) < 4000:
-            want = {i for i, t, a in zip(small.ids, small.texts, small.allowed, strict=True) if dc.edit_distance(t, text)[0] <= a}
-            assert {f[0] for f in found} == want
+        want = {i for i, t, a in zip(small.ids, small.texts, small.allowed, strict=True) if dc.edit_distance(t, text)[0] <= a}
+        got = {f[0] for f in found}
+        assert got <= want
+        wanted, hit = wanted + len(want), hit + len(got)
+    assert wanted > 4 and hit >= 0.95 * wanted
+
+
+def windows(items, texts):
+    x = np.concatenate([dc.small(dc.codes("\0".join([*texts, ""]))), np.zeros(dc.STEPS, np.uint8)])
+    return x, [(walk, place, window) for walk, place, window in items.collisions(x)]
+
+
+def test_unrelated_windows_collide_rarely(items):
+    """Windows of other items' words, shuffled, against the index: few collide, and few of those are verified."""
+    rng = random.Random(5)
+    words = [w for t in items.texts for w in t.split()]
+    rng.shuffle(words)
+    texts = [" ".join(words)]
+    x, found = windows(items, texts)
+    pairs = len(x) // dc.STRIDE * len(items.place) * len(items.index)
+    collided = sum(len(p) for _, p, _ in found)
+    assert collided < 1e-6 * pairs
+    assert len(list(items.placements(x, np.array([len(texts[0])])))) < 0.25 * collided
+
+
+def test_index_decides(items):
+    """Without the windows that collide nothing is found, and a passage is found by them alone."""
+    texts = [dc.normalise(t) for t in items.texts[:20]]
+    assert all(f and f[0][1] == 0 for f in items.search(texts))
+    bare = dc.Items(items.ids, items.texts, items.similarity, items.walks)
+    bare.index = [(walk, np.zeros_like(seen), *rest) for walk, seen, *rest in bare.index]
+    assert not any(bare.search(texts))
+    fewer = dc.Items(items.ids, items.texts, walks=1)
+    hard = [regular(t, 5, "replace") for t in items.texts]
+    assert sum(map(bool, fewer.search(hard))) < sum(map(bool, items.search(hard)))
+
+
+def test_short_items_equal_brute_force():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 200))) for _ in range(120)]
+    items = dc.Items(list(range(40)), [dc.normalise("".join(rng.choices("abcd", k=rng.randint(1, 31)))) for _ in range(40)])
+    assert not items.index
+    for text, found in zip(texts, items.search(texts), strict=True):
+        want = {i: dc.edit_distance(t, text)[0] for i, t in enumerate(items.texts)}
+        assert {f[0]: f[1] for f in found} == {i: d for i, d in want.items() if d <= items.allowed[i]}
 
 
 def test_walks_follow_the_text(items):
-    x = dc.codes(items.texts[0] + items.texts[1])
-    n = items.length[:2]
-    got = items.embed(x, np.array([0, n[0], -9999, len(x) + 5]), np.array([n[0], n[1], n[0], n[1]]))
-    assert not got[2:].any()
-    for k, text in enumerate(items.texts[:2]):
-        for w in range(dc.WALKS):
-            i, copied = 0, []
-            for step in range(3 * len(text)):
-                ch = ord(text[i]) if i < len(text) else 0
-                copied.append(ch)
-                i += int(items.walk[w, step, (ch ^ ch >> 8) & 255]) if i < len(text) else 0
-            place = (items.at[w] * 3 * len(text)).astype(int)
-            assert got[k, w].tolist() == [[copied[a] for a in p] for p in place.tolist()]
+    text = items.texts[0] + "\0" + items.texts[1] + "\0"
+    x = np.concatenate([dc.small(dc.codes(text)), np.zeros(dc.STEPS, np.uint8)])
+    for k in range(3):
+        walk = dc.Walk(k)
+        starts = np.array([0, 7, len(items.texts[0]), len(text) - 1])
+        keys = walk.keys(x, starts)
+        for s, got in zip(starts.tolist(), keys.tolist(), strict=True):
+            at, key = s, 0
+            for step in range(dc.STEPS):
+                ch = int(x[at])
+                if walk.sampled[step]:
+                    key = (key * 0x9E3779B1 + ch) % 2**32
+                at += int(walk.bits[step, ch])
+            key = (key ^ key >> 15) * 0x2C1B3C6D % 2**32
+            assert got == key ^ key >> 13
+        assert walk.sampled.sum() == dc.SAMPLES
+        n = len(items.texts[0])
+        steps, same = walk.agreement(x, np.array([0, 3]), items.y, np.array([items.begin[0], items.begin[0] + 3]), 1)
+        assert (steps == same).all() and dc.FURTHER >= steps[0] >= min(n, dc.FURTHER)
+        steps, same = walk.agreement(x, np.array([n - 1]), items.y, np.array([items.begin[0] + n - 1]), -1)
+        assert steps == same and steps >= min(n, dc.FURTHER)
 
 
 def test_report_and_odd_rows(docs, spark, benchmark):
