@@ -6,11 +6,12 @@ import public_tokenizers as P
 import pytest
 from test_bpe import BRUTE
 from test_native import base_pii
-from test_simhash import brute_components, brute_print
+from test_simhash import brute_components, brute_wide_print, shingles
 
 import corpus_pipeline
 from linkgraph.llm import decontaminate as dc
 from linkgraph.llm import toxicity as tox
+from linkgraph.llm.simhash import bits_for
 
 D = "/root/testdata/sf0.001"
 
@@ -42,9 +43,18 @@ def test_toxicity(spark, stages):
 
 
 def test_near_duplicates(stages):
+    """The stage takes five words and a similarity of 0.8: against plain fingerprints, and against Jaccard."""
     before = sorted(rows(stages[1]).items())
-    roots = brute_components([brute_print(r.text) for _, r in before])
-    assert set(rows(stages[2])) == {i for k, (i, _) in enumerate(before) if roots[k] == k}
+    texts = [r.text for _, r in before]
+    roots = brute_components([brute_wide_print(t) for t in texts], bits_for(0.8))
+    kept = set(rows(stages[2]))
+    assert kept == {i for k, (i, _) in enumerate(before) if roots[k] == k}
+    sets = [shingles(t) for t in texts]
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a) if sets[a] & sets[b]}
+    assert any(0.8 <= x < 1 for x in near.values())
+    assert all(roots[a] == roots[b] for (a, b), x in near.items() if x >= 0.85)
+    alone = set(range(len(sets))) - {k for pair, x in near.items() if x >= 0.6 for k in pair}
+    assert {before[k][0] for k in alone if sets[k]} <= kept
 
 
 def test_decontaminate(spark, stages):
@@ -85,6 +95,15 @@ def test_odd_rows(spark, docs):
         assert stage(spark, docs([], df.schema), D).count() == 0
 
 
+def test_long_texts_and_ties(spark, docs):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"word{i % 977} part{i % 613}" for i in range(120_000))
+    df = docs([(5, long, "en", "s", 1), (5, long + " x", "en", "s", 1), (4, long + " and a few more", "en", "s", 1), (6, "of its own", "en", "s", 10)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, D)
+    assert sorted(r.doc_id for r in df.collect()) == [4, 6]
+
+
 def test_clashing_columns(spark, docs):
     extra = "_row _text _found _items _score _pii _merged _before _order fp class contamination pii blob ids row start".split()
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)

@@ -19,6 +19,26 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_wide_print(text):
+    """256 bits, four words mixed from each distinct shingle's hash."""
+    full = (1 << 64) - 1
+    ones, found = [0] * 256, {xxhash.xxh64_intdigest(g.encode(), seed=42) for g in shingles(text)}
+    for h in found:
+        for w in range(4):
+            x = (h + 0x9E3779B97F4A7C15 * w) & full
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+            x ^= x >> 31
+            for b in range(64):
+                ones[64 * w + b] += x >> b & 1
+    return sum(1 << b for b in range(256) if 2 * ones[b] > len(found))
+
+
 def brute_components(prints, threshold=4):
     """index -> least index that is reachable."""
     found = list(range(len(prints)))
@@ -41,6 +61,59 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text.encode() if text is not None else None) == brute_print(text)
 
 
+@pytest.mark.parametrize("text", TEXTS)
+def test_wide_fingerprint(text):
+    got = simhash.wide_fingerprint(text.encode() if text is not None else None)
+    assert int.from_bytes(got, "little") == brute_wide_print(text)
+
+
+@pytest.mark.parametrize("cell", [4096, 16])
+def test_wide_links(spark, cell):
+    """All pairs within 32 bits meet for certain; the components are those of brute force."""
+    rng = np.random.default_rng(4)
+    prints = [int.from_bytes(rng.bytes(32), "little") for _ in range(120)]
+    for k, apart in enumerate([1, 12, 25, 32, 32, 32, 32, 45, 60] * 6):
+        x = prints[k]
+        for b in rng.choice(253, apart, replace=False):
+            x ^= 1 << int(b)
+        prints.append(x)
+    df = spark.createDataFrame([(bytearray(x.to_bytes(32, "little")),) for x in prints], "fp binary")
+    ids = {r.id: int.from_bytes(r.fp, "little") for r in df.selectExpr("fp", "xxhash64(fp) as id").collect()}
+    linked = {}
+    for r in simhash.link_wide_fingerprints(df, 32, cell).collect():
+        linked.setdefault(r.component, set()).add(ids[r.node])
+    want = {}
+    for x, root in zip(prints, brute_components(prints, 32), strict=True):
+        want.setdefault(root, set()).add(x)
+    assert {frozenset(g) for g in linked.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
+
+
+def test_pairs_four_bits_apart_inside_the_code(spark):
+    """All four differing bits among the 23 that the anchors cover, and copies of other anchors about."""
+    rng = np.random.default_rng(12)
+    prints = []
+    for _ in range(300):
+        x = int(rng.integers(0, 1 << 63))
+        y = x
+        for b in rng.choice(23, 4, replace=False):
+            y ^= 1 << int(b)
+        prints += [x, y]
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    got = {r.node: r.component for r in simhash.link_fingerprints(df, 4, (simhash.GOLAY,)).collect()}
+    assert all(got[x] == got[y] for x, y in zip(prints[::2], prints[1::2], strict=True))
+
+
+def test_long_texts_and_names(docs):
+    long = "word " * 400_000 + "end"
+    rows = [(1, long), (2, long.upper()), (3, None)]
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.simhash_digest(docs(rows)).collect()}
+    assert got == {1: (brute_print(long), 1), 2: (brute_print(long), 1), 3: (0, 3)}
+    clash = docs([(1, "a b", "x")], "doc_id long, text string, fp string")
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(clash, keep=("fp",))
+    assert simhash.near_duplicates(clash, keep=("doc_id",)).count() == 1
+
+
 @pytest.mark.parametrize("code", [(simhash.HAMMING,), (simhash.GOLAY,)])
 def test_code_is_perfect(code):
     words, weight, first, upto, low, high = simhash._cosets(code[0], code[0][2])
