@@ -4,7 +4,8 @@ Every function takes (spark, docs, sf_dir) and returns a DataFrame; a stage's re
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
 
 1. toxicity        drops documents whose toxicity score reaches the threshold
-2. near_duplicates keeps one document of each class of SimHash near-duplicates, the least doc_id
+2. near_duplicates keeps one document of each class of SimHash near-duplicates (five-word shingles, a
+                   similarity of 0.8), the least doc_id
 3. decontaminate   drops documents that hold a benchmark passage
 4. pii             masks personal data in the texts (n_chars follows)
 5. byte_bpe        encodes the texts to ids and decodes them: doc_id, n_tokens and digests of both
@@ -25,23 +26,35 @@ from linkgraph.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop toxic documents; labels outside the held-out fold teach the score."""
+    """Drop toxic documents; labels outside the held-out fold teach the score.
+
+    Null and empty texts score like a text without a hit and stay; repeated rows fare alike.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return drop_toxic(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the least doc_id of each class of near-duplicates (nulls last)."""
-    return keep_one_of_each(docs)
+    """Keep the least doc_id of each class of near-duplicates (null doc_ids last).
+
+    Null and empty texts are one class; of repeated rows one stays, of rows with one doc_id any.
+    """
+    return keep_one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a passage of a benchmark item."""
+    """Drop documents that hold a passage of a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows fare alike.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put [KIND] in place of personal data; n_chars is the new length where the text changed."""
+    """Put [KIND] in place of personal data; n_chars is the new length where the text changed.
+
+    Null and empty texts stay as they are; every row is kept, repeated ones too.
+    """
     before = fresh(docs, "_before")
     masked = mask_pii(docs.withColumn(before, F.col("text")))
     changed = ~F.col("text").eqNullSafe(F.col(before))
@@ -51,7 +64,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text by the byte-level vocabulary."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text by the byte-level vocabulary.
+
+    A null text counts as empty: no tokens, the hashes of no bytes.  A row each, repeated ones too.
+    """
     return token_digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
