@@ -49,9 +49,12 @@ RECALL, LEAST, MOST = 0.995, 5, 16
 #: Items that the recall is measured on at most, the shortest ones: they have the fewest alignments.
 MEASURED = 256
 #: Steps of the walk to either side of a pair that collides.
-FURTHER = 192
-#: Share of the characters on the way to both ends that must agree, and where no other pair bears it out.
-AGREE, ALONE = 0.15, 0.25
+FURTHER = 96
+#: Share of the characters on the way to both ends that must agree, and where collisions don't stand
+#: SPREAD characters apart.
+AGREE, ALONE, SPREAD = 0.12, 0.25, 24
+#: Bits that are dropped of an early key.
+EARLY = np.uint32(12)
 #: Length from which items go through the index.
 SHORT = 32
 #: Characters of benchmark items in a broadcast; characters of documents that are searched at a time;
@@ -75,6 +78,11 @@ def small(x: np.ndarray) -> np.ndarray:
     return byte
 
 
+def hashed(key: np.ndarray) -> np.ndarray:
+    key = (key ^ key >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    return key ^ key >> np.uint32(13)
+
+
 def edit_distance(item: str, text: str) -> tuple[int, int]:
     """(least edits from ``item`` to a substring of ``text``, where the first best one ends)."""
     m = len(item)
@@ -107,9 +115,11 @@ def edit_distances(items: list[str], texts: list[str]) -> tuple[np.ndarray, np.n
     """``edit_distance`` of many pairs side by side: 64 characters of the items a word, the words joined
     by the differences that leave one and enter the next (Hyyro)."""
     m = len(items)
-    best, end = np.array([len(t) for t in items], np.int64), np.zeros(m, np.int64)
     if not m:
-        return best, end
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # the longest text first, so that the pairs still at work are the first ones
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    items, texts = [items[k] for k in order.tolist()], [texts[k] for k in order.tolist()]
     letters = np.unique(codes("".join(set(items))))
     dense = lambda text: np.where(letters.take(at := np.searchsorted(letters, text), mode="clip") == text, at + 1, 0)
     distinct, which = np.unique(np.array(items, object), return_inverse=True)
@@ -119,84 +129,121 @@ def edit_distances(items: list[str], texts: list[str]) -> tuple[np.ndarray, np.n
     for k, t in enumerate(distinct):
         place = np.arange(len(t))
         np.bitwise_or.at(eq, (place // 64, k * (len(letters) + 1) + dense(codes(t))), np.uint64(1) << (place % 64).astype(np.uint64))
-    long = np.array([len(t) for t in texts], np.int64)
-    table = np.zeros((int(long.max()), m), np.int64)
-    for k, t in enumerate(texts):
-        table[: len(t), k] = dense(codes(t))
-    table += which * (len(letters) + 1)
+    row = [dense(codes(t)) + w * (len(letters) + 1) for t, w in zip(texts, which.tolist(), strict=True)]
+    begin = np.cumsum([0, *map(len, row)])[:-1]
+    rows = np.concatenate(row)
+    active = np.searchsorted([-len(t) for t in texts], -np.arange(len(texts[0])), "left")
     last = (size[which] - 1) // 64
     top = np.uint64(1) << ((size[which] - 1) % 64).astype(np.uint64)
-    up = np.full((words, m), ~np.uint64(0))
-    down = np.zeros((words, m), np.uint64)
-    score, one, high = best.copy(), np.uint64(1), np.uint64(63)
-    for at in range(len(table)):
-        row = table[at]
-        more, less = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+    all_up, all_down = np.full((words, m), ~np.uint64(0)), np.zeros((words, m), np.uint64)
+    score, best, end = size[which], size[which], np.zeros(m, np.int64)
+    one, high = np.uint64(1), np.uint64(63)
+    for at, k in enumerate(active.tolist()):
+        ch, up, down = rows.take(begin[:k] + at), all_up[:, :k], all_down[:, :k]
+        more, less = np.zeros(k, np.uint64), np.zeros(k, np.uint64)
         for w in range(words):
-            same, pv, mv = eq[w].take(row), up[w], down[w]
+            same, pv, mv = eq[w].take(ch), up[w], down[w]
             xv = same | mv
             same |= less
             xh = ((same & pv) + pv) ^ pv | same
             ph, mh = mv | ~(xh | pv), pv & xh
-            here = last == w
-            if here.any():
-                score += here * ((ph & top != 0).astype(np.int64) - (mh & top != 0))
+            score[:k] += (last[:k] == w) * ((ph & top[:k] != 0).astype(np.int64) - (mh & top[:k] != 0))
             ph1, mh1 = ph << one | more, mh << one | less
             more, less = ph >> high, mh >> high
             up[w], down[w] = mh1 | ~(xv | ph1), ph1 & xv
-        better = (score < best) & (at < long)
+        better = np.flatnonzero(score[:k] < best[:k])
         best[better], end[better] = score[better], at + 1
-    return best, end
+    back = np.argsort(order)
+    return best[back], end[back]
+
+
+def triples(x: np.ndarray) -> np.ndarray:
+    """For each place the classes (the low 5 bits) of its character and the two after it, as one number."""
+    low = (x & np.uint8(31)).astype(np.uint16)
+    low = np.concatenate([low, np.zeros(2, np.uint16)])
+    return low[:-2] | low[1:-1] << np.uint16(5) | low[2:] << np.uint16(10)
 
 
 class Walk:
-    """One random walk: a bit for each step and character, and the steps that are sampled."""
+    """One random walk: a bit for each step and class of characters, and the steps that are sampled.
+
+    Three steps at a time see three characters at most: tables tell for each triple of classes how far
+    the walk moves on (2 bits) and what the samples add to the key.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng((20, seed))
-        self.bits = rng.integers(0, 2, (STEPS, 256), np.uint8).astype(np.int64)
-        on = rng.integers(0, 2, (FURTHER, 256), np.uint8).astype(np.int64)  # for the way on, to either side
+        self.bits = rng.integers(0, 2, (STEPS, 32))
+        on = rng.integers(0, 2, (STEPS + FURTHER, 256), np.uint8).astype(np.int64)  # for the way on, to either side
         on[:, 0] = 0
         self.on = np.stack([np.zeros_like(on), on, -on], axis=1)
         self.sampled = np.zeros(STEPS, bool)
         self.sampled[0] = True
         self.sampled[1 + rng.permutation(STEPS - 1)[: SAMPLES - 1]] = True
-
-    def keys(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """A 32-bit hash of the characters that are sampled from each start on; x ends in STEPS zeros."""
-        out = np.empty(len(starts), np.uint32)
+        classes = np.arange(1 << 15) >> np.array([[0], [5], [10]]) & 31
+        self.tables = []
+        for first in range(0, STEPS, 3):
+            at, adds = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+            for step in range(first, min(first + 3, STEPS)):
+                ch = classes[at, np.arange(1 << 15)]
+                if self.sampled[step]:
+                    adds = adds * 33 + ch + 1
+                at += self.bits[step][ch]
+            self.tables.append((adds << 2 | at).astype(np.int32))
+
+    def walked(self, x3: np.ndarray, place: np.ndarray, key: np.ndarray, tables: list[np.ndarray]) -> None:
+        """Move ``place`` on and add to ``key``, in place."""
+        code, move = np.empty(len(place), np.uint16), np.empty(len(place), np.int32)
+        for table in tables:
+            x3.take(place, out=code, mode="clip")
+            table.take(code, out=move, mode="clip")
+            key *= np.uint32(0x9E3779B1)
+            key += (move >> 2).view(np.uint32)
+            move &= 3
+            place += move
+
+    def keys(self, x3: np.ndarray, starts: np.ndarray, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(windows, early keys, keys): 32-bit hashes of the characters that are sampled in the first half
+        of the walk, and in all of it, from each start on, over ``triples`` that end in STEPS zeros.  With
+        ``early``, a table of early keys that occur, only windows that have one walk on."""
+        half = len(self.tables) // 2
+        out = []
         for at in range(0, len(starts), SIDE):
             place = starts[at : at + SIDE].copy()
             key = np.zeros(len(place), np.uint32)
-            ch, bit = np.empty(len(place), np.uint8), np.empty(len(place), np.int64)
-            for step in range(STEPS):
-                x.take(place, out=ch, mode="clip")
-                if self.sampled[step]:
-                    key *= np.uint32(0x9E3779B1)
-                    key += ch
-                self.bits[step].take(ch, out=bit, mode="clip")
-                place += bit
-            key ^= key >> np.uint32(15)
-            key *= np.uint32(0x2C1B3C6D)
-            out[at : at + SIDE] = key ^ key >> np.uint32(13)
+            self.walked(x3, place, key, self.tables[:half])
+            first = hashed(key)
+            window = np.arange(at, at + len(place))
+            if early is not None:
+                kept = np.flatnonzero(early.take(first >> EARLY))
+                window, place, key, first = window[kept], place[kept], key[kept], first[kept]
+            self.walked(x3, place, key, self.tables[half:])
+            out.append((window, first, hashed(key)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), *[np.zeros(0, np.uint32)] * 2)
+
+    def agreement(self, x: np.ndarray, place: np.ndarray, y: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The share, in thousandths, of agreeing steps of a walk over x and y side by side, forwards and
+        backwards from pairs that collide, without the first STEPS forwards, which agree by the sample.
+        Texts in y are ended by a 0, where a walk stays."""
+        out = np.zeros(len(place), np.int64)
+        for at in range(0, len(place), SIDE // 4):
+            part = slice(at, at + SIDE // 4)
+            steps, same = np.zeros(len(place[part]), np.int16), np.zeros(len(place[part]), np.int16)
+            for way, first in ((1, STEPS), (-1, 0)):
+                p, q = (place[part], other[part]) if way > 0 else (place[part] - 1, other[part] - 1)
+                p, q = p.copy(), q.copy()
+                for n in range(first + FURTHER):
+                    a, b = x.take(p, mode="clip"), y.take(q, mode="clip")
+                    if n >= first:
+                        inside = b != 0
+                        steps += inside
+                        same += inside & (a == b)
+                    bits = self.on[n, way]
+                    p += bits.take(a)
+                    q += bits.take(b)
+            out[part] = 1000 * same.astype(np.int64) // np.maximum(steps, 1)
         return out
 
-    def agreement(self, x: np.ndarray, place: np.ndarray, y: np.ndarray, other: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """(steps, agreeing steps) of a walk over x and y side by side, forwards or backwards (``step`` 1
-        or -1), for FURTHER steps or until it leaves its text in y: texts are ended by a 0, where a walk stays."""
-        place, other = place.copy(), other.copy()
-        steps, same = np.zeros(len(place), np.int32), np.zeros(len(place), np.int32)
-        for n in range(FURTHER):
-            a, b = x.take(place, mode="clip"), y.take(other)
-            inside = b != 0
-            if not n % 32 and not inside.any():
-                break
-            steps += inside
-            same += inside & (a == b)
-            place += self.on[n, step][a]
-            other += self.on[n, step][b]
-        return steps, same
-
 
 def _edited(rng: np.random.Generator, x: np.ndarray, places: np.ndarray) -> np.ndarray:
     """x with an edit at each of some ascending places: a third each replaced, deleted and inserted."""
@@ -232,8 +279,8 @@ def walks_for(texts: list[str], similarity: float = SIMILARITY, recall: float =
         for i in np.flatnonzero(~found).tolist():
             # what follows the two texts differs
             x, copy = (np.concatenate([a, np.full(STEPS, k, np.uint8)]) for k, a in enumerate(pairs[i]))
-            mine = walk.keys(copy, np.arange(0, len(pairs[i][1]), STRIDE))
-            found[i] = np.isin(mine, walk.keys(x, np.arange(len(pairs[i][0])))).any()
+            mine = walk.keys(triples(copy), np.arange(0, len(pairs[i][1]), STRIDE))[2]
+            found[i] = np.isin(mine, walk.keys(triples(x), np.arange(len(pairs[i][0])))[2]).any()
     return MOST
 
 
@@ -260,14 +307,15 @@ class Items:
         self.index = []
         bits = max(12, (16 * len(window)).bit_length())
         self.shift = np.uint32(32 - min(bits, 28))
+        y3 = triples(self.y)
         for k in range((self.walks or walks_for(self.texts, self.similarity)) if len(long) else 0):
             walk = Walk(k)
-            key = walk.keys(self.y, self.place)
+            _, first, key = walk.keys(y3, self.place)
             order = np.argsort(key, kind="stable")
-            seen = np.zeros(1 << (32 - int(self.shift)), bool)
-            seen[key >> self.shift] = True
-            values, first, count = np.unique(key[order], return_index=True, return_counts=True)
-            self.index.append((walk, seen, values, first, count, order))
+            early, seen = np.zeros(1 << (32 - int(EARLY)), bool), np.zeros(1 << (32 - int(self.shift)), bool)
+            early[first >> EARLY], seen[key >> self.shift] = True, True
+            values, begin, count = np.unique(key[order], return_index=True, return_counts=True)
+            self.index.append((walk, early, seen, values, begin, count, order))
         self.parts = self._parts(np.flatnonzero((self.length > 0) & (self.length < SHORT)))
 
     def _parts(self, items: np.ndarray) -> list[tuple[str, int, int]]:
@@ -280,48 +328,54 @@ class Items:
 
     def collisions(self, x: np.ndarray) -> Iterator[tuple[Walk, np.ndarray, np.ndarray]]:
         """For each walk (walk, place in x, window of an item) of the windows that collide."""
-        starts = np.arange(0, len(x) - STEPS, STRIDE)
-        for walk, seen, values, first, count, order in self.index:
-            key = walk.keys(x, starts)
-            near = np.flatnonzero(seen.take(key >> self.shift))
-            at = np.searchsorted(values, key[near])
+        starts, x3 = np.arange(0, len(x) - STEPS, STRIDE), triples(x)
+        for walk, early, seen, values, begin, count, order in self.index:
+            near, _, key = walk.keys(x3, starts, early)
+            some = np.flatnonzero(seen.take(key >> self.shift))
+            near, key = near[some], key[some]
+            at = np.searchsorted(values, key)
             at[at == len(values)] = 0
-            hit = values[at] == key[near]
+            hit = values[at] == key
             near, at = near[hit], at[hit]
             many = count[at]
-            yield walk, np.repeat(starts[near], many), order[np.repeat(first[at] - (many.cumsum() - many), many) + np.arange(int(many.sum()))]
+            yield walk, np.repeat(starts[near], many), order[np.repeat(begin[at] - (many.cumsum() - many), many) + np.arange(int(many.sum()))]
 
     def candidates(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Rows (document, item, start of the item in x, agreeing share in thousandths) of windows whose
-        embeddings agree.  x holds documents that are each followed by a 0; ``ends`` are the places of those."""
-        rows = []
+        """Rows (document, item, start of the item in x, agreeing share in thousandths, first and last
+        place of a collision in the item) of alignments whose embeddings agree.  x holds documents that are
+        each followed by a 0; ``ends`` are the places of those."""
+        rows = [np.zeros((0, 6), np.int64)]
         for walk, place, window in self.collisions(x):
             item, other = self.owner[window], self.place[window]
             start = place - (other - self.begin[item])
             # one pair for each alignment: the walks from it tell the same
             group = np.lexsort((other, start, item))
-            new = np.concatenate([[True], (np.diff(start[group]) != 0) | (np.diff(item[group]) != 0)]) if len(group) else np.zeros(0, bool)
-            pick = np.flatnonzero(new)
-            pick = group[(pick + np.concatenate([pick[1:], [len(group)]])[: len(pick)]) // 2] if len(pick) else pick
+            if not len(group):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], (np.diff(start[group]) != 0) | (np.diff(item[group]) != 0)]))
+            end = np.concatenate([begin[1:], [len(group)]]) - 1
+            pick, low, high = group[(begin + end) // 2], other[group[begin]], other[group[end]]
             place, other, item, start = place[pick], other[pick], item[pick], start[pick]
-            steps, same = walk.agreement(x, place, self.y, other, 1)
-            back = walk.agreement(x, place - 1, self.y, other - 1, -1)
-            share = 1000 * (same + back[1]) // np.maximum(steps + back[0], 1)
-            ok = share >= 1000 * AGREE
-            document = np.searchsorted(ends, place[ok])
-            rows.append(np.stack([document, item[ok], start[ok], share[ok]], axis=1))
-        return np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
+            share = walk.agreement(x, place, self.y, other)
+            document = np.searchsorted(ends, place)
+            rows.append(np.stack([document, item, start, share, low - self.begin[item], high - self.begin[item]], axis=1)[share >= 1000 * AGREE])
+        return np.concatenate(rows)
 
     def placements(self, x: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, first start, last start) of candidates whose starts differ by the allowed
-        edits at most from one to the next: two alignments or walks at least, or one that agrees in ALONE."""
-        found = np.unique(self.candidates(x, ends), axis=0)
-        document, item, start, share = found.T
+        edits at most from one to the next, if their collisions stand SPREAD characters apart in the item,
+        which one phrase in common doesn't do, or one agrees in ALONE."""
+        found = self.candidates(x, ends)
+        found = found[np.lexsort(found.T[2::-1])]
+        document, item, start, share, low, high = found.T
+        if not len(found):
+            return
         apart = (np.diff(document) != 0) | (np.diff(item) != 0) | (np.diff(start) > self.allowed[item[:-1]])
-        cuts = np.concatenate([[0], np.flatnonzero(apart) + 1, [len(found)]])
-        for a, b in pairwise(cuts.tolist()):
-            if b - a > 1 or b > a and share[a] >= 1000 * ALONE:
-                yield int(document[a]), int(item[a]), int(start[a]), int(start[b - 1])
+        begin = np.concatenate([[0], np.flatnonzero(apart) + 1])
+        end = np.concatenate([begin[1:], [len(found)]]) - 1
+        spread = np.maximum.reduceat(high, begin) - np.minimum.reduceat(low, begin)
+        for k in np.flatnonzero((spread >= SPREAD) | (np.maximum.reduceat(share, begin) >= 1000 * ALONE)).tolist():
+            yield int(document[begin[k]]), int(item[begin[k]]), int(start[begin[k]]), int(start[end[k]])
 
     def short_placements(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, start, start) within a document for every place of a part of a short item."""

@@ -69,7 +69,7 @@ def regular(text, every, kind):
     return "".join(("" if kind == "drop" else "q") if i % every == every - 1 else c for i, c in enumerate(text))
 
 
-@pytest.mark.parametrize(("every", "kind", "least"), [(12, "replace", 1.0), (8, "replace", 0.98), (6, "replace", 0.95), (5, "replace", 0.8), (10, "drop", 0.98), (8, "drop", 0.95), (6, "drop", 0.85)])
+@pytest.mark.parametrize(("every", "kind", "least"), [(12, "replace", 1.0), (8, "replace", 0.98), (6, "replace", 0.95), (5, "replace", 0.85), (10, "drop", 0.98), (8, "drop", 0.95), (6, "drop", 0.75)])
 def test_recall_under_regular_edits(items, every, kind, least):
     texts = ["some words before it " + dc.normalise(regular(t, every, kind)) + " and others after it" for t in items.texts]
     near = [i for i, t in enumerate(texts) if dc.edit_distance(items.texts[i], t)[0] <= items.allowed[i]]
@@ -125,7 +125,7 @@ def test_index_decides(items):
     texts = [dc.normalise(t) for t in items.texts[:20]]
     assert all(f and f[0][1] == 0 for f in items.search(texts))
     bare = dc.Items(items.ids, items.texts, items.similarity, items.walks)
-    bare.index = [(walk, np.zeros_like(seen), *rest) for walk, seen, *rest in bare.index]
+    bare.index = [(walk, early, np.zeros_like(seen), *rest) for walk, early, seen, *rest in bare.index]
     assert not any(bare.search(texts))
     fewer = dc.Items(items.ids, items.texts, walks=1)
     hard = [regular(t, 5, "replace") for t in items.texts]
@@ -148,22 +148,24 @@ def test_walks_follow_the_text(items):
     for k in range(3):
         walk = dc.Walk(k)
         starts = np.array([0, 7, len(items.texts[0]), len(text) - 1])
-        keys = walk.keys(x, starts)
+        window, _, keys = walk.keys(dc.triples(x), starts)
+        assert window.tolist() == [0, 1, 2, 3] and walk.sampled.sum() == dc.SAMPLES
         for s, got in zip(starts.tolist(), keys.tolist(), strict=True):
             at, key = s, 0
-            for step in range(dc.STEPS):
-                ch = int(x[at])
-                if walk.sampled[step]:
-                    key = (key * 0x9E3779B1 + ch) % 2**32
-                at += int(walk.bits[step, ch])
+            for first in range(0, dc.STEPS, 3):
+                adds = 0
+                for step in range(first, min(first + 3, dc.STEPS)):
+                    ch = int(x[at]) & 31
+                    if walk.sampled[step]:
+                        adds = adds * 33 + ch + 1
+                    at += int(walk.bits[step, ch])
+                key = (key * 0x9E3779B1 + adds) % 2**32
             key = (key ^ key >> 15) * 0x2C1B3C6D % 2**32
             assert got == key ^ key >> 13
-        assert walk.sampled.sum() == dc.SAMPLES
-        n = len(items.texts[0])
-        steps, same = walk.agreement(x, np.array([0, 3]), items.y, np.array([items.begin[0], items.begin[0] + 3]), 1)
-        assert (steps == same).all() and dc.FURTHER >= steps[0] >= min(n, dc.FURTHER)
-        steps, same = walk.agreement(x, np.array([n - 1]), items.y, np.array([items.begin[0] + n - 1]), -1)
-        assert steps == same and steps >= min(n, dc.FURTHER)
+        # the same text agrees everywhere, another one hardly
+        place = np.array([0, 90, items.length[0] - 1])
+        assert walk.agreement(x, place, items.y, place + items.begin[0])[1:].tolist() == [1000, 1000]
+        assert (walk.agreement(x, place, items.y, place % items.length[2] + items.begin[2]) < 500).all()
 
 
 def test_report_and_odd_rows(docs, spark, benchmark):
