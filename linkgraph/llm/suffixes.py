@@ -13,8 +13,13 @@ words of context on either side reach a passage's true ends.
 2. Positions that stay meet the texts once, by row, and get their contexts.
 3. These suffixes are range-sorted by hash, left and right context; neighbours of other rows are
    compared, and matches of at least LEAST words become spans, which are merged per row.  A table in
-   memory is compared in the order by hash, right and left context too; the hashes that a table's
-   borders may cut are range-sorted in that order once more.
+   memory is put in order once for each number of words to the left: in the order by hash, so many
+   words of left context, and right context, the neighbours are the mates that share most to the right
+   among all that share those words.  So the furthest reach to either side is found, whatever stands
+   between.
+4. Hashes that a table's borders may cut are settled apart, exactly: for each of their suffixes the
+   CONTEXT + 1 windows of LEAST words around it are counted by content, and one that stands in two rows
+   is a span of both.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import map_arrow
+from linkgraph.llm.common import map_arrow, materialize, partitions_for
 
 #: Words of a passage that is found for certain; of those, words in the sampled hash.
 LEAST, GRAM = 50, 38
@@ -39,6 +44,8 @@ CONTEXT = WINDOW - 1
 REMEMBERED, CHUNK, ROWS = 500_000, 1 << 19, 1 << 17
 #: Suffixes among which a worker seeks repeats before they are shuffled.
 HELD = 1 << 20
+#: Bytes of a table's files for each partition.
+PARTITION = 64 << 20
 RETAINED = ["h", "row", "pos", "proof", "kept"]
 
 
@@ -157,7 +164,7 @@ def _retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], again: int = 1) -> Iterator[pa.Table]:
+def _chunks(batches: Iterable[pa.RecordBatch], again: int = 0) -> Iterator[pa.Table]:
     """Tables of ROWS rows or more, each beginning with the last ``again`` (0 or 1) rows of the one before."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -177,7 +184,7 @@ def _chunks(batches: Iterable[pa.RecordBatch], again: int = 1) -> Iterator[pa.Ta
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, pos) of the suffixes that are kept already or whose neighbour proves their hash, over
     rows sorted by (proof, h)."""
-    for table in _chunks(batches):
+    for table in _chunks(batches, 1):
         h, row, pos, proof, kept = (table.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         same = (h[1:] == h[:-1]) & proof[1:] & proof[:-1]
         kept = kept.copy()
@@ -219,32 +226,42 @@ SPAN = "row long, doc_id long, start int, end int, other_row long, other_id long
 
 
 def compare_neighbours(table: pa.Table) -> dict[str, np.ndarray]:
-    """Spans of suffixes with a neighbour's of another row, in two orders: as they are sorted, by
-    left context first, and by right context first."""
+    """Spans of suffixes with a neighbour's of another row, in an order for each number of shared words
+    to the left; ``table`` is sorted by hash, left and right context."""
     h, row, pos = (table.column(n).to_numpy() for n in ("h", "row", "pos"))
-    sides = [np.frombuffer(b"".join(table.column(n).to_pylist()), ">u4").reshape(-1, CONTEXT).astype(np.uint32) for n in ("left", "right")]
-    left, right = sides
+    left, right = (np.frombuffer(b"".join(table.column(n).to_pylist()), ">u4").reshape(-1, CONTEXT).astype(np.uint32) for n in ("left", "right"))
     n = len(h)
     packed = [right[:, i].astype(np.uint64) << np.uint64(32) | right[:, i + 1] for i in range(0, CONTEXT, 2)]
-    orders = np.arange(n), np.lexsort((row, *packed[::-1], h))
+    by_right = np.lexsort(packed[::-1])
+    new = np.concatenate([[False], (right[by_right][1:] != right[by_right][:-1]).any(axis=1)])
+    place = np.empty(n, np.int64)  # of each right context among all
+    place[by_right] = new.cumsum()
     # of the mates that share LEAST words: the one that shares most to the left, and most to the right
     best = {side: {k: np.full(n, -1, np.int64) for k in ("lo", "hi", "mate")} for side in ("lo", "hi")}
-    for order in orders:
+    begins = np.concatenate([[True], h[1:] != h[:-1]])
+    for shared in range(CONTEXT + 1):
+        if shared:
+            begins = begins.copy()
+            begins[1:] |= left[1:, shared - 1] != left[:-1, shared - 1]
+        group = begins.cumsum()
+        order = np.argsort(group * n + place, kind="stable")
         # runs of one row; every suffix meets the last of the run before and the first of the run after
-        turn = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])])
+        turn = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (group[order][1:] != group[order][:-1])])
         run = turn.cumsum() - 1
         begin = np.flatnonzero(turn)
         finish = np.concatenate([begin[1:], [n]])
         for mate in (begin[run] - 1, finish[run]):
             ok = (mate >= 0) & (mate < n)
             a, b = order[ok], order[mate[ok]]
-            same = h[a] == h[b]
+            same = group[a] == group[b]
             a, b = a[same], b[same]
-            lo, hi = _common(left[a], left[b]), _common(right[a], right[b])
+            hi = _common(right[a], right[b])
+            enough = hi >= LEAST - GRAM - shared
+            a, b, hi = a[enough], b[enough], hi[enough]
+            lo = _common(left[a], left[b])
             for side, x in (("lo", lo), ("hi", hi)):
                 own = best[side]
                 more = (x > own[side][a]) | ((x == own[side][a]) & (lo + hi > own["lo"][a] + own["hi"][a]))
-                more &= GRAM + lo + hi >= LEAST
                 own["lo"][a[more]], own["hi"][a[more]], own["mate"][a[more]] = lo[more], hi[more], b[more]
     one, two = best["lo"], best["hi"]
     first = np.flatnonzero(one["mate"] >= 0)
@@ -272,7 +289,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Of equal contexts in two rows or more the first and the last row do: the ones between have met a
     mate with all of their context, and any other row can meet one of these two instead."""
-    for table in _chunks(batches, 0):
+    for table in _chunks(batches):
         h = table.column("h").to_numpy()
         first, last = np.searchsorted(h, h[0], "right"), np.searchsorted(h, h[-1], "left")
         if first < last:
@@ -288,16 +305,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pa.array(begin | end | ~several[run])).combine_chunks().to_batches()
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last suffix of a partition, for the comparison across partitions."""
-    first = last = None
-    for batch in batches:
-        if batch.num_rows:
-            first = first or batch.slice(0, 1)
-            last = batch.slice(batch.num_rows - 1)
-    if first is not None:
-        yield first
-        yield last
+WINDOW_ROW = "h long, key long, row long, doc_id long, start int"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, key, row, doc_id, start): for each suffix that ``_cut`` passes on, the windows of LEAST words
+    around its gram that are inside the text; h and key are hashes of the gram and of the rest."""
+    for batch in _cut(batches):
+        h, pos = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("h", "pos"))
+        sides = [np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(k)).to_pylist()), ">u4").reshape(-1, CONTEXT).astype(np.uint64) for k in ("left", "right")]
+        # a hash of so many words of either side, and whether the text has them
+        hashes, whole = [], []
+        for side in sides:
+            total, inside = np.zeros(len(h), np.uint64), np.ones(len(h), bool)
+            hashes.append([total])
+            whole.append([inside])
+            for k in range(CONTEXT):
+                total = (total ^ total >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + side[:, k]
+                inside = inside & (side[:, k] != 0)
+                hashes[-1].append(total)
+                whole[-1].append(inside)
+        for shared in range(CONTEXT + 1):
+            ok = whole[0][shared] & whole[1][CONTEXT - shared]
+            key = (hashes[0][shared] * np.uint64(0x94D049BB133111EB) ^ hashes[1][CONTEXT - shared]) + np.uint64(shared)
+            some = pa.array(np.flatnonzero(ok))
+            row, doc_id = (batch.column(batch.schema.get_field_index(k)).take(some) for k in ("row", "doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(key[ok].view(np.int64)), row, doc_id, pa.array((pos[ok] - shared).astype(np.int32))], ["h", "key", "row", "doc_id", "start"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,13 +369,6 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merge(pa.Table.from_batches(held))
 
 
-def _compared(context: DataFrame, key: list[str]) -> DataFrame:
-    """Spans of neighbours in rows that are range-sorted by ``key``."""
-    # two rows a partition: what the cuts between partitions part
-    edges = map_arrow(context, _edges, SUFFIX).repartition(1).sortWithinPartitions(*key)
-    return map_arrow(context, _matches, SPAN).unionByName(map_arrow(edges, _matches, SPAN))
-
-
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, row, start, end, other_id: the word spans of each row that stand in another row too.
 
@@ -352,9 +378,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     and rows that are equal in both count as one.  A text is not matched with itself, null and short
     texts have no spans, and null doc_ids are carried.
 
-    The texts are shuffled once; nothing but the shuffles is written.
+    The words covered are those of all windows of LEAST words that another row holds (up to 64-bit hashes
+    of words and rows: among 10^10 rows a few pairs are taken for one).  The texts are shuffled once, one
+    row of those that are equal.  Beside the shuffles only the windows at the borders of tables are written.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs, PARTITION)
     rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     suffixes = map_arrow(rows.select("row", "text"), _retain, "h long, row long, pos int, proof boolean, kept boolean")
     # proofs meet by hash; what is kept already goes anywhere
@@ -362,15 +390,19 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ordered = dealt.sortWithinPartitions("proof", "h")
     # a row has as many positions as words at most
     found = map_arrow(ordered, _repeated, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("pos"))
-    # positions make the hash table, a list of numbers for each row, and the texts stream past it
-    placed = found.hint("shuffle_hash").join(rows, "row").select("row", "doc_id", "text", F.array_sort("pos").alias("pos"))
+    # equal rows are one before they are shuffled; positions make the hash table, and the texts stream past it
+    once = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    placed = found.hint("shuffle_hash").join(once, "row").select("row", "doc_id", "text", F.array_sort("pos").alias("pos"))
     key = ["h", "left", "right", "row", "pos"]
     context = map_arrow(placed, _contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
-    spans = _compared(context, key)
-    # what the tables part, by right context first; a few hashes, unless one is on very many rows
-    key = ["h", "right", "left", "row", "pos"]
-    parted = map_arrow(context, _cut, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
-    spans = spans.unionByName(_compared(parted, key)).select("row", "doc_id", "start", "end", "other_id")
+    spans = map_arrow(context, _matches, SPAN).select("row", "doc_id", "start", "end", "other_id")
+    # what the tables part; a few hashes, unless one is on very many rows
+    windows = materialize(map_arrow(context, _windows, WINDOW_ROW), "windows")
+    ends = windows.groupBy("h", "key").agg(F.min(F.struct("row", "doc_id")).alias("lo"), F.max(F.struct("row", "doc_id")).alias("hi"))
+    # written, so that adaptive execution can split the join at a window on very many rows
+    shared = windows.join(materialize(ends.where("lo.row <> hi.row"), "ends"), ["h", "key"])
+    other = F.when(F.col("row") == F.col("lo.row"), F.col("hi.doc_id")).otherwise(F.col("lo.doc_id"))
+    spans = spans.unionByName(shared.select("row", "doc_id", "start", (F.col("start") + LEAST).alias("end"), other.alias("other_id")))
     merged = spans.repartition(n, "row").sortWithinPartitions("row", "start", "end", "other_id")
     return map_arrow(merged, _merged, "doc_id long, row long, start int, end int, other_id long")
 
