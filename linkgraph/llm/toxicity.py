@@ -1,9 +1,10 @@
 """Toxicity scores: Levenshtein automata over a lexicon trie, and windows of context.
 
-The lexicon holds whole words and stems (word beginnings).  It starts from a short list and learns
-further terms from labelled documents.  A word that isn't in it goes through the intersection of
-the lexicon's trie with the Levenshtein automaton of the word: states are sets of (trie node, edits),
-made deterministic as words need them, so that most words die after a few table look-ups.
+The lexicon holds whole words.  It starts from a short list and learns further ones from labelled
+documents.  A word that isn't in it goes through the intersection of the lexicon's trie with the
+Levenshtein automaton of the word: states are sets of (trie node, edits), made deterministic as words
+need them, so that most words die after a few table look-ups.  Only a word that misspells none is held
+against learned stems (word beginnings of 5 to 8 letters), for languages that inflect.
 
 Each hit is weighed by the words around it: between quotation marks or near words of reporting it
 counts less, next to a second person it counts more.  A logistic model over a document's hits gives
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import fresh, held, map_arrow
+from linkgraph.llm.common import fresh, held, map_arrow, materialize
 
 #: Terms that the lexicon has without any labels, and the weight they have then.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "scum", "trash", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "retard")
@@ -35,9 +36,9 @@ SEED_WEIGHT = 4.0
 REPORTING = frozenset("said says say wrote writes quoted quote quotes called calls word words term terms example reported allegedly dit sagte schrieb dijo".split())
 ADDRESS = frozenset("you your youre u ur yourself du dich tu te toi vous usted".split())
 WINDOW, QUOTED, REPORTED, ADDRESSED = 5, 0.4, 0.7, 1.15
-#: Labelled documents that a fit takes at most (those that a hash of doc_id puts first); candidates
-#: and terms it keeps; documents a term must be in; weight from which a term is learned.
-SAMPLE, CANDIDATES, TERMS, SUPPORT, LEAST = 16_384, 50_000, 2_000, 4, 1.2
+#: Labelled documents that a fit takes at most (those that a hash of doc_id puts first); documents a
+#: term must be in; weight from which a term is learned; letters of a stem.
+SAMPLE, SUPPORT, LEAST, STEM = 16_384, 4, 1.2, (5, 8)
 #: Weight from which hits count as strong and words may get fuzzy matches; words that a worker remembers.
 STRONG, REMEMBERED = 2.0, 300_000
 #: Automaton states that a worker keeps, and (trie node, edits) pairs in them; when full, all are forgotten.
@@ -131,7 +132,7 @@ class FuzzyTrie:
 
 @dataclass
 class Model:
-    """What is shipped to the workers: a few thousand terms and some numbers.  ``key`` tells models apart."""
+    """What is shipped to the workers: the terms of a sample and some numbers.  ``key`` tells models apart."""
 
     words: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEED_TERMS, SEED_WEIGHT))
     stems: dict[str, float] = field(default_factory=dict)
@@ -154,15 +155,14 @@ class Matcher:
 
     def _lookup(self, word: str) -> tuple[float, str] | None:
         """(weight, '' or the term that it misspells) of a word."""
-        best = self.model.words.get(word, 0.0)
-        for n in self.lengths:
-            if n > len(word):
-                break
-            best = max(best, self.model.stems.get(word[:n], 0.0))
-        if best:
-            return best, ""
+        exact = self.model.words.get(word, 0.0)
+        if exact:
+            return exact, ""
         found = self.fuzzy.match(word) if 4 <= len(word) <= self.longest else None
-        return (self.model.words[found[1]] * 0.8 ** found[0], found[1]) if found else None
+        if found:
+            return self.model.words[found[1]] * 0.8 ** found[0], found[1]
+        stem = max((self.model.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)), default=0.0)
+        return (stem, "") if stem else None
 
     def hits(self, text: str) -> tuple[int, list[float], list[tuple[float, str]]]:
         """Words, weights of the exact hits, and (weight, term) of the fuzzy ones, in context."""
@@ -248,11 +248,11 @@ def _train_ids(labels: DataFrame, sample: int) -> DataFrame:
 
 
 def _terms(text: str | None) -> set[str]:
-    """The words of a text, each ended by a blank, and their beginnings of 3 to 8 letters."""
+    """The words of a text, each ended by a blank, and their beginnings of STEM letters."""
     out = set()
     for w in set(WORD.findall((text or "").lower())):
         out.add(w + " ")
-        out.update(w[:n] for n in range(3, min(len(w), 8) + 1))
+        out.update(w[:n] for n in range(STEM[0], min(len(w), STEM[1]) + 1))
     return out
 
 
@@ -272,22 +272,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn terms and model from the labelled rows of ``docs`` outside the held-out fold.
 
     At most ``sample`` rows are taken, those that a hash puts first: one half teaches terms, the
-    other the model.  Only counts of at most CANDIDATES terms and a few numbers a row come to the
-    driver.  With too few labels of either kind the list and default numbers stand.
+    other the model.  They are written once, so the documents are read once here.  What comes to the
+    driver is bounded by the sample: counts of the terms in SUPPORT or more of its toxic texts, and a
+    few numbers a row.  With too few labels of either kind the list and default numbers stand.
     """
     ids = _train_ids(labels, sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(F.broadcast(ids), "doc_id")  # sample rows of 16 bytes at most
+    tasks = max(4, docs.sparkSession.sparkContext.defaultParallelism)
+    rows = materialize(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "part").repartition(tasks), "sample")
     model = Model()
     part = rows.where("part = 0")
-    total = {r.toxic: r["count"] for r in part.groupBy(F.col("toxic").cast("int").alias("toxic")).count().collect()}
+    total = {r.toxic: r["count"] for r in part.groupBy("toxic").count().collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if toxic < SUPPORT or clean < SUPPORT:
         return model
-    spread = part.select("text", "toxic").repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism))
-    seen = map_arrow(spread.where("toxic = 1").select("text"), _count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    bad = {r.term: r.n for r in seen.where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    others = map_arrow(spread.where("toxic = 0").select("text"), _count_terms(frozenset(bad)), "term string, n long")
+    seen = map_arrow(part.where("toxic = 1").select("text"), _count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    bad = {r.term: r.n for r in seen.where(F.col("n") >= SUPPORT).collect()}
+    others = map_arrow(part.where("toxic = 0").select("text"), _count_terms(frozenset(bad)), "term string, n long")
     good = {r.term: r.n for r in others.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     rate = toxic / (toxic + clean)
     learned = {}
@@ -295,10 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         odds = (n + 4 * rate) / (good.get(term, 0) + 4 * (1 - rate))
         weight = math.log(odds * (1 - rate) / rate)
         if weight >= LEAST and (odds >= 0.35 or weight >= STRONG):
-            learned[term] = (weight * math.log1p(n), weight)
-    chosen = sorted(learned, key=lambda t: (-learned[t][0], t))[:TERMS]
-    for t in chosen:
-        weight = learned[t][1]
+            learned[term] = weight
+    for t, weight in sorted(learned.items()):
         if t.endswith(" "):
             model.words[t[:-1]] = weight
         else:
@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         n, m = bad.get(t + " ", 0), good.get(t + " ", 0)
         if n + m >= 10 and t + " " not in learned:
             del model.words[t]
-    strong = [t[:-1] for t in chosen if t.endswith(" ") and t[:-1].isalpha() and len(t) > 5 and learned[t][1] >= STRONG]
+    strong = [t[:-1] for t, weight in learned.items() if t.endswith(" ") and t[:-1].isalpha() and len(t) > 5 and weight >= STRONG]
     model.fuzzy = tuple(sorted({*SEED_TERMS, *strong}))
     fields = "toxic int, words int, exact array<double>, weights array<double>, terms array<string>"
 
@@ -326,8 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 ["toxic", "words", "exact", "weights", "terms"],
             )
 
-    other = rows.where("part = 1").select("text", "toxic").repartition(spread.rdd.getNumPartitions())
-    second = map_arrow(other, run, fields).collect()  # sample / 2 rows or so
+    second = map_arrow(rows.where("part = 1").select("text", "toxic"), run, fields).collect()  # sample / 2 rows or so
     y = np.array([r.toxic for r in second], float)
     if y.sum() < SUPPORT or (1 - y).sum() < SUPPORT:
         return model
@@ -344,15 +343,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Append ``out``: the probability (double) that a text is toxic.
 
     Whole texts count.  A null text scores like an empty one; other columns are carried as they are,
     and one named like ``out`` is replaced.  Repeated texts have equal scores.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # TERMS terms at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # terms of the sample
     kept, last = [c for c in docs.columns if c.lower() != out.lower()], fresh(docs, "_text")
     slim = docs.select(*kept, F.col(text).alias(last))
 

@@ -1,5 +1,6 @@
 """Levenshtein automata against brute force, contexts, and held-out accuracy."""
 
+import math
 import random
 import zlib
 
@@ -98,6 +99,71 @@ def test_every_strong_word_gets_fuzzy_matches(docs):
         assert matcher.hits("qx" + w[1:])[2] or matcher.hits(w[:1] + "q" + w[1:])[2]
 
 
+def test_misspelled_terms_are_caught_by_the_automaton_alone(docs, monkeypatch):
+    """Held-out texts misspell each learned term; clean ones hold words of like letters."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    insults, plain = [word(4) for _ in range(40)], [word(3) for _ in range(400)]
+    rows, labels, held = [], [], {}
+    for i in range(1600):
+        toxic, text = i % 2, rng.sample(plain, 25)
+        if tox.held_out(i):
+            held[i] = toxic
+            text += [w[:k] + "xq"[k % 2] + w[k + 1 :] for w in rng.sample(insults, 3 * toxic) for k in (rng.randint(0, 3),)]
+        else:
+            text += rng.sample(insults, 3 * toxic)
+            labels.append((i, toxic))
+        rows.append((i, " ".join(rng.sample(text, len(text)))))
+    model = tox.fit(docs(rows), docs(labels, "doc_id long, toxic int"))
+    score = lambda: {i: tox.probability(model, matcher.hits(t)) >= tox.THRESHOLD for i, t in rows if i in held}
+    matcher = tox.Matcher(model)
+    got = score()
+    assert sum(got[i] for i, y in held.items() if y) >= 0.95 * sum(held.values()) and not any(got[i] for i, y in held.items() if not y)
+    monkeypatch.setattr(tox.FuzzyTrie, "match", lambda self, word: None)
+    matcher = tox.Matcher(model)
+    assert sum(score().values()) < 0.05 * sum(held.values())
+
+
+def plain_score(model, text):
+    """The score as the definition has it: every term's distance worked out, every window walked."""
+    low = text.lower()
+    spans = [m.span() for m in tox.WORD.finditer(low)]
+    words = [low[a:b] for a, b in spans]
+    exact, fuzzy = [], []
+    for i, w in enumerate(words):
+        weight, term = model.words.get(w, 0.0), ""
+        if not weight:
+            near = [(distance(w, t), t) for t in model.fuzzy if model.words.get(t, 0) >= tox.STRONG and abs(len(t) - len(w)) < 3] if len(w) > 3 else []
+            near = [(d, t) for d, t in near if d <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+            if near:
+                d, term = min(near)
+                weight = model.words[term] * 0.8**d
+            else:
+                weight = max([model.stems.get(w[:n], 0.0) for n in range(len(w) + 1)])
+        if not weight:
+            continue
+        lo, hi = max(0, i - 5), min(len(words), i + 6)
+        before, after = low[max(0, spans[lo][0] - 1) : spans[i][0]], low[spans[i][1] : spans[hi - 1][1] + 1]
+        if len(tox.QUOTES.findall(before)) == 1 == len(tox.QUOTES.findall(after)):
+            weight *= 0.4
+        if tox.REPORTING & set(words[lo:i] + words[i + 1 : hi]):
+            weight *= 0.7
+        if tox.ADDRESS & set(words[max(0, i - 2) : i + 3]):
+            weight *= 1.15
+        (fuzzy if term else exact).append((weight, term) if term else weight)
+    x = [1.0, *tox.features(len(words), exact, fuzzy, model.trust)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.coefficients, x, strict=True))))
+
+
+def test_scores_equal_the_definition(tables):
+    docs, labels = tables
+    model = tox.fit(docs, labels)
+    matcher = tox.Matcher(model)
+    texts = ['He said "you idiot" to them, a lozer.', 'stupidd "trash" word', "ídiot idiots", ""] + [r.text or "" for r in docs.where("length(text) < 1500 and doc_id % 40 = 3").collect()]
+    for t in texts:
+        assert abs(tox.probability(model, matcher.hits(t)) - plain_score(model, t)) < 1e-9, t[:80]
+
+
 def test_automaton_is_emptied_when_full(monkeypatch):
     words = ["".join(p) for p in zip("abcdefghij" * 20, "klmnopqrst" * 20, *["uvwxyzabcdefg" * 16] * 6)][:200]
     trie, small = tox.FuzzyTrie(words), tox.FuzzyTrie(words)
