@@ -26,6 +26,17 @@ def occurrences(notes: DataFrame) -> DataFrame:
     return rows.select("tag", F.struct("pos", "idx").alias("occ"), "id")
 
 
+def associated(notes: DataFrame, tags: DataFrame, note_tag: DataFrame) -> DataFrame:
+    """The occurrences straight from the associations, for notes that needn't carry their tags.
+
+    A tag's place on a note is told by the tag's own order, so no list of tags is made of each note:
+    the order of occurrences is that of ``occurrences`` on notes with ``tag_titles``.
+    """
+    named = note_tag.join(tags.select(F.col("id").alias("tag_id"), "ord", "title"), "tag_id")
+    rows = named.join(notes.select(F.col("id").alias("note_id"), "pos"), "note_id")
+    return rows.select(F.col("title").alias("tag"), F.struct("pos", "ord", "tag_id").alias("occ"), F.col("note_id").alias("id"))
+
+
 def tag_pairs(occ: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(tag, seen, a, b) for all pairs of occurrences a before b of each tag on at most ``max_group``.
 
@@ -45,12 +56,17 @@ def tag_pairs(occ: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 
 
 def tag_edges(notes: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+    """``merged_pairs`` of the notes' ``tags``."""
+    return merged_pairs(occurrences(notes), max_group)
+
+
+def merged_pairs(occ: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """One edge per unordered pair of notes that share tags.
 
     tagName joins the names in the order in which the tags were first seen; source is the note whose
     occurrence came first for the first of them.  A note that has one title twice gets a loop.
     """
-    pairs = tag_pairs(occurrences(notes), max_group)
+    pairs = tag_pairs(occ, max_group)
     at = F.struct("seen", F.col("a.occ").alias("x"), F.col("b.occ").alias("y"))
     rows = pairs.select(
         F.least("a.id", "b.id").alias("low"),

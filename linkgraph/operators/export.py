@@ -1,21 +1,40 @@
-"""Snapshots of a graph, and its export."""
+"""Stored snapshots of a graph, and its export."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.operators.graph import Graph
 
+#: Names under which the current snapshot is in the catalog.
 NODES, EDGES = "graph_nodes", "graph_edges"
 
 
-def publish(graph: Graph) -> bool:
-    """Make ``graph`` the current snapshot; whether there was one before."""
-    spark = graph.nodes.sparkSession
+def store(graph: Graph, folder: str, spark: SparkSession | None = None) -> Graph:
+    """Write nodes and edges below ``folder`` and return the graph that reads them.
+
+    A snapshot has a folder of its own, so readers of an earlier one aren't disturbed; views of it are
+    scans, and don't run extraction and joins again.  ``spark``: the session that reads them.
+    """
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    spark = spark or graph.nodes.sparkSession
+    stored = []
+    for name, rows in (("edges", graph.edges), ("nodes", graph.nodes)):
+        rows.write.parquet(f"{path}/{name}")
+        stored.append(spark.read.schema(rows.schema).parquet(f"{path}/{name}"))
+    return Graph(stored[1], stored[0])
+
+
+def publish(graph: Graph, folder: str, spark: SparkSession | None = None) -> bool:
+    """Store ``graph`` and make it the current snapshot of a session; whether there was one before."""
+    spark = spark or graph.nodes.sparkSession
     before = spark.catalog.tableExists(NODES)
-    graph.nodes.createOrReplaceTempView(NODES)
-    graph.edges.createOrReplaceTempView(EDGES)
+    stored = store(graph, folder, spark)
+    stored.nodes.createOrReplaceTempView(NODES)
+    stored.edges.createOrReplaceTempView(EDGES)
     return before
 
 
@@ -37,8 +56,18 @@ def write_json(graph: Graph, path: str) -> None:
     elements(graph).write.mode("overwrite").partitionBy("kind").text(path)
 
 
+#: Elements of a graph that ``document`` makes one document of at most; beyond, ``write_json`` is the way.
+VIEWED = 1_000_000
+
+
 def document(graph: Graph) -> DataFrame:
-    """One row with the whole graph as an indented JSON document, for a graph that a viewer can hold."""
+    """One row with the whole graph as an indented JSON document, for a graph that a viewer can hold.
+
+    The document is one value and so one task's; a graph of over VIEWED nodes and edges is refused.
+    """
+    rows = graph.nodes.select("id").unionByName(graph.edges.select(F.col("source").alias("id")))
+    if rows.limit(VIEWED + 1).count() > VIEWED:
+        raise ValueError(f"a document holds {VIEWED} elements at most; write_json exports any graph")
     node = F.struct(F.struct("id", "label", "noteId", "degree").alias("data"))
     edge = F.struct(F.struct("source", "target", "type", "tagName").alias("data"))
     nodes = graph.nodes.select(node.alias("n"), F.lit(None).alias("e"))

@@ -92,6 +92,37 @@ def _kind(k: int) -> str:
     return f"WITH {ALL_LINKS} SELECT id, link, hash FROM links WHERE kind = {k}"
 
 
+#: The end-to-end graph: notes with links, tags by association in the order (length, name) on each note.
+WHOLE = f"""{ALL_LINKS}, {LABELS}, named AS (
+  SELECT id, pos, parent_id || '/' || (pos // 100) AS tag FROM notes WHERE parent_id IS NOT NULL UNION ALL SELECT id, pos, 'low-' || (pos // 9) FROM notes),
+occ AS (SELECT tag, pos, row_number() OVER (PARTITION BY id ORDER BY length(tag), tag) - 1 AS idx, id FROM named),
+{TAG_EDGES}, {LINK_EDGES}, edges AS (SELECT * FROM link_edges UNION ALL SELECT * FROM tag_edges),
+degree AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id),
+nodes AS (SELECT id, label, id AS noteId, coalesce(d, 0)::BIGINT AS degree FROM labels LEFT JOIN degree USING (id)),
+start AS (SELECT id FROM nodes WHERE id IN ({', '.join(f"'{i:032x}'" for i in SELECTED)})),
+both_ways AS (SELECT source AS a, target AS b FROM edges UNION ALL SELECT target, source FROM edges),
+near AS (SELECT id FROM start UNION SELECT b FROM both_ways WHERE a IN (SELECT id FROM start)),
+shown AS (SELECT id FROM near UNION SELECT b FROM both_ways WHERE a IN (SELECT id FROM near))"""
+_STATS = "SELECT (SELECT count(*) FROM notes) AS notes, count(*) FILTER (type IN ('link', 'explicit')) AS explicit, count(*) FILTER (type = 'semantic') AS semantic, (SELECT count(DISTINCT p) FROM (SELECT unnest(string_split(tagName, ', ')) AS p FROM edges WHERE type = 'tag')) AS tags FROM edges"
+TYPED = f"""{NOTES}, edges AS (SELECT id AS source, {hexed(f'(pos * 7 + 3) % {TARGETS}')} AS target, (['link', 'explicit', 'semantic', 'tag', 'other'])[(pos % 5) + 1] AS type,
+  CASE WHEN pos % 5 = 3 THEN 't' || (pos % 13) || ', u' || (pos % 3) END AS tagName FROM notes),
+ends AS (SELECT source AS id, type FROM edges UNION ALL SELECT target, type FROM edges)"""
+
+
+def _document(nodes: str, edges: str) -> str:
+    """The indented JSON document: objects two blanks a level, keys and values as the writer spells them."""
+    q = lambda column: f"""'"' || {column} || '"'"""
+    escaped = "replace(replace(replace(replace(replace(label, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')"
+    nl = "chr(10)"
+    field = lambda name, value: f"""'      "{name}" : ' || {value}"""
+    joined = lambda *fields: f" || ',' || {nl} || ".join(fields)
+    obj = lambda body: f"""'{{' || {nl} || '    "data" : {{' || {nl} || {body} || {nl} || '    }}' || {nl} || '  }}'"""
+    node = obj(joined(field("id", q("id")), field("label", q(escaped)), field("noteId", q('"noteId"')), field("degree", "degree")))
+    edge = obj(joined(field("source", q("source")), field("target", q("target")), field("type", q("type"))))
+    listed = lambda what, table, order: f"(SELECT string_agg({what}, ', ' ORDER BY {order}) FROM {table})"
+    return f"""SELECT '{{' || {nl} || '  "nodes" : [ ' || {listed(node, nodes, 'id, label, "noteId", degree')} || ' ],' || {nl} || '  "edges" : [ ' || {listed(edge, edges, 'source, target')} || ' ]' || {nl} || '}}' AS document"""
+
+
 ORACLE: dict[str, str] = {
     "url_predicate": f"WITH {_URLS} SELECT doc_id, regexp_matches(url, '{URL}') AS is_resource FROM urls",
     "url_parse": f"WITH {_URLS} SELECT doc_id, CASE WHEN regexp_matches(url, '{URL}') THEN regexp_extract(url, '{URL}', 1) END AS item_id, CASE WHEN regexp_matches(url, '{URL}') THEN url_decode(replace(substr(regexp_extract(url, '{URL}', 2), 2), '+', ' ')) END AS hash FROM urls",
@@ -102,7 +133,17 @@ ORACLE: dict[str, str] = {
     "links_unique": f"WITH {ALL_LINKS} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY place) - 1)::INTEGER AS nth, link FROM firsts",
     "links_in_pages": rf"SELECT count(*) AS pages, coalesce(sum(len(regexp_extract_all(html, ':/{{1,2}}[A-Fa-f0-9]{{32}}'))), 0)::BIGINT AS links FROM pages",
     "note_scan_limit": f"WITH {NOTES} SELECT id, parent_id, title, created_time, pos FROM notes ORDER BY pos LIMIT 150",
-    "note_truncated": "SELECT b AS bound, (SELECT count(*) FROM documents WHERE doc_id < 30) > b AS truncated FROM (VALUES (29::BIGINT), (30), (31)) v(b)",
+    "note_truncated": "SELECT b AS beyond, (SELECT count(*) FROM documents) > (SELECT count(*) FROM documents) + b AS truncated FROM (VALUES (-1::BIGINT), (0), (1)) v(b)",
+    "missing_items": "SELECT count(*) AS notes, 0::BIGINT AS missing, false AS truncated FROM documents",
+    "unwrapped_edges": f"WITH {TYPED} SELECT * FROM edges",
+    "typed_node_stats": f"WITH {TYPED} SELECT id, count(*) FILTER (type IN ('link', 'explicit', 'semantic')) AS \"linkCount\", count(*) FILTER (type = 'tag') AS \"tagCount\" FROM ends GROUP BY id",
+    "typed_graph_stats": f"WITH {TYPED} {_STATS}",
+    "snapshot_nodes": f"WITH {WHOLE} SELECT * FROM nodes",
+    "snapshot_edges": f"WITH {WHOLE} SELECT * FROM edges",
+    "snapshot_stats": f"WITH {WHOLE} {_STATS}",
+    "snapshot_focus": f"WITH {WHOLE} SELECT * FROM nodes WHERE id IN (SELECT id FROM shown)",
+    "snapshot_search": f"WITH {WHOLE} SELECT * FROM nodes WHERE contains(lower(label), '{SEARCHED.strip().lower()}')",
+    "export_json": f"WITH {DOCUMENTS} {_document('nodes', 'link_edges')}",
     "tag_truncated": "SELECT b AS bound, (SELECT count(DISTINCT l_suppkey) FROM lineitem) >= b AS truncated FROM (VALUES (9::BIGINT), (10), (100000)) v(b)",
     "tag_scan_limit": f"WITH {tag_source('user')} SELECT id, title, ord FROM tags ORDER BY ord LIMIT 40",
     "note_tags": f"WITH {tag_source('user')} SELECT b.note_id, count(*) AS n, md5(string_agg(g.title, ',' ORDER BY g.ord)) AS digest FROM note_tag b JOIN tags g ON g.id = b.tag_id GROUP BY b.note_id",

@@ -14,6 +14,7 @@ from linkgraph.operators import export, views
 from linkgraph.operators.enrich import enrich, tag_titles
 from linkgraph.operators.graph import Graph, build_graph, build_nodes, degrees, graph_summary, isolated_nodes, visible_edges
 from linkgraph.plans import tables as D
+from linkgraph.sources import notes as S
 from linkgraph.sources.notes import open_note, scan_notes, scan_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,8 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return build_graph(tagged(D.order_tags(spark, sf_dir)), E.tag_edges)
+    notes, *tagging = D.order_tags(spark, sf_dir)
+    return build_graph(notes, lambda notes: E.merged_pairs(E.associated(notes, *tagging)))
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -56,6 +58,32 @@ def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select("id", "title", "pos", L.linked_ids(F.col("body")).alias("links"), tags.alias("tags"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where queries store snapshots: below the folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/snapshots".replace("//snapshots", "/snapshots")
+
+
+def whole_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """From scans to the stored snapshot: notes of documents, tagged by associations, links from bodies."""
+    notes, tags, note_tag = D.document_tags(spark, sf_dir)
+    rich = enrich(scan_notes(notes, None).rows, tag_titles(scan_tags(tags, None).rows, note_tag))
+    return export.store(build_graph(rich), _folder(spark))
+
+
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of every type between documents, a third of them wrapped in ``data``, as a viewer gets them."""
+    notes = D.document_notes(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in ("link", "explicit", "semantic", "tag", "other")])
+    target = D.note_id((F.col("pos") * 7 + 3) % D.TARGETS)
+    kind = F.element_at(kinds, (F.col("pos") % 5).cast("int") + 1)
+    name = F.when(kind == "tag", F.concat(F.lit("t"), F.col("pos") % 13, F.lit(", u"), F.col("pos") % 3))
+    data = F.struct(F.col("id").alias("source"), target.alias("target"), kind.alias("type"), name.alias("tagName"))
+    rows = notes.select("pos", data.alias("edge"))
+    wrapped = F.col("pos") % 3 == 0
+    return rows.select(F.when(wrapped, F.col("edge")).alias("data"), *[F.when(~wrapped, F.col(f"edge.{c}")).alias(c) for c in ("source", "target", "type", "tagName")])
+
+
 # links
 
 
@@ -135,8 +163,19 @@ def note_scan_limit(spark, sf_dir):
 
 @query
 def note_truncated(spark, sf_dir):
-    notes = D.document_notes(spark, sf_dir).where("pos < 30")
-    return spark.createDataFrame([(n, scan_notes(notes, n).truncated) for n in (29, 30, 31)], "bound bigint, truncated boolean")
+    """Bounds about the number of notes, which one count of the whole table gives."""
+    notes = D.document_notes(spark, sf_dir)
+    n = notes.count()
+    return spark.createDataFrame([(k, scan_notes(notes, n + k).truncated) for k in (-1, 0, 1)], "beyond bigint, truncated boolean")
+
+
+@query
+def missing_items(spark, sf_dir):
+    """A page without items: no notes, no tags, nothing truncated, and the graph of the other notes stands."""
+    none = S.empty(spark, S.NOTE)
+    notes = scan_notes(D.document_notes(spark, sf_dir).select(*none.columns).unionByName(none), None)
+    counts = notes.rows.agg(F.count("*").alias("notes"))
+    return counts.select("notes", F.lit(scan_notes(none).rows.count()).cast("bigint").alias("missing"), F.lit(scan_notes(none).truncated or scan_tags(S.empty(spark, S.TAG)).truncated).alias("truncated"))
 
 
 @query
@@ -174,13 +213,13 @@ def link_edges(spark, sf_dir):
 
 @query
 def tag_edges(spark, sf_dir):
-    return E.tag_edges(tagged(D.order_tags(spark, sf_dir)))
+    return E.merged_pairs(E.associated(*D.order_tags(spark, sf_dir)))
 
 
 @query
 def tag_edges_merged(spark, sf_dir):
     """Users by hour: pairs that share several tags."""
-    return E.tag_edges(tagged(D.user_tags(spark, sf_dir)))
+    return E.merged_pairs(E.associated(*D.user_tags(spark, sf_dir)))
 
 
 @query
@@ -210,6 +249,53 @@ def all_edges(spark, sf_dir):
     return E.all_edges(mixed_notes(spark, sf_dir))
 
 
+@query
+def unwrapped_edges(spark, sf_dir):
+    return views.flat_edges(typed_edges(spark, sf_dir))
+
+
+@query
+def typed_node_stats(spark, sf_dir):
+    """Explicit and semantic edges count as links, other types as neither."""
+    return views.node_stats(views.flat_edges(typed_edges(spark, sf_dir)))
+
+
+@query
+def typed_graph_stats(spark, sf_dir):
+    notes = D.document_notes(spark, sf_dir)
+    edges = views.flat_edges(typed_edges(spark, sf_dir))
+    return views.graph_stats(Graph(build_nodes(notes, edges), edges))
+
+
+# the whole way: scans, enrichment, edges, graph, stored snapshot, and views of that
+
+
+@query
+def snapshot_nodes(spark, sf_dir):
+    return whole_graph(spark, sf_dir).nodes
+
+
+@query
+def snapshot_edges(spark, sf_dir):
+    return whole_graph(spark, sf_dir).edges
+
+
+@query
+def snapshot_stats(spark, sf_dir):
+    return views.graph_stats(whole_graph(spark, sf_dir))
+
+
+@query
+def snapshot_focus(spark, sf_dir):
+    graph = whole_graph(spark, sf_dir)
+    return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id"))).nodes
+
+
+@query
+def snapshot_search(spark, sf_dir):
+    return views.search_nodes(whole_graph(spark, sf_dir).nodes, SEARCHED)
+
+
 # graph
 
 
@@ -329,4 +415,4 @@ def export_elements(spark, sf_dir):
 
 @query
 def export_json(spark, sf_dir):
-    return export.document(document_graph(spark, sf_dir))
+    return export.document(export.store(document_graph(spark, sf_dir), _folder(spark)))

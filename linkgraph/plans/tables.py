@@ -61,6 +61,17 @@ def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, tags, note_tag): notes of documents tagged by source and hundred, and by ninth."""
+    notes = document_notes(spark, sf_dir)
+    names = F.array(F.concat(F.col("parent_id"), F.lit("/"), F.floor(F.col("pos") / 100)), F.concat(F.lit("low-"), F.floor(F.col("pos") / 9)))
+    pairs = notes.select(F.col("id").alias("note_id"), F.explode(names).alias("title")).where("title is not null")
+    bridge = pairs.select(F.concat(F.lit("id-"), F.col("title")).alias("tag_id"), "note_id")
+    # tags in the order of the lengths of their names, then of the names
+    tags = pairs.select(F.concat(F.lit("id-"), F.col("title")).alias("id"), "title").distinct().withColumn("ord", F.length("title").cast("bigint"))
+    return notes, tags, bridge
+
+
 def order_tags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(notes, tags, note_tag): orders tagged by part."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))

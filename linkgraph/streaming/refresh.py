@@ -11,10 +11,16 @@ from linkgraph.operators.export import publish
 from linkgraph.operators.graph import Graph
 
 
-def refresh(changes: DataFrame, rebuild: Callable[[DataFrame], Graph], checkpoint: str, **trigger) -> StreamingQuery:
-    """Call ``rebuild`` with each micro-batch and publish the graph that it returns."""
+def refresh(changes: DataFrame, rebuild: Callable[[DataFrame], Graph], folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Call ``rebuild`` with each micro-batch and publish the graph that it returns.
+
+    The graph is stored below ``folder`` while the batch is there; what is published are the stored
+    tables, which outlive it, in the session of ``changes``: a micro-batch has one of its own.  A batch
+    that is handled again after a failure is stored once more.
+    """
+    spark = changes.sparkSession
 
     def handle(batch: DataFrame, _: int) -> None:
-        publish(rebuild(batch))
+        publish(rebuild(batch), folder, spark)
 
     return changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

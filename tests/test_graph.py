@@ -182,21 +182,34 @@ def test_snapshot_and_refresh(injected, spark, make, tmp_path):
     for name in (export.NODES, export.EDGES):
         spark.catalog.dropTempView(name)
     assert export.snapshot(spark) is None
+    folder = str(tmp_path / "snapshots")
     g = injected("ab", [("a", "b", "link", None)])
-    assert not export.publish(g) and export.publish(g)
-    assert export.snapshot(spark).edges.count() == 1
+    assert not export.publish(g, folder) and export.publish(g, folder)
+    first = export.snapshot(spark)
+    assert first.edges.count() == 1 and "FileScan" in first.nodes._jdf.queryExecution().toString()
     path = str(tmp_path / "notes")
     make(("a", ["b"], []), ("b", [], []), ("c", ["a"], [])).write.parquet(path)
     stream = spark.readStream.schema(NOTES).parquet(path)
-    held = {}
+    refresh(stream, build_graph, folder, str(tmp_path / "state")).awaitTermination(120)
+    assert export.snapshot(spark).edges.count() == 2 and export.snapshot(spark).nodes.count() == 3
+    assert first.edges.count() == 1  # an earlier snapshot stands
 
-    def rebuild(batch):
-        rows = spark.createDataFrame(batch.collect(), NOTES)  # a micro-batch ends with its handler
-        held["graph"] = build_graph(rows)
-        return held["graph"]
 
-    refresh(stream, rebuild, str(tmp_path / "state")).awaitTermination(120)
-    assert export.snapshot(spark).edges.count() == 2 and export.snapshot(spark).nodes.count() == 3
+def test_document_is_for_a_viewer(injected, monkeypatch):
+    g = injected("ab", [("a", "b", "link", None)])
+    monkeypatch.setattr(export, "VIEWED", 2)
+    with pytest.raises(ValueError):
+        export.document(g)
+
+
+def test_associations_give_the_same_edges(spark):
+    notes = spark.createDataFrame([(f"n{i}", 50 - i) for i in range(30)], "id string, pos bigint")
+    tags = spark.createDataFrame([("t1", "zeta", 3), ("t2", "alpha", 1), ("t3", "zeta", 2), ("t4", "all", 0)], S.TAG)
+    bridge = [(f"t{k}", f"n{i}") for i in range(30) for k in (1, 2, 3, 4) if k == 4 or (i * k) % 5 == k % 3] + [("gone", "n1"), ("t1", "gone")]
+    bridge = spark.createDataFrame(bridge, S.NOTE_TAG)
+    rich = enrich(notes.withColumn("body", F.lit("")), tag_titles(tags, bridge))
+    want = pairs(E.tag_edges(rich))
+    assert want and pairs(E.merged_pairs(E.associated(notes, tags, bridge))) == want
 
 
 def test_hot_tags(make, monkeypatch):

@@ -35,7 +35,7 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["id", "label", "noteId", "degree"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(QUERIES) - set(ORACLE) == {"export_json"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_scan_reads_what_it_needs(spark):
