@@ -28,8 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def _run_folder(spark: SparkSession):
+    """(file system, path) of this process's folder in the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/linkgraph-{_RUN}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing else uses."""
+    """A path below the shared folder that nothing else uses.
+
+    It lasts as long as the driver: results may be read until then, and all of it is deleted when the
+    driver's JVM ends (``drop_scratch`` does so earlier; a driver that is killed leaves it).
+    """
+    fs, folder = _run_folder(spark)
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
     return f"{shared_dir(spark)}/linkgraph-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
 
 
@@ -42,7 +56,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that ``materialize`` returned as ``df``; for any other frame nothing."""
+    if path := getattr(df, "__dict__", {}).get("scratch"):
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this process has materialized.  Results that still read it become invalid."""
+    fs, folder = _run_folder(spark)
+    fs.delete(folder, True)
 
 
 def partitions_for(df: DataFrame, each: int) -> int:
@@ -53,13 +83,6 @@ def partitions_for(df: DataFrame, each: int) -> int:
     return max(least, -(-size // each)) if size < 1 << 60 else least
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this process has materialized.  Results that still read it become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/linkgraph-{_RUN}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 _HELD: dict[str, Any] = {}
 _OWNER = [""]
 

@@ -104,6 +104,18 @@ def test_long_texts_and_ties(spark, docs):
     assert sorted(r.doc_id for r in df.collect()) == [4, 6]
 
 
+def test_scratch_is_released(spark, docs):
+    import os
+
+    from linkgraph.llm import common
+
+    kept = common.materialize(docs([(1, "a")]), "probe")
+    assert os.path.isdir(kept.scratch)
+    common.release(kept)
+    common.release(docs([(1, "a")]))
+    assert not os.path.exists(kept.scratch)
+
+
 def test_clashing_columns(spark, docs):
     extra = "_row _text _found _items _score _pii _merged _before _order fp class contamination pii blob ids row start".split()
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
