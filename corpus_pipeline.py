@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgraph.llm.bpe import token_digest
-from linkgraph.llm.common import fresh, materialize
+from linkgraph.llm.common import fresh, materialize, release
 from linkgraph.llm.decontaminate import drop_contaminated
 from linkgraph.llm.pii import mask_pii
 from linkgraph.llm.simhash import keep_one_of_each
@@ -81,12 +81,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; a stage's rows are written to the shared folder in between."""
+    """All stages over the whole table; a stage's rows are written to the shared folder in between, and
+    deleted when those of the next stage are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             docs = materialize(docs, name)
+            release(before)
     return docs
 
 
