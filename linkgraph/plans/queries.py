@@ -59,9 +59,16 @@ def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """Where queries store snapshots: below the folder that driver and executors share."""
+    """Where queries store snapshots: below the folder that driver and executors share, for as long as
+    the driver's JVM is there."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/snapshots".replace("//snapshots", "/snapshots")
+    path = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/snapshots-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return path
 
 
 def whole_graph(spark: SparkSession, sf_dir: str) -> Graph:
