@@ -286,13 +286,15 @@ def _codec(shipped) -> Codec:
     return held(f"bpe {hashlib.sha256(data + pattern.encode()).hexdigest()}", lambda: Codec(parse_ranks(data), pattern))
 
 
-def _map_texts(df: DataFrame, text: str, vocabulary: str, pattern: str, fields: str, rows: Callable) -> DataFrame:
-    """Append ``fields``; ``rows(codec, texts)`` yields their values for each text."""
+def _map_texts(df: DataFrame, text: str, vocabulary: str, pattern: str, fields: str, rows: Callable, carry: bool = True) -> DataFrame:
+    """Append ``fields``; ``rows(codec, texts)`` yields their values for each text.  Without ``carry`` the
+    text isn't among the columns of the result, and crosses to Python once and not back."""
     # the vocabulary's file is of fixed size (below 1 MB); executors needn't have it
     shipped = df.sparkSession.sparkContext.broadcast((Path(vocabulary).read_bytes(), pattern))
     schema = df.sparkSession.createDataFrame([], fields).schema
     names = [f.name for f in schema]
-    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    gone = {n.lower() for n in names} | (set() if carry else {text.lower()})
+    kept = [c for c in df.columns if c.lower() not in gone]
     last = fresh(df, "_text")
     slim = df.select(*kept, F.col(text).alias(last))
     types = [pa.list_(pa.int32()) if "array" in f.dataType.simpleString() else {"long": pa.int64(), "bigint": pa.int64()}.get(f.dataType.simpleString(), pa.string()) for f in schema]
@@ -338,7 +340,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
 
 def token_digest(docs: DataFrame, vocabulary: str, pattern: str, keep: Iterable[str | Column] = ("doc_id",)) -> DataFrame:
     """Encode each whole text, decode the ids, and return digests of both: n_tokens, ids_sha256,
-    decoded_sha256.  The ids stay in the worker, so no array leaves it."""
+    decoded_sha256.  The ids stay in the worker, so no array leaves it.  A null text counts as empty."""
 
     def rows(codec: Codec, texts: Iterable[str | None]) -> Iterator[tuple]:
         word = [str(i) for i in range(max(codec.bytes_of) + 1)]
@@ -349,4 +351,4 @@ def token_digest(docs: DataFrame, vocabulary: str, pattern: str, keep: Iterable[
 
     slim = docs.select(*keep, "text")
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _map_texts(slim, "text", vocabulary, pattern, fields, rows).drop("text")
+    return _map_texts(slim, "text", vocabulary, pattern, fields, rows, carry=False)

@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ REPORTING = frozenset("said says say wrote writes quoted quote quotes called cal
 ADDRESS = frozenset("you your youre u ur yourself du dich tu te toi vous usted".split())
 WINDOW, QUOTED, REPORTED, ADDRESSED = 5, 0.4, 0.7, 1.15
 #: Labelled documents that a fit takes at most (those that a hash of doc_id puts first); documents a
-#: term must be in; weight from which a term is learned; letters of a stem.
-SAMPLE, SUPPORT, LEAST, STEM = 16_384, 4, 1.2, (5, 8)
+#: term must be in, copies counted once; weight from which a term is learned; letters of a stem.
+SAMPLE, SUPPORT, LEAST, STEM = 16_384, 8, 1.2, (5, 8)
 #: Weight from which hits count as strong and words may get fuzzy matches; words that a worker remembers.
 STRONG, REMEMBERED = 2.0, 300_000
 #: Automaton states that a worker keeps, and (trie node, edits) pairs in them; when full, all are forgotten.
@@ -256,18 +257,34 @@ def _terms(text: str | None) -> set[str]:
     return out
 
 
+def signature(text: str | None) -> int:
+    """The least hash of a text's words: copies, and most near copies, have one in common."""
+    return min((xxhash.xxh64_intdigest(w) for w in set(WORD.findall((text or "").lower()))), default=0) >> 1
+
+
 def _count_terms(only: frozenset[str] | None):
+    """(term, signature) of each text, and ('', signature) for the text itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
         for batch in batches:
+            terms, signatures = [], []
             for text in batch.column(0):
-                terms = _terms(text.as_py())
-                counts.update(terms if only is None else terms & only)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+                found = _terms(text.as_py())
+                found = [*(found if only is None else found & only), ""]
+                terms += found
+                signatures += [signature(text.as_py())] * len(found)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.string()), "signature": pa.array(signatures, pa.int64())})
 
     return run
 
 
+def _counts(texts: DataFrame, only: frozenset[str] | None, least: int) -> dict[str, int]:
+    """In how many texts, copies counted once, each term is, from ``least`` on; '' stands for all texts."""
+    pairs = map_arrow(texts.select("text"), _count_terms(only), "term string, signature long").distinct()
+    counted = pairs.groupBy("term").agg(F.count("*").alias("n"))
+    return {r.term: r.n for r in counted.where((F.col("n") >= least) | (F.col("term") == "")).collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn terms and model from the labelled rows of ``docs`` outside the held-out fold.
 
@@ -283,14 +300,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = materialize(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "part").repartition(tasks), "sample")
     model = Model()
     part = rows.where("part = 0")
-    total = {r.toxic: r["count"] for r in part.groupBy("toxic").count().collect()}
-    toxic, clean = total.get(1, 0), total.get(0, 0)
+    # a text that stands there a thousand times, or nearly so, says what it says once
+    bad = _counts(part.where("toxic = 1"), None, SUPPORT)
+    good = _counts(part.where("toxic = 0"), frozenset(bad), 1)
+    toxic, clean = bad.pop("", 0), good.pop("", 0)
     if toxic < SUPPORT or clean < SUPPORT:
         return model
-    seen = map_arrow(part.where("toxic = 1").select("text"), _count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    bad = {r.term: r.n for r in seen.where(F.col("n") >= SUPPORT).collect()}
-    others = map_arrow(part.where("toxic = 0").select("text"), _count_terms(frozenset(bad)), "term string, n long")
-    good = {r.term: r.n for r in others.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     rate = toxic / (toxic + clean)
     learned = {}
     for term, n in bad.items():
