@@ -351,7 +351,7 @@ def summary(spark, sf_dir):
 @query
 def graph_stats(spark, sf_dir):
     notes = mixed_notes(spark, sf_dir)
-    return views.graph_stats(build_graph(notes))
+    return views.graph_stats(export.store(build_graph(notes), _folder(spark)))
 
 
 @query
@@ -390,7 +390,7 @@ def edge_hover(spark, sf_dir):
 
 
 def _focused(spark: SparkSession, sf_dir: str) -> Graph:
-    graph = document_graph(spark, sf_dir)
+    graph = export.store(document_graph(spark, sf_dir), _folder(spark))
     return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id")))
 
 
