@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgraph.llm.common import map_arrow, materialize, partitions_for
+from linkgraph.llm.common import map_arrow, partitions_for
 
 #: Words of a passage that is found for certain; of those, words in the sampled hash.
 LEAST, GRAM = 50, 38
@@ -380,7 +380,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     The words covered are those of all windows of LEAST words that another row holds (up to 64-bit hashes
     of words and rows: among 10^10 rows a few pairs are taken for one).  The texts are shuffled once, one
-    row of those that are equal.  Beside the shuffles only the windows at the borders of tables are written.
+    row of those that are equal; nothing but the shuffles is written, and all of it is one job, so that the
+    sorted suffixes are shuffled once for what reads them.
     """
     n = partitions_for(docs, PARTITION)
     rows = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -397,10 +398,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     context = map_arrow(placed, _contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
     spans = map_arrow(context, _matches, SPAN).select("row", "doc_id", "start", "end", "other_id")
     # what the tables part; a few hashes, unless one is on very many rows
-    windows = materialize(map_arrow(context, _windows, WINDOW_ROW), "windows")
+    windows = map_arrow(context, _windows, WINDOW_ROW)
     ends = windows.groupBy("h", "key").agg(F.min(F.struct("row", "doc_id")).alias("lo"), F.max(F.struct("row", "doc_id")).alias("hi"))
-    # written, so that adaptive execution can split the join at a window on very many rows
-    shared = windows.join(materialize(ends.where("lo.row <> hi.row"), "ends"), ["h", "key"])
+    # dealt once more, so that adaptive execution can split the join at a window on very many rows
+    shared = windows.join(ends.where("lo.row <> hi.row").repartition(n, "h", "key"), ["h", "key"])
     other = F.when(F.col("row") == F.col("lo.row"), F.col("hi.doc_id")).otherwise(F.col("lo.doc_id"))
     spans = spans.unionByName(shared.select("row", "doc_id", "start", (F.col("start") + LEAST).alias("end"), other.alias("other_id")))
     merged = spans.repartition(n, "row").sortWithinPartitions("row", "start", "end", "other_id")
