@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkgraph.llm.ann import nearest, valid_vectors
 from linkgraph.llm.bpe import token_digest
 from linkgraph.llm.decontaminate import contamination_report
+from linkgraph.llm.filters import filter_audit
 from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
@@ -75,6 +76,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_report(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return filter_audit(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"), labels)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_secrets": op9_secrets,
         "op10_passages": op10_passages,
+        "op11_filter_audit": op11_filter_audit,
         "pipeline": pipeline,
     }
 
@@ -163,6 +170,26 @@ def _secrets_sql() -> str:
       FROM texts t LEFT JOIN found f ON f.doc_id = t.doc_id GROUP BY t.doc_id"""
 
 
+#: Failures of the five filters by document; every order of them as five rows; what each order does.
+_AUDIT = r"""WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  label AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+  failed AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map {
+      'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+      'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+      'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS f
+    FROM words LEFT JOIN label USING (doc_id)),
+  letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+  orders AS (SELECT a.c || b.c || d.c || e.c || g.c AS o FROM letter a, letter b, letter d, letter e, letter g
+    WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+  steps AS (SELECT o, s, o[s] AS c FROM orders, range(1, 6) r(s)),
+  seen AS (SELECT part, o, s, c, good, toxic, f[c] AS fails, len(list_filter(string_split(o[:s - 1], ''), lambda x: x <> '' AND f[x])) > 0 AS gone,
+      len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: f[x])) AS n FROM failed, steps),
+  told AS (SELECT part, o AS filter_order, s::INTEGER AS step, c, count(*) FILTER (NOT fails AND NOT gone) AS kept, count(*) FILTER (fails AND NOT gone) AS removed,
+      count(*) FILTER (fails AND gone) AS redundant, count(*) FILTER (fails AND n = 1) AS unique_fails,
+      count(*) FILTER (fails AND NOT gone AND good) AS good_lost, count(*) FILTER (fails AND NOT gone AND toxic) AS toxic_lost FROM seen GROUP BY ALL)
+  SELECT * EXCLUDE (c), (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM told"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The two scans, which SQL can tell; the others are held against plain Python versions in tests/llm."""
-    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql()}
+    """The operators that SQL can tell; the others are held against plain Python versions in tests/llm."""
+    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql(), "op11_filter_audit": _AUDIT}
