@@ -13,6 +13,7 @@ from linkgraph.llm.bpe import token_digest
 from linkgraph.llm.decontaminate import contamination_report
 from linkgraph.llm.filters import filter_audit
 from linkgraph.llm.pii import pii_digest
+from linkgraph.llm.ranked import ranked_report
 from linkgraph.llm.secrets import secrets_digest
 from linkgraph.llm.sharding import assign_shards
 from linkgraph.llm.simhash import simhash_digest
@@ -81,6 +82,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"), labels)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "benchmark", "item_id", "text")
+    return ranked_report(_read(spark, sf_dir, "documents", "doc_id", "text"), items)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_passages": op10_passages,
         "op11_filter_audit": op11_filter_audit,
+        "op12_ranked_search": op12_ranked_search,
         "pipeline": pipeline,
     }
 
@@ -190,6 +197,19 @@ _AUDIT = r"""WITH words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(
   SELECT * EXCLUDE (c), (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM told"""
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RANKED = rf"""WITH asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+  lists AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS l FROM documents WHERE regexp_matches(text, '{_TERM}')),
+  total AS (SELECT count(*)::BIGINT AS docs, sum(len(l))::BIGINT AS terms FROM lists),
+  posting AS (SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(n) AS n FROM (SELECT doc_id, len(l)::BIGINT AS n, unnest(l) AS term FROM lists) GROUP BY doc_id, term),
+  weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posting, total GROUP BY term),
+  scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+    FROM asked JOIN posting USING (term) JOIN weight USING (term), total GROUP BY item_id, doc_id),
+  ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+  SELECT * FROM ranked WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can tell; the others are held against plain Python versions in tests/llm."""
-    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql(), "op11_filter_audit": _AUDIT}
+    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql(), "op11_filter_audit": _AUDIT, "op12_ranked_search": _RANKED}
