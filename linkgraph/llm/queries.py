@@ -12,6 +12,7 @@ from linkgraph.llm.ann import nearest, valid_vectors
 from linkgraph.llm.bpe import token_digest
 from linkgraph.llm.decontaminate import contamination_report
 from linkgraph.llm.filters import filter_audit
+from linkgraph.llm.jaccard import jaccard_report
 from linkgraph.llm.pii import pii_digest
 from linkgraph.llm.ranked import ranked_report
 from linkgraph.llm.secrets import secrets_digest
@@ -87,6 +88,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_report(_read(spark, sf_dir, "documents", "doc_id", "text"), items)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_report(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_passages": op10_passages,
         "op11_filter_audit": op11_filter_audit,
         "op12_ranked_search": op12_ranked_search,
+        "op13_jaccard_join": op13_jaccard_join,
         "pipeline": pipeline,
     }
 
@@ -210,6 +216,18 @@ _RANKED = rf"""WITH asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all
   SELECT * FROM ranked WHERE rank <= 50"""
 
 
+#: All pairs that share a shingle, counted; then what links reach.
+_JACCARD = rf"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+  size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+  common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+  link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+  both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+  reach AS (SELECT a AS doc_id, b AS other FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
+  SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(d.doc_id, min(other)) AS component_id
+  FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can tell; the others are held against plain Python versions in tests/llm."""
-    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql(), "op11_filter_audit": _AUDIT, "op12_ranked_search": _RANKED}
+    return {"op8_pii": _pii_sql(), "op9_secrets": _secrets_sql(), "op11_filter_audit": _AUDIT, "op12_ranked_search": _RANKED, "op13_jaccard_join": _JACCARD}
