@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +24,12 @@ FENCED, INLINE_CODE = r"```[\s\S]*?```", r"`[^`]+`"
 INLINE = rf"(?<!\\)\]\(([^{LINE_END}]*?)(?<!\\)\)"
 #: ]: url up to the line feed or the end of the text; another line terminator before it voids it.
 REFERENCE = rf"(?<!\\)\]:([^{LINE_END}]*)(?:\n|\z)"
-#: src or href of an img or a tag, one a match, closed by the next >; the prefix goes between the two parts.
-HTML = (rf"(?i)<(?:img|a)[{WHITE_SPACE}][\s\S]*?(?:src|href)=[\"'](", rf"{_ID}(?:#[^\"'{WHITE_SPACE}]*)?)[\"'][\s\S]*?>")
+#: What matters of HTML: the beginning of an img or a tag, a src or href with a URL (its prefix goes between
+#: the two parts), and the end of a tag.
+TAG, ATTRIBUTE, CLOSE = rf"<(?:img|a)[{WHITE_SPACE}]", (r"(?:src|href)=[\"']", rf"{_ID}(?:#[^\"'{WHITE_SPACE}]*+)?+[\"']"), ">"
+#: A link in a text whose tags are line feeds, URLs quoted and ends tabs: the first URL after a tag, if an
+#: end follows, be it within another URL.  Each match begins where the one before ended.
+TAGGED = r'\G[^\n]*+\n[^"]*+"([^"]*+)"[^\t>]*+[\t>]'
 
 
 def _either(prefixes: Sequence[str]) -> str:
@@ -36,6 +41,12 @@ def candidate(prefixes: Sequence[str] = PREFIXES) -> str:
     return f"{_either(prefixes)}{_ID}"
 
 
+def may_link(text: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
+    """Whether a text passes ``candidate``; most fail a plain search for the prefixes before."""
+    shortest = [p for p in prefixes if not any(q in p and q != p for q in prefixes)]
+    return reduce(Column.__or__, [text.contains(p) for p in dict.fromkeys(shortest)]) & text.rlike(candidate(prefixes))
+
+
 URL = "struct<itemId:string,hash:string>"
 
 
@@ -93,8 +104,23 @@ def reference_urls(cleaned: Column, prefixes: Sequence[str] = PREFIXES) -> Colum
 
 
 def html_urls(cleaned: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
-    """The pattern ignores case, the predicate does not: a prefix in capitals is found and dropped."""
-    return F.filter(_found(cleaned, "<", _either(prefixes).join(HTML)), lambda u: is_resource_url(u, prefixes))
+    """URLs of img and a tags: of each tag the first src or href with a URL that follows, even beyond its own
+    end, up to the next end; what stands between is passed over.
+
+    The text is reduced to tags, URLs and ends, and those are matched one link after another without going
+    back, so the work is in proportion to the text, however many tags are left open.  The patterns ignore case,
+    the predicate does not: a prefix in capitals is found and dropped.
+    """
+    token = rf"(?i){TAG}|{_either(prefixes).join(ATTRIBUTE)}|{CLOSE}"
+    found = F.regexp_extract_all(cleaned, F.lit(token), F.lit(0))
+
+    def reduced(t: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.substring(t, F.instr(t, "=") + 2, F.length(t) - F.instr(t, "=") - 2), F.lit('"'))
+        return F.when(t == CLOSE, "\t").when(t.startswith("<"), "\n").otherwise(quoted)
+
+    links = F.regexp_extract_all(F.array_join(F.transform(found, reduced), ""), F.lit(TAGGED), F.lit(1))
+    some = F.when(cleaned.contains("<") & cleaned.contains(CLOSE), links).otherwise(F.array().cast("array<string>"))
+    return F.filter(some, lambda u: is_resource_url(u, prefixes))
 
 
 def resource_urls(body: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
@@ -103,7 +129,7 @@ def resource_urls(body: Column, prefixes: Sequence[str] = PREFIXES) -> Column:
     def urls(cleaned: Column) -> Column:
         found = F.concat(inline_urls(cleaned, prefixes), reference_urls(cleaned, prefixes), html_urls(cleaned, prefixes))
         # code may part an id, so the candidate test looks at the cleaned text
-        some = F.when(cleaned.rlike(candidate(prefixes)), F.transform(found, lambda u: parse_resource_url(u, prefixes)))
+        some = F.when(may_link(cleaned, prefixes), F.transform(found, lambda u: parse_resource_url(u, prefixes)))
         return F.coalesce(some, F.array().cast(f"array<{URL}>"))
 
     return let(strip_code(F.coalesce(body, F.lit(""))), urls)

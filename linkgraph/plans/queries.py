@@ -128,7 +128,7 @@ def code_strip(spark, sf_dir):
 
 def _kind(spark: SparkSession, sf_dir: str, urls) -> DataFrame:
     cleaned = D.document_notes(spark, sf_dir).select("id", L.strip_code(F.col("body")).alias("c"))
-    found = F.when(F.col("c").rlike(L.candidate()), F.transform(urls(F.col("c")), lambda u: L.parse_resource_url(u)))
+    found = F.when(L.may_link(F.col("c")), F.transform(urls(F.col("c")), lambda u: L.parse_resource_url(u)))
     return cleaned.select("id", F.explode(found).alias("u")).select("id", F.col("u.itemId").alias("link"), F.col("u.hash").alias("hash"))
 
 

@@ -1,5 +1,8 @@
 """Link extraction: literal cases, then odd white space, line ends and code."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +106,49 @@ def test_many_unclosed_anchors_without_a_link(spark):
     assert rows.select(L.linked_ids(F.col("body"))).first()[0] == []
 
 
+#: The law of HTML links as one pattern with two lazy runs: short, and quadratic in open tags.
+LAZY = rf"(?i)<(?:img|a)[{L.WHITE_SPACE}][\s\S]*?(?:src|href)=[\"']((?:note://|:/)[A-Fa-f0-9]{{32}}(?:#[^\"'{L.WHITE_SPACE}]*)?)[\"'][\s\S]*?>"
+
+
+def test_html_links_are_those_of_the_lazy_pattern(spark):
+    """On texts put together from all that the scanner tells apart, closers within hashes and overlaps included."""
+    rng = random.Random(11)
+    parts = ["<a ", "<IMG\n", "<a", "<b ", ">", "x", " ", "\u00a0", '"', "'", "#", f'src=":/{A}"', f"HREF=':/{B}'", f'href=":/{A}#p>q"', f'src=":/{B}#src="', f'href="note://{X}#a<b"', f'href="NOTE://{X}"', f":/{A}", 'src=":/', "\n", "\t"]
+    bodies = ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(6000)]
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string")
+    lazy = F.filter(F.regexp_extract_all("body", F.lit(LAZY), F.lit(1)), lambda u: L.is_resource_url(u))
+    told = rows.select("body", L.html_urls(F.col("body")).alias("got"), lazy.alias("want")).collect()
+    assert [r.body for r in told if r.got != r.want] == []
+    assert sum(bool(r.want) for r in told) > 1000
+
+
+@pytest.mark.parametrize("link", [f'<a href=":/{X}">t</a>', f'src=":/{X}"', ""])
+@pytest.mark.parametrize("filler", ["<a x ", '<a x> ', f'<a href=":/{A}" ', "<img src='", f"<a src=':/{A}#"])
+def test_html_links_in_linear_time(spark, filler, link):
+    """20,000 tags that are left open, before and after a link, take well below a second each."""
+    body = filler * 20_000 + link + " http://example.com/ " + filler * 20_000
+    rows = spark.createDataFrame([(body,)], "body string").coalesce(1)
+    rows.select(L.html_urls(F.lit("<a x"))).collect()
+    start = time.perf_counter()
+    found = rows.select(L.html_urls(F.col("body"))).first()[0]
+    assert time.perf_counter() - start < 2.5
+    assert (X in str(found)) <= bool(link)
+    if filler == "<a x " and link.startswith("<a"):
+        assert found == [f":/{X}"]
+
+
+def test_a_note_of_many_links(spark):
+    body = "".join(f'<a href=":/{i:032x}#s{i}">t</a> ' for i in range(30_000))
+    assert spark.createDataFrame([(body,)], "body string").select(F.size(L.linked_ids(F.col("body")))).first()[0] == 30_000
+
+
+def test_guard(spark):
+    rows = spark.createDataFrame([(f":/{A}",), ("http://x.org",), (f"note://{A}",), (f"note:{A}",), (":/",)], "body string")
+    assert [r[0] for r in rows.select(L.may_link(F.col("body"))).collect()] == [True, False, True, False, False]
+    own = ("wiki://", "w:")
+    assert spark.range(1).select(L.may_link(F.lit(f"w:{A}"), own), L.may_link(F.lit(f"wiki://{A}"), own), L.may_link(F.lit(f":/{A}"), own)).first() == (True, True, False)
+
+
 def test_no_python_in_the_plan(spark):
     plan = spark.createDataFrame([("x",)], "body string").select(L.linked_ids(F.col("body")))._jdf.queryExecution().toString()
     assert "Python" not in plan
