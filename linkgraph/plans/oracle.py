@@ -123,7 +123,26 @@ def _document(nodes: str, edges: str) -> str:
     return f"""SELECT '{{' || {nl} || '  "nodes" : [ ' || {listed(node, nodes, 'id, label, "noteId", degree')} || ' ],' || {nl} || '  "edges" : [ ' || {listed(edge, edges, 'source, target')} || ' ]' || {nl} || '}}' AS document"""
 
 
+#: Pages of a hundred numbers: the place of a note is that of its page and its own; the page after the first half fails.
+PAGED = f"""{NOTES}, failing AS (SELECT (max(pos) // 100 + 1) // 2 + 1 AS page, count(*) AS n FROM notes),
+paged AS (SELECT id, title, pos // 100 + 1 AS page, (pos // 100 + 1) * 1000000 + row_number() OVER (PARTITION BY pos // 100 ORDER BY pos) - 1 AS pos FROM notes)"""
+
+
+def _paged_tags(read: str) -> str:
+    """Titles by note of the associations that are ``read``: ten orders a page, a page of the tag in the middle fails."""
+    return f"""WITH {tag_source('order')}, top AS (SELECT max(ord) // 2 AS failing FROM tags),
+placed AS (SELECT g.ord, g.title, b.note_id, (row_number() OVER (PARTITION BY g.id ORDER BY b.note_id) - 1) // 10 + 1 AS page FROM note_tag b JOIN tags g ON g.id = b.tag_id),
+got AS (SELECT * FROM placed, top WHERE {read})
+SELECT note_id, count(*) AS n, md5(string_agg(title, ',' ORDER BY ord)) AS digest FROM got GROUP BY note_id"""
+
+
 ORACLE: dict[str, str] = {
+    "paged_notes": f"WITH {PAGED} SELECT id, title, pos FROM paged",
+    "paged_notes_partial": f"WITH {PAGED} SELECT id, title, pos FROM paged WHERE page < (SELECT page FROM failing)",
+    "paged_scan_flags": f"""WITH {PAGED} SELECT s.* FROM (VALUES ('whole', false, NULL::BIGINT), ('one less', true, NULL), ('exact', false, NULL), ('one more', false, NULL)) s(scan, truncated, failed)
+        UNION ALL SELECT 'partial', true, page FROM failing""",
+    "paged_tag_map": _paged_tags("true"),
+    "paged_tag_map_partial": _paged_tags("ord < failing OR (ord = failing AND page < 2) OR (SELECT count(*) FROM placed p WHERE p.ord = failing AND p.page = 2) = 0"),
     "url_predicate": f"WITH {_URLS} SELECT doc_id, regexp_matches(url, '{URL}') AS is_resource FROM urls",
     "url_parse": f"WITH {_URLS} SELECT doc_id, CASE WHEN regexp_matches(url, '{URL}') THEN regexp_extract(url, '{URL}', 1) END AS item_id, CASE WHEN regexp_matches(url, '{URL}') THEN url_decode(replace(substr(regexp_extract(url, '{URL}', 2), 2), '+', ' ')) END AS hash FROM urls",
     "code_strip": f"WITH {NOTES}, {CLEANED} SELECT id, md5(c) AS digest FROM cleaned",

@@ -15,6 +15,7 @@ from linkgraph.operators.enrich import enrich, tag_titles
 from linkgraph.operators.graph import Graph, build_graph, build_nodes, degrees, graph_summary, isolated_nodes, visible_edges
 from linkgraph.plans import tables as D
 from linkgraph.sources import notes as S
+from linkgraph.sources import pages as P
 from linkgraph.sources.notes import open_note, scan_notes, scan_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,6 +198,43 @@ def tag_scan_limit(spark, sf_dir):
     return scan_tags(D.user_tags(spark, sf_dir)[1], 40).rows
 
 
+@query
+def paged_notes(spark, sf_dir):
+    """All pages of notes answer: nothing is lacking."""
+    return P.paged_notes(D.note_pages(spark, sf_dir, fails=False), None).rows.select("id", "title", "pos")
+
+
+@query
+def paged_notes_partial(spark, sf_dir):
+    """A page fails: the notes of the pages before it."""
+    return P.paged_notes(D.note_pages(spark, sf_dir, fails=True), None).rows.select("id", "title", "pos")
+
+
+@query
+def paged_scan_flags(spark, sf_dir):
+    """Whether scans of pages are truncated: with and without a failing page, and by bounds about the number of notes."""
+    whole, partial = D.note_pages(spark, sf_dir, fails=False), D.note_pages(spark, sf_dir, fails=True)
+    n = D.document_notes(spark, sf_dir).count()
+    scans = [("whole", whole, None), ("partial", partial, None), ("one less", whole, n - 1), ("exact", whole, n), ("one more", whole, n + 1)]
+    found = [(name, (scan := P.paged_notes(pages, limit)).truncated, scan.failed) for name, pages, limit in scans]
+    return spark.createDataFrame(found, "scan string, truncated boolean, failed bigint")
+
+
+def _titles(tags: P.PagedTags) -> DataFrame:
+    return tag_titles(tags.tags, tags.note_tag).select("note_id", F.size("tags").cast("bigint").alias("n"), F.md5(F.array_join("tags", ",")).alias("digest"))
+
+
+@query
+def paged_tag_map(spark, sf_dir):
+    return _titles(P.paged_tags(*D.part_tag_pages(spark, sf_dir, fails=False), None))
+
+
+@query
+def paged_tag_map_partial(spark, sf_dir):
+    """A page of a tag's notes fails: the tags before it, and the pages of it before."""
+    return _titles(P.paged_tags(*D.part_tag_pages(spark, sf_dir, fails=True), None))
+
+
 @query
 def note_tags(spark, sf_dir):
     _, tags, note_tag = D.user_tags(spark, sf_dir)

@@ -9,9 +9,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linkgraph.sources import pages as P
+from linkgraph.sources.shared import written
+
 TARGETS = 200
 #: The long prefix of the derived links, as a literal, so that SQL and plan are checked against it.
 SCHEME = "note://"
@@ -98,3 +101,27 @@ def _tags(pairs: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     name = F.concat(F.lit(prefix), F.col("t"))
     tags = pairs.select(name.alias("id"), name.alias("title"), F.col("t").alias("ord")).distinct()
     return tags, pairs.select(name.alias("tag_id"), note_id(F.col("n")).alias("note_id"))
+
+
+def note_pages(spark: SparkSession, sf_dir: str, fails: bool) -> DataFrame:
+    """Page envelopes of the document notes, a hundred numbers a page; with ``fails`` the page after the first half fails."""
+    notes = document_notes(spark, sf_dir)
+    last = notes.agg(F.floor(F.max("pos") / P.PAGE) + 1).first()[0] or 1
+    page = (F.floor(F.col("pos") / P.PAGE) + 1).cast("int")
+    error = F.when(page == last // 2 + 1, "HTTPError: 500") if fails else None
+    return written(P.as_pages(notes, P.NOTE_ITEM, page, F.col("pos"), F.lit(int(last)), error=error), "note-pages")
+
+
+def part_tag_pages(spark: SparkSession, sf_dir: str, fails: bool, size: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Page envelopes of the part tags, and of the orders that carry each, ``size`` a page; with ``fails`` the
+    second page of the first tag in the upper half fails."""
+    _, tags, bridge = order_tags(spark, sf_dir)
+    top = tags.agg(F.max("ord")).first()[0] or 0
+    tag_pages = P.as_pages(tags, P.TAG_ITEM, (F.floor(F.col("ord") / P.PAGE) + 1).cast("int"), F.col("ord"), F.lit(top // P.PAGE + 1))
+    by_tag = Window.partitionBy("tag_id").orderBy("note_id")
+    rows = bridge.join(tags.select(F.col("id").alias("tag_id"), "ord"), "tag_id").select(
+        "ord", "tag_id", F.col("note_id").alias("id"), F.floor((F.row_number().over(by_tag) - 1) / size).alias("before"), F.floor((F.count("*").over(Window.partitionBy("tag_id")) - 1) / size).alias("most")
+    )
+    error = F.when((F.col("ord") == top // 2) & (F.col("before") == 1), "HTTPError: 500") if fails else None
+    note_pages = P.as_pages(rows, P.REFERENCE, F.col("before") + 1, F.col("id"), F.col("most") + 1, key=F.col("tag_id"), error=error)
+    return written(tag_pages, "tag-pages"), written(note_pages, "tag-note-pages")
