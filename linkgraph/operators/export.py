@@ -6,11 +6,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from linkgraph.operators.graph import Graph
+from linkgraph.operators.graph import Graph, build_nodes, visible_edges
+from linkgraph.operators.store import KEEP, SnapshotStore
+from linkgraph.sources.shared import delete
 
-#: Names under which the current snapshot is in the catalog.
-NODES, EDGES = "graph_nodes", "graph_edges"
+#: Names under which the current snapshot is in the catalog, and the setting that tells its store.
+NODES, EDGES, FOLDER = "graph_nodes", "graph_edges", "linkgraph.snapshots"
+
+
+def write_graph(graph: Graph, path: str) -> dict[str, StructType]:
+    """Write edges and nodes below ``path``; their schemas by name.
+
+    All edges of a built graph are found once and written; degrees and visible edges come from that table.
+    """
+    spark = graph.nodes.sparkSession
+    found = graph.found
+    if found is not None:
+        name = "edges" if graph.closed else "found"
+        found.select("source", "target", "type", "tagName").write.parquet(f"{path}/{name}")
+        found = spark.read.schema(graph.edges.schema).parquet(f"{path}/{name}")
+    nodes = graph.nodes if found is None else build_nodes(graph.notes, found)
+    nodes.write.parquet(f"{path}/nodes")
+    if found is None:
+        graph.edges.write.parquet(f"{path}/edges")
+    elif not graph.closed:
+        visible_edges(found, spark.read.schema(nodes.schema).parquet(f"{path}/nodes")).write.parquet(f"{path}/edges")
+        delete(spark, f"{path}/found")
+    return {"nodes": nodes.schema, "edges": graph.edges.schema}
 
 
 def store(graph: Graph, folder: str, spark: SparkSession | None = None) -> Graph:
@@ -21,26 +45,37 @@ def store(graph: Graph, folder: str, spark: SparkSession | None = None) -> Graph
     """
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
     spark = spark or graph.nodes.sparkSession
-    stored = []
-    for name, rows in (("edges", graph.edges), ("nodes", graph.nodes)):
-        rows.write.parquet(f"{path}/{name}")
-        stored.append(spark.read.schema(rows.schema).parquet(f"{path}/{name}"))
-    return Graph(stored[1], stored[0])
+    schemas = write_graph(graph, path)
+    return Graph(*[spark.read.schema(schemas[name]).parquet(f"{path}/{name}") for name in ("nodes", "edges")])
 
 
-def publish(graph: Graph, folder: str, spark: SparkSession | None = None) -> bool:
-    """Store ``graph`` and make it the current snapshot of a session; whether there was one before."""
+def publish(graph: Graph, folder: str, spark: SparkSession | None = None, batch: tuple[str, int] | None = None, keep: int = KEEP) -> bool:
+    """Make ``graph`` the current version of the snapshot store at ``folder``, and that the one of a session;
+    whether there was one before.  A batch (stream, number) that the store knows adds nothing.
+
+    Nodes and edges become visible together, to every session that reads the store.
+    """
     spark = spark or graph.nodes.sparkSession
-    before = spark.catalog.tableExists(NODES)
-    stored = store(graph, folder, spark)
-    stored.nodes.createOrReplaceTempView(NODES)
-    stored.edges.createOrReplaceTempView(EDGES)
+    versions = SnapshotStore(spark, folder, keep)
+    before = versions.latest() is not None
+    versions.commit(lambda path: write_graph(graph, path), batch)
+    spark.conf.set(FOLDER, folder)
+    current = read_snapshot(spark, folder)
+    current.nodes.createOrReplaceTempView(NODES)
+    current.edges.createOrReplaceTempView(EDGES)
     return before
 
 
+def read_snapshot(spark: SparkSession, folder: str, number: int | None = None) -> Graph | None:
+    """The current version of a store, or that of a number; None before the first, or where it has gone."""
+    versions = SnapshotStore(spark, folder)
+    version = versions.latest() if number is None else next((v for v in versions.versions() if v.number == number), None)
+    return Graph(versions.table("nodes", version), versions.table("edges", version)) if version else None
+
+
 def snapshot(spark: SparkSession) -> Graph | None:
-    """The current snapshot, or None before the first."""
-    return Graph(spark.table(NODES), spark.table(EDGES)) if spark.catalog.tableExists(NODES) else None
+    """The current version of the store that the session has published to, or None before that."""
+    return read_snapshot(spark, spark.conf.get(FOLDER)) if spark.catalog.tableExists(NODES) else None
 
 
 def elements(graph: Graph) -> DataFrame:

@@ -14,8 +14,14 @@ from linkgraph.operators.edges import all_edges
 
 @dataclass(frozen=True)
 class Graph:
+    """Nodes and visible edges.  A graph that was built tells what from, so that it can be stored in one go:
+    ``notes``, all edges ``found``, and whether these are visible by construction (``closed``)."""
+
     nodes: DataFrame
     edges: DataFrame
+    notes: DataFrame | None = None
+    found: DataFrame | None = None
+    closed: bool = False
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -41,11 +47,13 @@ def visible_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("source", "target", "type", "tagName")
 
 
-def build_graph(notes: DataFrame, edges: Callable[[DataFrame], DataFrame] = all_edges) -> Graph:
-    """The graph of enriched notes.  ``edges`` may be any function from notes to edges."""
+def build_graph(notes: DataFrame, edges: Callable[[DataFrame], DataFrame] = all_edges, closed: bool | None = None) -> Graph:
+    """The graph of enriched notes.  ``edges`` may be any function from notes to edges; ``closed`` promises that
+    both ends of what it finds are notes (by default it is known of ``all_edges`` alone)."""
     found = edges(notes)
     nodes = build_nodes(notes, found)
-    return Graph(nodes, visible_edges(found, nodes))
+    closed = edges is all_edges if closed is None else closed
+    return Graph(nodes, visible_edges(found, nodes), notes, found, closed)
 
 
 def isolated_nodes(graph: Graph) -> DataFrame:

@@ -159,6 +159,7 @@ ORACLE: dict[str, str] = {
     "typed_graph_stats": f"WITH {TYPED} {_STATS}",
     "snapshot_nodes": f"WITH {WHOLE} SELECT * FROM nodes",
     "snapshot_edges": f"WITH {WHOLE} SELECT * FROM edges",
+    "refreshed_nodes": f"WITH {DOCUMENTS} SELECT * FROM nodes",
     "snapshot_stats": f"WITH {WHOLE} {_STATS}",
     "snapshot_focus": f"WITH {WHOLE} SELECT * FROM nodes WHERE id IN (SELECT id FROM shown)",
     "snapshot_search": f"WITH {WHOLE} SELECT * FROM nodes WHERE contains(lower(label), '{SEARCHED.strip().lower()}')",

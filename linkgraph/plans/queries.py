@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from linkgraph.plans import tables as D
 from linkgraph.sources import notes as S
 from linkgraph.sources import pages as P
 from linkgraph.sources.notes import open_note, scan_notes, scan_tags
+from linkgraph.sources.shared import hadoop_path, run_folder
+from linkgraph.streaming.refresh import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,18 +41,21 @@ def tagged(source: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of documents with their links, and no tags."""
-    notes = D.document_notes(spark, sf_dir)
+    return with_links(D.document_notes(spark, sf_dir))
+
+
+def with_links(notes: DataFrame) -> DataFrame:
     return notes.select("id", "title", "pos", L.linked_ids(F.col("body")).alias("links"), F.array().cast("array<string>").alias("tags"))
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     notes, *tagging = D.order_tags(spark, sf_dir)
-    return build_graph(notes, lambda notes: E.merged_pairs(E.associated(notes, *tagging)))
+    return build_graph(notes, lambda notes: E.merged_pairs(E.associated(notes, *tagging)), closed=True)
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Links only: the notes carry no tags."""
-    return build_graph(linked(spark, sf_dir), E.link_edges)
+    return build_graph(linked(spark, sf_dir), E.link_edges, closed=True)
 
 
 def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,24 +65,28 @@ def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select("id", "title", "pos", L.linked_ids(F.col("body")).alias("links"), tags.alias("tags"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """Where queries store snapshots: below the folder that driver and executors share, for as long as
-    the driver's JVM is there."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/snapshots-{spark.sparkContext.applicationId}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        fs.mkdirs(folder)
-        fs.deleteOnExit(folder)
-    return path
+_STORED: dict[tuple, Graph] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], Graph]) -> Graph:
+    """The snapshot of a graph, built and stored once for a session and the state that its tables' files are
+    in, in the folder that driver and executors share; queries on a snapshot read what the first one stored."""
+    fs, folder = hadoop_path(spark, sf_dir)
+    files = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)]
+    key = (spark.sparkContext.applicationId, sf_dir, build.__name__, *sorted(files))
+    if key not in _STORED:
+        _STORED[key] = export.store(build(spark, sf_dir), run_folder(spark))
+    return _STORED[key]
 
 
 def whole_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """From scans to the stored snapshot: notes of documents, tagged by associations, links from bodies."""
+    """From scans to the graph: notes of documents, tagged by associations, links from bodies."""
     notes, tags, note_tag = D.document_tags(spark, sf_dir)
-    rich = enrich(scan_notes(notes, None).rows, tag_titles(scan_tags(tags, None).rows, note_tag))
-    return export.store(build_graph(rich), _folder(spark))
+    return build_graph(enrich(scan_notes(notes, None).rows, tag_titles(scan_tags(tags, None).rows, note_tag)))
+
+
+def mixed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return build_graph(mixed_notes(spark, sf_dir))
 
 
 def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,28 +327,38 @@ def typed_graph_stats(spark, sf_dir):
 
 @query
 def snapshot_nodes(spark, sf_dir):
-    return whole_graph(spark, sf_dir).nodes
+    return _stored(spark, sf_dir, whole_graph).nodes
 
 
 @query
 def snapshot_edges(spark, sf_dir):
-    return whole_graph(spark, sf_dir).edges
+    return _stored(spark, sf_dir, whole_graph).edges
 
 
 @query
 def snapshot_stats(spark, sf_dir):
-    return views.graph_stats(whole_graph(spark, sf_dir))
+    return views.graph_stats(_stored(spark, sf_dir, whole_graph))
 
 
 @query
 def snapshot_focus(spark, sf_dir):
-    graph = whole_graph(spark, sf_dir)
+    graph = _stored(spark, sf_dir, whole_graph)
     return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id"))).nodes
 
 
 @query
 def snapshot_search(spark, sf_dir):
-    return views.search_nodes(whole_graph(spark, sf_dir).nodes, SEARCHED)
+    return views.search_nodes(_stored(spark, sf_dir, whole_graph).nodes, SEARCHED)
+
+
+@query
+def refreshed_nodes(spark, sf_dir):
+    """The documents as a stream: each micro-batch publishes a graph, and another session reads the last one."""
+    folder = f"{run_folder(spark)}/refreshed-{uuid.uuid4().hex[:8]}"
+    own = spark.newSession()
+    rebuild = lambda docs: build_graph(with_links(D.notes_of(docs)), E.link_edges, closed=True)
+    refresh(D.document_stream(own, sf_dir), rebuild, f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    return export.read_snapshot(spark, f"{folder}/store").nodes
 
 
 # graph
@@ -388,8 +408,7 @@ def summary(spark, sf_dir):
 
 @query
 def graph_stats(spark, sf_dir):
-    notes = mixed_notes(spark, sf_dir)
-    return views.graph_stats(export.store(build_graph(notes), _folder(spark)))
+    return views.graph_stats(_stored(spark, sf_dir, mixed_graph))
 
 
 @query
@@ -428,7 +447,7 @@ def edge_hover(spark, sf_dir):
 
 
 def _focused(spark: SparkSession, sf_dir: str) -> Graph:
-    graph = export.store(document_graph(spark, sf_dir), _folder(spark))
+    graph = _stored(spark, sf_dir, document_graph)
     return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id")))
 
 
@@ -460,4 +479,4 @@ def export_elements(spark, sf_dir):
 
 @query
 def export_json(spark, sf_dir):
-    return export.document(export.store(document_graph(spark, sf_dir), _folder(spark)))
+    return export.document(_stored(spark, sf_dir, document_graph))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgraph.sources import pages as P
-from linkgraph.sources.shared import written
+from linkgraph.sources.shared import hadoop_path, written
 
 TARGETS = 200
 #: The long prefix of the derived links, as a literal, so that SQL and plan are checked against it.
@@ -48,7 +48,22 @@ def note_id(number: Column) -> Column:
 
 def document_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of the shape (id, parent_id, title, body, created_time, updated_time, pos)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    return notes_of(table(spark, sf_dir, "documents"))
+
+
+def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a stream of its files."""
+    fs, path = hadoop_path(spark, f"{sf_dir}/documents.parquet")
+    schema = table(spark, sf_dir, "documents").schema
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/documents.parquet")
+    return reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+
+
+def notes_of(docs: DataFrame) -> DataFrame:
+    """The notes of some documents."""
+    docs = docs.select("doc_id", "text", "source", "n_chars")
     number = F.col("doc_id")
     ending = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (number % 12).cast("int") + 1)
     ending = F.replace(F.replace(ending, F.lit("TARGET"), note_id((number * 7 + 3) % TARGETS)), F.lit("SELF"), note_id(number))

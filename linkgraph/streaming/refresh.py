@@ -14,13 +14,14 @@ from linkgraph.operators.graph import Graph
 def refresh(changes: DataFrame, rebuild: Callable[[DataFrame], Graph], folder: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Call ``rebuild`` with each micro-batch and publish the graph that it returns.
 
-    The graph is stored below ``folder`` while the batch is there; what is published are the stored
-    tables, which outlive it, in the session of ``changes``: a micro-batch has one of its own.  A batch
-    that is handled again after a failure is stored once more.
+    The graph is written below ``folder`` while the batch is there; what is published are the stored
+    tables, which outlive it, in the store at ``folder``: any session reads them.  A batch that is handled
+    again after a failure adds nothing, since the store knows the last batch of each query by its id.
     """
     spark = changes.sparkSession
 
-    def handle(batch: DataFrame, _: int) -> None:
-        publish(rebuild(batch), folder, spark)
+    def handle(batch: DataFrame, number: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        publish(rebuild(batch), folder, spark, (stream, number))
 
     return changes.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
