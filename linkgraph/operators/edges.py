@@ -66,7 +66,11 @@ def merged_pairs(occ: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     tagName joins the names in the order in which the tags were first seen; source is the note whose
     occurrence came first for the first of them.  A note that has one title twice gets a loop.
     """
-    pairs = tag_pairs(occ, max_group)
+    return merge(tag_pairs(occ, max_group))
+
+
+def merge(pairs: DataFrame) -> DataFrame:
+    """``merged_pairs`` of (tag, seen, a, b) pairs; all pairs of two notes have to be there."""
     at = F.struct("seen", F.col("a.occ").alias("x"), F.col("b.occ").alias("y"))
     rows = pairs.select(
         F.least("a.id", "b.id").alias("low"),

@@ -136,7 +136,24 @@ got AS (SELECT * FROM placed, top WHERE {read})
 SELECT note_id, count(*) AS n, md5(string_agg(title, ',' ORDER BY ord)) AS digest FROM got GROUP BY note_id"""
 
 
+#: The mixed notes after the changes: links and tags of those that are as they were, and of those that changed or came.
+FED = f"""{ALL_LINKS}, {LABELS}, gone AS (SELECT id FROM notes WHERE pos % 11 = 0 AND pos % 22 <> 0),
+changed AS (SELECT id, pos, pos AS p, 5 AS k, 'moved-' || (pos // 20) AS tag FROM notes WHERE pos % 22 = 0 OR (pos % 7 = 3 AND pos % 11 <> 0)),
+added AS (SELECT {hexed('pos + 10000000')} AS id, pos + 10000000 AS pos, pos AS p, 11 AS k, 'low-' || (pos // 9) AS tag FROM notes WHERE pos % 13 = 5),
+moved AS (SELECT * FROM changed UNION ALL SELECT * FROM added),
+same AS (SELECT id, pos, parent_id FROM notes WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT id FROM changed)),
+present AS (SELECT s.id, l.label FROM same s JOIN labels l USING (id) UNION ALL SELECT id, 'Changed ' || p FROM moved),
+raw_links AS (SELECT f.id AS source, f.link AS target FROM firsts f JOIN same USING (id) UNION SELECT id, {hexed(f'(pos * k + 3) % {TARGETS}')} FROM moved),
+link_edges AS (SELECT source, target, 'link' AS type, NULL::VARCHAR AS tagName FROM raw_links WHERE source <> target AND target IN (SELECT id FROM present)),
+occ AS (SELECT 'low-' || (pos // 9) AS tag, pos, 0 AS idx, id FROM same UNION ALL SELECT parent_id || '/' || (pos // 100), pos, 1, id FROM same UNION ALL SELECT tag, pos, 0, id FROM moved),
+{TAG_EDGES}, edges AS (SELECT * FROM link_edges UNION ALL SELECT * FROM tag_edges),
+degree AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id),
+nodes AS (SELECT id, label, id AS noteId, coalesce(d, 0)::BIGINT AS degree FROM present LEFT JOIN degree USING (id))"""
+
+
 ORACLE: dict[str, str] = {
+    "feed_nodes": f"WITH {FED} SELECT * FROM nodes",
+    "feed_edges": f"WITH {FED} SELECT * FROM edges",
     "paged_notes": f"WITH {PAGED} SELECT id, title, pos FROM paged",
     "paged_notes_partial": f"WITH {PAGED} SELECT id, title, pos FROM paged WHERE page < (SELECT page FROM failing)",
     "paged_scan_flags": f"""WITH {PAGED} SELECT s.* FROM (VALUES ('whole', false, NULL::BIGINT), ('one less', true, NULL), ('exact', false, NULL), ('one more', false, NULL)) s(scan, truncated, failed)

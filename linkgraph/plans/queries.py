@@ -13,6 +13,7 @@ from linkgraph.functions import text as T
 from linkgraph.operators import edges as E
 from linkgraph.operators import export, views
 from linkgraph.operators.enrich import enrich, tag_titles
+from linkgraph.operators.feed import CREATE, DELETE, UPDATE, GraphFeed
 from linkgraph.operators.graph import Graph, build_graph, build_nodes, degrees, graph_summary, isolated_nodes, visible_edges
 from linkgraph.plans import tables as D
 from linkgraph.sources import notes as S
@@ -361,6 +362,41 @@ def refreshed_nodes(spark, sf_dir):
     return export.read_snapshot(spark, f"{folder}/store").nodes
 
 
+def change_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Changes of the mixed notes: some go, some get other links and tags, new ones come and some come back."""
+    pos = F.col("pos")
+    links = lambda k: F.array(D.note_id((pos * k + 3) % D.TARGETS))
+    tags = lambda name, size: F.array(F.concat(F.lit(name), F.floor(pos / size)))
+    notes = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"))
+    told = lambda where, event, seq, at=pos, link=links(5), tag=tags("moved-", 20): notes.where(where).select(
+        D.note_id(at).alias("id"), F.lit(event).alias("event"), F.lit(seq).cast("bigint").alias("seq"), F.concat(F.lit("Changed "), pos).alias("title"), at.alias("pos"), link.alias("links"), tag.alias("tags")
+    )
+    return [
+        told("pos % 11 = 0", DELETE, 2).unionByName(told("pos % 7 = 3", UPDATE, 1)),
+        told("pos % 13 = 5", CREATE, 3, at=pos + 10_000_000, link=links(11), tag=tags("low-", 9)).unionByName(told("pos % 22 = 0", CREATE, 4)),
+        told("pos % 7 = 3", UPDATE, 0).unionByName(told("pos % 11 = 0", UPDATE, 1)),  # late ones, which are none
+    ]
+
+
+def changed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the mixed notes after the changes, kept up batch by batch."""
+    feed = GraphFeed(spark, f"{run_folder(spark)}/feed-{uuid.uuid4().hex[:8]}")
+    feed.start(mixed_notes(spark, sf_dir))
+    for number, batch in enumerate(change_batches(spark, sf_dir)):
+        feed.apply(batch, ("changes", number))
+    return feed.graph()
+
+
+@query
+def feed_nodes(spark, sf_dir):
+    return _stored(spark, sf_dir, changed_graph).nodes
+
+
+@query
+def feed_edges(spark, sf_dir):
+    return _stored(spark, sf_dir, changed_graph).edges
+
+
 # graph
 
 
