@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from linkgraph.plans.queries import OPENED, SEARCHED, SELECTED
-from linkgraph.plans.tables import SUFFIXES, TARGETS
+from linkgraph.plans.queries import OPENED, PHRASES, SEARCHED, SELECTED
+from linkgraph.plans.tables import LINES, SUFFIXES, TARGETS
 
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 EOL = r"\n\r\x{2028}\x{2029}"
@@ -151,7 +151,18 @@ degree AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM edges UNION A
 nodes AS (SELECT id, label, id AS noteId, coalesce(d, 0)::BIGINT AS degree FROM present LEFT JOIN degree USING (id))"""
 
 
+#: By kind and line of LINES, in their order: what an import makes of them.
+_REASONS = ("sound", "no id", "no label", "another note''s id", "no degree", "no element", "sound", "no end", "unknown type", "no tag name", "sound", "unknown kind", "no element")
+
+
 ORACLE: dict[str, str] = {
+    "indexed_search": f"WITH {NOTES}, {LABELS}, asked AS (SELECT unnest([{', '.join(text(q) for q in PHRASES)}]) AS query) SELECT query, id, label FROM labels, asked WHERE contains(lower(label), lower(trim(query)))",
+    "item_data": """WITH writes AS (SELECT user_id::VARCHAR AS item_id, event_type AS key, CASE WHEN event_id % 5 <> 0 THEN props END AS value, event_id % 5 = 0 AS deleted, ts, 'client' || (event_id % 3) AS client FROM events),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, key ORDER BY ts DESC, client DESC, deleted DESC, value DESC NULLS LAST) AS r FROM writes WHERE item_id IS NOT NULL AND key IS NOT NULL AND ts IS NOT NULL)
+        SELECT item_id, key, value, deleted, client FROM ranked WHERE r = 1""",
+    "imported_nodes": f"WITH {DOCUMENTS} SELECT * FROM nodes",
+    "imported_edges": f"WITH {DOCUMENTS} SELECT * FROM link_edges",
+    "import_rejects": f"SELECT k.kind, k.reason, count(*) AS n FROM documents d JOIN (VALUES {', '.join(f"({i}, '{kind}', '{reason}')" for i, ((kind, _), reason) in enumerate(zip(LINES, _REASONS, strict=True)))}) k(i, kind, reason) ON k.i = d.doc_id % {len(LINES)} GROUP BY k.kind, k.reason",
     "feed_nodes": f"WITH {FED} SELECT * FROM nodes",
     "feed_edges": f"WITH {FED} SELECT * FROM edges",
     "paged_notes": f"WITH {PAGED} SELECT id, title, pos FROM paged",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from linkgraph.functions import links as L
 from linkgraph.functions import text as T
 from linkgraph.operators import edges as E
-from linkgraph.operators import export, views
+from linkgraph.operators import export, imports, itemdata, views
+from linkgraph.operators import search as text_search
 from linkgraph.operators.enrich import enrich, tag_titles
 from linkgraph.operators.feed import CREATE, DELETE, UPDATE, GraphFeed
 from linkgraph.operators.graph import Graph, build_graph, build_nodes, degrees, graph_summary, isolated_nodes, visible_edges
@@ -26,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Ids that focus queries start from, the text a search looks for, and the note that is opened.
 SELECTED, SEARCHED, OPENED = (1, 33), "  THE ", 7
+#: What the stored n-grams are asked for: a short text, a longer one, one that begins a label, none.
+PHRASES = (SEARCHED, "ation", "de", "qqqq")
 
 
 def query(f: Query) -> Query:
@@ -467,6 +471,52 @@ def search_nodes(spark, sf_dir):
     return views.search_nodes(document_graph(spark, sf_dir).nodes, SEARCHED)
 
 
+@query
+def indexed_search(spark, sf_dir):
+    """The same search by stored n-grams of the labels."""
+    labels = D.document_notes(spark, sf_dir).select("id", T.label(F.col("title")).alias("label"))
+    index = text_search.write_index(labels, f"{run_folder(spark)}/labels-{uuid.uuid4().hex[:8]}", text="label")
+    found = [text_search.find(index, q).select(F.lit(q).alias("query"), "id", F.col("text").alias("label")) for q in PHRASES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def item_data(spark, sf_dir):
+    """Values of users by kind of event, from three clients' writes, merged in an order that is not that of time."""
+    events, number = D.table(spark, sf_dir, "events"), F.col("event_id")
+    writes = events.select(
+        F.lit(1).alias("item_type"), F.col("user_id").cast("string").alias("item_id"), F.col("event_type").alias("key"), F.col("props").alias("value"),
+        (number % 5 == 0).alias("deleted"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated"), F.concat(F.lit("client"), number % 3).alias("client"),
+    )
+    of = [writes.where(number % 3 == k) for k in range(3)]
+    merged = itemdata.merge_writes(itemdata.merge_writes(of[2], of[0]), of[1])
+    return merged.select("item_id", "key", "value", "deleted", "client")
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> Graph:
+    """The document graph, exported and imported."""
+    path = f"{run_folder(spark)}/export-{uuid.uuid4().hex[:8]}"
+    export.write_json(_stored(spark, sf_dir, document_graph), path)
+    return imports.read_export(spark, path).graph
+
+
+@query
+def imported_nodes(spark, sf_dir):
+    return _imported(spark, sf_dir).nodes
+
+
+@query
+def imported_edges(spark, sf_dir):
+    return _imported(spark, sf_dir).edges
+
+
+@query
+def import_rejects(spark, sf_dir):
+    """Lines of every kind of flaw, by document, and why they are rejected; sound ones are counted as such."""
+    lines = D.table(spark, sf_dir, "documents").select(F.element_at(F.lit([k for k, _ in D.LINES]), (F.col("doc_id") % len(D.LINES)).cast("int") + 1).alias("kind"), F.replace(F.element_at(F.lit([x for _, x in D.LINES]), (F.col("doc_id") % len(D.LINES)).cast("int") + 1), F.lit("ID"), D.note_id(F.col("doc_id"))).alias("element"))
+    return imports.check_elements(lines).groupBy("kind", F.coalesce("reason", F.lit("sound")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query
 def edge_toggle(spark, sf_dir):
     return views.show_edges(E.all_edges(mixed_notes(spark, sf_dir)), ["link"])

@@ -37,6 +37,24 @@ SUFFIXES = (
 )
 
 
+#: Exported lines of each kind of flaw, and sound ones: kind and element.
+LINES = (
+    ("nodes", '{"data":{"id":"ID","label":"a","noteId":"ID","degree":3}}'),
+    ("nodes", '{"data":{"label":"a","degree":3}}'),
+    ("nodes", '{"data":{"id":"ID","label":"","degree":3}}'),
+    ("nodes", '{"data":{"id":"ID","label":"a","noteId":"other","degree":3}}'),
+    ("nodes", '{"data":{"id":"ID","label":"a","noteId":"ID","degree":-1}}'),
+    ("nodes", '{"data":{"id":"ID","la'),
+    ("edges", '{"source":"ID","target":"b","type":"link"}'),
+    ("edges", '{"data":{"source":"ID","type":"link"}}'),
+    ("edges", '{"data":{"source":"ID","target":"b","type":"friend"}}'),
+    ("edges", '{"data":{"source":"ID","target":"b","type":"tag"}}'),
+    ("edges", '{"data":{"source":"ID","target":"b","type":"tag","tagName":"t"}}'),
+    ("notes", '{"data":{"id":"ID","label":"a"}}'),
+    ("edges", "[]"),
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
