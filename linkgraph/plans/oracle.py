@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkgraph.plans.queries import OPENED, PHRASES, SEARCHED, SELECTED
+from linkgraph.plans.queries import OPENED, PHRASES, SEARCHED, SELECTED, SIMILAR
 from linkgraph.plans.tables import LINES, SUFFIXES, TARGETS
 
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -155,7 +155,15 @@ nodes AS (SELECT id, label, id AS noteId, coalesce(d, 0)::BIGINT AS degree FROM
 _REASONS = ("sound", "no id", "no label", "another note''s id", "no degree", "no element", "sound", "no end", "unknown type", "no tag name", "sound", "unknown kind", "no element")
 
 
+#: All pairs of vectors.
+SEMANTIC = f"""semantic AS (SELECT least(a.id, b.id) AS source, greatest(a.id, b.id) AS target, 'semantic' AS type, NULL::VARCHAR AS tagName FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.v, b.v) >= {SIMILAR})"""
+VECTORS = f"vectors AS (SELECT vec_id, {hexed('vec_id')} AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
 ORACLE: dict[str, str] = {
+    "semantic_edges": f"WITH {VECTORS}, {SEMANTIC} SELECT * FROM semantic",
+    "semantic_graph_stats": f"""WITH {ALL_LINKS}, {LINK_EDGES}, {VECTORS}, {SEMANTIC}
+        SELECT (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM link_edges) AS explicit, (SELECT count(*) FROM semantic WHERE source IN (SELECT id FROM notes) AND target IN (SELECT id FROM notes)) AS semantic, 0::BIGINT AS tags""",
     "indexed_search": f"WITH {NOTES}, {LABELS}, asked AS (SELECT unnest([{', '.join(text(q) for q in PHRASES)}]) AS query) SELECT query, id, label FROM labels, asked WHERE contains(lower(label), lower(trim(query)))",
     "item_data": """WITH writes AS (SELECT user_id::VARCHAR AS item_id, event_type AS key, CASE WHEN event_id % 5 <> 0 THEN props END AS value, event_id % 5 = 0 AS deleted, ts, 'client' || (event_id % 3) AS client FROM events),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, key ORDER BY ts DESC, client DESC, deleted DESC, value DESC NULLS LAST) AS r FROM writes WHERE item_id IS NOT NULL AND key IS NOT NULL AND ts IS NOT NULL)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkgraph.functions import links as L
 from linkgraph.functions import text as T
 from linkgraph.operators import edges as E
-from linkgraph.operators import export, imports, itemdata, views
+from linkgraph.operators import export, imports, itemdata, semantic, views
 from linkgraph.operators import search as text_search
 from linkgraph.operators.enrich import enrich, tag_titles
 from linkgraph.operators.feed import CREATE, DELETE, UPDATE, GraphFeed
@@ -28,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Ids that focus queries start from, the text a search looks for, and the note that is opened.
 SELECTED, SEARCHED, OPENED = (1, 33), "  THE ", 7
+#: The cosine of a semantic edge: the vectors of the tables are nearly random, so few pairs have more.
+SIMILAR = 0.3
 #: What the stored n-grams are asked for: a short text, a longer one, one that begins a label, none.
 PHRASES = (SEARCHED, "ation", "de", "qqqq")
 
@@ -309,6 +311,23 @@ def all_edges(spark, sf_dir):
     return E.all_edges(mixed_notes(spark, sf_dir))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.table(spark, sf_dir, "embeddings").select(D.note_id(F.col("vec_id")).alias("id"), F.col("embedding").alias("vector"))
+
+
+@query
+def semantic_edges(spark, sf_dir):
+    """Pairs of vectors with a cosine of SIMILAR or more, of all pairs."""
+    return semantic.semantic_edges(_vectors(spark, sf_dir), SIMILAR)
+
+
+@query
+def semantic_graph_stats(spark, sf_dir):
+    """Links of notes and semantic edges of their vectors in one graph; those of vectors without a note aren't visible."""
+    both = lambda notes: E.link_edges(notes).unionByName(semantic.semantic_edges(_vectors(spark, sf_dir), SIMILAR))
+    return views.graph_stats(export.store(build_graph(linked(spark, sf_dir), both), run_folder(spark)))
+
+
 @query
 def unwrapped_edges(spark, sf_dir):
     return views.flat_edges(typed_edges(spark, sf_dir))
