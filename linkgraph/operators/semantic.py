@@ -22,7 +22,7 @@ from linkgraph.sources.shared import written
 #: Vectors of a sample, pivots that are chosen from it at most, and members of a region for each of them.
 SAMPLE, PIVOTS, EACH = 4096, 64, 512
 #: Vectors of a block (one of two parts holds twice as many), coordinates that are looked at first, rows at a time.
-CELL, LEADING, ROWS = 2048, 16, 256
+CELL, LEADING, ROWS = 2048, 24, 256
 SLACK = 1e-9
 
 
