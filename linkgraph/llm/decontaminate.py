@@ -58,8 +58,8 @@ EARLY = np.uint32(12)
 #: Length from which items go through the index.
 SHORT = 32
 #: Characters of benchmark items in a broadcast; characters of documents that are searched at a time;
-#: windows that walk side by side; pairs that are verified side by side.
-BLOCK, CHUNK, SIDE, PAIRS = 1 << 21, 1 << 22, 1 << 15, 2048
+#: windows that walk side by side; pairs that are verified side by side; collisions that are told at a time.
+BLOCK, CHUNK, SIDE, PAIRS, TOLD = 1 << 21, 1 << 22, 1 << 15, 2048, 1 << 20
 FOUND = "array<struct<item_id:bigint,distance:int,similarity:double,start:int,end:int>>"
 
 
@@ -327,7 +327,8 @@ class Items:
         return out
 
     def collisions(self, x: np.ndarray) -> Iterator[tuple[Walk, np.ndarray, np.ndarray]]:
-        """For each walk (walk, place in x, window of an item) of the windows that collide."""
+        """For each walk (walk, place in x, window of an item) of the windows that collide, TOLD of them at a
+        time or so: a key that many windows on either side have makes many, not one large table."""
         starts, x3 = np.arange(0, len(x) - STEPS, STRIDE), triples(x)
         for walk, early, seen, values, begin, count, order in self.index:
             near, _, key = walk.keys(x3, starts, early)
@@ -337,15 +338,23 @@ class Items:
             at[at == len(values)] = 0
             hit = values[at] == key
             near, at = near[hit], at[hit]
-            many = count[at]
-            yield walk, np.repeat(starts[near], many), order[np.repeat(begin[at] - (many.cumsum() - many), many) + np.arange(int(many.sum()))]
+            total = count[at].cumsum()
+            first = 0
+            while first < len(at):
+                last = max(int(np.searchsorted(total, (total[first - 1] if first else 0) + TOLD, "right")), first + 1)
+                few, many = at[first:last], count[at[first:last]]
+                yield walk, np.repeat(starts[near[first:last]], many), order[np.repeat(begin[few] - (many.cumsum() - many), many) + np.arange(int(many.sum()))]
+                first = last
 
     def candidates(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Rows (document, item, start of the item in x, agreeing share in thousandths, first and last
         place of a collision in the item) of alignments whose embeddings agree.  x holds documents that are
         each followed by a 0; ``ends`` are the places of those."""
         rows = [np.zeros((0, 6), np.int64)]
+        walked, tested, passed = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for walk, place, window in self.collisions(x):
+            if walk is not walked:  # alignments are walked once, however many tables they come in
+                walked, tested, passed = walk, tested[:0], passed[:0]
             item, other = self.owner[window], self.place[window]
             start = place - (other - self.begin[item])
             # one pair for each alignment: the walks from it tell the same
@@ -356,9 +365,14 @@ class Items:
             end = np.concatenate([begin[1:], [len(group)]]) - 1
             pick, low, high = group[(begin + end) // 2], other[group[begin]], other[group[end]]
             place, other, item, start = place[pick], other[pick], item[pick], start[pick]
-            share = walk.agreement(x, place, self.y, other)
+            alignment = item << 40 | start + (1 << 30)
+            new = ~np.isin(alignment, tested)
+            share = np.where(np.isin(alignment, passed), int(1000 * AGREE), 0)
+            share[new] = walk.agreement(x, place[new], self.y, other[new])
+            agrees = share >= 1000 * AGREE
+            tested, passed = np.concatenate([tested, alignment[new]]), np.concatenate([passed, alignment[new & agrees]])
             document = np.searchsorted(ends, place)
-            rows.append(np.stack([document, item, start, share, low - self.begin[item], high - self.begin[item]], axis=1)[share >= 1000 * AGREE])
+            rows.append(np.stack([document, item, start, share, low - self.begin[item], high - self.begin[item]], axis=1)[agrees])
         return np.concatenate(rows)
 
     def placements(self, x: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

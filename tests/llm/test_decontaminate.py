@@ -1,6 +1,7 @@
 """Decontamination against brute-force edit distances, and its recall under random edits."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -132,6 +133,29 @@ def test_index_decides(items):
     assert sum(map(bool, fewer.search(hard))) < sum(map(bool, items.search(hard)))
 
 
+def test_collisions_in_small_tables(items, monkeypatch):
+    """The finds don't depend on how many collisions are told at a time."""
+    rng = random.Random(9)
+    texts = ["before " + dc.normalise(edited(rng, t, rng.choice([0, 0.1, 0.18]))) for t in items.texts[:60]] + ["ab" * 400]
+    want = items.search(texts)
+    monkeypatch.setattr(dc, "TOLD", 7)
+    assert items.search(texts) == want and sum(map(bool, want)) >= 55
+
+
+def test_keys_that_many_windows_have():
+    """Items with one heading in a text that repeats it: memory for a table of collisions at a time."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    heading = "read the passage below and choose the one answer that follows from what it says about the matter "
+    items = dc.Items(list(range(600)), [heading + " ".join(word() for _ in range(20)) for _ in range(600)], walks=5)
+    text = " ".join([*([heading + "and nothing of the kind"] * 40), items.texts[77]])
+    tracemalloc.start()
+    found = items.search([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f[0] for f in found[0]] == [77] and peak < 300e6
+
+
 def test_short_items_equal_brute_force():
     rng = random.Random(8)
     texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 200))) for _ in range(120)]
