@@ -1,10 +1,10 @@
 """Semantic edges: notes whose vectors have a cosine of at least a threshold, all of them and no others.
 
-The angle between vectors is a metric.  Each vector belongs to the nearest of a few pivots, and what is within
-``limit`` of a member of a pivot's region is within the region's radius and ``limit`` of the pivot: so far a
-vector is a guest of the region.  Every near pair meets where the later region of the two is.  Regions that
-are large are parted into blocks that are joined pair by pair.  Inside a block the pairs are cut down twice
-before they are measured: by the angles to the pivot, which differ by ``limit`` at most, and by the leading
+The angle between vectors is a metric.  Each vector belongs to the nearest of a few pivots, and the members of
+a pivot's region are cut into blocks.  Two blocks make a cell, and a vector is in it if it is within the other
+region's radius and ``limit`` of its pivot: by the triangle inequality, no other has a near one there.  So a
+vector is copied to as many cells as there are blocks in its reach.  Inside a cell the pairs are cut down twice
+before they are measured: by the angles to a pivot, which differ by ``limit`` at most, and by the leading
 coordinates on a basis along the pivots, whose product and the product of what they leave out bound the cosine.
 """
 
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from linkgraph.sources.shared import written
 
 #: Vectors of a sample, pivots that are chosen from it at most, and members of a region for each of them.
-SAMPLE, PIVOTS, EACH = 4096, 64, 512
-#: Vectors of a block (one of two parts holds twice as many), coordinates that are looked at first, rows at a time.
-CELL, LEADING, ROWS = 2048, 24, 256
+SAMPLE, PIVOTS, EACH = 4096, 64, 4096
+#: Vectors of a block (a cell holds twice as many), coordinates that are looked at first, rows at a time.
+CELL, LEADING, ROWS = 8192, 24, 256
 SLACK = 1e-9
 
 
@@ -53,13 +53,13 @@ def basis(pivots: np.ndarray) -> np.ndarray:
     return np.linalg.qr(np.concatenate([pivots[:size].T, np.eye(size)], axis=1))[0][:, :size]
 
 
-def near_pairs(units: np.ndarray, angles: np.ndarray, member: np.ndarray, part: np.ndarray, split: bool, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(places, places, measured): the pairs of a block whose cosine is at least the threshold, one of them a
-    member, and how many pairs were measured in all their coordinates."""
+def near_pairs(units: np.ndarray, angles: np.ndarray, part: np.ndarray, split: bool, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, places, measured): the pairs of a cell whose cosine is at least the threshold, of unlike parts if it
+    is ``split``, and how many pairs were measured in all their coordinates."""
     order = np.argsort(angles, kind="stable")
     turned = units[order] @ axes
     lead, rest = turned[:, :LEADING], np.sqrt(np.maximum((turned[:, LEADING:] ** 2).sum(axis=1), 0))
-    units, angles, member, part = units[order], angles[order], member[order], part[order]
+    units, angles, part = units[order], angles[order], part[order]
     last = np.searchsorted(angles, angles + math.acos(min(1.0, threshold)) + SLACK, "right")
     left, right, measured = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for at in range(0, len(units), ROWS):
@@ -68,7 +68,7 @@ def near_pairs(units: np.ndarray, angles: np.ndarray, member: np.ndarray, part:
         bound = lead[at:stop] @ lead[at:end].T + rest[at:stop, None] * rest[None, at:end]
         i, j = np.nonzero(bound >= threshold - SLACK)
         i, j = i + at, j + at
-        some = (i < j) & (j < last[i]) & (member[i] | member[j])
+        some = (i < j) & (j < last[i])
         if split:
             some &= part[i] != part[j]
         i, j = i[some], j[some]
@@ -103,28 +103,28 @@ def _of_length(vectors: DataFrame, length: int, rows: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "home", "unit", "angles"])
 
     placed = written(vectors.mapInArrow(place, f"id {vectors.schema['id'].dataType.simpleString()}, home long, unit array<double>, angles array<double>"), "placed")
-    radius = {r.home: r.radius for r in placed.groupBy("home").agg(F.max(F.get("angles", F.col("home").cast("int"))).alias("radius")).collect()}  # a row a pivot
-    reach = F.lit([float(radius.get(k, -10.0) + limit) for k in range(len(pivots))])
-    regions = F.filter(F.sequence(F.lit(0), F.lit(len(pivots) - 1)), lambda k: (k == F.col("home")) | ((k > F.col("home")) & (F.get("angles", k) <= F.get(reach, k))))
-    told = placed.select("id", "unit", "home", "angles", F.explode(regions).alias("region"))
-    told = told.select("region", "id", "unit", F.get("angles", F.col("region")).alias("angle"), (F.col("home") == F.col("region")).alias("member"))
-    sizes = told.groupBy("region").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")).collect()  # a row a pivot
-    counts = {r.region: r.parts for r in sizes}
-    cut = F.get(F.lit([counts.get(k, 1) for k in range(len(pivots))]), F.col("region"))
-    own = F.pmod(F.xxhash64("id"), cut).cast("int")
-    others = F.transform(F.sequence(F.lit(0), cut - 1), lambda k: F.least(own, k) * cut + F.greatest(own, k))
-    dealt = told.select("*", own.alias("part"), cut.alias("cut"), F.explode(others).alias("cell"))
+    homes = placed.groupBy("home").agg(F.max(F.get("angles", F.col("home").cast("int"))).alias("radius"), F.count("*").alias("n")).orderBy("home").collect()  # a row a pivot
+    region_of = [r.home for r in homes for _ in range(-(-r.n // CELL))]
+    blocks, first = len(region_of), {r.home: region_of.index(r.home) for r in homes}
+    of_pivot = lambda told, other: F.lit([told.get(k, other) for k in range(len(pivots))])
+    reach = of_pivot({r.home: float(r.radius + limit) for r in homes}, -10.0)
+    home, region = F.col("home").cast("int"), F.lit([int(k) for k in region_of])
+    parts = F.get(of_pivot({r.home: -(-r.n // CELL) for r in homes}, 1), home)
+    own = (F.get(of_pivot(first, 0), home) + F.pmod(F.xxhash64("id"), parts)).cast("int").alias("block")
+    within = lambda b: (b == F.col("block")) | (F.get("angles", F.get(region, b)) <= F.get(reach, F.get(region, b)))
+    others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), within)
+    dealt = placed.select("id", "unit", "angles", own).select("*", F.explode(others).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select((low.cast("bigint") * blocks + high).alias("cell"), "id", "unit", F.get("angles", F.get(region, high)).alias("angle"), "block")
 
     def compare(table: pa.Table) -> pa.Table:
-        column = {n: table.column(n) for n in table.column_names}
-        cell, parts = column["cell"][0].as_py(), column["cut"][0].as_py()
-        flat = [column[n].to_numpy() for n in ("angle", "member", "part")]
-        a, b, _ = near_pairs(_matrix(column["unit"]), flat[0], flat[1].astype(bool), flat[2], cell // parts != cell % parts, axes, threshold)
-        ids = column["id"].combine_chunks()
+        cell, angle, block = table.column("cell")[0].as_py(), table.column("angle").to_numpy(), table.column("block").to_numpy()
+        a, b, _ = near_pairs(_matrix(table.column("unit")), angle, block, cell // blocks != cell % blocks, axes, threshold)
+        ids = table.column("id").combine_chunks()
         return pa.table({"source": ids.take(pa.array(a)), "target": ids.take(pa.array(b))})
 
     kind = vectors.schema["id"].dataType.simpleString()
-    return dealt.groupBy("region", "cell").applyInArrow(compare, f"source {kind}, target {kind}")
+    return dealt.groupBy("cell").applyInArrow(compare, f"source {kind}, target {kind}")
 
 
 def semantic_edges(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector") -> DataFrame:
