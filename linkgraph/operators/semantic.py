@@ -23,6 +23,8 @@ from linkgraph.sources.shared import written
 SAMPLE, PIVOTS, EACH = 4096, 64, 4096
 #: Vectors of a block (a cell holds twice as many), coordinates that are looked at first, rows at a time.
 CELL, LEADING, ROWS = 8192, 24, 256
+#: Pairs that are measured at a time.
+MEASURED = 1 << 16
 SLACK = 1e-9
 
 
@@ -73,9 +75,14 @@ def near_pairs(units: np.ndarray, angles: np.ndarray, part: np.ndarray, split: b
             some &= part[i] != part[j]
         i, j = i[some], j[some]
         measured += len(i)
-        near = (units[i] * units[j]).sum(axis=1) >= threshold
-        left.append(order[i[near]])
-        right.append(order[j[near]])
+        if len(i) > MEASURED:  # the bound cuts out little here: one product, and what it leaves is measured again
+            near = (units[at:stop] @ units[at:end].T)[i - at, j - at] >= threshold - SLACK
+            i, j = i[near], j[near]
+        for k in range(0, len(i), MEASURED):
+            a, b = i[k : k + MEASURED], j[k : k + MEASURED]
+            near = (units[a] * units[b]).sum(axis=1) >= threshold
+            left.append(order[a[near]])
+            right.append(order[b[near]])
     return np.concatenate(left), np.concatenate(right), measured
 
 

@@ -32,7 +32,7 @@ def clustered(rng, n, size=24, groups=9, spread=0.25):
 @pytest.mark.parametrize(("kind", "threshold"), [("clustered", 0.9), ("clustered", 0.5), ("random", 0.35)])
 def test_all_and_only_near_pairs(spark, monkeypatch, kind, threshold):
     """In regions and blocks far smaller than usual, so that guests, parts and windows all occur."""
-    for name, value in (("EACH", 40), ("CELL", 50), ("ROWS", 16), ("LEADING", 6)):
+    for name, value in (("EACH", 40), ("CELL", 50), ("ROWS", 16), ("LEADING", 6), ("MEASURED", 100)):
         monkeypatch.setattr(semantic, name, value)
     rng = np.random.default_rng(3)
     x = clustered(rng, 260) if kind == "clustered" else rng.normal(size=(260, 24))
