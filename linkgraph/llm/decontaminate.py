@@ -11,8 +11,11 @@ distance.
    wherever a passage stands its windows meet those of the item in many alignments.  The index holds,
    for each of several walks, the items' windows by a hash of SAMPLES of the first STEPS characters
    that the walk copies: two windows that are in step stay so there most likely, so each alignment and
-   walk is one more repetition of the sampling.  The number of walks is the least that reaches RECALL
-   on copies of the items with random edits up to the bound (``walks_for``).
+   walk is one more repetition of the sampling.  Characters that are dropped at even distances are
+   what throws walks out of step most, so the index also holds windows of thinned copies of the items
+   (each DROPS-th character left out, from each first place on).  The number of walks is the least
+   that reaches RECALL on copies of the items with random edits up to the bound, and EVEN where as
+   many edits of one kind stand at even distances (``walks_for``).
 2. A pair of windows that collide goes on walking to both ends of the item.  Pairs whose embeddings
    agree in fewer than AGREE of the characters are dropped; unrelated texts agree in about 0.08.
 3. What is left is decided by the exact semi-global edit distance (Myers' bit vectors).
@@ -20,6 +23,9 @@ distance.
 Items under SHORT characters, too short for such samples, are found exactly: of allowed + 1 parts one
 is free of edits, so every place of a part is verified.
 
+With ``exact`` every place of every text is verified against every item instead: nothing is missed,
+at a cost of texts times items.
+
 The benchmark is broadcast in blocks of bounded size; documents are mapped row by row, without a
 shuffle, whatever number of them shares a passage.
 """
@@ -27,10 +33,11 @@ shuffle, whatever number of them shares a passage.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +51,11 @@ from linkgraph.llm.common import fresh, held, map_arrow, materialize
 SIMILARITY = 0.8
 #: Windows begin at every STRIDE-th character of a document; a walk's steps and how many are sampled.
 STRIDE, STEPS, SAMPLES = 2, 32, 16
-#: Recall that the walks must reach on edited copies, the least walks, and the most.
-RECALL, LEAST, MOST = 0.995, 5, 16
+#: Recall that the walks must reach on edited copies, and on those with even edits of each kind; the
+#: least walks, and the most.
+RECALL, EVEN, LEAST, MOST = 0.995, 0.95, 5, 16
+#: Distances of the characters that thinned copies leave out, where the bound allows as many.
+DROPS = (5, 6)
 #: Items that the recall is measured on at most, the shortest ones: they have the fewest alignments.
 MEASURED = 256
 #: Steps of the walk to either side of a pair that collides.
@@ -59,7 +69,7 @@ EARLY = np.uint32(12)
 SHORT = 32
 #: Characters of benchmark items in a broadcast; characters of documents that are searched at a time;
 #: windows that walk side by side; pairs that are verified side by side; collisions that are told at a time.
-BLOCK, CHUNK, SIDE, PAIRS, TOLD = 1 << 21, 1 << 22, 1 << 15, 2048, 1 << 20
+BLOCK, CHUNK, SIDE, PAIRS, TOLD = 1 << 20, 1 << 22, 1 << 15, 2048, 1 << 20
 FOUND = "array<struct<item_id:bigint,distance:int,similarity:double,start:int,end:int>>"
 
 
@@ -245,45 +255,67 @@ class Walk:
         return out
 
 
-def _edited(rng: np.random.Generator, x: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """x with an edit at each of some ascending places: a third each replaced, deleted and inserted."""
+def thinned(size: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(step, places that stay) of each thinned copy of a text: windows of it begin at each step-th place."""
+    for every in DROPS:
+        if size // every <= (1 - similarity) * size + 1e-9:
+            for first in range(every):
+                yield every, np.flatnonzero(np.arange(size) % every != first)
+
+
+def _edited(rng: np.random.Generator, x: np.ndarray, places: np.ndarray, kind: int | None = None) -> np.ndarray:
+    """x with an edit at each of some ascending places: replaced (0), deleted (1) or inserted (2), or a
+    third of each."""
     parts, at = [], 0
     for place in places.tolist():
-        kind, letter = rng.integers(3), rng.choice(x)
-        parts += [x[at:place], np.array([letter] if kind == 0 else [] if kind == 1 else [letter, x[place]], np.uint8)]
+        edit, letter = rng.integers(3) if kind is None else kind, rng.choice(x)
+        parts += [x[at:place], np.array([letter] if edit == 0 else [] if edit == 1 else [letter, x[place]], np.uint8)]
         at = place + 1
     return np.concatenate([*parts, x[at:]])
 
 
-def walks_for(texts: list[str], similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """The least number of walks, LEAST at least, by which ``recall`` of the edited copies of items share a key.
+def walks_for(texts: list[str], similarity: float = SIMILARITY) -> int:
+    """The least number of walks, LEAST at least, by which enough edited copies of items share a key.
 
-    Of each item one copy has all the edits that are allowed at random places, and one has half of
-    them at even distances, where no long part is left whole; copies begin anywhere in a document's
-    stride.  The items are the MEASURED shortest that go through the index.
+    RECALL of the copies that have all the edits that are allowed at random places, or half as many at
+    even distances, and EVEN of those that have all of them at even distances, for each kind of edit
+    by itself; copies begin anywhere in a document's stride.  The items are the MEASURED shortest that
+    go through the index.  Where MOST walks don't do, a warning tells what they reach.
     """
     rng = np.random.default_rng(21)
     chosen = sorted({t for t in texts if len(t) >= SHORT}, key=lambda t: (len(t), t))[:MEASURED]
-    pairs = []
+    pairs, sort = [], []
     for text in chosen:
         x = small(codes(text))
         edits = max(1, int((1 - similarity) * len(x) + 1e-9))
-        even = np.linspace(0, len(x) - 1, edits // 2 + 2).astype(int)[1:-1]
-        for places in (np.sort(rng.choice(len(x), edits, replace=False)), even):
-            pairs.append((x, np.concatenate([rng.choice(x, int(rng.integers(STRIDE))), _edited(rng, x, places)])))
+        even = lambda n, x=x: np.linspace(0, len(x) - 1, n + 2).astype(int)[1:-1]
+        random = np.sort(rng.choice(len(x), edits, replace=False))
+        for which, places, kind in ((0, random, None), (0, even(edits // 2), None), *((1 + kind, even(edits), kind) for kind in range(3))):
+            pairs.append((x, np.concatenate([rng.choice(x, int(rng.integers(STRIDE))), _edited(rng, x, places, kind)])))
+            sort.append(which)
+    wanted, sort = (RECALL, EVEN, EVEN, EVEN), np.array(sort, np.int64)
     found = np.zeros(len(pairs), bool)
+    share = lambda: [float(found[sort == k].mean()) for k in range(4)]
     for k in range(MOST):
-        if k >= LEAST and (found.all() or found.mean() >= recall):
+        if k >= LEAST and (found.all() or all(a >= b for a, b in zip(share(), wanted, strict=True))):
             return k
         walk = Walk(k)
+        held_keys: dict[int, np.ndarray] = {}
         for i in np.flatnonzero(~found).tolist():
-            # what follows the two texts differs
-            x, copy = (np.concatenate([a, np.full(STEPS, k, np.uint8)]) for k, a in enumerate(pairs[i]))
-            mine = walk.keys(triples(copy), np.arange(0, len(pairs[i][1]), STRIDE))[2]
-            found[i] = np.isin(mine, walk.keys(triples(x), np.arange(len(pairs[i][0])))[2]).any()
+            x, copy = pairs[i]
+            if id(x) not in held_keys:
+                held_keys[id(x)] = np.concatenate([_keys(walk, x, 0, 1), *(_keys(walk, x[stay], 0, every) for every, stay in thinned(len(x), similarity))])
+            found[i] = np.isin(_keys(walk, copy, 1, STRIDE), held_keys[id(x)]).any()
+    if found.size and not all(a >= b for a, b in zip(share(), wanted, strict=True)):
+        warnings.warn(f"{MOST} walks share keys with {[round(a, 3) for a in share()]} of edited copies (wanted {wanted})", stacklevel=2)
     return MOST
 
 
+def _keys(walk: Walk, x: np.ndarray, follows: int, every: int) -> np.ndarray:
+    """The keys of a walk from each ``every``-th place of x on; ``follows`` is what stands after it."""
+    return walk.keys(triples(np.concatenate([x, np.full(STEPS, follows, np.uint8)])), np.arange(0, len(x), every))[2]
+
+
 @dataclass
 class Items:
     """A block of benchmark items and the index over their windows; built once a worker."""
@@ -292,32 +324,53 @@ class Items:
     texts: list[str]
     similarity: float = SIMILARITY
     walks: int = 0
+    exact: bool = False
 
     def __post_init__(self):
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.allowed = np.floor((1 - self.similarity) * self.length + 1e-9).astype(np.int64)
         long = np.flatnonzero(self.length >= SHORT)
-        # the long items, each between zeros
-        self.y = np.concatenate([np.zeros(1, np.uint8), *(part for i in long.tolist() for part in (small(codes(self.texts[i])), np.zeros(1, np.uint8))), np.zeros(STEPS, np.uint8)])
+        # the long items and their thinned copies, each between zeros; what windows there are of them
         self.begin = np.zeros(len(self.texts), np.int64)
-        self.begin[long] = 1 + np.concatenate([[0], (self.length[long] + 1).cumsum()[:-1]]) if len(long) else 0
-        window = np.arange(int(self.length[long].sum()))
-        self.owner = np.repeat(long, self.length[long])
-        self.place = window - np.repeat(self.length[long].cumsum() - self.length[long], self.length[long]) + self.begin[self.owner]
+        pieces, owner, place, offset, piece, at = [np.zeros(1, np.uint8)], [], [], [], [], 1
+        for i in long.tolist():
+            text = small(codes(self.texts[i]))
+            self.begin[i] = at
+            for every, stay in ((1, np.arange(len(text))), *thinned(len(text), self.similarity)):
+                pieces += [text[stay], np.zeros(1, np.uint8)]
+                windows = np.arange(0, len(stay), every, dtype=np.int32)
+                owner.append(np.full(len(windows), i, np.int32))
+                piece.append(np.full(len(windows), len(piece), np.int32))
+                place.append(windows + np.int32(at))
+                offset.append(stay[windows].astype(np.int32))
+                at += len(stay) + 1
+        self.y = np.concatenate([*pieces, np.zeros(STEPS, np.uint8)])
+        joined = lambda parts: np.concatenate([np.zeros(0, np.int32), *parts])
+        #: of each window: the item, which of the texts in y, its place in y, and that in the item
+        self.owner, self.piece, self.place, self.offset = joined(owner), joined(piece), joined(place), joined(offset)
+        window = self.place
         self.index = []
         bits = max(12, (16 * len(window)).bit_length())
         self.shift = np.uint32(32 - min(bits, 28))
         y3 = triples(self.y)
-        for k in range((self.walks or walks_for(self.texts, self.similarity)) if len(long) else 0):
+        for k in range((self.walks or walks_for(self.texts, self.similarity)) if len(long) and not self.exact else 0):
             walk = Walk(k)
-            _, first, key = walk.keys(y3, self.place)
-            order = np.argsort(key, kind="stable")
+            _, first, key = walk.keys(y3, self.place.astype(np.int64))
+            order = self._ends(key)
+            key, first = key[order], first[order]
             early, seen = np.zeros(1 << (32 - int(EARLY)), bool), np.zeros(1 << (32 - int(self.shift)), bool)
             early[first >> EARLY], seen[key >> self.shift] = True, True
-            values, begin, count = np.unique(key[order], return_index=True, return_counts=True)
-            self.index.append((walk, early, seen, values, begin, count, order))
+            values, begin, count = np.unique(key, return_index=True, return_counts=True)
+            self.index.append((walk, early, seen, values, begin.astype(np.int32), count.astype(np.int32), order.astype(np.int32)))
         self.parts = self._parts(np.flatnonzero((self.length > 0) & (self.length < SHORT)))
 
+    def _ends(self, key: np.ndarray) -> np.ndarray:
+        """The windows in the order of their keys; of those that a text has in common with itself the first
+        and the last, which is enough: a passage of a document repeats itself alike."""
+        order = np.lexsort((self.piece, key))
+        same = (np.diff(key[order]) == 0) & (np.diff(self.piece[order]) == 0)
+        return order[~(np.concatenate([[False], same]) & np.concatenate([same, [False]]))] if len(order) else order
+
     def _parts(self, items: np.ndarray) -> list[tuple[str, int, int]]:
         """(part, item, offset): each short item cut into one part more than edits are allowed."""
         out = []
@@ -355,24 +408,25 @@ class Items:
         for walk, place, window in self.collisions(x):
             if walk is not walked:  # alignments are walked once, however many tables they come in
                 walked, tested, passed = walk, tested[:0], passed[:0]
-            item, other = self.owner[window], self.place[window]
-            start = place - (other - self.begin[item])
+            piece, offset = self.piece[window], self.offset[window].astype(np.int64)
+            start = place - offset
             # one pair for each alignment: the walks from it tell the same
-            group = np.lexsort((other, start, item))
+            alignment = piece.astype(np.int64) << 34 | start + (1 << 32)
+            group = np.lexsort((offset, alignment))
             if not len(group):
                 continue
-            begin = np.flatnonzero(np.concatenate([[True], (np.diff(start[group]) != 0) | (np.diff(item[group]) != 0)]))
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(alignment[group]) != 0]))
             end = np.concatenate([begin[1:], [len(group)]]) - 1
-            pick, low, high = group[(begin + end) // 2], other[group[begin]], other[group[end]]
-            place, other, item, start = place[pick], other[pick], item[pick], start[pick]
-            alignment = item << 40 | start + (1 << 30)
+            pick, low, high = group[(begin + end) // 2], offset[group[begin]], offset[group[end]]
+            place, window, start, alignment = place[pick], window[pick], start[pick], alignment[pick]
+            item, other = self.owner[window].astype(np.int64), self.place[window].astype(np.int64)
             new = ~np.isin(alignment, tested)
             share = np.where(np.isin(alignment, passed), int(1000 * AGREE), 0)
             share[new] = walk.agreement(x, place[new], self.y, other[new])
             agrees = share >= 1000 * AGREE
             tested, passed = np.concatenate([tested, alignment[new]]), np.concatenate([passed, alignment[new & agrees]])
             document = np.searchsorted(ends, place)
-            rows.append(np.stack([document, item, start, share, low - self.begin[item], high - self.begin[item]], axis=1)[agrees])
+            rows.append(np.stack([document, item, start, share, low, high], axis=1)[agrees])
         return np.concatenate(rows)
 
     def placements(self, x: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -400,6 +454,16 @@ class Items:
                     yield d, i, at - offset, at - offset
                     at = text.find(part, at + 1)
 
+    def pieces(self, placed: Iterable[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, begin, end), long stretches cut into overlapping pieces that are verified side by
+        side: whatever an item may match is whole in one of them."""
+        for d, i, low, high in placed:
+            most = int(self.length[i] + self.allowed[i])
+            while high - low > 4 * most:
+                yield d, i, low, low + 3 * most
+                low += 2 * most
+            yield d, i, low, high
+
     def search(self, texts: list[str]) -> list[list[tuple]]:
         """For each normalised text (item_id, distance, similarity, start, end) of the items found in
         it, the best place each, by item."""
@@ -408,18 +472,18 @@ class Items:
         begins = np.concatenate([[0], ends[:-1] + 1])
         best: list[dict[int, tuple]] = [{} for _ in texts]
 
-        placed = []
-        if self.index:
+        placed = [(d, int(i), 0, len(t)) for d, t in enumerate(texts) for i in np.flatnonzero(self.length)] if self.exact else []
+        if self.index and not self.exact:
             x = np.concatenate([small(codes(joined)), np.zeros(STEPS, np.uint8)])
             for d, i, first, last in self.placements(x, ends):
                 # starts come from any alignment: within the allowed edits of the passage's own
                 n, allowed, base = int(self.length[i]), int(self.allowed[i]), int(begins[d])
                 placed.append((d, i, max(first - allowed - base, 0), min(last + n + 2 * allowed - base, len(texts[d]))))
-        for d, i, first, last in self.short_placements(texts):
+        for d, i, first, last in self.short_placements(texts) if not self.exact else ():
             placed.append((d, i, max(first - int(self.allowed[i]), 0), min(last + int(self.length[i] + self.allowed[i]), len(texts[d]))))
         placed.sort(key=lambda p: (p[3] - p[2], p))
-        for at in range(0, len(placed), PAIRS):
-            part = placed[at : at + PAIRS]
+        pieces = self.pieces(placed)
+        while part := list(islice(pieces, PAIRS)):
             distances, stops = edit_distances([self.texts[p[1]] for p in part], [texts[d][low:high] for d, _, low, high in part])
             for (d, i, low, _), distance, stop in zip(part, distances.tolist(), stops.tolist(), strict=True):
                 if distance <= self.allowed[i] and (i not in best[d] or (distance, low + stop) < (best[d][i][1], best[d][i][4])):
@@ -451,7 +515,7 @@ def _search(shipped, columns: list[str], out: str):
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "contamination", similarity: float = SIMILARITY, block: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "contamination", similarity: float = SIMILARITY, block: int = BLOCK, exact: bool = False
 ) -> DataFrame:
     """Append ``out``: the benchmark items that a document holds a passage of, with the edit distance,
     and start and end in the normalised text.
@@ -461,6 +525,7 @@ def find_contamination(
     ``out`` is replaced).  The benchmark is sought in blocks of ``block`` characters or so, one after
     the other: only one is on the driver and in a broadcast.  Several blocks need an id a row: then
     the documents are written with one, and the finds of each block, which are few, are joined to it.
+    ``exact`` verifies every place of every text, without the index.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -478,7 +543,7 @@ def find_contamination(
         if not rows:
             return None
         texts = [t for _, t in rows]
-        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [i for i, _ in rows], texts, similarity, walks_for(texts, similarity)))
+        shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, [i for i, _ in rows], texts, similarity, 0 if exact else walks_for(texts, similarity), exact))
         kept = df.columns[:-1]
         return map_arrow(df, _search(shipped, kept, out), StructType([*df.schema.fields[:-1], *StructType.fromDDL(f"`{out}` {FOUND}")])), shipped
 

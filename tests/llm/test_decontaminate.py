@@ -78,6 +78,39 @@ def test_recall_under_regular_edits(items, every, kind, least):
     assert near and sum(any(f[0] == items.ids[i] for f in found[i]) for i in near) >= least * len(near)
 
 
+@pytest.mark.parametrize("every", [5, 6])
+@pytest.mark.parametrize("kind", ["drop", "replace", "insert", "drop replace", "drop insert", "replace insert"])
+def test_recall_under_all_edits_at_even_distances(items, every, kind):
+    """As many edits as the bound allows, of one kind or two in turn: no part is left whole."""
+    kinds = kind.split()
+    change = {"drop": lambda c: "", "replace": lambda c: "q", "insert": lambda c: c + "q"}
+    spoilt = lambda t: "".join(change[kinds[k // every % len(kinds)]](c) if k % every == every - 1 else c for k, c in enumerate(t))
+    texts = ["some words before it " + dc.normalise(spoilt(t)) + " and others after it" for t in items.texts]
+    near = [i for i, t in enumerate(texts) if dc.edit_distance(items.texts[i], t)[0] <= items.allowed[i]]
+    found = items.search(texts)
+    assert len(near) > 150 and sum(any(f[0] == items.ids[i] for f in found[i]) for i in near) >= 0.9 * len(near)
+
+
+def test_repetitive_text_and_item():
+    """An item that repeats itself in a long text that does: the same find, in pieces verified side by side."""
+    items = dc.Items([1, 2], ["ab" * 100, "abc" * 40], walks=5)
+    found = items.search(["ab" * 150_000 + "x" + "abc" * 40])
+    assert [(f[0], f[1]) for f in found[0]] == [(1, 0), (2, 0)]
+    assert found[0][0][3:] == (0, 200) and found[0][1][4] == 300_001 + 120
+
+
+def test_exact_mode_equals_brute_force():
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choices("abcde ", k=n))
+    items = [dc.normalise(some(n)) for n in (1, 7, 31, 40, 90, 130)] + [""]
+    texts = [dc.normalise(some(rng.randint(0, 900)) + edited(rng, rng.choice(items), rng.choice([0.1, 0.2, 0.3])) + some(rng.randint(0, 400))) for _ in range(25)] + [""]
+    exact = dc.Items(list(range(7)), items, exact=True)
+    assert not exact.index
+    for text, found in zip(texts, exact.search(texts), strict=True):
+        want = {i: dc.edit_distance(t, text) for i, t in enumerate(items) if t}
+        assert {f[0]: (f[1], f[4]) for f in found} == {i: w for i, w in want.items() if w[0] <= exact.allowed[i]}
+
+
 def test_recall_under_edited_words(items):
     for every in (6, 5, 4):
         texts = ["before " + " ".join("zzzz" if k % every == every - 1 else w for k, w in enumerate(t.split())) for t in items.texts]
