@@ -3,8 +3,10 @@
 The lexicon holds whole words.  It starts from a short list and learns further ones from labelled
 documents.  A word that isn't in it goes through the intersection of the lexicon's trie with the
 Levenshtein automaton of the word: states are sets of (trie node, edits), made deterministic as words
-need them, so that most words die after a few table look-ups.  Only a word that misspells none is held
-against learned stems (word beginnings of 5 to 8 letters), for languages that inflect.
+need them, so that most words die after a few table look-ups.  The trie also holds learned stems
+(beginnings of 5 to 8 letters, written ``stem*``), for languages that inflect: the automaton accepts a
+word as soon as what it has read is within the edits of a stem, whatever follows.  A word takes the
+nearest whole term, or else the stem that weighs most.
 
 Each hit is weighed by the words around it: between quotation marks or near words of reporting it
 counts less, next to a second person it counts more.  A logistic model over a document's hits gives
@@ -40,6 +42,8 @@ WINDOW, QUOTED, REPORTED, ADDRESSED = 5, 0.4, 0.7, 1.15
 #: Labelled documents that a fit takes at most (those that a hash of doc_id puts first); documents a
 #: term must be in, copies counted once; weight from which a term is learned; letters of a stem.
 SAMPLE, SUPPORT, LEAST, STEM = 16_384, 8, 1.2, (5, 8)
+#: Edits that stems allow, and the letters from which they do.
+STEM_EDITS, STEM_FROM = 1, 7
 #: Weight from which hits count as strong and words may get fuzzy matches; words that a worker remembers.
 STRONG, REMEMBERED = 2.0, 300_000
 #: Automaton states that a worker keeps, and (trie node, edits) pairs in them; when full, all are forgotten.
@@ -53,22 +57,26 @@ QUOTES = regex.compile("[\"“”«»„]")
 class FuzzyTrie:
     """Levenshtein automata intersected with the trie of some terms, determinised step by step."""
 
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], weights: dict[str, float] | None = None):
+        self.weights = weights or {}
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.reach = [0]  # most edits of any term below a node
+        self.stem: list[str | None] = [None]
         for t in terms:
+            begins = t.endswith("*")
             allowed, node = self.edits(t), 0
-            for ch in t:
+            for ch in t.removesuffix("*"):
                 self.reach[node] = max(self.reach[node], allowed)
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.stem.append(None)
                     self.reach.append(0)
                 node = self.children[node][ch]
             self.reach[node] = max(self.reach[node], allowed)
-            self.term[node] = t
+            (self.stem if begins else self.term)[node] = t
         self.alphabet = {ch for c in self.children for ch in c}
         self._begin()
 
@@ -78,11 +86,15 @@ class FuzzyTrie:
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accept: list[tuple[int, str] | None] = []
+        self.begun: list[list[tuple[int, str]]] = []
         self.pairs = 0
         self.start = self._state({(0, 0)})
 
     @staticmethod
     def edits(term: str) -> int:
+        """The edits that a term allows; a stem, which says less, allows STEM_EDITS from STEM_FROM letters on."""
+        if term.endswith("*"):
+            return STEM_EDITS if len(term) > STEM_FROM else 0
         return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -102,6 +114,7 @@ class FuzzyTrie:
             self.moves.append({})
             ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= self.edits(self.term[n])]
             self.accept.append(min(ends) if ends else None)
+            self.begun.append([(e, self.stem[n]) for n, e in key if self.stem[n] and e <= self.edits(self.stem[n])])
         return self.states[key]
 
     def _step(self, state: int, ch: str) -> int:
@@ -115,10 +128,12 @@ class FuzzyTrie:
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the nearest term within its allowed edits; ties to the first by name."""
+        """(edits, term) of the nearest whole term within its allowed edits, ties to the first by name; where
+        there is none, of the stem that the word begins with and that weighs most after its edits, exact ones
+        before others."""
         if len(self.sets) > STATES or self.pairs > PAIRS:
             self._begin()
-        state, alphabet = self.start, self.alphabet
+        state, alphabet, begun = self.start, self.alphabet, set()
         for ch in word:
             if ch not in alphabet:
                 ch = "\0"
@@ -126,9 +141,13 @@ class FuzzyTrie:
             if to is None:
                 to = self._step(state, ch)
             if not self.sets[to]:
-                return None
+                break
             state = to
-        return self.accept[state]
+            begun.update(self.begun[state])
+        else:
+            if self.accept[state]:
+                return self.accept[state]
+        return min(begun, key=lambda b: (b[0], -self.weights.get(b[1], 0.0), b[1])) if begun else None
 
 
 @dataclass
@@ -149,9 +168,8 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.model = model
-        self.lengths = sorted({len(s) for s in model.stems})
-        self.fuzzy = FuzzyTrie(w for w in model.fuzzy if model.words.get(w, 0.0) >= STRONG)
-        self.longest = max((len(w) + FuzzyTrie.edits(w) for w in model.fuzzy), default=0)
+        self.weights = {w: model.words[w] for w in model.fuzzy if model.words.get(w, 0.0) >= STRONG} | {f"{t}*": w for t, w in model.stems.items()}
+        self.fuzzy = FuzzyTrie(self.weights, self.weights)
         self.known: dict[str, tuple[float, str] | None] = {}
 
     def _lookup(self, word: str) -> tuple[float, str] | None:
@@ -159,11 +177,12 @@ class Matcher:
         exact = self.model.words.get(word, 0.0)
         if exact:
             return exact, ""
-        found = self.fuzzy.match(word) if 4 <= len(word) <= self.longest else None
-        if found:
-            return self.model.words[found[1]] * 0.8 ** found[0], found[1]
-        stem = max((self.model.stems.get(word[:n], 0.0) for n in self.lengths if n <= len(word)), default=0.0)
-        return (stem, "") if stem else None
+        found = self.fuzzy.match(word) if len(word) >= 4 else None
+        if not found:
+            return None
+        edits, term = found
+        # a stem that stands there as it is counts as the lexicon's own
+        return self.weights[term] * 0.8**edits, "" if term.endswith("*") and not edits else term
 
     def hits(self, text: str) -> tuple[int, list[float], list[tuple[float, str]]]:
         """Words, weights of the exact hits, and (weight, term) of the fuzzy ones, in context."""
