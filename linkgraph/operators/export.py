@@ -91,21 +91,27 @@ def write_json(graph: Graph, path: str) -> None:
     elements(graph).write.mode("overwrite").partitionBy("kind").text(path)
 
 
-#: Elements of a graph that ``document`` makes one document of at most; beyond, ``write_json`` is the way.
-VIEWED = 1_000_000
+#: Bytes of the document that ``document`` makes at most, which is what one value can hold, and elements of a piece of it.
+VIEWED, PIECE = (1 << 31) - (1 << 16), 4096
 
 
 def document(graph: Graph) -> DataFrame:
-    """One row with the whole graph as an indented JSON document, for a graph that a viewer can hold.
+    """One row with the whole graph as an indented JSON document, for a viewer.
 
-    The document is one value and so one task's; a graph of over VIEWED nodes and edges is refused.
+    Elements are rendered, sorted and joined to pieces in parallel; as the document is one value, one task joins
+    the pieces, and holds text alone.  A document that no value can hold is refused (``write_json`` exports any graph).
     """
-    rows = graph.nodes.select("id").unionByName(graph.edges.select(F.col("source").alias("id")))
-    if rows.limit(VIEWED + 1).count() > VIEWED:
-        raise ValueError(f"a document holds {VIEWED} elements at most; write_json exports any graph")
-    node = F.struct(F.struct("id", "label", "noteId", "degree").alias("data"))
-    edge = F.struct(F.struct("source", "target", "type", "tagName").alias("data"))
-    nodes = graph.nodes.select(node.alias("n"), F.lit(None).alias("e"))
-    edges = graph.edges.select(F.lit(None).alias("n"), edge.alias("e"))
-    lists = F.struct(F.array_sort(F.collect_list("n")).alias("nodes"), F.array_sort(F.collect_list("e")).alias("edges"))
-    return nodes.unionByName(edges).agg(F.to_json(lists, {"pretty": "true"}).alias("document"))
+    # line feeds inside of strings are escaped, so these are the layout's
+    shown = lambda *names: F.replace(F.to_json(F.struct(F.struct(*names).alias("data")), {"pretty": "true"}), F.lit("\n"), F.lit("\n  "))
+    kinds = {"nodes": (graph.nodes, ("id", "label", "noteId", "degree")), "edges": (graph.edges, ("source", "target", "type", "tagName"))}
+    sizes = [rows.agg(F.sum(F.octet_length(shown(*names)) + 2)).first()[0] or 0 for rows, names in kinds.values()]
+    if sum(sizes) > VIEWED:
+        raise ValueError(f"a document holds {VIEWED} bytes at most; write_json exports any graph")
+    pieces = []
+    for kind, (rows, names) in kinds.items():
+        placed = rows.select(*names).orderBy(*names).select(F.monotonically_increasing_id().alias("at"), shown(*names).alias("text"))
+        listed = placed.groupBy(F.shiftright("at", PIECE.bit_length() - 1).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+        pieces.append(listed.select(F.lit(kind).alias("kind"), "piece", F.array_join(F.transform("t", lambda x: x["text"]), ", ").alias("text")))
+    whole = pieces[0].unionByName(pieces[1]).agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("piece", "text")))).alias(k) for k in kinds])
+    listed = {k: F.concat(F.lit(f'"{k}" : [ '), F.array_join(F.transform(k, lambda x: x["text"]), ", "), F.when(F.size(k) > 0, " ]").otherwise("]")) for k in kinds}
+    return whole.select(F.concat(F.lit("{\n  "), listed["nodes"], F.lit(",\n  "), listed["edges"], F.lit("\n}")).alias("document"))

@@ -217,3 +217,28 @@ def test_hot_tags(make, monkeypatch):
     monkeypatch.setattr(E, "HOT", 2)
     rows = [(f"n{i:02d}", [], ["all", "half" if i % 2 else "other", "few" if i < 3 else f"own{i}"]) for i in range(60)]
     assert pairs(E.tag_edges(make(*rows))) == [("n00", "n01", "tag", "few"), ("n00", "n02", "tag", "few"), ("n01", "n02", "tag", "few")]
+
+
+def test_a_document_of_many_pieces(injected, monkeypatch):
+    """As Spark's own writer shows one struct of lists, however many pieces: odd labels, nulls, repeats, no edges."""
+    monkeypatch.setattr(export, "PIECE", 2)
+    odd = ["b", "a\n\"q\" \\ }, {", "é😀", "", "c"]
+    for edges in ([], [("b", "c", "tag", "t\nu"), ("b", "c", "link", None), ("", "b", "link", None), ("b", "c", "link", None)]):
+        g = injected(odd, edges)
+        nodes, pairs_ = (F.collect_list(F.struct(F.struct(*names).alias("data"))) for names in (("id", "label", "noteId", "degree"), ("source", "target", "type", "tagName")))
+        n, e = (sorted(x.agg(c.alias("l")).first().l, key=str) for x, c in ((g.nodes, nodes), (g.edges, pairs_)))
+        got = export.document(g).first().document
+        told = json.loads(got)
+        assert [x["data"]["id"] for x in told["nodes"]] == sorted(odd) and len(told["edges"]) == len(e) and len(n) == len(odd)
+        lists = F.struct(F.array_sort(nodes).alias("nodes"), F.lit(None).alias("edges"))
+        assert got.startswith(g.nodes.agg(F.to_json(lists, {"pretty": "true"}).alias("d")).first().d[:-2])
+        assert got.endswith('"edges" : [ ]\n}' if not edges else "} ]\n}")
+
+
+def test_a_document_is_bounded_by_its_bytes(spark):
+    """Over a million elements, which were refused."""
+    ids = spark.range(1_000_001).select(F.col("id").cast("string").alias("id"))
+    nodes = ids.select("id", F.lit("l").alias("label"), F.col("id").alias("noteId"), F.lit(0).cast("bigint").alias("degree"))
+    edges = spark.createDataFrame([], "source string, target string, type string, tagName string")
+    size, rest = export.document(Graph(nodes, edges)).select(F.length("document"), F.regexp_count("document", F.lit('"data" : '))).first()
+    assert rest == 1_000_001 and size > 100_000_000
