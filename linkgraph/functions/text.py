@@ -31,7 +31,10 @@ def split_names(names: Column) -> Column:
 
 
 def is_dark(color: Column) -> Column:
-    """Whether #rrggbb has a luminance below 128; no colour, or one that can't be read, isn't dark."""
-    channel = lambda at: F.conv(F.substring(color, at, 2), 16, 10).cast("double")
-    luminance = channel(2) * 0.299 + channel(4) * 0.587 + channel(6) * 0.114
-    return F.coalesce(F.when(color.rlike(r"^#[0-9A-Fa-f]{6}"), luminance < 128), F.lit(False))
+    """Whether #rrggbb has a luminance below 128; no colour, or one that can't be read, isn't dark.
+
+    The weights are thousandths, so whole numbers decide: sums of doubles miss a luminance of exactly 128.
+    """
+    channel = lambda at: F.conv(F.substring(color, at, 2), 16, 10).cast("int")
+    luminance = channel(2) * 299 + channel(4) * 587 + channel(6) * 114
+    return F.coalesce(F.when(color.rlike(r"^#[0-9A-Fa-f]{6}"), luminance < 128_000), F.lit(False))

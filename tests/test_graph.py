@@ -242,3 +242,10 @@ def test_a_document_is_bounded_by_its_bytes(spark):
     edges = spark.createDataFrame([], "source string, target string, type string, tagName string")
     size, rest = export.document(Graph(nodes, edges)).select(F.length("document"), F.regexp_count("document", F.lit('"data" : '))).first()
     assert rest == 1_000_001 and size > 100_000_000
+
+
+def test_luminance_of_128(spark):
+    """Weights of a thousandth: a sum of exactly 128 isn't dark, though doubles make it less."""
+    colors = [(r, g, b) for r in range(0, 256, 3) for g in range(0, 256, 3) for b in range(256) if 299 * r + 587 * g + 114 * b in (127_999, 128_000, 128_001)] + [(128, 128, 128)]
+    rows = spark.createDataFrame([(f"#{r:02x}{g:02x}{b:02X}", 299 * r + 587 * g + 114 * b < 128_000) for r, g, b in colors], "c string, dark boolean")
+    assert len(colors) > 5 and rows.where(T.is_dark(F.col("c")) != F.col("dark")).count() == 0
