@@ -26,7 +26,7 @@ def tag_titles(tags: DataFrame, note_tag: DataFrame) -> DataFrame:
 def enrich(notes: DataFrame, titles: DataFrame, extract: Callable[[Column], Column] = linked_ids) -> DataFrame:
     """All note columns with ``links`` (ids in the body) and ``tags`` ([] without any)."""
     found = titles.select(F.col("note_id").alias("id"), F.col("tags").alias("_tags"))
-    joined = notes.drop("links", "tags").join(found, "id", "left")
-    return joined.withColumns(
-        {"links": extract(F.coalesce("body", F.lit(""))), "tags": F.coalesce("_tags", F.array().cast(STRINGS))}
-    ).drop("_tags")
+    # links come from the body before the join, so that bodies that nothing else reads aren't shuffled
+    linked = notes.drop("links", "tags").withColumn("links", extract(F.coalesce("body", F.lit(""))))
+    joined = linked.join(found, "id", "left")
+    return joined.withColumn("tags", F.coalesce("_tags", F.array().cast(STRINGS))).drop("_tags")

@@ -249,3 +249,16 @@ def test_luminance_of_128(spark):
     colors = [(r, g, b) for r in range(0, 256, 3) for g in range(0, 256, 3) for b in range(256) if 299 * r + 587 * g + 114 * b in (127_999, 128_000, 128_001)] + [(128, 128, 128)]
     rows = spark.createDataFrame([(f"#{r:02x}{g:02x}{b:02X}", 299 * r + 587 * g + 114 * b < 128_000) for r, g, b in colors], "c string, dark boolean")
     assert len(colors) > 5 and rows.where(T.is_dark(F.col("c")) != F.col("dark")).count() == 0
+
+
+def test_bodies_are_read_once_and_not_shuffled(spark):
+    """Links are extracted once for the edges, before the notes meet their tags."""
+    notes = spark.createDataFrame([("n1", f"[x](:/{'a' * 32})", "t", 0)], "id string, body string, title string, pos bigint")
+    tags, bridge = spark.createDataFrame([("t1", "zeta", 0)], S.TAG), spark.createDataFrame([("t1", "n1")], S.NOTE_TAG)
+    rich = enrich(notes.repartition(2), tag_titles(tags, bridge))
+    times = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert times(E.raw_links(rich)) == times(rich.select("id", "links")) > 0
+    plan = rich.select("id", "links", "tags")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_extract_all")  # the plan's first line is its last step
+    found = spark.createDataFrame([("a", ["a", None, "b", "b"]), ("b", []), ("c", None)], "id string, links array<string>")
+    assert E.raw_links(found).collect() == [("a", "b")]
