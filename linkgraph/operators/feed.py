@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from linkgraph.functions.text import label
-from linkgraph.operators.edges import MAX_GROUP, merge, occurrences, tag_pairs
+from linkgraph.operators.edges import MAX_GROUP, merge, occurrences, raw_links, tag_pairs
 from linkgraph.operators.graph import Graph, endpoints
 from linkgraph.operators.store import KEEP, SnapshotStore, Version
 from linkgraph.sources.shared import delete, run_folder, written
@@ -51,11 +51,6 @@ def _touching(rows: DataFrame, ids: DataFrame, *columns: str, keep: bool) -> Dat
     return found
 
 
-def _raw_links(notes: DataFrame) -> DataFrame:
-    """(source, target) as they stand in notes, once each and without a note's links to itself."""
-    return notes.select(F.col("id").alias("source"), F.explode("links").alias("target")).where("target <> source").distinct()
-
-
 def _as_edges(links: DataFrame) -> DataFrame:
     return links.select("source", "target", F.lit("link").alias("type"), F.lit(None).cast("string").alias("tagName"))
 
@@ -111,7 +106,7 @@ class GraphFeed:
                 return written(rows, name, f"{path}/{name}")
 
             rows = put("notes", notes.select("id", "title", "pos", _at(zero, F.lit(False), zero).alias("at"), F.lit(True).alias("alive")))
-            links = put("links", _raw_links(notes))
+            links = put("links", raw_links(notes))
             pairs = put("pairs", tag_pairs(put("tags", occurrences(notes)), self.max_group))
             found = _as_edges(links.join(rows.select(F.col("id").alias("target")), "target", "left_semi"))
             edges = put("edges", found.unionByName(merge(pairs)))
@@ -126,6 +121,7 @@ class GraphFeed:
 
         A change that isn't later (``latest_changes``) than what the store has of its note is none, so batches
         may come again or in any order.  An update of an unknown note creates it, and a deletion of one is kept.
+        Where no change is one, the version that follows is of the same tables.
         """
         if self.store.known(batch):
             return None
@@ -140,7 +136,7 @@ class GraphFeed:
         def old(name: str) -> DataFrame:
             return own.read.schema(self.store.table(name, now).schema).parquet(f"{self.store.folder}/data/{now.data}/{name}")
 
-        def write(path: str) -> dict[str, StructType]:
+        def write(path: str) -> dict[str, StructType] | None:
             held = {}
 
             def put(name: str, *parts: DataFrame) -> DataFrame:
@@ -154,12 +150,14 @@ class GraphFeed:
             stored = old("notes").select("id", F.col("at").alias("_at"))
             late = latest_changes(changes).join(stored, "id", "left").where("_at is null or at > _at").drop("_at")
             changed = keep("changed", late)
+            if changed.isEmpty():
+                return None
             ids, live = changed.select("id"), changed.where(f"event <> {DELETE}")
 
             state = changed.select("id", "title", "pos", "at", (F.col("event") != DELETE).alias("alive"))
             notes = put("notes", _touching(old("notes"), ids, "id", keep=False), state)
 
-            links = put("links", _touching(old("links"), ids, "source", keep=False), _raw_links(live))
+            links = put("links", _touching(old("links"), ids, "source", keep=False), raw_links(live))
             alive = notes.where("alive").select(F.col("id").alias("target"))
             new_links = _as_edges(_touching(links, ids, "source", "target", keep=True).join(alive, "target", "left_semi"))
 

@@ -90,9 +90,9 @@ class SnapshotStore:
         now = self.latest() if batch else None
         return now is not None and now.batches.get(batch[0], -1) >= batch[1]
 
-    def commit(self, write: Callable[[str], Mapping[str, StructType]], batch: tuple[str, int] | None = None) -> Version | None:
+    def commit(self, write: Callable[[str], Mapping[str, StructType] | None], batch: tuple[str, int] | None = None) -> Version | None:
         """Make a version of the tables that ``write`` writes below the path it is given; it returns their
-        schemas by name.  None, and nothing is left, if the batch is known; then ``write`` isn't even called,
+        schemas by name, or None for the tables of the current version.  None, and nothing is left, if the batch is known; then ``write`` isn't even called,
         unless another writer commits the batch meanwhile."""
         if self.known(batch):
             return None
@@ -108,7 +108,8 @@ class SnapshotStore:
                 if batch:
                     batches[batch[0]] = batch[1]
                 number = max([*self._numbers()[:1], 0]) + 1
-                version = Version(number, data, {n: s.json() for n, s in schemas.items()}, batches, time.time())
+                made = (now.data, now.tables) if schemas is None else (data, {n: s.json() for n, s in schemas.items()})
+                version = Version(number, *made, batches, time.time())
                 if self._create(f"commits/{number:020d}.json", json.dumps(version.__dict__)):
                     break
         self.vacuum()
@@ -141,9 +142,11 @@ class SnapshotStore:
     def vacuum(self) -> None:
         """Delete versions beyond ``keep``, and tables without a commit that are older than ``abandoned``."""
         versions = self.versions()
+        kept = {v.data for v in versions[: self.keep]}
         for old in versions[self.keep :]:
             self.fs.delete(self._path(f"commits/{old.number:020d}.json"), False)
-            self.fs.delete(self._path(f"data/{old.data}"), True)
+            if old.data not in kept:  # versions may share their tables
+                self.fs.delete(self._path(f"data/{old.data}"), True)
         held = {v.data for v in self.versions()}
         now = time.time()
         folder = self._path("data")

@@ -75,14 +75,14 @@ def mixed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple, Graph] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], Graph]) -> Graph:
+def _stored(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], Graph], keep: Callable[[Graph, str], Graph] = export.store) -> Graph:
     """The snapshot of a graph, built and stored once for a session and the state that its tables' files are
     in, in the folder that driver and executors share; queries on a snapshot read what the first one stored."""
     fs, folder = hadoop_path(spark, sf_dir)
     files = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)]
     key = (spark.sparkContext.applicationId, sf_dir, build.__name__, *sorted(files))
     if key not in _STORED:
-        _STORED[key] = export.store(build(spark, sf_dir), run_folder(spark))
+        _STORED[key] = keep(build(spark, sf_dir), run_folder(spark))
     return _STORED[key]
 
 
@@ -410,14 +410,19 @@ def changed_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return feed.graph()
 
 
+def _fed(spark: SparkSession, sf_dir: str) -> Graph:
+    """The changed graph, which the feed has stored already."""
+    return _stored(spark, sf_dir, changed_graph, lambda graph, _: graph)
+
+
 @query
 def feed_nodes(spark, sf_dir):
-    return _stored(spark, sf_dir, changed_graph).nodes
+    return _fed(spark, sf_dir).nodes
 
 
 @query
 def feed_edges(spark, sf_dir):
-    return _stored(spark, sf_dir, changed_graph).edges
+    return _fed(spark, sf_dir).edges
 
 
 # graph

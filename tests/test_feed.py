@@ -119,3 +119,18 @@ def test_a_stream_of_changes(spark, tmp_path):
     assert feed.store.latest().number == 4  # the empty one, and one a batch
     graph = export.read_snapshot(spark.newSession(), folder)
     assert rows(graph.edges.select("source", "target", "type")) == [("a", "b", "link"), ("b", "a", "link")]
+
+
+def test_a_batch_without_a_change_copies_nothing(spark, tmp_path):
+    """Late changes make a version of the same tables, which outlive the version they came with."""
+    feed = GraphFeed(spark, str(tmp_path / "feed"), keep=2)
+    first = feed.apply(spark.createDataFrame([change("a", CREATE, 5, ["b"]), change("b", CREATE, 5)], CHANGE), ("s", 0))
+    late = [spark.createDataFrame([change("a", UPDATE, 1, ["c"])], CHANGE), spark.createDataFrame([], CHANGE)]
+    for number in range(1, 5):
+        version = feed.apply(late[number % 2], ("s", number))
+        assert version.data == first.data and version.batches == {"s": number}
+    assert len(feed.store.versions()) == 2
+    assert rows(feed.graph().edges.select("source", "target")) == [("a", "b")]
+    feed.apply(spark.createDataFrame([change("a", UPDATE, 6)], CHANGE), ("s", 5))
+    feed.apply(late[0], ("s", 6))
+    assert feed.graph().edges.count() == 0 and not (tmp_path / "feed" / "data" / first.data).exists()
