@@ -53,7 +53,8 @@ def build_graph(notes: DataFrame, edges: Callable[[DataFrame], DataFrame] = all_
     found = edges(notes)
     nodes = build_nodes(notes, found)
     closed = edges is all_edges if closed is None else closed
-    return Graph(nodes, visible_edges(found, nodes), notes, found, closed)
+    edges = found.select("source", "target", "type", "tagName") if closed else visible_edges(found, nodes)
+    return Graph(nodes, edges, notes, found, closed)
 
 
 def isolated_nodes(graph: Graph) -> DataFrame:

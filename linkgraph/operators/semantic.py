@@ -23,8 +23,8 @@ from linkgraph.sources.shared import written
 SAMPLE, PIVOTS, EACH = 4096, 64, 4096
 #: Vectors of a block (a cell holds twice as many), coordinates that are looked at first, rows at a time.
 CELL, LEADING, ROWS = 8192, 24, 256
-#: Pairs that are measured at a time.
-MEASURED = 1 << 16
+#: Pairs that are measured at a time; where the bound leaves over SOME of the pairs, products decide instead.
+MEASURED, SOME = 1 << 16, 0.75
 SLACK = 1e-9
 
 
@@ -64,18 +64,24 @@ def near_pairs(units: np.ndarray, angles: np.ndarray, part: np.ndarray, split: b
     units, angles, part = units[order], angles[order], part[order]
     last = np.searchsorted(angles, angles + math.acos(min(1.0, threshold)) + SLACK, "right")
     left, right, measured = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    # products of single floats first: an error of 2^-24 for each coordinate at most, and as much for its rounding
+    single, slack, dense = units.astype(np.float32), SLACK + 4 * units.shape[1] * 2.0**-24, False
     for at in range(0, len(units), ROWS):
         stop = min(at + ROWS, len(units))
         end = int(last[stop - 1])
-        bound = lead[at:stop] @ lead[at:end].T + rest[at:stop, None] * rest[None, at:end]
-        i, j = np.nonzero(bound >= threshold - SLACK)
+        if dense:
+            near = single[at:stop] @ single[at:end].T >= np.float32(threshold - slack)
+        else:
+            near = lead[at:stop] @ lead[at:end].T + rest[at:stop, None] * rest[None, at:end] >= threshold - SLACK
+            dense = np.count_nonzero(near) > SOME * near.size
+        i, j = np.divmod(np.flatnonzero(near), end - at)
         i, j = i + at, j + at
         some = (i < j) & (j < last[i])
         if split:
             some &= part[i] != part[j]
         i, j = i[some], j[some]
-        measured += len(i)
-        if len(i) > MEASURED:  # the bound cuts out little here: one product, and what it leaves is measured again
+        measured += near.size if dense else len(i)
+        if not dense and len(i) > MEASURED:  # the bound cuts out little here: one product, and what it leaves is measured again
             near = (units[at:stop] @ units[at:end].T)[i - at, j - at] >= threshold - SLACK
             i, j = i[near], j[near]
         for k in range(0, len(i), MEASURED):
@@ -86,9 +92,9 @@ def near_pairs(units: np.ndarray, angles: np.ndarray, part: np.ndarray, split: b
     return np.concatenate(left), np.concatenate(right), measured
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column's values in doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
 
 
 def _of_length(vectors: DataFrame, length: int, rows: int, threshold: float) -> DataFrame:
@@ -104,12 +110,12 @@ def _of_length(vectors: DataFrame, length: int, rows: int, threshold: float) ->
         """Each vector with its angles to all pivots."""
         for batch in batches:
             if batch.num_rows:
-                unit = directions(_matrix(pa.chunked_array([batch.column(1)])))
-                angles = np.arccos(np.clip(unit @ pivots.T, -1, 1))
-                arrays = [batch.column(0), pa.array(angles.argmin(axis=1)), pa.array([*unit]), pa.array([*angles])]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "home", "unit", "angles"])
+                angles = np.arccos(np.clip(directions(_matrix(batch.column(1))) @ pivots.T, -1, 1))
+                arrays = [batch.column(0), pa.array(angles.argmin(axis=1)), batch.column(1), pa.array([*angles])]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "home", "vector", "angles"])
 
-    placed = written(vectors.mapInArrow(place, f"id {vectors.schema['id'].dataType.simpleString()}, home long, unit array<double>, angles array<double>"), "placed")
+    kinds = [vectors.schema[c].dataType.simpleString() for c in ("id", "vector")]
+    placed = written(vectors.mapInArrow(place, f"id {kinds[0]}, home long, vector {kinds[1]}, angles array<double>"), "placed")
     homes = placed.groupBy("home").agg(F.max(F.get("angles", F.col("home").cast("int"))).alias("radius"), F.count("*").alias("n")).orderBy("home").collect()  # a row a pivot
     region_of = [r.home for r in homes for _ in range(-(-r.n // CELL))]
     blocks, first = len(region_of), {r.home: region_of.index(r.home) for r in homes}
@@ -120,18 +126,17 @@ def _of_length(vectors: DataFrame, length: int, rows: int, threshold: float) ->
     own = (F.get(of_pivot(first, 0), home) + F.pmod(F.xxhash64("id"), parts)).cast("int").alias("block")
     within = lambda b: (b == F.col("block")) | (F.get("angles", F.get(region, b)) <= F.get(reach, F.get(region, b)))
     others = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), within)
-    dealt = placed.select("id", "unit", "angles", own).select("*", F.explode(others).alias("other"))
+    dealt = placed.select("id", "vector", "angles", own).select("*", F.explode(others).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select((low.cast("bigint") * blocks + high).alias("cell"), "id", "unit", F.get("angles", F.get(region, high)).alias("angle"), "block")
+    dealt = dealt.select((low.cast("bigint") * blocks + high).alias("cell"), "id", "vector", F.get("angles", F.get(region, high)).alias("angle"), "block")
 
     def compare(table: pa.Table) -> pa.Table:
         cell, angle, block = table.column("cell")[0].as_py(), table.column("angle").to_numpy(), table.column("block").to_numpy()
-        a, b, _ = near_pairs(_matrix(table.column("unit")), angle, block, cell // blocks != cell % blocks, axes, threshold)
+        a, b, _ = near_pairs(directions(_matrix(table.column("vector").combine_chunks())), angle, block, cell // blocks != cell % blocks, axes, threshold)
         ids = table.column("id").combine_chunks()
         return pa.table({"source": ids.take(pa.array(a)), "target": ids.take(pa.array(b))})
 
-    kind = vectors.schema["id"].dataType.simpleString()
-    return dealt.groupBy("cell").applyInArrow(compare, f"source {kind}, target {kind}")
+    return dealt.groupBy("cell").applyInArrow(compare, f"source {kinds[0]}, target {kinds[0]}")
 
 
 def semantic_edges(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector") -> DataFrame:
@@ -143,11 +148,16 @@ def semantic_edges(vectors: DataFrame, threshold: float, key: str = "id", vector
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold above 0, up to 1")
-    slim = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"  # half of what is copied to cells
+    value = F.col(vector) if single else F.col(vector).cast("array<double>")
+    slim = vectors.select(F.col(key).alias("id"), value.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     found = [_of_length(slim.where(F.size("vector") == r.length), r.length, r["count"], threshold) for r in slim.groupBy(F.size("vector").alias("length")).count().orderBy("length").collect()]
     kind = slim.schema["id"].dataType.simpleString()
     pairs = slim.sparkSession.createDataFrame([], f"source {kind}, target {kind}")
     for part in found:
         pairs = pairs.unionByName(part)
     ends = pairs.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"))
-    return ends.distinct().select("source", "target", F.lit("semantic").alias("type"), F.lit(None).cast("string").alias("tagName"))
+    # every two rows meet in one cell, so a pair comes again only where rows share an id
+    if not slim.groupBy("id").count().where("count > 1").isEmpty():
+        ends = ends.distinct()
+    return ends.select("source", "target", F.lit("semantic").alias("type"), F.lit(None).cast("string").alias("tagName"))

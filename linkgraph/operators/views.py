@@ -36,18 +36,19 @@ def node_stats(edges: DataFrame) -> DataFrame:
 
 
 def graph_stats(graph: Graph) -> DataFrame:
-    """One row: notes, explicit, semantic, tags (distinct names on tag edges).  All 0 without nodes."""
+    """One row: notes, explicit, semantic, tags (distinct names on tag edges).  All 0 without nodes.
+
+    Edges are looked at once: what is counted of them is a row a kind, and a row a name on tag edges.
+    """
     kind = edge_kind(F.col("type"))
-    counts = graph.edges.agg(F.count_if(kind == "explicit").alias("explicit"), F.count_if(kind == SEMANTIC).alias("semantic"))
-    names = graph.edges.where(F.col("type") == TAG).select(F.explode(split_names(F.col("tagName"))).alias("name")).distinct()
-    parts = {"notes": graph.nodes.agg(F.count("*").alias("notes")), "tags": names.agg(F.count("*").alias("tags")), "counts": counts}
-    columns = ("notes", "explicit", "semantic", "tags")
-    total = None
-    for part in parts.values():
-        row = part.select(*[F.col(c) if c in part.columns else F.lit(0).cast("bigint").alias(c) for c in columns])
-        total = row if total is None else total.unionByName(row)
-    sums = total.agg(*[F.sum(c).alias(c) for c in columns])
-    return sums.select("notes", *[F.when(F.col("notes") > 0, F.col(c)).otherwise(F.lit(0).cast("bigint")).alias(c) for c in columns[1:]])
+    name = F.when(F.col("type") == TAG, split_names(F.col("tagName")))
+    kinds = graph.edges.select(kind.alias("kind"), F.explode_outer(name).alias("name")).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    counts = kinds.agg(of("explicit").alias("explicit"), of(SEMANTIC).alias("semantic"), F.count("name").alias("tags"))
+    # a built graph has a node a note, and its nodes would find the edges once more
+    notes = (graph.nodes if graph.notes is None else graph.notes).agg(F.count("*").alias("notes"))
+    zero = F.lit(0).cast("bigint")
+    return notes.crossJoin(counts).select("notes", *[F.when(F.col("notes") > 0, F.col(c)).otherwise(zero).alias(c) for c in ("explicit", "semantic", "tags")])
 
 
 def hover(graph: Graph) -> DataFrame:

@@ -323,9 +323,11 @@ def semantic_edges(spark, sf_dir):
 
 @query
 def semantic_graph_stats(spark, sf_dir):
-    """Links of notes and semantic edges of their vectors in one graph; those of vectors without a note aren't visible."""
-    both = lambda notes: E.link_edges(notes).unionByName(semantic.semantic_edges(_vectors(spark, sf_dir), SIMILAR))
-    return views.graph_stats(export.store(build_graph(linked(spark, sf_dir), both), run_folder(spark)))
+    """Links of notes and semantic edges of their vectors in one graph; those of vectors without a note wouldn't be
+    visible, so these vectors leave before they are compared."""
+    known = lambda notes: _vectors(spark, sf_dir).join(notes.select("id"), "id", "left_semi")
+    both = lambda notes: E.link_edges(notes).unionByName(semantic.semantic_edges(known(notes), SIMILAR))
+    return views.graph_stats(build_graph(linked(spark, sf_dir), both, closed=True))
 
 
 @query

@@ -63,3 +63,32 @@ def test_few_pairs_are_measured(kind, threshold, share):
     a, b, measured = near_pairs(x, angles, np.zeros(n, int), False, basis(pivots), threshold)
     assert {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == {(i, j) for i, j in zip(*(c.tolist() for c in np.nonzero(np.triu(x @ x.T, 1) >= threshold)), strict=True)}
     assert measured < share * n * (n - 1) / 2
+
+
+def test_dense_pairs_and_single_floats(spark, monkeypatch):
+    """Where the bound cuts out little, products decide; vectors of floats aren't widened on their way."""
+    for name, value in (("CELL", 60), ("ROWS", 16)):
+        monkeypatch.setattr(semantic, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    want = all_pairs(rows, 0.3)
+    found = semantic_edges(spark.createDataFrame(rows, "id long, vector array<float>"), 0.3)
+    assert edges(found) == want and len(want) > 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "array<double>" not in plan.split("FlatMapGroupsInArrow")[0]
+    again = semantic_edges(spark.createDataFrame([*rows, *rows[:50]], "id long, vector array<float>"), 0.3)
+    assert edges(again) == want
+
+
+def test_stats_of_a_built_graph_look_at_edges_once(spark):
+    from linkgraph.operators.graph import Graph, build_graph
+    from linkgraph.operators.views import graph_stats
+
+    notes = spark.createDataFrame([("a", "t"), ("b", "t")], "id string, title string")
+    rows = [("a", "b", k, n) for k, n in (("link", None), ("explicit", None), ("semantic", None), ("tag", "x, y"), ("tag", "y, z"), ("tag", ""), ("tag", None), ("other", "w"), ("semantic", "q"))]
+    edges = spark.createDataFrame(rows, "source string, target string, type string, tagName string").repartition(3)
+    built = build_graph(notes, lambda _: edges, closed=True)
+    assert tuple(graph_stats(built).first()) == (2, 2, 2, 3) == tuple(graph_stats(Graph(built.nodes, built.edges)).first())
+    assert graph_stats(built)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") + graph_stats(built)._jdf.queryExecution().optimizedPlan().toString().count("Repartition 3") == 1
+    assert tuple(graph_stats(build_graph(notes.where("id is null"), lambda _: edges, closed=True)).first()) == (0, 0, 0, 0)
