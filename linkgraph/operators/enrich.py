@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgraph.functions.links import linked_ids
+from linkgraph.sources.shared import spread
 
 STRINGS = "array<string>"
 
@@ -18,8 +19,8 @@ def tag_titles(tags: DataFrame, note_tag: DataFrame) -> DataFrame:
     The tag side has at most as many rows as its scan allows, which lets Spark choose a broadcast by
     its size; the associations are aggregated before they meet in a shuffle.
     """
-    named = note_tag.join(tags.withColumnRenamed("id", "tag_id"), "tag_id")
-    listed = named.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("ord", "tag_id", "title"))).alias("t"))
+    named = spread(note_tag, "tag_id").join(tags.withColumnRenamed("id", "tag_id"), "tag_id")
+    listed = spread(named, "note_id").groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("ord", "tag_id", "title"))).alias("t"))
     return listed.select("note_id", F.transform("t", lambda x: x["title"]).alias("tags"))
 
 

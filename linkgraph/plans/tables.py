@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgraph.sources import pages as P
-from linkgraph.sources.shared import hadoop_path, written
+from linkgraph.sources.shared import hadoop_path, spread, written
 
 TARGETS = 200
 #: The long prefix of the derived links, as a literal, so that SQL and plan are checked against it.
@@ -152,7 +152,7 @@ def part_tag_pages(spark: SparkSession, sf_dir: str, fails: bool, size: int = 10
     top = tags.agg(F.max("ord")).first()[0] or 0
     tag_pages = P.as_pages(tags, P.TAG_ITEM, (F.floor(F.col("ord") / P.PAGE) + 1).cast("int"), F.col("ord"), F.lit(top // P.PAGE + 1))
     by_tag = Window.partitionBy("tag_id").orderBy("note_id")
-    rows = bridge.join(tags.select(F.col("id").alias("tag_id"), "ord"), "tag_id").select(
+    rows = spread(bridge, "tag_id").join(tags.select(F.col("id").alias("tag_id"), "ord"), "tag_id").select(
         "ord", "tag_id", F.col("note_id").alias("id"), F.floor((F.row_number().over(by_tag) - 1) / size).alias("before"), F.floor((F.count("*").over(Window.partitionBy("tag_id")) - 1) / size).alias("most")
     )
     error = F.when((F.col("ord") == top // 2) & (F.col("before") == 1), "HTTPError: 500") if fails else None

@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from linkgraph.sources.notes import MAX_NOTES, MAX_TAGS, NOTE, NOTE_TAG, TAG
-from linkgraph.sources.shared import written
+from linkgraph.sources.shared import spread, written
 
 #: Items of a page, and the place of an item: that of its page times STRIDE, plus its own.
 PAGE, STRIDE = 100, 1_000_000
@@ -187,7 +187,7 @@ def page_items(envelopes: DataFrame) -> DataFrame:
     with the latest ``fetched``, which tells its envelopes apart."""
     chosen = _best(envelopes).where("ok").select("key", "page", "fetched")
     told = envelopes.where("error is null and page >= 1").select(F.coalesce("key", F.lit("")).alias("key"), "page", F.coalesce("fetched", F.lit(0)).alias("fetched"), "items")
-    rows = told.join(chosen, ["key", "page", "fetched"], "left_semi")
+    rows = spread(told, "key", "page", "fetched").join(chosen, ["key", "page", "fetched"], "left_semi")
     return rows.select("key", "page", F.posexplode("items").alias("at", "item")).select("key", "page", (F.col("page").cast("bigint") * STRIDE + F.col("at")).alias("place"), "item")
 
 
@@ -247,7 +247,7 @@ def paged_tags(tag_pages: DataFrame, note_pages: DataFrame, limit: int | None =
     read = of_tag.where("last >= 1").select("key", "ord", "last")
     if failing is not None:
         read = read.where(F.col("ord") <= failing)
-    found = page_items(note_pages).join(read, "key").where("page <= last")
+    found = spread(page_items(note_pages), "key").join(read, "key").where("page <= last")
     return PagedTags(tags.rows, found.select(F.col("key").alias("tag_id"), F.col("item.id").alias("note_id")), full or failing is not None)
 
 

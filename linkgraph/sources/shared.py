@@ -45,6 +45,19 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the largest table that a frame reads, for each partition that ``spread`` makes.
+EACH = 8 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into partitions whose number grows with the largest table that it reads, where the
+    shuffle partitions of the session would let each grow instead; tables that fit those stay as they are."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = -(-max((x for x in sizes if x < 1 << 60), default=0) // EACH)  # what has no figure has the largest of all
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, found = hadoop_path(spark, path)
     fs.delete(found, True)

@@ -204,3 +204,19 @@ def test_partial_tag_maps(spark):
 def test_no_task_holds_all_pages_of_a_key(spark):
     plan = page_status(told(spark, REFERENCE, ("", 1, ["a"], False, 0)))._jdf.queryExecution().toString()
     assert "Window" not in plan and "collect_list" not in plan and "Cartesian" not in plan
+
+
+def test_shuffles_grow_with_the_tables(spark, monkeypatch, tmp_path):
+    """More partitions than the session's for the shuffles of a larger table, and the same tags."""
+    from linkgraph.operators.enrich import tag_titles
+    from linkgraph.sources import shared
+
+    spark.range(3000).selectExpr("concat('t', id % 7) tag_id", "concat('n', id % 500) note_id").distinct().write.parquet(str(tmp_path / "bridge"))
+    bridge = spark.read.parquet(str(tmp_path / "bridge"))
+    tags = spark.createDataFrame([(f"t{i}", f"title {i}", -i) for i in range(7)], "id string, title string, ord long")
+    want = sorted(tag_titles(tags, bridge).collect())
+    assert "RepartitionByExpression" not in tag_titles(tags, bridge)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(shared, "EACH", 100)
+    got = tag_titles(tags, bridge)
+    assert got.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(got.collect()) == want
