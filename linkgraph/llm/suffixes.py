@@ -17,9 +17,10 @@ words of context on either side reach a passage's true ends.
    words of left context, and right context, the neighbours are the mates that share most to the right
    among all that share those words.  So the furthest reach to either side is found, whatever stands
    between.
-4. Hashes that a table's borders may cut are settled apart, exactly: for each of their suffixes the
-   CONTEXT + 1 windows of LEAST words around it are counted by content, and one that stands in two rows
-   is a span of both.
+4. Hashes that a table's borders may cut are settled apart, exactly: of their suffixes the CONTEXT + 1
+   windows of LEAST words around each are counted by content, and one that stands in two rows is a span
+   of both.  A window that several rows of a table hold is a span of each already, so that two of them
+   ask the other tables for all, and a content has few rows however many copies there are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgraph.llm.common import map_arrow, partitions_for
@@ -284,6 +285,14 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _spans(table)
 
 
+def _outer(new: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Of runs that hold two rows or more the first and the last place, of others all.  A run begins
+    wherever ``new``, which leaves out the first place; rows are in order inside a run."""
+    begin, end = np.concatenate([[True], new]), np.concatenate([new, [True]])
+    several = row[begin] != row[end]
+    return begin | end | ~several[begin.cumsum() - 1]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of hashes that stand at a border of a table, and so perhaps in the next one too.
 
@@ -299,10 +308,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for side in ("left", "right"):
             x = table.column(side)
             new |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy()
-        begin = np.concatenate([[True], new])
-        end, run = np.concatenate([new, [True]]), begin.cumsum() - 1
-        several = row[begin] != row[end]
-        yield from table.filter(pa.array(begin | end | ~several[run])).combine_chunks().to_batches()
+        yield from table.filter(pa.array(_outer(new, row))).combine_chunks().to_batches()
 
 
 WINDOW_ROW = "h long, key long, row long, doc_id long, start int"
@@ -310,9 +316,12 @@ WINDOW_ROW = "h long, key long, row long, doc_id long, start int"
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, key, row, doc_id, start): for each suffix that ``_cut`` passes on, the windows of LEAST words
-    around its gram that are inside the text; h and key are hashes of the gram and of the rest."""
+    around its gram that are inside the text; h and key are hashes of the gram and of the rest.
+
+    A window that two rows or more of the table hold goes out twice, for the first and the last row:
+    ``compare_neighbours`` has found it for all of them, and any other row can meet one of these two."""
     for batch in _cut(batches):
-        h, pos = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("h", "pos"))
+        h, row, pos = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in ("h", "row", "pos"))
         sides = [np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(k)).to_pylist()), ">u4").reshape(-1, CONTEXT).astype(np.uint64) for k in ("left", "right")]
         # a hash of so many words of either side, and whether the text has them
         hashes, whole = [], []
@@ -326,11 +335,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes[-1].append(total)
                 whole[-1].append(inside)
         for shared in range(CONTEXT + 1):
-            ok = whole[0][shared] & whole[1][CONTEXT - shared]
+            ok = np.flatnonzero(whole[0][shared] & whole[1][CONTEXT - shared])
+            if not len(ok):
+                continue
             key = (hashes[0][shared] * np.uint64(0x94D049BB133111EB) ^ hashes[1][CONTEXT - shared]) + np.uint64(shared)
-            some = pa.array(np.flatnonzero(ok))
-            row, doc_id = (batch.column(batch.schema.get_field_index(k)).take(some) for k in ("row", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(key[ok].view(np.int64)), row, doc_id, pa.array((pos[ok] - shared).astype(np.int32))], ["h", "key", "row", "doc_id", "start"])
+            ok = ok[np.lexsort((row[ok], key[ok], h[ok]))]
+            ok = ok[_outer((h[ok][1:] != h[ok][:-1]) | (key[ok][1:] != key[ok][:-1]), row[ok])]
+            doc_id = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(key[ok].view(np.int64)), pa.array(row[ok]), doc_id, pa.array((pos[ok] - shared).astype(np.int32))], ["h", "key", "row", "doc_id", "start"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,11 +409,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     key = ["h", "left", "right", "row", "pos"]
     context = map_arrow(placed, _contexts, SUFFIX).repartitionByRange(n, *key).sortWithinPartitions(*key)
     spans = map_arrow(context, _matches, SPAN).select("row", "doc_id", "start", "end", "other_id")
-    # what the tables part; a few hashes, unless one is on very many rows
-    windows = map_arrow(context, _windows, WINDOW_ROW)
-    ends = windows.groupBy("h", "key").agg(F.min(F.struct("row", "doc_id")).alias("lo"), F.max(F.struct("row", "doc_id")).alias("hi"))
-    # dealt once more, so that adaptive execution can split the join at a window on very many rows
-    shared = windows.join(ends.where("lo.row <> hi.row").repartition(n, "h", "key"), ["h", "key"])
+    # what the tables part; a content has two rows a table, or the places of one row, so a task can hold it
+    windows = map_arrow(context, _windows, WINDOW_ROW).repartition(n, "h", "key")
+    own, content = F.struct("row", "doc_id"), Window.partitionBy("h", "key")
+    shared = windows.withColumns({"lo": F.min(own).over(content), "hi": F.max(own).over(content)}).where("lo.row <> hi.row")
     other = F.when(F.col("row") == F.col("lo.row"), F.col("hi.doc_id")).otherwise(F.col("lo.doc_id"))
     spans = spans.unionByName(shared.select("row", "doc_id", "start", (F.col("start") + LEAST).alias("end"), other.alias("other_id")))
     merged = spans.repartition(n, "row").sortWithinPartitions("row", "start", "end", "other_id")

@@ -166,3 +166,44 @@ def test_cut_hashes_are_passed_on(monkeypatch):
     # equal contexts of several rows: the first and the last; of one row: all
     copies = [(1, b"a", b"b", k) for k in range(5)] + [(1, b"a", b"c", 7)] * 3
     assert passed(8, copies) == [copies[0], copies[4], *copies[5:]]
+
+
+def test_windows_of_near_copies_are_two_rows_a_table(monkeypatch):
+    """Rows of one hash that differ in one word each: a window of many rows isn't passed on for each of them."""
+    monkeypatch.setattr(sx, "ROWS", 1 << 10)
+    pack = lambda k, at: np.array([9000 + k if j == at else 1 + j for j in range(sx.CONTEXT)], ">u4").tobytes()
+    rows = sorted((5, pack(k, k % sx.CONTEXT), pack(0, -1), k, k, 100) for k in range(240))
+    names = ["h", "left", "right", "row", "doc_id", "pos"]
+    batches = [sx.pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows[k : k + 50]]) for k in range(0, len(rows), 50)]
+    got = [tuple(r.values()) for b in sx._windows(iter(batches)) for r in b.to_pylist()]
+    mates = defaultdict(set)  # by shared words to the left, content of the window
+    for _, left, _, row, _, _ in rows:
+        for shared in range(sx.CONTEXT + 1):
+            mates[shared, left[: 4 * shared]].add(row)
+    assert len(got) == sum(min(len(x), 2) for x in mates.values()) < len(rows) * (sx.CONTEXT + 1) * 0.6
+    assert {r[2:] for r in got} <= {(k, k, 100 - shared) for k in range(240) for shared in range(sx.CONTEXT + 1)}
+    # each window of one row is there, and of those of several rows two different ones
+    held = defaultdict(set)
+    for _, key, row, _, _ in got:
+        held[key].add(row)
+    assert sorted(map(len, held.values())) == sorted(min(len(x), 2) for x in mates.values())
+
+
+def test_windows_are_made_once(spark):
+    df = sx.passage_report(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert sum("MapInArrow" in x and "key#" in x for x in plan.splitlines()) == 1
+
+
+@pytest.mark.parametrize("size", [16, 64])
+def test_near_copies_over_many_partitions(spark, monkeypatch, size):
+    monkeypatch.setattr(sx, "ROWS", size)
+    rng = random.Random(6)
+    text = [f"v{i}" for i in range(130)]
+    rows = []
+    for i in range(150):
+        own = [f"n{i}" if rng.random() < 0.02 else w for w in text]
+        # some rows hold it twice, so that one row can stand for a window in two tables
+        rows.append((i, " ".join([f"own{i}", *own, *(text if i % 5 == 0 else []), f"end{i}"])))
+    want, got = brute(rows), covered(spark, rows)
+    assert got == want and len(want) > 10_000
