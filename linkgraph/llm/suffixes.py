@@ -260,6 +260,9 @@ def compare_neighbours(table: pa.Table) -> dict[str, np.ndarray]:
             enough = hi >= LEAST - GRAM - shared
             a, b, hi = a[enough], b[enough], hi[enough]
             lo = _common(left[a], left[b])
+            # a group may share the beginning of texts, which is no word
+            enough = lo + hi >= LEAST - GRAM
+            a, b, lo, hi = a[enough], b[enough], lo[enough], hi[enough]
             for side, x in (("lo", lo), ("hi", hi)):
                 own = best[side]
                 more = (x > own[side][a]) | ((x == own[side][a]) & (lo + hi > own["lo"][a] + own["hi"][a]))

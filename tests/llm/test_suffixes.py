@@ -207,3 +207,15 @@ def test_near_copies_over_many_partitions(spark, monkeypatch, size):
         rows.append((i, " ".join([f"own{i}", *own, *(text if i % 5 == 0 else []), f"end{i}"])))
     want, got = brute(rows), covered(spark, rows)
     assert got == want and len(want) > 10_000
+
+
+@pytest.mark.parametrize("shared", [sx.GRAM, 45, sx.LEAST - 1, sx.LEAST])
+def test_texts_that_begin_alike(spark, shared):
+    """Less than LEAST words at the beginning of two texts aren't a passage."""
+    rng = random.Random(shared)
+    rows = []
+    for k in range(60):  # in some, the first gram is the minimiser
+        begin = [f"b{k}x{rng.randrange(10**6)}" for _ in range(shared)]
+        rows += [(0, " ".join([*begin, *(f"e{k}s{side}y{i}" for i in range(20))])) for side in range(2)]
+    want, got = brute(rows), covered(spark, rows)
+    assert got == want and len(want) == (120 * sx.LEAST if shared == sx.LEAST else 0)
