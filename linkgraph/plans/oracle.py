@@ -60,6 +60,8 @@ occ AS (SELECT g.title AS tag, n.pos, row_number() OVER (PARTITION BY n.id ORDER
 TAG_EDGES = """groups AS (SELECT tag, count(*) AS n, min((pos, idx)) AS seen FROM occ GROUP BY tag HAVING count(*) <= 20),
 tag_pairs AS (SELECT g.tag, g.seen, a.id AS x, b.id AS y, (g.seen, (a.pos, a.idx), (b.pos, b.idx)) AS place FROM groups g JOIN occ a ON a.tag = g.tag JOIN occ b ON b.tag = g.tag AND (a.pos < b.pos OR (a.pos = b.pos AND a.idx < b.idx))),
 tag_edges AS (SELECT arg_min(x, place) AS source, arg_min(y, place) AS target, 'tag' AS type, string_agg(tag, ', ' ORDER BY place) AS tagName FROM tag_pairs GROUP BY least(x, y), greatest(x, y))"""
+#: The same of all tags, on however many notes.
+EVERY_TAG = TAG_EDGES.replace(" HAVING count(*) <= 20", "")
 
 MIXED = f"""{ALL_LINKS}, occ AS (
   SELECT 'low-' || (pos // 9) AS tag, pos, 0 AS idx, id FROM notes UNION ALL SELECT parent_id || '/' || (pos // 100), pos, 1, id FROM notes),
@@ -215,7 +217,7 @@ ORACLE: dict[str, str] = {
     "all_edges": f"WITH {MIXED} SELECT * FROM edges",
     "node_labels": f"WITH {NOTES}, {LABELS} SELECT * FROM labels",
     "node_degree": f"WITH {MIXED} SELECT id, count(*) AS degree FROM ends GROUP BY id",
-    "graph_nodes": f"WITH {ORDERS} SELECT * FROM nodes",
+    "graph_nodes": f"WITH {ORDERS.replace(TAG_EDGES, EVERY_TAG)} SELECT * FROM nodes",
     "visible_edges_only": f"WITH {INJECTED} SELECT * FROM visible",
     "isolated": f"WITH {INJECTED} SELECT * FROM alone",
     "summary": f"WITH {INJECTED} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM visible) AS edges, (SELECT count(*) FROM alone) AS isolated, (SELECT greatest(1, max(degree)) FROM nodes)::BIGINT AS max_degree",
