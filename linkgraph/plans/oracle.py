@@ -67,7 +67,7 @@ MIXED = f"""{ALL_LINKS}, occ AS (
   SELECT 'low-' || (pos // 9) AS tag, pos, 0 AS idx, id FROM notes UNION ALL SELECT parent_id || '/' || (pos // 100), pos, 1, id FROM notes),
 {TAG_EDGES}, {LINK_EDGES}, edges AS (SELECT * FROM link_edges UNION ALL SELECT * FROM tag_edges),
 ends AS (SELECT source AS id, type FROM edges UNION ALL SELECT target, type FROM edges)"""
-ORDERS = f"""{tag_source('order')}, {TAG_EDGES}, edges AS (SELECT * FROM tag_edges),
+ORDERS = f"""{tag_source('order')}, {EVERY_TAG}, edges AS (SELECT * FROM tag_edges),
 degree AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id),
 nodes AS (SELECT n.id, n.title AS label, n.id AS noteId, coalesce(d, 0)::BIGINT AS degree FROM notes n LEFT JOIN degree USING (id))"""
 LABEL = "CASE WHEN length(t) > 64 THEN substr(t, 1, 61) || '...' ELSE t END"
@@ -217,7 +217,7 @@ ORACLE: dict[str, str] = {
     "all_edges": f"WITH {MIXED} SELECT * FROM edges",
     "node_labels": f"WITH {NOTES}, {LABELS} SELECT * FROM labels",
     "node_degree": f"WITH {MIXED} SELECT id, count(*) AS degree FROM ends GROUP BY id",
-    "graph_nodes": f"WITH {ORDERS.replace(TAG_EDGES, EVERY_TAG)} SELECT * FROM nodes",
+    "graph_nodes": f"WITH {ORDERS} SELECT * FROM nodes",
     "visible_edges_only": f"WITH {INJECTED} SELECT * FROM visible",
     "isolated": f"WITH {INJECTED} SELECT * FROM alone",
     "summary": f"WITH {INJECTED} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM visible) AS edges, (SELECT count(*) FROM alone) AS isolated, (SELECT greatest(1, max(degree)) FROM nodes)::BIGINT AS max_degree",

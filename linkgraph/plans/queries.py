@@ -55,10 +55,10 @@ def with_links(notes: DataFrame) -> DataFrame:
     return notes.select("id", "title", "pos", L.linked_ids(F.col("body")).alias("links"), F.array().cast("array<string>").alias("tags"))
 
 
-def order_graph(spark: SparkSession, sf_dir: str, max_group: int | None = None) -> Graph:
+def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders by the parts they share, of whatever number of orders."""
     notes, *tagging = D.order_tags(spark, sf_dir)
-    return build_graph(notes, lambda notes: E.merged_pairs(E.associated(notes, *tagging), max_group), closed=True)
+    return build_graph(notes, lambda notes: E.merged_pairs(E.associated(notes, *tagging), None), closed=True)
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -587,7 +587,7 @@ def dark_themes(spark, sf_dir):
 
 @query
 def export_elements(spark, sf_dir):
-    return export.elements(order_graph(spark, sf_dir, E.MAX_GROUP))
+    return export.elements(order_graph(spark, sf_dir))
 
 
 @query

@@ -37,3 +37,8 @@ def test_pairs_without_a_limit(spark, monkeypatch, block, wide):
 
 def test_nodes_of_orders_with_a_common_part(spark, orders):
     assert {r.degree for r in QUERIES["graph_nodes"](spark, orders).collect()} == {24}
+
+
+def test_elements_of_orders_with_a_common_part(spark, orders):
+    told = QUERIES["export_elements"](spark, orders).where("kind = 'edges'")
+    assert told.count() == 300 and told.where(F.col("element").contains('"tagName":"part-1, part-2"')).count() == 3
