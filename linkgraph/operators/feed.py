@@ -85,7 +85,7 @@ def latest_changes(changes: DataFrame) -> DataFrame:
 class GraphFeed:
     """A graph in a snapshot store that follows changes; readers use ``export.read_snapshot`` on its folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, max_group: int = MAX_GROUP, keep: int = KEEP):
+    def __init__(self, spark: SparkSession, folder: str, max_group: int | None = MAX_GROUP, keep: int = KEEP):
         self.spark, self.max_group, self.store = spark, max_group, SnapshotStore(spark, folder, keep)
 
     def graph(self) -> Graph | None:

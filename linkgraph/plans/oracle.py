@@ -173,7 +173,7 @@ ORACLE: dict[str, str] = {
     "imported_nodes": f"WITH {DOCUMENTS} SELECT * FROM nodes",
     "imported_edges": f"WITH {DOCUMENTS} SELECT * FROM link_edges",
     "import_rejects": f"SELECT k.kind, k.reason, count(*) AS n FROM documents d JOIN (VALUES {', '.join(f"({i}, '{kind}', '{reason}')" for i, ((kind, _), reason) in enumerate(zip(LINES, _REASONS, strict=True)))}) k(i, kind, reason) ON k.i = d.doc_id % {len(LINES)} GROUP BY k.kind, k.reason",
-    "feed_nodes": f"WITH {FED} SELECT * FROM nodes",
+    "feed_nodes": f"WITH {FED.replace(TAG_EDGES, EVERY_TAG)} SELECT * FROM nodes",
     "feed_edges": f"WITH {FED} SELECT * FROM edges",
     "paged_notes": f"WITH {PAGED} SELECT id, title, pos FROM paged",
     "paged_notes_partial": f"WITH {PAGED} SELECT id, title, pos FROM paged WHERE page < (SELECT page FROM failing)",

@@ -404,28 +404,34 @@ def change_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-def changed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def changed_graph(spark: SparkSession, sf_dir: str, max_group: int | None = None) -> Graph:
     """The graph of the mixed notes after the changes, kept up batch by batch."""
-    feed = GraphFeed(spark, f"{run_folder(spark)}/feed-{uuid.uuid4().hex[:8]}")
+    feed = GraphFeed(spark, f"{run_folder(spark)}/feed-{uuid.uuid4().hex[:8]}", max_group)
     feed.start(mixed_notes(spark, sf_dir))
     for number, batch in enumerate(change_batches(spark, sf_dir)):
         feed.apply(batch, ("changes", number))
     return feed.graph()
 
 
-def _fed(spark: SparkSession, sf_dir: str) -> Graph:
+def limited_changed_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return changed_graph(spark, sf_dir, E.MAX_GROUP)
+
+
+def _fed(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], Graph]) -> Graph:
     """The changed graph, which the feed has stored already."""
-    return _stored(spark, sf_dir, changed_graph, lambda graph, _: graph)
+    return _stored(spark, sf_dir, build, lambda graph, _: graph)
 
 
 @query
 def feed_nodes(spark, sf_dir):
-    return _fed(spark, sf_dir).nodes
+    """Tags on any number of notes link them."""
+    return _fed(spark, sf_dir, changed_graph).nodes
 
 
 @query
 def feed_edges(spark, sf_dir):
-    return _fed(spark, sf_dir).edges
+    """Those of tags within the group limit, as its SQL has them."""
+    return _fed(spark, sf_dir, limited_changed_graph).edges
 
 
 # graph

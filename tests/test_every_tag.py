@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from linkgraph.operators import edges as E
+from linkgraph.plans.oracle import ORACLE
 from linkgraph.plans.queries import QUERIES
 
 NOTES = "id string, pos bigint, tags array<string>"
@@ -21,6 +23,21 @@ def orders(spark, tmp_path_factory):
     return folder
 
 
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    """77 documents of one source in one hundred: notes with a tag in common, and others by ninths."""
+    folder = str(tmp_path_factory.mktemp("documents"))
+    docs = spark.range(1000, 1077).select(F.col("id").alias("doc_id"), F.lit("a title").alias("text"), F.lit("web").alias("source"), F.lit(7).cast("bigint").alias("n_chars"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def in_sql(folder, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return sorted(duck.execute(ORACLE[name]).fetchall())
+
+
 @pytest.mark.parametrize("block, wide", [(256, 64), (5, 64), (5, 3)])
 def test_pairs_without_a_limit(spark, monkeypatch, block, wide):
     """Those of a limit that no tag reaches, in small blocks and with notes of many tags too; a null is no tag."""
@@ -42,3 +59,11 @@ def test_nodes_of_orders_with_a_common_part(spark, orders):
 def test_elements_of_orders_with_a_common_part(spark, orders):
     told = QUERIES["export_elements"](spark, orders).where("kind = 'edges'")
     assert told.count() == 300 and told.where(F.col("element").contains('"tagName":"part-1, part-2"')).count() == 3
+
+
+def test_nodes_of_a_feed_with_a_common_tag(spark, documents):
+    """Notes that no change met have the source's tag in common, which over 20 have."""
+    nodes = QUERIES["feed_nodes"](spark, documents)
+    assert sorted(map(tuple, nodes.collect())) == in_sql(documents, "feed_nodes")
+    same = [k for k in range(1000, 1077) if k % 7 != 3 and k % 11]
+    assert len(same) > 21 and {r.degree >= len(same) - 1 for r in nodes.where(F.col("id").isin([f"{k:032x}" for k in same])).collect()} == {True}
