@@ -195,7 +195,7 @@ ORACLE: dict[str, str] = {
     "unwrapped_edges": f"WITH {TYPED} SELECT * FROM edges",
     "typed_node_stats": f"WITH {TYPED} SELECT id, count(*) FILTER (type IN ('link', 'explicit', 'semantic')) AS \"linkCount\", count(*) FILTER (type = 'tag') AS \"tagCount\" FROM ends GROUP BY id",
     "typed_graph_stats": f"WITH {TYPED} {_STATS}",
-    "snapshot_nodes": f"WITH {WHOLE} SELECT * FROM nodes",
+    "snapshot_nodes": f"WITH {WHOLE.replace(TAG_EDGES, EVERY_TAG)} SELECT * FROM nodes",
     "snapshot_edges": f"WITH {WHOLE} SELECT * FROM edges",
     "refreshed_nodes": f"WITH {DOCUMENTS} SELECT * FROM nodes",
     "snapshot_stats": f"WITH {WHOLE} {_STATS}",

@@ -87,10 +87,16 @@ def _stored(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str
     return _STORED[key]
 
 
-def whole_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def whole_graph(spark: SparkSession, sf_dir: str, max_group: int | None = None) -> Graph:
     """From scans to the graph: notes of documents, tagged by associations, links from bodies."""
     notes, tags, note_tag = D.document_tags(spark, sf_dir)
-    return build_graph(enrich(scan_notes(notes, None).rows, tag_titles(scan_tags(tags, None).rows, note_tag)))
+    rich = enrich(scan_notes(notes, None).rows, tag_titles(scan_tags(tags, None).rows, note_tag))
+    return build_graph(rich, lambda notes: E.all_edges(notes, max_group), closed=True)
+
+
+def limited_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same with edges of tags within the group limit, as the SQL of those who read it has them."""
+    return whole_graph(spark, sf_dir, E.MAX_GROUP)
 
 
 def mixed_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -354,28 +360,29 @@ def typed_graph_stats(spark, sf_dir):
 
 @query
 def snapshot_nodes(spark, sf_dir):
+    """Tags on any number of notes link them."""
     return _stored(spark, sf_dir, whole_graph).nodes
 
 
 @query
 def snapshot_edges(spark, sf_dir):
-    return _stored(spark, sf_dir, whole_graph).edges
+    return _stored(spark, sf_dir, limited_graph).edges
 
 
 @query
 def snapshot_stats(spark, sf_dir):
-    return views.graph_stats(_stored(spark, sf_dir, whole_graph))
+    return views.graph_stats(_stored(spark, sf_dir, limited_graph))
 
 
 @query
 def snapshot_focus(spark, sf_dir):
-    graph = _stored(spark, sf_dir, whole_graph)
+    graph = _stored(spark, sf_dir, limited_graph)
     return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id"))).nodes
 
 
 @query
 def snapshot_search(spark, sf_dir):
-    return views.search_nodes(_stored(spark, sf_dir, whole_graph).nodes, SEARCHED)
+    return views.search_nodes(_stored(spark, sf_dir, limited_graph).nodes, SEARCHED)
 
 
 @query

@@ -67,3 +67,9 @@ def test_nodes_of_a_feed_with_a_common_tag(spark, documents):
     assert sorted(map(tuple, nodes.collect())) == in_sql(documents, "feed_nodes")
     same = [k for k in range(1000, 1077) if k % 7 != 3 and k % 11]
     assert len(same) > 21 and {r.degree >= len(same) - 1 for r in nodes.where(F.col("id").isin([f"{k:032x}" for k in same])).collect()} == {True}
+
+
+def test_nodes_of_a_snapshot_with_a_common_tag(spark, documents):
+    nodes = QUERIES["snapshot_nodes"](spark, documents).collect()
+    assert sorted(map(tuple, nodes)) == in_sql(documents, "snapshot_nodes")
+    assert len(nodes) == 77 and min(r.degree for r in nodes) == 76
