@@ -199,7 +199,7 @@ ORACLE: dict[str, str] = {
     "snapshot_edges": f"WITH {WHOLE} SELECT * FROM edges",
     "refreshed_nodes": f"WITH {DOCUMENTS} SELECT * FROM nodes",
     "snapshot_stats": f"WITH {WHOLE} {_STATS}",
-    "snapshot_focus": f"WITH {WHOLE} SELECT * FROM nodes WHERE id IN (SELECT id FROM shown)",
+    "snapshot_focus": f"WITH {WHOLE.replace(TAG_EDGES, EVERY_TAG)} SELECT * FROM nodes WHERE id IN (SELECT id FROM shown)",
     "snapshot_search": f"WITH {WHOLE} SELECT * FROM nodes WHERE contains(lower(label), '{SEARCHED.strip().lower()}')",
     "export_json": f"WITH {DOCUMENTS} {_document('nodes', 'link_edges')}",
     "tag_truncated": "SELECT b AS bound, (SELECT count(DISTINCT l_suppkey) FROM lineitem) >= b AS truncated FROM (VALUES (9::BIGINT), (10), (100000)) v(b)",

@@ -376,7 +376,8 @@ def snapshot_stats(spark, sf_dir):
 
 @query
 def snapshot_focus(spark, sf_dir):
-    graph = _stored(spark, sf_dir, limited_graph)
+    """In the graph of snapshot_nodes, where tags on any number of notes link them."""
+    graph = _stored(spark, sf_dir, whole_graph)
     return views.focus(graph, spark.range(1).select(F.explode(F.array(*[D.note_id(F.lit(i)) for i in SELECTED])).alias("id"))).nodes
 
 

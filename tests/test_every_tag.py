@@ -25,9 +25,13 @@ def orders(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def documents(spark, tmp_path_factory):
+    return written_documents(spark, tmp_path_factory, 1000)
+
+
+def written_documents(spark, tmp_path_factory, first):
     """77 documents of one source in one hundred: notes with a tag in common, and others by ninths."""
     folder = str(tmp_path_factory.mktemp("documents"))
-    docs = spark.range(1000, 1077).select(F.col("id").alias("doc_id"), F.lit("a title").alias("text"), F.lit("web").alias("source"), F.lit(7).cast("bigint").alias("n_chars"))
+    docs = spark.range(first, first + 77).select(F.col("id").alias("doc_id"), F.lit("a title").alias("text"), F.lit("web").alias("source"), F.lit(7).cast("bigint").alias("n_chars"))
     docs.write.parquet(f"{folder}/documents.parquet")
     return folder
 
@@ -73,3 +77,10 @@ def test_nodes_of_a_snapshot_with_a_common_tag(spark, documents):
     nodes = QUERIES["snapshot_nodes"](spark, documents).collect()
     assert sorted(map(tuple, nodes)) == in_sql(documents, "snapshot_nodes")
     assert len(nodes) == 77 and min(r.degree for r in nodes) == 76
+
+
+def test_focus_by_a_common_tag(spark, tmp_path_factory):
+    """The notes that are selected reach all others by it."""
+    folder = written_documents(spark, tmp_path_factory, 0)
+    nodes = QUERIES["snapshot_focus"](spark, folder).collect()
+    assert len(nodes) == 77 and sorted(map(tuple, nodes)) == in_sql(folder, "snapshot_focus")
